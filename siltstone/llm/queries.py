@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.llm.decontaminate import contamination_report
 from siltstone.llm.scratch import table
 from siltstone.llm.tokens import read_token_shards, write_token_shards
+from siltstone.llm.warc import archive_pages, read_archives
+
+
+def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archives(archive_pages(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +25,6 @@ def op9_arrow_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op8_wu_manber_decontamination, op9_arrow_token_shards)}
+QUERIES = {f.__name__: f for f in (op2_arc_to_warc, op8_wu_manber_decontamination, op9_arrow_token_shards)}
 
 SQL: dict[str, str] = {}
