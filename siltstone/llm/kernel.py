@@ -106,9 +106,11 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
+    # unrelated factors: with factors in a progression, (x, y, y, x) and (y, x, x, y) would be equal
+    factors = mix(np.arange(1, k + 1, dtype=np.uint64) * U64(0xD6E8FEB86659FD93)) | U64(1)
     total = np.zeros(n, dtype=np.uint64)
     for j in range(k):
-        total += words[j : j + n] * U64((0xD6E8FEB86659FD93 * (2 * j + 1) + 2 * j) & (2**64 - 1) | 1)
+        total += words[j : j + n] * factors[j]
     return mix(total)
 
 

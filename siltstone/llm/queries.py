@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.decontaminate import contamination_report
+from siltstone.llm.jaccard import jaccard_report
 from siltstone.llm.mixing import mix_report
 from siltstone.llm.mixing import report_sql as mixing_sql
 from siltstone.llm.quality_rules import quality_report
@@ -14,6 +15,10 @@ from siltstone.llm.tokens import read_token_shards, write_token_shards
 from siltstone.llm.warc import archive_pages, read_archives
 
 
+def op1_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_report(table(spark, sf_dir, "documents"))
+
+
 def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(archive_pages(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -37,6 +42,6 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_arc_to_warc, op6_risk_controlled_rules, op8_wu_manber_decontamination, op9_arrow_token_shards, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_count_vector_join, op2_arc_to_warc, op6_risk_controlled_rules, op8_wu_manber_decontamination, op9_arrow_token_shards, op10_source_mixing)}
 
 SQL: dict[str, str] = {"op6_risk_controlled_rules": quality_sql(), "op10_source_mixing": mixing_sql()}
