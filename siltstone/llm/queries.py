@@ -11,6 +11,7 @@ from siltstone.llm.mixing import report_sql as mixing_sql
 from siltstone.llm.quality_rules import quality_report
 from siltstone.llm.quality_rules import report_sql as quality_sql
 from siltstone.llm.scratch import table
+from siltstone.llm.suffix_dedup import repeats_report
 from siltstone.llm.tokens import read_token_shards, write_token_shards
 from siltstone.llm.warc import archive_pages, read_archives
 
@@ -23,6 +24,10 @@ def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(archive_pages(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_suffix_bucket_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_report(table(spark, sf_dir, "documents"))
+
+
 def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +47,6 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_count_vector_join, op2_arc_to_warc, op6_risk_controlled_rules, op8_wu_manber_decontamination, op9_arrow_token_shards, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_count_vector_join, op2_arc_to_warc, op4_suffix_bucket_dedup, op6_risk_controlled_rules, op8_wu_manber_decontamination, op9_arrow_token_shards, op10_source_mixing)}
 
 SQL: dict[str, str] = {"op6_risk_controlled_rules": quality_sql(), "op10_source_mixing": mixing_sql()}

@@ -7,6 +7,7 @@ setting is missing, as in tests.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,7 +44,10 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that no later plan reads."""
+    """Delete materialized tables that no later plan reads, and let go of finished shuffles."""
+    if tables:
+        gc.collect()  # plans that Python still names keep their shuffle files alive
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
     for table in tables:
         path = getattr(table, "_siltstone_path", None)
         if path:
