@@ -8,11 +8,13 @@ from siltstone.llm.decontaminate import contamination_report
 from siltstone.llm.jaccard import jaccard_report
 from siltstone.llm.mixing import mix_report
 from siltstone.llm.mixing import report_sql as mixing_sql
+from siltstone.llm.quality_pu import score_quality
 from siltstone.llm.quality_rules import quality_report
 from siltstone.llm.quality_rules import report_sql as quality_sql
 from siltstone.llm.scratch import table
 from siltstone.llm.suffix_dedup import repeats_report
 from siltstone.llm.tokens import read_token_shards, write_token_shards
+from siltstone.llm.toxicity import toxicity_report
 from siltstone.llm.warc import archive_pages, read_archives
 
 
@@ -28,10 +30,18 @@ def op4_suffix_bucket_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_report(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +57,6 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_count_vector_join, op2_arc_to_warc, op4_suffix_bucket_dedup, op6_risk_controlled_rules, op8_wu_manber_decontamination, op9_arrow_token_shards, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_count_vector_join, op2_arc_to_warc, op4_suffix_bucket_dedup, op5_toxicity_chain, op6_risk_controlled_rules, op7_positive_unlabelled_quality, op8_wu_manber_decontamination, op9_arrow_token_shards, op10_source_mixing)}
 
 SQL: dict[str, str] = {"op6_risk_controlled_rules": quality_sql(), "op10_source_mixing": mixing_sql()}
