@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm.decontaminate import contamination_report
+from siltstone.llm.html_wrapper import main_text_report
 from siltstone.llm.jaccard import jaccard_report
 from siltstone.llm.mixing import mix_report
 from siltstone.llm.mixing import report_sql as mixing_sql
@@ -26,6 +27,10 @@ def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(archive_pages(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text_report(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_bucket_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_report(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,6 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_count_vector_join, op2_arc_to_warc, op4_suffix_bucket_dedup, op5_toxicity_chain, op6_risk_controlled_rules, op7_positive_unlabelled_quality, op8_wu_manber_decontamination, op9_arrow_token_shards, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_count_vector_join, op2_arc_to_warc, op3_wrapper_main_text, op4_suffix_bucket_dedup, op5_toxicity_chain, op6_risk_controlled_rules, op7_positive_unlabelled_quality, op8_wu_manber_decontamination, op9_arrow_token_shards, op10_source_mixing)}
 
 SQL: dict[str, str] = {"op6_risk_controlled_rules": quality_sql(), "op10_source_mixing": mixing_sql()}
