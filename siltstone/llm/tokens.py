@@ -1,7 +1,8 @@
 """Token-ID output in the Arrow file format, packed into equal-length sequences.
 
 A *shard* is an Arrow IPC file whose record batches have two fixed-size-list
-columns, ``input_ids`` (uint32) and ``mask`` (bool), one sequence per row. Batches are
+columns, ``input_ids`` (uint16 or uint32, the narrowest that holds the vocabulary) and
+``mask`` (bool), one sequence per row. Batches are
 fixed-size and uncompressed, so sequence ``i`` lies at a known place of a memory map
 and is read without copying. Documents follow each other without gaps; only the
 last sequence of a shard is padded (mask false). ``<shard>.docs`` is a second Arrow
@@ -201,10 +202,10 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 class ShardWriter:
     """Streams documents into one shard; files appear under their name when complete."""
 
-    def __init__(self, fs: pafs.FileSystem, path: str, sequence: int, batch: int):
-        self.fs, self.path, self.sequence, self.batch = fs, path, sequence, batch
+    def __init__(self, fs: pafs.FileSystem, path: str, kind: np.dtype, sequence: int, batch: int):
+        self.fs, self.path, self.kind, self.sequence, self.batch = fs, path, kind, sequence, batch
         self.temp = f"{path}.{uuid.uuid4().hex}"
-        self.schema = pa.schema([("input_ids", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
+        self.schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(kind), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
         self.sink = fs.open_output_stream(self.temp)
         self.writer = pa.ipc.new_file(self.sink, self.schema)
         self.docs_sink = fs.open_output_stream(f"{self.temp}.docs")
@@ -232,7 +233,7 @@ class ShardWriter:
     def put(self, flat: np.ndarray, real: int):
         lists = lambda values: pa.FixedSizeListArray.from_arrays(values, self.sequence)
         mask = pa.array(np.arange(len(flat)) < real)
-        self.writer.write_batch(pa.RecordBatch.from_arrays([lists(pa.array(flat.astype(np.uint32, copy=False))), lists(mask)], schema=self.schema))
+        self.writer.write_batch(pa.RecordBatch.from_arrays([lists(pa.array(flat)), lists(mask)], schema=self.schema))
 
     def put_docs(self):
         if self.docs:
@@ -240,10 +241,10 @@ class ShardWriter:
             self.docs = []
 
     def close(self) -> tuple[str, int, int]:
-        flat = np.concatenate([*self.pending, np.zeros(0, np.uint32)]).astype(np.uint32)
+        flat = np.concatenate([*self.pending, np.zeros(0, self.kind)])
         if len(flat):
             size = -(-len(flat) // self.sequence) * self.sequence
-            self.put(np.concatenate([flat, np.zeros(size - len(flat), np.uint32)]), len(flat))
+            self.put(np.concatenate([flat, np.zeros(size - len(flat), self.kind)]), len(flat))
         self.put_docs()
         for x in (self.writer, self.sink, self.docs_writer, self.docs_sink):
             x.close()
@@ -259,7 +260,7 @@ def read_shard(fs: pafs.FileSystem, path: str) -> Iterator[tuple[int | None, int
     source = pa.memory_map(path) if local else fs.open_input_file(path)
     with source, fs.open_input_file(f"{path}.docs") as docs_file:
         reader, docs = pa.ipc.open_file(source), pa.ipc.open_file(docs_file)
-        held, base, nxt = np.zeros(0, np.uint32), 0, 0
+        held, base, nxt = np.zeros(0, np.uint16), 0, 0
         for d in range(docs.num_record_batches):
             batch = docs.get_batch(d)
             for doc_id, start, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -311,7 +312,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, out_uri: str | None
                     writer, part = None, part + 1 if r == key else 0
                 if not writer:
                     key = r
-                    writer = ShardWriter(fs, f"{base}/shard-{key:06d}-{part:04d}.arrow", sequence, BATCH)
+                    writer = ShardWriter(fs, f"{base}/shard-{key:06d}-{part:04d}.arrow", np.dtype(wide), sequence, BATCH)
                 writer.add(doc_id, np.frombuffer(ids.as_buffer(), dtype=wide))
         if writer:
             yield row()
