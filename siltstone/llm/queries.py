@@ -8,10 +8,9 @@ from siltstone.llm.decontaminate import contamination_report
 from siltstone.llm.html_wrapper import main_text_report
 from siltstone.llm.jaccard import jaccard_report
 from siltstone.llm.mixing import mix_report
-from siltstone.llm.mixing import report_sql as mixing_sql
+from siltstone.llm.oracle import SQL as SQL
 from siltstone.llm.quality_pu import score_quality
 from siltstone.llm.quality_rules import quality_report
-from siltstone.llm.quality_rules import report_sql as quality_sql
 from siltstone.llm.scratch import table
 from siltstone.llm.suffix_dedup import repeats_report
 from siltstone.llm.tokens import read_token_shards, write_token_shards
@@ -63,5 +62,3 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_count_vector_join, op2_arc_to_warc, op3_wrapper_main_text, op4_suffix_bucket_dedup, op5_toxicity_chain, op6_risk_controlled_rules, op7_positive_unlabelled_quality, op8_wu_manber_decontamination, op9_arrow_token_shards, op10_source_mixing)}
-
-SQL: dict[str, str] = {"op6_risk_controlled_rules": quality_sql(), "op10_source_mixing": mixing_sql()}
