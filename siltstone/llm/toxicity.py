@@ -31,7 +31,7 @@ SAMPLE = 20_000
 #: Features of the models, and toxic documents that a feature must occur in.
 FEATURES, SUPPORT = 256, 5
 PREFIXES = (4, 5, 6)
-FOLDS, RIDGE = 5, 1.0
+FOLDS, RIDGE = 5, 0.1
 #: Probability of ``toxic`` from which a document is rejected.
 THRESHOLD = 0.5
 #: Categories before ``toxic`` and their seed words.
@@ -144,8 +144,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     summed = texts.mapInArrow(count, counts).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     total = F.broadcast(summed.where("feature = 0").select(F.col("pos").alias("p"), F.col("neg").alias("n")))
-    odds = F.expr("ln((pos + 0.5) / (p - pos + 0.5)) - ln((neg + 0.5) / (n - neg + 0.5))") / F.sqrt(F.expr("1 / (pos + 0.5) + 1 / (neg + 0.5)"))
-    best = summed.where(f"feature <> 0 and pos >= {SUPPORT}").join(total).withColumn("z", odds).where("z > 3").orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature").collect()
+    # how far the shares of toxic and other documents with the feature are apart, in standard errors
+    apart = F.expr("(pos / p - neg / n) / sqrt(greatest((pos + neg) / (p + n) * (1 - (pos + neg) / (p + n)), 1e-12) * (1 / p + 1 / n))")
+    best = summed.where(f"feature <> 0 and pos >= {SUPPORT}").join(total).where("p > 0 and n > 0").withColumn("z", apart).where("z > 3").orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature").collect()
     selected = np.sort(np.array([r["feature"] for r in best], dtype=np.int64).view(np.uint64))
     seeds = [np.array([word_hash(w) for w in words], dtype=np.uint64) for words in SEEDS.values()]
     rows = StructType([StructField("fold", IntegerType()), StructField("label", IntegerType()), StructField("cats", ArrayType(IntegerType())), StructField("at", ArrayType(IntegerType()))])
