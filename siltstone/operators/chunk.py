@@ -80,3 +80,14 @@ def drift(current: DataFrame, previous: DataFrame, threshold_pct: float) -> Data
     joined = current.select(F.col("avg_chunk_length").alias("current_avg")).crossJoin(previous.select(F.round("avg_chunk_length", 1).alias("previous_avg")))  # one row each
     pct = F.abs(F.col("current_avg") - F.col("previous_avg")) / F.col("previous_avg") * 100
     return joined.where("previous_avg > 0").select("current_avg", "previous_avg", pct.alias("drift_pct"), (pct > threshold_pct).alias("anomaly"))
+
+
+def sweep(docs: DataFrame, sizes: tuple[int, ...] = (200, 300, 500, 800), overlaps: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3), text_col: str = "text") -> DataFrame:
+    """Chunk statistics for each size and share of overlap; every setting is one pass without a shuffle."""
+    found = None
+    for size in sizes:
+        for share in overlaps:
+            part = chunk_statistics(with_chunks(docs, text_col, ChunkConfig(size, int(size * share))))
+            part = part.select(F.lit(size).alias("size"), F.lit(int(size * share)).alias("overlap"), "*")
+            found = part if found is None else found.union(part)
+    return found

@@ -93,6 +93,25 @@ SQL = {
 }
 
 
+SQL |= {
+    "q26_duplicate_texts": "select sha256(coalesce(text, '')) as content_hash, count(*) as copies, min(doc_id) as first from documents group by 1 having count(*) > 1",
+    "q27_load_plan": "with a as (select doc_id, case when doc_id % 7 = 0 then 'old' else text end as old from documents where doc_id % 5 <> 0), b as (select doc_id, text as new from documents where doc_id % 11 <> 0) select case when a.doc_id is null then 'insert' when b.doc_id is null then 'gone' when old = new then 'skip' else 'replace' end as action, count(*) as documents from a full join b on a.doc_id = b.doc_id group by 1",
+    "q28_url_identity": r"with bare as (select page_id, regexp_replace(url, '[?#].*$', '') as u from pages), parts as (select page_id, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*') as head, regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '') as path from bare) select regexp_replace(lower(head), ':(80|443)$', '') || regexp_replace(path, '/+$', '') as url, count(*) as pages, min(page_id) as first from parts group by 1",
+    "q29_bm25": rf"with t as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^0-9\p{{L}}]+'), lambda x: x <> '') as t from documents), total as (select count(*) as docs, avg(len(t)) as avg_n from t), asked as (select distinct item_id as query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^0-9\p{{L}}]+'), lambda x: x <> '')) as term from benchmark where item_id < 10), postings as (select term, doc_id, n, count(*) as tf from (select doc_id, len(t) as n, unnest(t) as term from t) group by all), df as (select term, count(*) as df from postings group by term), scored as (select query_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_n))) as score from asked join postings using (term) join df using (term) cross join total group by all), ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from scored) select query_id, doc_id, round(score, 6) as score, rank from ranked where rank <= {TOP_K}",
+    "q31_latency": "select strftime(ts, '%Y-%m-%d') as day, count(*) as queries, round(avg((value < 5)::int), 9) as fallback_rate, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events group by 1",
+}
+
+
+def _sweep() -> str:
+    settings = [(size, int(size * share)) for size in (300, 500) for share in (0.0, 0.2)]
+    parts = [f"{_chunks(size, f'c{i}').replace(f'- {CHUNK.overlap}, 1)', f'- {overlap}, 1)')}" for i, (size, overlap) in enumerate(settings)]
+    rows = [f"select {size} as size, {overlap} as overlap, (select count(*) from texts) as documents, (select count(*) from texts) - count(distinct doc_id) as empty_files, count(*) as total_chunks, round(avg(chunk_length), 6) as avg_chunk_length, min(chunk_length) as min_chunk_length, max(chunk_length) as max_chunk_length from c{i}" for i, (size, overlap) in enumerate(settings)]
+    return f"with recursive {TEXTS}, {', '.join(parts)} {' union all '.join(rows)}"
+
+
+SQL["q30_chunk_sweep"] = _sweep()
+
+
 def _prompts() -> str:
     from siltstone.config import GenerateConfig
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.config import ChunkConfig, Config, GenerateConfig, SearchConfig, Source, TransformConfig
 from siltstone.functions.display import format_value, run_status
 from siltstone.functions.html import clean_html
-from siltstone.operators import answer, chunk, evaluate, ledger, load, search, transform, vectors
+from siltstone.operators import answer, chunk, evaluate, incremental, ledger, lexical, load, search, transform, vectors
 from siltstone.sources.pages import enabled_sources, source_table
 
 #: Sources of the fixture tables: every third is off, and some have no purpose.
@@ -198,4 +198,39 @@ def q25_eval_failures(spark, sf_dir):
     return evaluate.failures(_judged(spark, sf_dir)).select("query_id", "expected_source", F.array_join("top3", ",").alias("got"))
 
 
+def q26_duplicate_texts(spark, sf_dir):
+    return incremental.duplicates(incremental.with_hash(_t(spark, sf_dir, "documents")), "doc_id")
+
+
+def q27_load_plan(spark, sf_dir):
+    """Against a stored load that lacks some documents, has others of older content and some that are gone."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = docs.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("text")))
+    plan = incremental.plan_load(incremental.with_hash(stored), incremental.with_hash(docs.where("doc_id % 11 <> 0")), "doc_id")
+    return plan.groupBy("action").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def q28_url_identity(spark, sf_dir):
+    url = incremental.normalise_url(F.col("url")).alias("url")
+    return _t(spark, sf_dir, "pages").groupBy(url).agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first"))
+
+
+def q29_bm25(spark, sf_dir):
+    items = _t(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), "text")
+    found = lexical.bm25(items, _t(spark, sf_dir, "documents").select("doc_id", "text"), TOP_K)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def q30_chunk_sweep(spark, sf_dir):
+    return chunk.sweep(_texts(spark, sf_dir), (300, 500), (0.0, 0.2)).withColumn("avg_chunk_length", F.round("avg_chunk_length", 6))
+
+
+def q31_latency(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    at = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    day = F.date_trunc("day", "ts")
+    rows = e.groupBy(F.date_format(day, "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("queries"), F.avg((F.col("value") < 5).cast("int")).alias("fallback_rate"), at.alias("p"))
+    return rows.select("day", "queries", F.round("fallback_rate", 9).alias("fallback_rate"), *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}

@@ -136,3 +136,32 @@ def test_dense_ids(spark):
     rows = spark.createDataFrame([(k * 977,) for k in range(50)], "k bigint")
     got = load.dense_ids(rows, "k", "id").orderBy("k").collect()
     assert [r.id for r in got] == list(range(1, 51))
+
+
+def test_incremental(spark):
+    from siltstone.operators import incremental
+
+    old = incremental.with_hash(spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k bigint, text string"))
+    new = incremental.with_hash(spark.createDataFrame([(2, "b2"), (3, None), (4, "d")], "k bigint, text string"))
+    assert {r.k: r.action for r in incremental.plan_load(old, new, "k").collect()} == {1: "gone", 2: "replace", 3: "skip", 4: "insert"}
+    urls = spark.createDataFrame([("HTTP://A.Example:80/x/?q=1#f",), ("http://a.example/x",), ("no url/",)], "u string")
+    assert [r[0] for r in urls.select(incremental.normalise_url(F.col("u"))).collect()] == ["http://a.example/x", "http://a.example/x", "no url"]
+    asked = spark.createDataFrame([(1, " What  now? "), (2, "other")], "query_id bigint, query string")
+    cache = spark.sql("select 'what now?' as query, 'new' as answer, current_timestamp() as stored_at union all select 'other', 'stale', current_timestamp() - interval 2 hours")
+    assert {r.query_id: r.cached_answer for r in incremental.cached_answers(asked, cache).collect()} == {1: "new", 2: None}
+
+
+def test_hybrid(spark):
+    from siltstone.operators import lexical
+
+    docs = spark.createDataFrame([(1, "red fish"), (2, "blue fish fish"), (3, "Red red bird"), (4, None)], "doc_id bigint, text string")
+    q = spark.createDataFrame([(1, "red"), (2, "zebra")], "query_id bigint, text string")
+    lex = lexical.bm25(q, docs, 5)
+    assert [(r.query_id, r.doc_id) for r in lex.orderBy("query_id", "rank").collect()] == [(1, 3), (1, 1)]
+    sem = spark.createDataFrame([(1, 2, 0.9), (1, 1, 0.8)], "query_id bigint, doc_id bigint, score double")
+    assert [r.doc_id for r in lexical.hybrid(lex, sem, 3).orderBy("rank").collect()][:2] == [1, 2]
+
+
+def test_consistency(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "chunk_id bigint"), spark.createDataFrame([(2,), (3,)], "chunk_id bigint")
+    assert {tuple(r) for r in load.consistency(a, b).collect()} == {(1, "no vector"), (3, "no chunk")}
