@@ -14,11 +14,12 @@ classes with one shingle in their prefix.
 1. In each block, a stream over its rows in order of size pairs every class with the first
    of its size band (a star, never all pairs). Pairs that pass the bound are verified on
    the whole sets; links give components.
-2. Blocks of three rows or more that still hold several components are searched in full:
-   points go into R-trees of at most LEAF_ROWS rows, and the rows outside the block's largest
-   component are the queries. Pairs of different components that pass the bound are
-   verified; their links join components. Any link not found in step 1 is found here,
-   because its two ends share a block.
+2. Blocks of three rows or more that still hold several components are searched: points go
+   into R-trees of about LEAF_ROWS rows, and the rows outside the block's largest component
+   are the queries. First each query verifies its NEAREST candidates of other components,
+   which joins most of what belongs together; then all candidates of different components
+   that are left are verified. Any link between components that step 1 left apart is
+   found here, because its two ends share a block.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 from siltstone.llm import kernel as K
 from siltstone.llm.components import connected_components
 from siltstone.llm.scratch import discard, materialize
+from siltstone.llm.texts import packed, plain, unpack
 
-#: Groups of a count vector; counts are held in 16 bits.
-DIMENSIONS = 64
+#: Groups of a count vector; counts are held in 8 bits.
+DIMENSIONS = 256
+#: Candidates that a query verifies before the full search.
+NEAREST = 3
 #: log2 of the counters that order shingles by frequency, and the parts they are summed in.
 COUNTER_BITS, COUNTER_PARTS = 19, 64
 #: Points of one R-tree, and children of a node.
@@ -52,14 +56,14 @@ def needed(na, nb, num: int, den: int):
 
 
 def count_vector(grams: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((grams & K.U64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS), 65535).astype("<u2").tobytes()
+    return np.minimum(np.bincount((grams & K.U64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS), 255).astype(np.uint8).tobytes()
 
 
-def vectors(column: pa.Array, n: np.ndarray) -> np.ndarray:
-    """Count vectors as rows; sets that may overflow a count bound nothing."""
+def vectors(column: pa.Array) -> np.ndarray:
+    """Count vectors as rows; a set with a count that is cut off bounds nothing."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    out = np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, DIMENSIONS).astype(np.int32)
-    out[n >= 65535] = 1 << 24
+    out = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, DIMENSIONS).astype(np.int32)
+    out[(out == 255).any(axis=1)] = 1 << 22
     return out
 
 
@@ -81,8 +85,8 @@ class RTree:
             top, low, high = np.maximum.reduceat(top, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
             self.levels.append((top, low, high))
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, indexed point) pairs whose sizes and bound allow the similarity."""
+    def search(self, points: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, indexed point, bound) of pairs whose sizes and bound allow the similarity."""
         query = np.arange(len(points))
         top = len(self.levels[-1][0]) if self.levels else len(self.points)
         q, node = np.repeat(query, top), np.tile(np.arange(top), len(query))
@@ -93,17 +97,16 @@ class RTree:
                 corner, low, high = self.points, self.sizes, self.sizes
             fits = (den * high[node] >= num * sizes[q]) & (num * low[node] <= den * sizes[q])
             q, node = q[fits], node[fits]
-            keep = np.zeros(len(q), dtype=bool)
-            for at in range(0, len(q), 1 << 15):  # bounded memory
-                part = slice(at, at + (1 << 15))
-                least = np.maximum(low[node[part]], -(-num * sizes[q[part]] // den))
-                keep[part] = bound(points[q[part]], corner[node[part]]) >= needed(sizes[q[part]], least, num, den)
-            q, node = q[keep], node[keep]
+            most = np.zeros(len(q), dtype=np.int64)
+            for at in range(0, len(q), 1 << 13):  # bounded memory
+                most[at : at + (1 << 13)] = bound(points[q[at : at + (1 << 13)]], corner[node[at : at + (1 << 13)]])
+            keep = most >= needed(sizes[q], np.maximum(low[node], -(-num * sizes[q] // den)), num, den)
+            q, node, most = q[keep], node[keep], most[keep]
             if level:
                 below = len(self.levels[level - 2][0]) if level > 1 else len(self.points)
                 q, node = np.repeat(q, FAN), (node[:, None] * FAN + np.arange(FAN)).ravel()
                 q, node = q[node < below], node[node < below]
-        return q, self.order[node]
+        return q, self.order[node], most
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -131,12 +134,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFra
                 [pa.nulls(COUNTER_PARTS, f) for f in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())] + [pa.array(range(COUNTER_PARTS), pa.int32()), K.as_binary([p.tobytes() for p in parts])], PRINT.names
             )
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, PRINT)
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = docs[f"`{text_col}`"]
-    return docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return plain(docs, id_col, text_col).mapInArrow(run, PRINT)
 
 
 def frequency_levels(prints: DataFrame) -> np.ndarray:
@@ -166,7 +164,7 @@ def prefixes(texts: DataFrame, levels: np.ndarray, k: int, num: int, den: int) -
     def run(batches):
         for batch in batches:
             ids = batch.column("class_id").to_numpy()
-            for row, data, offsets in K.slices(batch.column("text")):
+            for row, data, offsets in K.slices(unpack(batch.column("z"))):
                 grams, sizes = [], []
                 for own in K.shingle_sets(data, offsets, k):
                     n = len(own)
@@ -180,7 +178,7 @@ def prefixes(texts: DataFrame, levels: np.ndarray, k: int, num: int, den: int) -
                     pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(ids[row : row + len(counts)], counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts)),
                 ], schema.names)
 
-    return texts.select("class_id", "text").mapInArrow(run, schema)
+    return texts.select("class_id", "z").mapInArrow(run, schema)
 
 
 BLOCK = StructType([StructField("gram", LongType()), StructField("a", LongType()), StructField("b", LongType())])
@@ -237,7 +235,7 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num:
     def bounded(batches):
         for batch in batches:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            ok = (np.minimum(na, nb) * den >= num * np.maximum(na, nb)) & (bound(vectors(batch.column("va"), na), vectors(batch.column("vb"), nb)) >= needed(na, nb, num, den)) if len(na) else na > 0
+            ok = (np.minimum(na, nb) * den >= num * np.maximum(na, nb)) & (bound(vectors(batch.column("va")), vectors(batch.column("vb"))) >= needed(na, nb, num, den)) if len(na) else na > 0
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], pair.names)
 
     def side(c):
@@ -249,11 +247,11 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num:
 
     def whole(batches):
         for batch in batches:
-            for row, data, offsets in K.slices(batch.column("text")):
+            for row, data, offsets in K.slices(unpack(batch.column("z"))):
                 sets = [s.tobytes() for s in K.shingle_sets(data, offsets, k)]
                 yield pa.RecordBatch.from_arrays([batch.column("class_id").slice(row, len(sets)), K.as_binary(sets)], schema.names)
 
-    named = texts.join(wanted.hint("shuffle_hash"), texts["id"].eqNullSafe(wanted["id"]) & (texts["th"] == wanted["th"])).select("class_id", "text")
+    named = texts.join(wanted.hint("shuffle_hash"), texts["id"].eqNullSafe(wanted["id"]) & (texts["th"] == wanted["th"])).select("class_id", "z")
     sets = materialize(named.mapInArrow(whole, schema).dropDuplicates(["class_id"]), "sets")
 
     def exact(batches):
@@ -272,10 +270,11 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num:
     return links
 
 
-def search_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
+def search_blocks(rows: DataFrame, num: int, den: int, nearest: int | None) -> DataFrame:
     """Candidate pairs of different components from rows (gram, leaf, query, class_id, component, n, vec).
 
-    Rows of a (gram, leaf) with query = false are indexed, then its queries stream through.
+    Rows of a (gram, leaf) with query = false are indexed, then its queries stream through;
+    with ``nearest`` only that many candidates of a query come out, those of the highest bounds.
     """
     pair = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
@@ -289,7 +288,7 @@ def search_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
             gram, leaf = batch.column("gram").to_numpy(), batch.column("leaf").to_numpy()
             query = batch.column("query").to_numpy(zero_copy_only=False)
             c, comp, n = (batch.column(x).to_numpy() for x in ("class_id", "component", "n"))
-            v = vectors(batch.column("vec"), n) if len(n) else None
+            v = vectors(batch.column("vec")) if len(n) else None
             edge = np.flatnonzero((gram[1:] != gram[:-1]) | (leaf[1:] != leaf[:-1]) | (query[1:] != query[:-1])) + 1
             bounds = [0, *edge.tolist(), len(gram)]
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
@@ -305,15 +304,44 @@ def search_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
                 if tree is None:
                     ic, icomp, isize, ivec = points(held)
                     tree = RTree(ivec, isize)
-                q, i = tree.search(v[s:e], n[s:e], num, den)
+                q, i, most = tree.search(v[s:e], n[s:e], num, den)
                 differ = comp[s:e][q] != icomp[i]
-                x, y = c[s:e][q[differ]], ic[i[differ]]
+                q, i, most = q[differ], i[differ], most[differ]
+                if nearest and len(q):
+                    order = np.lexsort((ic[i], -most / (n[s:e][q] + isize[i]), q))
+                    q, i = q[order], i[order]
+                    start = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+                    place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+                    q, i = q[place < nearest], i[place < nearest]
+                x, y = c[s:e][q], ic[i]
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], pair.names)
 
     return rows.repartition("gram", "leaf").sortWithinPartitions("gram", "leaf", "query").mapInArrow(run, pair)
 
 
+def open_pairs(wide: DataFrame, joined: DataFrame, classes: DataFrame, num: int, den: int, nearest: int | None) -> DataFrame:
+    """Candidates between components that share a block, from the blocks (gram, class_id).
+
+    Every row of a block is indexed once; a block beyond LEAF_ROWS is split into several
+    trees, and only its rows outside the largest component are sent to all of them.
+    """
+    rows = materialize(wide.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").select("gram", "class_id", F.coalesce("component", "class_id").alias("component")), "wide")
+    counts = rows.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c"))
+    sizes = counts.groupBy("gram").agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("components"), F.max_by("component", "c").alias("major"))
+    mixed = materialize(sizes.where("components > 1").select("gram", "major", F.ceil(F.col("rows") / LEAF_ROWS).cast("int").alias("leaves")), "mixed")
+    own = F.pmod(F.xxhash64("class_id"), F.col("leaves").cast("long")).cast("int")
+    place = lambda leaf, query: F.struct(leaf.alias("leaf"), F.lit(query).alias("query"))
+    indexed = F.array(place(own, False))
+    asked = F.transform(F.sequence(F.lit(0), F.col("leaves") - 1), lambda i: place(i, True))
+    placed = rows.join(mixed, "gram").withColumn("at", F.explode(F.when(F.col("component") == F.col("major"), indexed).otherwise(F.concat(indexed, asked))))
+    placed = materialize(placed.select("gram", "at.leaf", "at.query", "class_id", "component"), "placed")
+    points = placed.join(classes.select("class_id", "n", "vec"), "class_id").select("gram", "leaf", "query", "class_id", "component", "n", "vec")
+    found = materialize(search_blocks(points, num, den, nearest).distinct(), "candidates")
+    discard(rows, mixed, placed)
+    return found
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """A row per document: id, th (hash of the text), n_shingles and component_id.
 
@@ -329,32 +357,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grouped = prints.where("part is null and n > 0").groupBy("n", "sa", "sb").agg(F.min(F.struct("id", "th", "vec")).alias("f"), F.min("id").alias("low"))
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("class_id"), "n", "sa", "sb", "f.id", "f.th", "f.vec", "low"), "classes")
     levels = frequency_levels(prints)
-    texts = _texts(docs, id_col, text_col)
+    texts = packed(docs, id_col, text_col)
     firsts = classes.select(F.col("class_id"), F.col("id").alias("cid"), F.col("th").alias("cth")).hint("shuffle_hash")
-    named = texts.join(firsts, F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth"))).select("class_id", "text")
+    named = texts.join(firsts, F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth"))).select("class_id", "z")
     blocks = materialize(stars(prefixes(named, levels, k, num, den), num, den), "blocks")
     pairs = blocks.where("gram is null").select("a", "b").where("a <> b").distinct()
     links = verify(pairs, classes, texts, k, num, den)
-    first = connected_components(links)
-    # what the stars may have left: blocks that still hold several components
-    wide = blocks.where("gram is not null").select("gram", F.col("a").alias("class_id"))
-    named_rows = materialize(wide.distinct().join(first.withColumnRenamed("node", "class_id"), "class_id", "left").select("gram", "class_id", F.coalesce("component", "class_id").alias("component")), "wide")
-    sizes = named_rows.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("components"), F.max_by("component", "c").alias("major"))
-    mixed = materialize(sizes.where("components > 1").select("gram", "major", F.ceil(F.col("rows") / LEAF_ROWS).cast("int").alias("leaves")), "mixed")
-    rows = named_rows.join(mixed, "gram").join(classes.select("class_id", "n", "vec"), "class_id")
-    own = F.pmod(F.xxhash64("class_id"), F.col("leaves").cast("long")).cast("int")
-    rows = rows.withColumn("leaf", F.explode(F.when(F.col("component") == F.col("major"), F.array(F.struct(own.alias("leaf"), F.lit(False).alias("query")))).otherwise(
-        F.concat(F.array(F.struct(own.alias("leaf"), F.lit(False).alias("query"))), F.transform(F.sequence(F.lit(0), F.col("leaves") - 1), lambda i: F.struct(i.alias("leaf"), F.lit(True).alias("query"))))
-    )))
-    rows = rows.select("gram", "leaf.leaf", "leaf.query", "class_id", "component", "n", "vec")
-    more = materialize(search_blocks(rows, num, den).distinct(), "candidates")
-    if not more.isEmpty():
-        bridges = verify(more, classes, texts, k, num, den)
-        first = connected_components(links.union(bridges).select("a", "b"))
-    named_classes = classes.join(first.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    joined = connected_components(links)
+    wide = blocks.where("gram is not null").select("gram", F.col("a").alias("class_id")).distinct()
+    for nearest in (NEAREST, None):  # what the stars have left: the likely links first, then all
+        more = open_pairs(wide, joined, classes, num, den, nearest)
+        if not more.isEmpty():
+            links = links.union(verify(more, classes, texts, k, num, den))
+            joined = connected_components(links)
+        discard(more)
+    discard(blocks)
+    named_classes = classes.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     lows = materialize(named_classes.groupBy("component").agg(F.min("low").alias("component_id")), "lows")
     final = materialize(named_classes.join(lows, "component").select("n", "sa", "sb", "component_id"), "final")
-    discard(blocks, named_rows, mixed, more)
     out = prints.where("part is null").select("id", "th", "n", "sa", "sb").join(final, ["n", "sa", "sb"], "left")
     return out.select("id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
