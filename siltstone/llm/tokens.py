@@ -249,8 +249,10 @@ class ShardWriter:
         for x in (self.writer, self.sink, self.docs_writer, self.docs_sink):
             x.close()
         # same rows, same bytes: a task that runs twice replaces a shard by an equal one
-        self.fs.move(f"{self.temp}.docs", f"{self.path}.docs")
-        self.fs.move(self.temp, self.path)
+        for end in (".docs", ""):
+            if self.fs.get_file_info(self.path + end).type != pafs.FileType.NotFound:
+                self.fs.delete_file(self.path + end)
+            self.fs.move(self.temp + end, self.path + end)
         return self.path, self.n_docs, self.total
 
 
