@@ -1,0 +1,373 @@
+"""Operators against brute force, on hand-made tables with nulls, copies, ties and clashing names."""
+
+import base64
+import collections
+import hashlib
+import io
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from siltstone.llm import decontaminate, html_wrapper, jaccard, kernel, mixing, quality_pu, quality_rules, suffix_dedup, tokens, toxicity, warc
+from siltstone.llm.components import connected_components
+
+DOC = "doc_id bigint, text string, lang string, source string, n_words int, row string"
+
+
+def _documents(rng, n=60):
+    words = [f"w{i}" for i in range(300)] + ["É", "Straße", "#", "!"]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 3, 12, 60, 150]))) for _ in range(n)]
+    base = " ".join(rng.choices(words, k=200))
+    for i in range(12):  # near copies of one text, each with a few other words
+        own = base.split()
+        for _ in range(i % 4):
+            own[rng.randrange(len(own))] = f"x{i}"
+        texts.append(" ".join(own))
+    texts += [base, base, None, None, "", " \n\t", "a\x0bb c", "Tab\tWORD", "z " * 3000]
+    return [(i, t, rng.choice(["en", "fr", None]), rng.choice(["src1", "src12", "src19", None]), 7, "clash") for i, t in enumerate(texts)] + [(None, "no id at all", "en", "src1", 7, "clash"), (3, texts[3], "en", "src1", 7, "clash")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = _documents(random.Random(5))
+    return rows, spark.createDataFrame(rows, DOC).repartition(5).cache()
+
+
+def _words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def _lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def test_connected_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(120)] + [(5, 5)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: find(x) for x in parent}
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def _sets(rows, k):
+    out = []
+    for r in rows:
+        w = _words(_lower(r[1]))
+        out.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)]) if w else frozenset())
+    return out
+
+
+def _links(sets, num, den):
+    return [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
+
+
+@pytest.mark.parametrize(("k", "num", "leaf"), [(4, 85, 2048), (5, 80, 4)])
+def test_jaccard_components(docs, k, num, leaf, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF_ROWS", leaf)
+    rows, df = docs
+    sets = _sets(rows, k)
+    group = list(range(len(rows)))
+    for i, j in _links(sets, num, 100):
+        a, b = group[i], group[j]
+        group = [min(a, b) if g in (a, b) else g for g in group]
+    low = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    expected = collections.Counter((rows[i][0], len(sets[i]), low[group[i]]) for i in range(len(rows)))
+    got = jaccard.jaccard_components(df, k=k, num=num).collect()
+    assert collections.Counter((r.id, r.n_shingles, r.component_id) for r in got) == expected
+
+
+def test_distinct_documents_keeps_columns_and_one_of_each_group(docs):
+    rows, df = docs
+    got = jaccard.distinct_documents(df)
+    assert got.columns == df.columns
+    sets = _sets(rows, 5)
+    kept = [r.doc_id for r in got.collect()]
+    empty = [r[0] for r, s in zip(rows, sets, strict=True) if not s]
+    assert set(empty) <= set(kept)
+    left = [s for s, r in zip(sets, rows, strict=True) if r[0] in kept and s and r[0] is not None]
+    assert not [1 for i, j in _links(left, 80, 100) if left[i] != left[j]]
+    assert jaccard.distinct_documents(df.limit(0)).count() == 0
+
+
+def test_rtree_finds_all_that_may_link():
+    rng = np.random.default_rng(2)
+    sets = [rng.choice(5000, rng.integers(30, 80), replace=False) for _ in range(300)]
+    sets += [np.concatenate([s[: len(s) - 2], rng.choice(5000, 2)]) for s in sets[:100]]
+    hashed = [np.unique(kernel.mix(s.astype(np.uint64))) for s in sets]
+    sizes = np.array([len(h) for h in hashed])
+    points = jaccard.vectors(pa.array([jaccard.count_vector(h) for h in hashed], pa.binary()))
+    tree = jaccard.RTree(points, sizes)
+    q, i, _ = tree.search(points, sizes, 85, 100)
+    found = set(zip(q.tolist(), i.tolist(), strict=True))
+    for a in range(len(hashed)):
+        for b in range(len(hashed)):
+            same = len(np.intersect1d(hashed[a], hashed[b]))
+            if 100 * same >= 85 * (sizes[a] + sizes[b] - same):
+                assert (a, b) in found
+    assert len(found) < len(hashed) ** 2 / 10
+
+
+@pytest.mark.parametrize("group", [2048, 1])
+def test_suffix_repeats(docs, group, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_REGIONS", group)
+    rows, df = docs
+    length = 60
+    count = collections.Counter()
+    for r in rows:
+        b = (r[1] or "").encode()
+        count.update(b[i : i + length] for i in range(len(b) - length + 1))
+    expected = collections.Counter()
+    for r in rows:
+        b = (r[1] or "").encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(int)))) == 1))
+        left = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        expected[(r[0], len(b), int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace") if gone.any() else None)] += 1
+    got = suffix_dedup.remove_repeats(df, length=length, q=20, with_text=True).collect()
+    assert collections.Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.kept if r.n_removed else None) for r in got) == expected
+    assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_decontamination(spark, docs):
+    rows, df = docs
+    rng = random.Random(8)
+    plain = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _lower(t))
+    items = [("b", None), ("c", ""), (None, "w5 W9"), ("d", "Straße"), ("e", "nothing of this kind is in any document at all, surely")]
+    for n, r in enumerate(rng.sample([r for r in rows if len(_words(r[1])) > 40], 6)):
+        w = _words(r[1])
+        items.append((f"i{n}", " ... ".join(w[7 : 7 + rng.choice([3, 10, 25])])))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    patterns = collections.defaultdict(set)
+    for item, text in items:
+        w = plain(text)
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            patterns[tuple(w[i : i + n])].add(item or "")
+    expected = collections.Counter()
+    for r in rows:
+        w, hit, found = plain(r[1]), set(), set()
+        for p, names in patterns.items():
+            for i in range(len(w) - len(p) + 1):
+                if tuple(w[i : i + len(p)]) == p:
+                    hit |= set(range(i, i + len(p)))
+                    found |= names
+        expected[(r[0], len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))] += 1
+    assert collections.Counter(tuple(r) for r in decontaminate.contamination_report(df, bench).collect()) == expected
+    blocks = decontaminate.find_contamination(df, bench, block_bytes=30)
+    assert sorted((r.n_hit, r["items"]) for r in blocks.collect()) == sorted((r.n_hit, r["items"]) for r in decontaminate.find_contamination(df, bench).collect())
+    clean = decontaminate.clean_documents(df, bench)
+    assert clean.columns == df.columns and clean.count() == sum(n for e, n in expected.items() if not e[5])
+    assert decontaminate.contamination_report(df, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_tokens_round_trip(spark, docs, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    rows, df = docs
+    odd = [(900, "don't I'll <|endoftext|>x İstanbul ΣΑΣ \x85 a b ½ Ünï'sÀÉ 12.5$ \x00 ŉ'd ''s"), (901, "日本 语。 ÿŸ")]
+    rows = [(r[0], r[1]) for r in rows if r[0] is not None] + odd
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    monkeypatch.setattr(tokens, "RANGE_BYTES", 4000)
+    whole = Tokenizer.from_file(path)
+    ids = [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for _, t in rows]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], np.array(ids[i], "<u2").tobytes()))
+    expected, start = [], 0
+    for i in order:
+        expected.append((rows[i][0], start, len(ids[i]), zlib.crc32(np.array(ids[i], "<u4").tobytes())))
+        start += len(ids[i])
+    manifest = tokens.write_token_shards(df, path, sequence=64)
+    assert manifest.count() > 1
+    assert sorted(tuple(r) for r in tokens.read_token_shards(manifest).collect()) == sorted(expected)
+    fs, place = tokens.open_fs(manifest.orderBy("first_token").first()["path"])
+    with fs.open_input_file(place) as f:
+        table = pa.ipc.open_file(f).read_all()
+    assert table.column("input_ids").type.list_size == 64 and len(table.column("mask")) == len(table)
+    assert tokens.read_token_shards(tokens.write_token_shards(df.limit(0), path)).count() == 0
+
+
+def test_arc_versions_and_conversion():
+    body = warc.http_block({"Content-Type": "text/html", "X-Page-Id": 4}, b"caf\xc3\xa9\nURL 1 2 3 4\n")
+    records = [("http://a.example/x y", "20240102030405", "text/html", body), ("dns:a.example", "2024", "text/dns", b"\n\n1.2.3.4\n"), ("http://a.example/empty", "bad", "text/html", b"")]
+    for version in (1, 2):
+        data = warc.write_arc(records, version)
+        got = list(warc.read_arc(io.BytesIO(data)))
+        assert [r.block for r in got[1:]] == [r[3] for r in records] and {r.version for r in got} == {version}
+        out = list(warc.convert(got))
+        assert [r.headers["WARC-Type"] for r in out] == ["warcinfo", "response", "resource", "response"]
+        assert [r.headers["WARC-Date"] for r in out[1:]] == ["2024-01-02T03:04:05Z", "2024-01-01T00:00:00Z", "1970-01-01T00:00:00Z"]
+        back = list(warc.read_warc(io.BytesIO(b"".join(map(warc.write_warc, out)))))
+        assert [(r.headers, r.block) for r in back] == [(r.headers, r.block) for r in out]
+        with pytest.raises(warc.ArchiveError):
+            list(warc.read_arc(io.BytesIO(data[:-8])))
+    with pytest.raises(warc.ArchiveError):
+        list(warc.read_arc(io.BytesIO(b"http://x 0 0 0 0\n")))
+    assert list(warc.read_arc(io.BytesIO(b""))) == []
+
+
+@pytest.mark.parametrize("least", [0, 6])
+def test_archive_round_trip(spark, least):
+    rows = [(5, "http://a/1", "<p>same</p>", 1), (2, "https://a/2", "<p>same</p>", 1), (9, None, None, 1), (8, "ftp://q", "", 1), (7, "http://é/ x", "ß", 1), (3, "http://u", "ß", 1), (None, "http://n", "<p>same</p>", 1), (2, "http://twice", "<p>same</p>", 1)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, first int")
+    first = {}
+    for i, _, h, _ in rows:
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    expected = collections.Counter()
+    for i, _, h, _ in rows:
+        b = (h or "").encode()
+        again = len(b) >= least and first.get(h or "") not in (None, i)
+        expected[(i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", first[h or ""] if again else None)] += 1
+    got = warc.read_archives(warc.archive_pages(pages, min_bytes=least)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert collections.Counter(tuple(r) for r in got.collect()) == expected
+    assert warc.read_archives(warc.archive_pages(pages.limit(0))).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>no</title><script>if(a<b){"</p>"}</script><style>p{}</style></head><body><header>top</header><nav><ul><li>m1<li>m2</ul></nav>
+<div class="cookie-notice">we use</div><article class=post><h1>Big &amp; small</h1><p>One<b> two</b>&nbsp;
+three<br>four<p>Unclosed <i>para<div class="ad-banner">buy</div><form><p>name</p></form><ul><li>x</li><li>y</li></ul><!-- <p>no</p> --><section id="comments"><p>first!</p></section>
+<p>last 5 &lt; 6 &copy</article><aside>side</aside><footer>foot</footer></body></html>"""
+
+
+def test_main_text(spark):
+    rows = [(1, "http://h.example/1", PAGE, "a", 3), (2, "HTTP://H.example:80/2", PAGE.replace("<h1>Big &amp; small</h1>", ""), "a", 3), (3, None, None, "a", 3), (4, "x", "", "a", 3), (5, "http://t/", "just text <", "a", 3), (1, "http://h.example/1", PAGE, "a", 3)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, host int")
+    text = "Big & small\nOne two three four\nUnclosed para\nx\ny\nlast 5 < 6 ©"
+    got = collections.Counter((r.page_id, r.text, r.n_chars) for r in html_wrapper.main_text_report(pages).collect())
+    assert got == collections.Counter([(1, text, len(text)), (1, text, len(text)), (2, text[12:], len(text) - 12), (3, "", 0), (4, "", 0), (5, "just text <", 11)])
+    assert html_wrapper.main_text_report(pages.limit(0)).count() == 0
+
+
+def test_wrapper_inference_is_union_free():
+    a, _ = html_wrapper.expression("<body><h1>t</h1><p>a</p><p>b</p><hr></body>")
+    b, _ = html_wrapper.expression("<body><p>a</p><table><tr><td>1<td>2<tr><td>3</table></body>")
+    assert html_wrapper.render(html_wrapper.merge(a, b)) == "(body(h1(#)? p(#)+ table(tr(td(#)+)+)?))"
+    c, _ = html_wrapper.expression("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>")
+    assert html_wrapper.render(c) == "(dl((dt(#) dd(#))+))"
+
+
+def test_quality_rules_are_exact(spark):
+    from math import comb
+
+    rows = [(k, n) for n in (5, 60, 400, 3000) for k in (0, 1, 3, 9)]
+    got = spark.createDataFrame(rows, "k bigint, n bigint").select("k", "n", quality_rules.log_binomial_tail(__import__("pyspark").sql.functions.col("k"), __import__("pyspark").sql.functions.col("n"), 0.01).alias("p")).collect()
+    for r in got:
+        exact = sum(comb(r.n, i) * 0.01**i * 0.99 ** (r.n - i) for i in range(r.k + 1)) if r.k < 0.01 * r.n else 1.0
+        assert abs(np.exp(r.p) - exact) < 1e-9
+
+
+def test_quality_counts(spark, docs):
+    rows, df = docs
+    extra = [(500 + i, t, "en", "s", 1, "") for i, t in enumerate(["a b c d e f a b c d e g", "l one\nl one\n \nl one\n", "### $$ x <y>", "a " * 40 + "é!"])]
+    rows = rows + extra
+    df = df.union(spark.createDataFrame(extra, DOC))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (9999, 1), (500, 1)], "doc_id bigint, quality int")
+    expected = collections.Counter()
+    for r in rows:
+        t = r[1] or ""
+        w = _words(t)
+        lines = [x for x in t.split("\n") if _words(x)]
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        count = collections.Counter(grams)
+        hit = {i + j for i, g in enumerate(grams) if count[g] > 1 for j in range(5)}
+        failed = len(w) < 10 or 100 * len(hit) > 20 * len(w)
+        expected[(r[0], len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit), failed, not failed)] += 1
+    assert collections.Counter(tuple(r) for r in quality_rules.quality_report(df, labels).collect()) == expected
+
+
+def test_cutoffs_keep_the_risk(spark):
+    rows = [("a", 1, float(i % 1000 < 3), 0.0, 0.0, 5.0, 0.0) for i in range(4000)] + [("b", 1, 0.9, 0.0, 0.0, 5.0, 0.0) for _ in range(30)] + [("a", 0, 0.9, 0.9, 0.9, 50.0, 0.9)]
+    got = {r.stratum: r for r in quality_rules.select_cutoffs(spark.createDataFrame(rows, "stratum string, good int, symbol_rate double, dup_line_rate double, repeat_rate double, word_length double, shout_rate double")).collect()}
+    assert got["a"].cut_symbol_rate == 0.02 and got["a"].cut_word_length == 8.0 and got["b"].cut_symbol_rate is None
+
+
+def test_mixing(docs):
+    rows, df = docs
+    got = mixing.mix_report(df).collect()
+    assert len(got) == len(rows)
+    total = sum(len(_words(r[1])) for r in rows)
+    capacity = sum(mixing.EPOCHS * r.n_tokens for r in got)
+    budget = total * mixing.BUDGET_PERCENT // 100
+    taken = sum(r.tokens_taken for r in got)
+    leaves = {(r.domain, r.lang, r.source) for r in got}
+    assert min(budget, capacity) - 3 * len(leaves) <= taken <= budget
+    assert all(r.full_passes * r.n_tokens <= r.tokens_taken <= min(mixing.EPOCHS, r.full_passes + 1) * r.n_tokens for r in got)
+    partial = collections.Counter((r.domain, r.lang, r.source) for r in got if r.full_passes * r.n_tokens < r.tokens_taken < (r.full_passes + 1) * r.n_tokens)
+    assert all(n <= 1 for n in partial.values())
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and sum(len(_words(r.text)) for r in out.collect()) == taken
+    assert mixing.mix_report(df.limit(0)).count() == 0
+
+
+def _learnable(n=400):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(n):
+        t = [rng.choice(words) for _ in range(rng.randrange(12, 80))]
+        toxic, good = i % 5 == 0, i % 4 != 0
+        if toxic:
+            t[rng.randrange(len(t))] = rng.choice(["Idiot,", "worthless", "scum.", "grobianer", "grobianisch"])
+        if not good:
+            t = [w + rng.choice(["###", "$$$"]) for w in t]
+        rows.append((i, " ".join(t), 1.5))
+        labels.append((i, int(good), int(toxic)))
+    return rows, labels
+
+
+def test_toxicity(spark):
+    rows, labels = _learnable()
+    df = spark.createDataFrame([*rows, (None, None, 0.0), (1000, "", 0.0), (7, rows[7][1], 0.0)], "doc_id bigint, text string, p_toxic double")
+    table = spark.createDataFrame([(d, t) for d, _, t in labels[:300]] + [(None, 1), (3, None)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.toxicity_report(df, table).collect()}
+    held = labels[300:]
+    assert sum(got[d] == bool(t) for d, _, t in held) >= 0.97 * len(held) and not got[None] and not got[1000]
+    kept = toxicity.civil_documents(df, table)
+    assert kept.columns == df.columns and kept.count() == df.count() - sum(r.toxic for r in toxicity.toxicity_report(df, table).collect())
+    assert toxicity.toxicity_report(df, table.limit(0)).where("toxic").count() == 0
+    assert toxicity.toxicity_report(df.limit(0), table).count() == 0
+
+
+def test_positive_unlabelled_quality(spark):
+    rows, labels = _learnable()
+    df = spark.createDataFrame([*rows, (None, None, 0.0), (1000, "", 0.0)], "doc_id bigint, text string, score double")
+    table = spark.createDataFrame([(d, q) for d, q, _ in labels], "doc_id bigint, quality int")
+    got = {r.doc_id: r for r in quality_pu.score_quality(df, table).collect()}
+    assert len(got) == 402 and all(0 <= r.score <= 1 for r in got.values())
+    for d, q, _ in labels:
+        assert got[d].held_out == (zlib.crc32(str(d).encode()) % 4 == 2)
+    held = [(d, q) for d, q, _ in labels if got[d].held_out]
+    assert sum(got[d].predicted == q for d, q in held) >= 0.95 * len(held)
+    assert {r.score for r in quality_pu.score_quality(df, table.limit(0)).collect()} == {0.0}
+
+
+def test_prior_estimate():
+    rng = np.random.default_rng(0)
+    p = rng.normal(2, 1, 5000)
+    u = np.concatenate([rng.normal(2, 1, 3500), rng.normal(-2, 1, 1500)])
+    assert abs(quality_pu.estimate_prior(p, u) - 0.7) < 0.06
+
+
+def test_hashes_tell_word_orders_apart():
+    a, b = kernel.mix(np.array([1], np.uint64))[0], kernel.mix(np.array([2], np.uint64))[0]
+    grams = kernel.shingle_hashes(np.array([a, b, b, a, a, b], np.uint64), 4)
+    assert len(set(grams.tolist())) == 3
