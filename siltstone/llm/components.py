@@ -16,7 +16,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     two tables, which the adaptive join can split.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
@@ -24,10 +23,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         moved = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = materialize(moved.union(low2.select("u", F.col("m").alias("v"))).distinct(), "small")
-        found = small.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         discard(e, low, large, low2)
         e = small
-        if state == found:
+        # done once every node has one edge, and that to a node without an edge of its own
+        parents = e.select(F.col("v").alias("u")).distinct()
+        if e.groupBy("u").count().where("count > 1").union(e.join(parents, "u", "left_semi").select("u", F.lit(0).cast("long").alias("count"))).isEmpty():
             break
-        state = found
     return materialize(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct()), "components")

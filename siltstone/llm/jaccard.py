@@ -33,7 +33,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 from siltstone.llm import kernel as K
 from siltstone.llm.components import connected_components
 from siltstone.llm.scratch import discard, materialize
-from siltstone.llm.texts import packed, plain, unpack
+from siltstone.llm.texts import named, packed, plain, unpack
 
 #: Groups of a count vector; counts are held in 8 bits.
 DIMENSIONS = 256
@@ -149,7 +149,7 @@ def frequency_levels(prints: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), K.as_binary([np.log2(s + 1).astype(np.uint8).tobytes() for s in sums.values()])], schema.names)
 
-    rows = prints.where("part is not null").select("part", "counts").repartition(COUNTER_PARTS, "part").mapInArrow(add, schema).collect()
+    rows = prints.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, schema).collect()
     out = np.zeros((COUNTER_PARTS, (1 << COUNTER_BITS) // COUNTER_PARTS), dtype=np.uint8)
     for r in rows:
         out[r["part"]] = np.frombuffer(r["counts"], dtype=np.uint8)
@@ -251,8 +251,7 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num:
                 sets = [s.tobytes() for s in K.shingle_sets(data, offsets, k)]
                 yield pa.RecordBatch.from_arrays([batch.column("class_id").slice(row, len(sets)), K.as_binary(sets)], schema.names)
 
-    named = texts.join(wanted.hint("shuffle_hash"), texts["id"].eqNullSafe(wanted["id"]) & (texts["th"] == wanted["th"])).select("class_id", "z")
-    sets = materialize(named.mapInArrow(whole, schema).dropDuplicates(["class_id"]), "sets")
+    sets = materialize(named(texts, wanted, "class_id").mapInArrow(whole, schema), "sets")
 
     def exact(batches):
         for batch in batches:
@@ -358,9 +357,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("class_id"), "n", "sa", "sb", "f.id", "f.th", "f.vec", "low"), "classes")
     levels = frequency_levels(prints)
     texts = packed(docs, id_col, text_col)
-    firsts = classes.select(F.col("class_id"), F.col("id").alias("cid"), F.col("th").alias("cth")).hint("shuffle_hash")
-    named = texts.join(firsts, F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth"))).select("class_id", "z")
-    blocks = materialize(stars(prefixes(named, levels, k, num, den), num, den), "blocks")
+    blocks = materialize(stars(prefixes(named(texts, classes, "class_id"), levels, k, num, den), num, den), "blocks")
     pairs = blocks.where("gram is null").select("a", "b").where("a <> b").distinct()
     links = verify(pairs, classes, texts, k, num, den)
     joined = connected_components(links)
