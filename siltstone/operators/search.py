@@ -12,6 +12,8 @@ from siltstone.config import SearchConfig
 
 #: Bytes of query vectors that are sent to all tasks at once; more queries go in blocks.
 QUERY_BLOCK_BYTES = 32 << 20
+#: Queries that are multiplied with a batch at once.
+TILE = 1024
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -45,26 +47,31 @@ def nearest(
 
         def run(batches):
             ids, q = held.value
-            best = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in range(len(ids))]
             own = ids.to_numpy(zero_copy_only=False)
+            best = [(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in range(0, len(ids), TILE)]
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                vec = batch.column(0).to_numpy(zero_copy_only=False)
-                scores = q @ _matrix(batch.column(1)).T
-                for i in range(len(ids)):
-                    s, v = scores[i], vec
-                    keep = np.ones(len(v), bool) if threshold is None else s >= threshold
+                vec, m = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1)).T
+                for t in range(len(best)):
+                    at = slice(t * TILE, (t + 1) * TILE)
+                    scores = q[at] @ m
+                    keep = np.ones(scores.shape, bool) if threshold is None else scores >= threshold
                     if exclude_same:
-                        keep &= v != own[i]
-                    s, v = np.concatenate([best[i][0], s[keep]]), np.concatenate([best[i][1], v[keep].astype(np.int64)])
-                    if len(s) > k:
-                        order = np.lexsort((v, -s))[:k]
-                        s, v = s[order], v[order]
-                    best[i] = (s, v)
-            counts = [len(b[0]) for b in best]
-            if sum(counts):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), counts))), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))], names)
+                        keep &= vec != own[at, None]
+                    if len(vec) > k:  # ties with the batch's k-th stay until ids are compared
+                        scores[~keep] = -np.inf
+                        keep &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]
+                    i, j = np.nonzero(keep)
+                    i, s, v = (np.concatenate(c) for c in zip(best[t], (i, scores[i, j], vec[j]), strict=True))
+                    order = np.lexsort((v, -s, i))
+                    i = i[order]
+                    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    order = order[first]
+                    best[t] = (i[first], s[order], v[order])
+            i = np.concatenate([b[0] + t * TILE for t, b in enumerate(best)])
+            if len(i):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(np.concatenate([b[2] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names)
 
         return rows.mapInArrow(run, schema)
 
