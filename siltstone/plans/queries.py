@@ -30,9 +30,10 @@ def _texts(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", "source", text.alias("text")).where(F.length("text") >= TRANSFORM.min_text_length)
 
 
-def _hits(spark, sf_dir, k=TOP_K, threshold=None, limit=None):
+def _hits(spark, sf_dir, k=TOP_K, threshold=None, asked=None):
     v = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = (v.where(F.col("vec_id") < limit) if limit else v).select(F.col("vec_id").alias("query_id"), "embedding")
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    q = q if asked is None else q.join(asked, "query_id", "left_semi")
     return search.nearest(q, v, k, threshold, exclude_same=True)
 
 
@@ -136,12 +137,12 @@ def q14_fragment_hit(spark, sf_dir):
 
 def _questions(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations").where("role = 'user'")
-    return c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query")).where("conv_id < 50").withColumnRenamed("conv_id", "query_id")
+    return c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query")).withColumnRenamed("conv_id", "query_id")
 
 
 def _question_hits(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", F.substring("text", 1, 60).alias("text"))
-    return _hits(spark, sf_dir, threshold=0.2, limit=50).join(docs, "vec_id")
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "text")
+    return _hits(spark, sf_dir, threshold=0.2, asked=_questions(spark, sf_dir)).join(docs, "vec_id")
 
 
 def q15_prompt(spark, sf_dir):
