@@ -127,10 +127,12 @@ def q13_retrieval_eval(spark, sf_dir):
 
 
 def q14_fragment_hit(spark, sf_dir):
-    """Each benchmark item's text is looked for in the documents it was dealt to by id."""
-    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("").alias("expected_source"), F.substring("text", 1, 40).alias("expected_text_fragment"))
-    docs = _t(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("query_id"), "doc_id", "source", "text")
-    hits = docs.withColumn("rank", (F.floor(F.col("doc_id") / 40) + 1).cast("int")).withColumn("score", 1 / (F.col("rank") + 1))
+    """Each benchmark item's whole text is looked for in its best documents by BM25 over all of them."""
+    benchmark = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    items = benchmark.select("query_id", F.lit("").alias("expected_source"), F.col("text").alias("expected_text_fragment"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = lexical.bm25(benchmark, docs.select("doc_id", "text"), TOP_K)
+    hits = docs.join(F.broadcast(found), "doc_id")  # k rows an item
     judged = evaluate.judge(items, hits)
     return evaluate.evaluate(judged).select("queries", F.round("fragment_rate", 9).alias("fragment_rate"), F.round("avg_hit_score", 6).alias("avg_hit_score"), F.round("avg_miss_score", 6).alias("avg_miss_score"))
 
