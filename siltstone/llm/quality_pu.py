@@ -10,12 +10,16 @@ prior is estimated from a first classifier of positives against unlabelled text:
 any score the share of unlabelled text over the share of positives is no smaller than the
 prior, and the smallest such ratio, with a margin for sampling, estimates it.
 
-Fitting takes at most SAMPLE documents of either kind (those whose id hashes lowest) from
-the statistics that one pass over the whole texts leaves; every document is scored.
+The gradients take at most SAMPLE documents of either kind (those whose id hashes lowest) from
+the statistics that one pass over the whole texts leaves; centre, scale and the prior's tail
+shares are aggregates over all of them, and every document is scored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,7 +30,7 @@ from siltstone.llm import kernel as K
 from siltstone.llm.rows import ROW, append, with_row
 from siltstone.llm.scratch import materialize
 
-#: Documents of either kind that the model is fitted on at most.
+#: Documents of either kind that the gradients take at most.
 SAMPLE = 20_000
 #: Score from which a document is predicted to be good.
 THRESHOLD = 0.7
@@ -104,26 +108,43 @@ def minimise(gradient, size: int) -> np.ndarray:
     return b
 
 
+def tail_cuts(p: np.ndarray) -> np.ndarray:
+    """Scores above which shares are compared, ascending."""
+    return np.quantile(p, np.linspace(0, 0.9, 91))
+
+
+def counts_from(u: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many of u reach each of the ascending cuts."""
+    reached = np.bincount(np.searchsorted(cuts, u, side="right"), minlength=len(cuts) + 1)
+    return reached[::-1].cumsum()[::-1][1:]
+
+
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     """Share of positives among unlabelled scores u, given scores p of positives."""
-    cuts = np.quantile(p, np.linspace(0, 0.9, 91))
-    tail_p = np.array([(p >= c).mean() for c in cuts])
-    tail_u = np.array([(u >= c).mean() for c in cuts])
-    margin = np.sqrt(np.log(4 / 0.1) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    return prior_of(p, counts_from(u, tail_cuts(p)), len(u))
+
+
+def prior_of(p: np.ndarray, reached: np.ndarray, n: int) -> float:
+    """The same, given how many of n unlabelled scores reach each cut."""
+    tail_p, tail_u = counts_from(p, tail_cuts(p)) / len(p), reached / n
+    margin = np.sqrt(np.log(4 / 0.1) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(n))
     best = np.argmin((tail_u + margin) / tail_p)
     return float(np.clip(tail_u[best] / tail_p[best], 0.05, 0.99))
 
 
 class PositiveUnlabelled:
-    """The fitted model: ``score`` of statistics, and the estimated prior."""
+    """The fitted model: ``score`` of statistics, and the estimated prior.
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray):
-        self.centre = np.median(unlabelled, axis=0)
-        spread = np.quantile(unlabelled, 0.9, axis=0) - np.quantile(unlabelled, 0.1, axis=0)
-        self.scale = np.maximum(spread / 2, 0.01)
+    ``quantiles`` (the 0.1, 0.5 and 0.9 quantile of each statistic) and ``tails`` (of weights and cuts:
+    how many documents reach each cut, and how many there are) are of the whole corpus.
+    """
+
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, quantiles: np.ndarray, tails: Callable[[PositiveUnlabelled, np.ndarray, np.ndarray], tuple[np.ndarray, int]]):
+        low, self.centre, high = quantiles
+        self.scale = np.maximum((high - low) / 2, 0.01)
         p, u = expand(positive, self.centre, self.scale), expand(unlabelled, self.centre, self.scale)
         first = minimise(lambda b: p.T @ (sigmoid(p @ b) - 1) / len(p) + u.T @ sigmoid(u @ b) / len(u) + RIDGE * b, p.shape[1])
-        prior = self.prior = estimate_prior(p @ first, u @ first)
+        prior = self.prior = prior_of(p @ first, *tails(self, first, tail_cuts(p @ first)))
 
         def gradient(b):
             sp, su = sigmoid(p @ b), sigmoid(u @ b)  # slopes of l(-f)
@@ -153,6 +174,32 @@ def text_statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | N
     return append(with_row(docs, {"text": text_col}, keep), fn, [StructField("x", ArrayType(FloatType()))])
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), len(NAMES))
+
+
+def corpus_quantiles(stats: DataFrame) -> np.ndarray:
+    """The 0.1, 0.5 and 0.9 quantile of each statistic over all rows, to 1/10,000 of the rows."""
+    row = stats.select(*(F.percentile_approx(F.col("x")[i], [0.1, 0.5, 0.9], 10_000) for i in range(len(NAMES)))).first()
+    return np.array(row, dtype=float).T
+
+
+def corpus_tails(stats: DataFrame, model: PositiveUnlabelled, weights: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many rows' scores by the weights reach each cut, and how many rows there are."""
+    centre, scale = model.centre, model.scale
+
+    def run(batches):
+        reached, n = np.zeros(len(cuts), np.int64), 0
+        for batch in batches:
+            reached += counts_from(expand(_matrix(batch.column("x")), centre, scale) @ weights, cuts)
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts) + 1)), pa.array([*reached.tolist(), n], pa.int64())], ["cut", "n"])
+
+    counted = stats.select("x").mapInArrow(run, "cut bigint, n bigint").groupBy("cut").agg(F.sum("n").alias("n"))
+    counts = dict(tuple(r) for r in counted.collect())
+    return np.array([counts[i] for i in range(len(cuts))]), counts[len(cuts)]
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
@@ -160,7 +207,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     value 1 is used; unlabelled text is any document outside it. Null and empty texts have
     statistics of 0 and get a score like all others; a null doc_id is not held out and not
     learnt from; documents that repeat are scored one by one; a document labelled more than once
-    is positive if all its labels are 1; without positives every score is 0.
+    is positive if all its labels are 1; without positives every score is 0. The centre and scale
+    of the statistics and the tail shares of the prior, which need no labels, are of all documents;
+    only the gradients see samples.
     """
     stats = materialize(text_statistics(docs, keep=["doc_id"]).select(F.col(f"{ROW}.doc_id").alias("doc_id"), "x"), "statistics")
     learn = stats.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
@@ -169,12 +218,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     chosen = lowest(good.where(fold(F.col("doc_id")) != HELD_OUT))
     positive = learn.join(F.broadcast(chosen), "doc_id").select("x").toArrow().column("x")
     unlabelled = lowest(learn).select("x").toArrow().column("x")
-    as_matrix = lambda c: np.array(c.combine_chunks().flatten(), dtype=float).reshape(len(c), -1)
-    model = PositiveUnlabelled(as_matrix(positive), as_matrix(unlabelled)) if len(positive) and len(unlabelled) else None
+    model = None
+    if len(positive) and len(unlabelled):
+        model = PositiveUnlabelled(_matrix(positive.combine_chunks()), _matrix(unlabelled.combine_chunks()), corpus_quantiles(stats), partial(corpus_tails, stats))
 
     def run(batches):
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, len(NAMES))
+            x = _matrix(batch.column("x"))
             score = model.score(x) if model else np.zeros(len(x))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
