@@ -13,20 +13,28 @@ classes with one shingle in their prefix.
 
 1. In each block, a stream over its rows in order of size pairs every class with the first
    of its size band (a star, never all pairs). Pairs that pass the bound are verified on
-   the whole sets; links give components.
+   the whole sets; links give components. Blocks of very frequent shingles are streamed in
+   several parts; what the parts leave apart is left to step 2.
 2. Blocks of three rows or more that still hold several components are searched: points go
    into R-trees of about LEAF_ROWS rows, and the rows outside the block's largest component
-   are the queries. First each query verifies its NEAREST candidates of other components,
-   which joins most of what belongs together; then all candidates of different components
-   that are left are verified. Any link between components that step 1 left apart is
-   found here, because its two ends share a block.
+   are the queries, dealt out in runs of LEAF_ROWS as well. A pair comes out if sizes, the
+   places of the block's shingle in the two orders and the count vectors all allow a link,
+   and once in a task, however many blocks it shares there. First each query verifies its
+   NEAREST candidates of other components, which joins most of what belongs together; then
+   all candidates of different components that are left are verified. Any link between
+   components that step 1 left apart is found here: its two ends share a block, and in
+   that of their first common shingle its places allow the link.
+
+Texts that are only parts of each other's family share passages, which are frequent and so
+come last in the order; where they still share a block, bounds keep them from coming out.
+The texts of the classes are written once, compressed, and read again for each verification.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -35,14 +43,20 @@ from siltstone.llm.components import connected_components
 from siltstone.llm.scratch import discard, materialize
 from siltstone.llm.texts import named, packed, plain, unpack
 
-#: Groups of a count vector; counts are held in 8 bits.
+#: Groups of a count vector; counts are held in 8 bits, or in 16 if one of them needs more.
 DIMENSIONS = 256
 #: Candidates that a query verifies before the full search.
 NEAREST = 3
 #: log2 of the counters that order shingles by frequency, and the parts they are summed in.
 COUNTER_BITS, COUNTER_PARTS = 19, 64
-#: Points of one R-tree, and children of a node.
-LEAF_ROWS, FAN = 2048, 16
+#: Points of one R-tree and queries of one task, and children of a node.
+LEAF_ROWS, FAN = 1024, 16
+#: log2 of the rows from which a block is streamed in parts, and of the times that it must exceed the mean counter.
+SPLIT_BITS, SPLIT_OVER = 12, 3
+#: Pairs that a task remembers so as not to repeat them; then it starts anew.
+REMEMBERED = 1 << 20
+#: Classes of which verification sends the identifiers to the texts; of more, both are dealt out.
+SENT_IDS = 1 << 20
 
 PRINT = StructType([
     StructField("id", LongType()), StructField("th", LongType()), StructField("n", LongType()), StructField("sa", LongType()), StructField("sb", LongType()),
@@ -56,14 +70,19 @@ def needed(na, nb, num: int, den: int):
 
 
 def count_vector(grams: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((grams & K.U64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS), 255).astype(np.uint8).tobytes()
+    counts = np.bincount((grams & K.U64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS)
+    return (counts.astype(np.uint8) if counts.max() < 256 else np.minimum(counts, 65535).astype("<u2")).tobytes()
 
 
 def vectors(column: pa.Array) -> np.ndarray:
-    """Count vectors as rows; a set with a count that is cut off bounds nothing."""
+    """Count vectors as rows; a set with a count that is cut off at 16 bits bounds nothing."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    out = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, DIMENSIONS).astype(np.int32)
-    out[(out == 255).any(axis=1)] = 1 << 22
+    raw = column.to_pylist()
+    wide = np.array([len(r) > DIMENSIONS for r in raw], dtype=bool)
+    out = np.empty((len(raw), DIMENSIONS), dtype=np.int32)
+    for rows, kind in ((~wide, np.uint8), (wide, "<u2")):
+        out[rows] = np.frombuffer(b"".join(r for r, own in zip(raw, rows, strict=True) if own), dtype=kind).reshape(-1, DIMENSIONS)
+    out[(out == 65535).any(axis=1)] = 1 << 22
     return out
 
 
@@ -157,26 +176,33 @@ def frequency_levels(prints: DataFrame) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, levels: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(gram, class_id, n): the rarest shingles of each class, enough to meet any partner."""
-    schema = StructType([StructField("gram", LongType()), StructField("class_id", LongType()), StructField("n", IntegerType())])
+    """(gram, salt, class_id, size): the rarest shingles of each class, enough to meet any partner.
+
+    ``size`` is the set's size and the shingle's place in the order; ``salt`` deals out a very
+    frequent shingle and is -1 for all others.
+    """
+    schema = StructType([StructField("gram", LongType()), StructField("salt", IntegerType()), StructField("class_id", LongType()), StructField("size", LongType())])
     held = texts.sparkSession.sparkContext.broadcast(levels)
+    base = max(SPLIT_BITS, int(np.log2(np.mean(2.0**levels))) + SPLIT_OVER)
 
     def run(batches):
         for batch in batches:
             ids = batch.column("class_id").to_numpy()
             for row, data, offsets in K.slices(unpack(batch.column("z"))):
-                grams, sizes = [], []
+                grams, sizes, counts = [], [], []
                 for own in K.shingle_sets(data, offsets, k):
                     n = len(own)
                     take = n - -(-num * n // den) + 1 if n else 0
                     # ascending (level, gram): the level goes above the gram's high bits
                     rank = (held.value[(own >> K.U64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << K.U64(58)) | (own >> K.U64(6))
-                    grams.append(own[np.argpartition(rank, take - 1)[:take]] if 0 < take < n else own)
-                    sizes.append(n)
-                counts = np.array([len(g) for g in grams])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(ids[row : row + len(counts)], counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts)),
-                ], schema.names)
+                    first = np.argpartition(rank, take - 1)[:take] if 0 < take < n else np.arange(n)
+                    grams.append(own[first[np.argsort(rank[first], kind="stable")]])
+                    sizes.append((n << 32) + np.arange(take))
+                    counts.append(take)
+                gram, own_ids = np.concatenate(grams), np.repeat(ids[row : row + len(counts)], counts)
+                over = np.maximum(held.value[(gram >> K.U64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.int64) - base, 0)
+                salt = np.where(over > 0, (K.mix(own_ids.view(np.uint64)) >> K.U64(20)).astype(np.int64) & ((1 << np.minimum(over, 30)) - 1), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(own_ids), pa.array(np.concatenate(sizes).astype(np.int64))], schema.names)
 
     return texts.select("class_id", "z").mapInArrow(run, schema)
 
@@ -185,47 +211,48 @@ BLOCK = StructType([StructField("gram", LongType()), StructField("a", LongType()
 
 
 def stars(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """From sorted blocks: pairs (gram null, a, b) and the rows (gram, class, size) of blocks of three or more."""
+    """From sorted blocks: pairs (gram null, a, b) and the rows (gram, class, size) of blocks of three or more, or in parts."""
     log = np.log(den / num) if den > num else np.log(2)
 
     def run(batches):
-        # of the last block so far: gram, rows, its first two rows, first of the last band, last row
-        gram, seen, first2, rep, band, last = None, 0, [], None, None, None
+        # of the last block so far: its key, rows, its first two rows, first of the last band, last row
+        key, seen, first2, rep, band, last = None, 0, [], None, None, None
         for batch in batches:
-            g, c, n = (batch.column(i).to_numpy() for i in range(3))
+            g, salt, c, size = (batch.column(i).to_numpy() for i in range(4))
             if not len(g):
                 continue
+            n = size >> 32
             bands = np.floor(np.log(n) / log).astype(np.int64)
-            joined = gram is not None and g[0] == gram
-            new_gram = np.concatenate(([not joined], g[1:] != g[:-1]))
-            new_band = new_gram | np.concatenate(([not joined or bands[0] != band], bands[1:] != bands[:-1]))
+            joined = (g[0], salt[0]) == key
+            new_block = np.concatenate(([not joined], (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])))
+            new_band = new_block | np.concatenate(([not joined or bands[0] != band], bands[1:] != bands[:-1]))
             at = np.arange(len(g))
             rep_at = np.maximum.accumulate(np.where(new_band, at, -1))
             reps = np.where(rep_at >= 0, c[np.maximum(rep_at, 0)], rep if rep is not None else 0)
             star = ~new_band
             prev_c = np.concatenate(([last[0] if last else 0], c[:-1]))
-            prev_n = np.concatenate(([last[1] if last else 0], n[:-1])).astype(np.int64)
-            bridge = new_band & ~new_gram & (den * prev_n >= num * n.astype(np.int64))
+            prev_n = np.concatenate(([last[1] if last else 0], n[:-1]))
+            bridge = new_band & ~new_block & (den * prev_n >= num * n)
             a, b = np.concatenate([reps[star], prev_c[bridge]]), np.concatenate([c[star], c[bridge]])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], BLOCK.names)
             # blocks: their sizes so far, the first one's with what came before
-            begin = np.flatnonzero(new_gram)
+            begin = np.flatnonzero(new_block)
             starts = begin if len(begin) and begin[0] == 0 else np.concatenate(([0], begin))
             counts = np.diff(np.concatenate((starts, [len(g)])))
             total = counts + np.where((starts == 0) & joined, seen, 0)
-            wide = np.repeat(total >= 3, counts)
-            og, oc, on = g[wide], c[wide], n[wide].astype(np.int64)
-            if joined and total[0] >= 3 and seen < 3:  # its rows from earlier batches, held back
-                og, oc, on = np.concatenate([[gram] * len(first2), og]), np.concatenate([[x[0] for x in first2], oc]), np.concatenate([[x[1] for x in first2], on])
+            wide = np.repeat(total >= 3, counts) | (salt >= 0)
+            og, oc, on = g[wide], c[wide], size[wide]
+            if joined and total[0] >= 3 and seen < 3 and salt[0] < 0:  # its rows from earlier batches, held back
+                og, oc, on = np.concatenate([[key[0]] * len(first2), og]), np.concatenate([[x[0] for x in first2], oc]), np.concatenate([[x[1] for x in first2], on])
             if len(og):
                 yield pa.RecordBatch.from_arrays([pa.array(og.astype(np.int64)), pa.array(oc.astype(np.int64)), pa.array(on.astype(np.int64))], BLOCK.names)
             s = starts[-1]
             keep = first2 if s == 0 and joined else []
-            first2 = (keep + [(int(c[i]), int(n[i])) for i in range(s, min(len(g), s + 2))])[:2]
-            gram, seen, rep, band, last = g[-1], int(total[-1]), reps[-1], bands[-1], (c[-1], n[-1])
+            first2 = (keep + [(int(c[i]), int(size[i])) for i in range(s, min(len(g), s + 2))])[:2]
+            key, seen, rep, band, last = (g[-1], salt[-1]), int(total[-1]), reps[-1], bands[-1], (c[-1], n[-1])
 
-    return rows.repartition("gram").sortWithinPartitions("gram", "n", "class_id").mapInArrow(run, BLOCK)
+    return rows.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "size", "class_id").mapInArrow(run, BLOCK)
 
 
 def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -242,7 +269,9 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num:
         return classes.select(F.col("class_id").alias(c), F.col("n").alias("n" + c), F.col("vec").alias("v" + c))
 
     left = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(bounded, pair), "bounded")
-    wanted = left.select(F.col("a").alias("class_id")).union(left.select("b")).distinct().join(classes.select("class_id", "id", "th"), "class_id")
+    wanted = materialize(left.select(F.col("a").alias("class_id")).union(left.select("b")).distinct(), "wanted")
+    if wanted.count() <= SENT_IDS:
+        wanted = F.broadcast(wanted)
     schema = StructType([StructField("class_id", LongType()), StructField("grams", BinaryType())])
 
     def whole(batches):
@@ -251,7 +280,7 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num:
                 sets = [s.tobytes() for s in K.shingle_sets(data, offsets, k)]
                 yield pa.RecordBatch.from_arrays([batch.column("class_id").slice(row, len(sets)), K.as_binary(sets)], schema.names)
 
-    sets = materialize(named(texts, wanted, "class_id").mapInArrow(whole, schema), "sets")
+    sets = materialize(texts.join(wanted, "class_id").select("class_id", "z").mapInArrow(whole, schema), "sets")
 
     def exact(batches):
         for batch in batches:
@@ -265,77 +294,87 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, num:
 
     set_of = lambda c: sets.select(F.col("class_id").alias(c), F.col("grams").alias("s" + c))
     links = materialize(left.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(exact, pair), "links")
-    discard(left, sets)
+    discard(left, sets, wanted)
     return links
 
 
 def search_blocks(rows: DataFrame, num: int, den: int, nearest: int | None) -> DataFrame:
-    """Candidate pairs of different components from rows (gram, leaf, query, class_id, component, n, vec).
+    """Candidate pairs of different components from rows (gram, leaf, run, query, class_id, component, size, vec).
 
-    Rows of a (gram, leaf) with query = false are indexed, then its queries stream through;
+    Rows of a (gram, leaf, run) with query = false are indexed, then its queries stream through;
     with ``nearest`` only that many candidates of a query come out, those of the highest bounds.
     """
     pair = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
     def run(batches):
-        key, tree, held = None, None, []
+        key, tree, held, seen = None, None, [], set()
 
         def points(parts):
             return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
         for batch in batches:
-            gram, leaf = batch.column("gram").to_numpy(), batch.column("leaf").to_numpy()
+            block = [batch.column(x).to_numpy() for x in ("gram", "leaf", "run")]
             query = batch.column("query").to_numpy(zero_copy_only=False)
-            c, comp, n = (batch.column(x).to_numpy() for x in ("class_id", "component", "n"))
+            c, comp, size = (batch.column(x).to_numpy() for x in ("class_id", "component", "size"))
+            n, place = size >> 32, size & 0xFFFFFFFF
             v = vectors(batch.column("vec")) if len(n) else None
-            edge = np.flatnonzero((gram[1:] != gram[:-1]) | (leaf[1:] != leaf[:-1]) | (query[1:] != query[:-1])) + 1
-            bounds = [0, *edge.tolist(), len(gram)]
+            edge = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in (*block, query)])) + 1
+            bounds = [0, *edge.tolist(), len(n)]
             for s, e in zip(bounds[:-1], bounds[1:], strict=True):
                 if s == e:
                     continue
-                if (gram[s], leaf[s]) != key:
-                    key, tree, held = (gram[s], leaf[s]), None, []
+                if (own := tuple(x[s] for x in block)) != key:
+                    key, tree, held = own, None, []
                 if not query[s]:
-                    held.append((c[s:e], comp[s:e], n[s:e], v[s:e]))
+                    held.append((c[s:e], comp[s:e], n[s:e], place[s:e], v[s:e]))
                     continue
                 if not held:
                     continue
                 if tree is None:
-                    ic, icomp, isize, ivec = points(held)
+                    ic, icomp, isize, iplace, ivec = points(held)
                     tree = RTree(ivec, isize)
                 q, i, most = tree.search(v[s:e], n[s:e], num, den)
-                differ = comp[s:e][q] != icomp[i]
+                # what stands from the block's shingle on must suffice, else a pair that links has an earlier one in common
+                rest = np.minimum(n[s:e][q] - place[s:e][q], isize[i] - iplace[i])
+                differ = (comp[s:e][q] != icomp[i]) & (rest >= needed(n[s:e][q], isize[i], num, den))
                 q, i, most = q[differ], i[differ], most[differ]
                 if nearest and len(q):
                     order = np.lexsort((ic[i], -most / (n[s:e][q] + isize[i]), q))
                     q, i = q[order], i[order]
                     start = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
-                    place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
-                    q, i = q[place < nearest], i[place < nearest]
+                    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+                    q, i = q[rank < nearest], i[rank < nearest]
                 x, y = c[s:e][q], ic[i]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], pair.names)
+                found = set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) - seen
+                if found:
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                    seen |= found
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], pair.names)
 
-    return rows.repartition("gram", "leaf").sortWithinPartitions("gram", "leaf", "query").mapInArrow(run, pair)
+    return rows.repartition("gram", "leaf", "run").sortWithinPartitions("gram", "leaf", "run", "query").mapInArrow(run, pair)
 
 
 def open_pairs(wide: DataFrame, joined: DataFrame, classes: DataFrame, num: int, den: int, nearest: int | None) -> DataFrame:
-    """Candidates between components that share a block, from the blocks (gram, class_id).
+    """Candidates between components that share a block, from the blocks (gram, class_id, size).
 
-    Every row of a block is indexed once; a block beyond LEAF_ROWS is split into several
-    trees, and only its rows outside the largest component are sent to all of them.
+    A block beyond LEAF_ROWS is split into several trees, and its rows outside the largest
+    component, the queries, into runs: each run meets each tree in a task of its own.
     """
-    rows = materialize(wide.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").select("gram", "class_id", F.coalesce("component", "class_id").alias("component")), "wide")
+    rows = materialize(wide.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").select("gram", "class_id", "size", F.coalesce("component", "class_id").alias("component")), "wide")
     counts = rows.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c"))
-    sizes = counts.groupBy("gram").agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("components"), F.max_by("component", "c").alias("major"))
-    mixed = materialize(sizes.where("components > 1").select("gram", "major", F.ceil(F.col("rows") / LEAF_ROWS).cast("int").alias("leaves")), "mixed")
-    own = F.pmod(F.xxhash64("class_id"), F.col("leaves").cast("long")).cast("int")
-    place = lambda leaf, query: F.struct(leaf.alias("leaf"), F.lit(query).alias("query"))
-    indexed = F.array(place(own, False))
-    asked = F.transform(F.sequence(F.lit(0), F.col("leaves") - 1), lambda i: place(i, True))
+    sizes = counts.groupBy("gram").agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("components"), F.max_by("component", "c").alias("major"), F.max("c").alias("most"))
+    parts = lambda n: F.ceil(n / LEAF_ROWS).cast("int")
+    mixed = materialize(sizes.where("components > 1").select("gram", "major", parts(F.col("rows")).alias("leaves"), parts(F.col("rows") - F.col("most")).alias("runs")), "mixed")
+    own = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n).cast("long")).cast("int")
+    each = lambda n, make: F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
+    place = lambda leaf, run, query: F.struct(leaf.alias("leaf"), run.alias("run"), F.lit(query).alias("query"))
+    indexed = each("runs", lambda i: place(own("leaves"), i, False))
+    asked = each("leaves", lambda i: place(i, own("runs"), True))
     placed = rows.join(mixed, "gram").withColumn("at", F.explode(F.when(F.col("component") == F.col("major"), indexed).otherwise(F.concat(indexed, asked))))
-    placed = materialize(placed.select("gram", "at.leaf", "at.query", "class_id", "component"), "placed")
-    points = placed.join(classes.select("class_id", "n", "vec"), "class_id").select("gram", "leaf", "query", "class_id", "component", "n", "vec")
+    placed = materialize(placed.select("gram", "at.leaf", "at.run", "at.query", "class_id", "component", "size"), "placed")
+    points = placed.join(classes.select("class_id", "vec"), "class_id").select("gram", "leaf", "run", "query", "class_id", "component", "size", "vec")
     found = materialize(search_blocks(points, num, den, nearest).distinct(), "candidates")
     discard(rows, mixed, placed)
     return found
@@ -350,28 +389,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts, and texts of white space, have an empty set, link with nothing
     and are their own component; a text of fewer than k words is one shingle; repeated rows
     and equal texts are one class; a null id gives way to any other id; an empty table
-    gives no rows.
+    gives no rows. Very long texts go through whole, one at a time; equally rare shingles are
+    taken in order of their hashes. Other columns of ``docs`` are not looked at, whatever their names.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, k), "prints")
     grouped = prints.where("part is null and n > 0").groupBy("n", "sa", "sb").agg(F.min(F.struct("id", "th", "vec")).alias("f"), F.min("id").alias("low"))
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("class_id"), "n", "sa", "sb", "f.id", "f.th", "f.vec", "low"), "classes")
     levels = frequency_levels(prints)
-    texts = packed(docs, id_col, text_col)
-    blocks = materialize(stars(prefixes(named(texts, classes, "class_id"), levels, k, num, den), num, den), "blocks")
+    texts = materialize(named(packed(docs, id_col, text_col), classes, "class_id"), "texts")
+    blocks = materialize(stars(prefixes(texts, levels, k, num, den), num, den), "blocks")
     pairs = blocks.where("gram is null").select("a", "b").where("a <> b").distinct()
     links = verify(pairs, classes, texts, k, num, den)
     joined = connected_components(links)
-    wide = blocks.where("gram is not null").select("gram", F.col("a").alias("class_id")).distinct()
+    done = [blocks, texts, classes, links, joined]
+    wide = blocks.where("gram is not null").select("gram", F.col("a").alias("class_id"), F.col("b").alias("size"))
     for nearest in (NEAREST, None):  # what the stars have left: the likely links first, then all
         more = open_pairs(wide, joined, classes, num, den, nearest)
         if not more.isEmpty():
-            links = links.union(verify(more, classes, texts, k, num, den))
+            new = verify(more, classes, texts, k, num, den)
+            links = links.union(new)
             joined = connected_components(links)
+            done += [new, joined]
         discard(more)
-    discard(blocks)
     named_classes = classes.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     lows = materialize(named_classes.groupBy("component").agg(F.min("low").alias("component_id")), "lows")
     final = materialize(named_classes.join(lows, "component").select("n", "sa", "sb", "component_id"), "final")
+    discard(*done, lows)
     out = prints.where("part is null").select("id", "th", "n", "sa", "sb").join(final, ["n", "sa", "sb"], "left")
     return out.select("id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
@@ -384,15 +427,14 @@ def jaccard_report(docs: DataFrame) -> DataFrame:
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest id stays.
 
-    Documents with an empty set all stay; of rows that repeat id and text one stays.
+    Documents with an empty set all stay; of rows that repeat id and text one stays. Columns
+    may have any names.
     """
     found = materialize(jaccard_components(docs, id_col, text_col, k, num, den), "components")
     keep = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("id", "th")).alias("f")).select("f.id", "f.th", F.lit(False).alias("empty"))
     empty = found.where("n_shingles = 0").select("id", "th", F.lit(True).alias("empty")).distinct()
-    keep = materialize(keep.union(empty).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "empty"), "kept")
-    rows = docs.withColumn("_h", F.xxhash64(docs[f"`{text_col}`"]))
-    joined = rows.join(keep.hint("shuffle_hash"), rows[f"`{id_col}`"].eqNullSafe(keep["_id"]) & (rows["_h"] == keep["_th"]))
-    from pyspark.sql import Window
-
-    one = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(1)))
-    return joined.withColumn("_one", one).where("_one = 1 or empty").select(*[joined[f"`{c}`"] for c in docs.columns])
+    keep = materialize(keep.union(empty).select(F.col("id").alias("kept_id"), F.col("th").alias("kept_th"), "empty"), "kept")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].cast("long").alias("id"), F.xxhash64(docs[f"`{text_col}`"]).alias("th"))
+    joined = rows.join(keep.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")))
+    one = F.row_number().over(Window.partitionBy("id", "th").orderBy(F.lit(1)))
+    return joined.withColumn("one", one).where("one = 1 or empty").select("row.*")

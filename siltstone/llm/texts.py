@@ -32,8 +32,8 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def named(texts: DataFrame, names: DataFrame, name: str) -> DataFrame:
     """(name, z) of the rows (name, id, th): texts are dealt out once, rows that repeat count once."""
     key = F.coalesce("id", F.lit(-(2**63))).alias("_id")
-    unique = texts.select(key, "th", "z").groupBy("_id", "th").agg(F.first("z").alias("z"))
-    return names.select(name, key, "th").join(unique, ["_id", "th"]).select(name, "z")
+    met = texts.select(key, "th", "z").join(names.select(key, "th", name), ["_id", "th"])
+    return met.groupBy("_id", "th", name).agg(F.first("z").alias("z")).select(name, "z")
 
 
 def unpack(column: pa.Array) -> pa.Array:

@@ -122,6 +122,49 @@ def test_rtree_finds_all_that_may_link():
     assert len(found) < len(hashed) ** 2 / 10
 
 
+def test_frequent_shingles_are_split_without_loss(docs, monkeypatch):
+    rows, df = docs
+    whole = sorted(map(repr, jaccard.jaccard_components(df).collect()))
+    monkeypatch.setattr(jaccard, "SPLIT_BITS", 0)
+    monkeypatch.setattr(jaccard, "SPLIT_OVER", -20)
+    monkeypatch.setattr(jaccard, "LEAF_ROWS", 3)
+    assert sorted(map(repr, jaccard.jaccard_components(df).collect())) == whole
+
+
+def test_a_family_that_shares_passages_gives_few_candidates(spark, monkeypatch):
+    """5,000 texts share two thirds of their words and do not link; some have a near copy."""
+    rng = random.Random(1)
+    shared = " ".join(f"s{i}" for i in range(80))
+    texts = [shared + " " + " ".join(f"u{i}x{rng.randrange(10**9)}" for _ in range(40)) for i in range(4950)]
+    texts += [t + " more" for t in texts[:50]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    out = []
+    search = jaccard.open_pairs
+    monkeypatch.setattr(jaccard, "open_pairs", lambda *a: out.append(search(*a)) or out[-1])
+    counts = []
+    drop = jaccard.discard
+    monkeypatch.setattr(jaccard, "discard", lambda *t: (counts.extend(x.count() for x in t if any(x is o for o in out)), drop(*t)))
+    got = {r.id: r.component_id for r in jaccard.jaccard_components(df).collect()}
+    assert got == {i: i if i < 4950 else i - 4950 for i in range(5000)}
+    assert len(counts) == 2 and sum(counts) < 5000
+
+
+def test_count_vectors_beyond_eight_bits():
+    grams = kernel.mix(np.arange(120_000, dtype=np.uint64))
+    a, b = np.unique(grams[:100_000]), np.unique(grams[20_000:])
+    va, vb = jaccard.vectors(pa.array([jaccard.count_vector(a), jaccard.count_vector(b)], pa.binary()))
+    assert va.sum() == 100_000 and 80_000 <= jaccard.bound(va, vb) < 100_000
+    small = jaccard.vectors(pa.array([jaccard.count_vector(a), jaccard.count_vector(a[:9])], pa.binary()))
+    assert small[1].sum() == 9 and jaccard.vectors(pa.array([], pa.binary())).shape == (0, jaccard.DIMENSIONS)
+
+
+def test_distinct_documents_with_clashing_names(spark):
+    names = ["doc_id", "text", "_h", "_id", "_th", "_one", "empty", "row", "id", "th", "one", "kept_id"]
+    rows = [(i, t, *range(10)) for i, t in enumerate(["a b c d e f g", "a b c d e f g", "other words stand here now", None, ""])]
+    got = jaccard.distinct_documents(spark.createDataFrame(rows, ", ".join(f"{n} {'string' if n == 'text' else 'bigint'}" for n in names)))
+    assert got.columns == names and sorted(tuple(r) for r in got.collect()) == [r for r in rows if r[0] != 1]
+
+
 @pytest.mark.parametrize("group", [2048, 1])
 def test_suffix_repeats(docs, group, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP_REGIONS", group)
