@@ -1,11 +1,21 @@
-"""BM25 over postings, and its mixture with vector scores."""
+"""BM25 of a batch of queries, and its mixture with vector scores."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from siltstone.operators.search import DIGITS, Best, ranked
 
 K1, B = 1.2, 0.75
+#: Cells of the matrix of terms and queries that is sent to all tasks at once; more queries go in blocks.
+BLOCK_CELLS = 4 << 20
+#: Documents that are multiplied with the matrix at once.
+TILE = 256
 
 
 def terms(text):
@@ -13,29 +23,68 @@ def terms(text):
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
-    """(query_id, doc_id, score, rank) of the best k documents of each query (columns: id, text).
+    """(query_id, doc_id, score, rank) of the best k documents of each query (columns: id, text), ties by id.
 
-    Postings are joined with the queries' terms only, so frequent terms that nobody asks for are
-    never shuffled beyond their partial counts.
+    Document frequencies of the queries' terms are counted with partial sums. Then each task
+    multiplies the term weights of its documents with a block of queries and keeps its own best
+    k, so no postings are shuffled and a frequent term is no hot key. Scores are rounded before
+    they are ranked. Null texts have no terms; a query without a known term has no hits.
     """
+    schema = StructType([queries.schema[query_id], docs.schema[doc_id], StructField("score", DoubleType())])
+    spark = docs.sparkSession
+    sized = docs.select(doc_id, terms("text").alias("t"))
+    total = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.greatest(F.size("t"), F.lit(0))).alias("mean")).first()
     asked = queries.select(query_id, F.explode(F.array_distinct(terms("text"))).alias("term"))
-    sized = docs.select(doc_id, terms("text").alias("t")).withColumn("n", F.size("t"))
-    total = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_n"))
-    wanted = asked.select("term").distinct()
-    postings = sized.select(doc_id, "n", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("term", doc_id, "n").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("avg_n")))
-    scored = asked.join(postings, "term").join(df, "term").crossJoin(total).groupBy(query_id, doc_id).agg(F.sum(weight).alias("score"))  # total is one row
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    seen = sized.select(F.explode(F.array_distinct("t")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = asked.join(seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").groupBy(query_id).agg(F.collect_list(F.struct("term", "df")).alias("terms"))
+
+    def scored(block):
+        vocabulary = sorted({t for _, own in block for t, _ in own})
+        at = {t: i for i, t in enumerate(vocabulary)}
+        weights = np.zeros((len(vocabulary), len(block)))
+        for j, (_, own) in enumerate(block):
+            for t, df in own:
+                weights[at[t], j] = np.log(1 + (total["docs"] - df + 0.5) / (df + 0.5))
+        ids = pa.array([q for q, _ in block])
+        held = spark.sparkContext.broadcast((ids, pa.array(vocabulary), weights))
+
+        def run(batches):
+            ids, known, weights = held.value
+            best = Best(ids, k)
+            for batch in batches:
+                own, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+                for start in range(0, batch.num_rows, TILE):
+                    tile = lists.slice(start, TILE)
+                    n = pc.fill_null(pc.list_value_length(tile), 0).to_numpy()
+                    term = pc.index_in(tile.flatten(), value_set=known)
+                    row = np.repeat(np.arange(len(tile)), n)[term.is_valid().to_numpy(zero_copy_only=False)]
+                    cell, tf = np.unique(row * len(known) + term.drop_null().to_numpy(), return_counts=True)
+                    row, term = cell // len(known), cell % len(known)
+                    share = np.zeros((len(tile), len(known)))
+                    share[row, term] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[row] / total["mean"]))
+                    scores = np.round(weights.T @ share.T, DIGITS)
+                    best.add(0, scores, own[start : start + TILE], scores > 0)
+            yield from best.rows(schema.names)
+
+        return sized.mapInArrow(run, schema)
+
+    parts, block, names = [], [], set()
+    for q, own in found.toLocalIterator():
+        own = [(t, df) for t, df in own]
+        if block and len(names | {t for t, _ in own}) * (len(block) + 1) > BLOCK_CELLS:
+            parts, block, names = [*parts, scored(block)], [], set()
+        block.append((q, own))
+        names |= {t for t, _ in own}
+    if block:
+        parts.append(scored(block))
+    return ranked(spark, parts, schema, k)
 
 
 def hybrid(lexical: DataFrame, semantic: DataFrame, k: int, weight: float = 0.7, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
-    """Best k of ``weight`` x semantic + the rest x lexical score, the latter over the query's best."""
+    """Best k of ``weight`` x semantic + the rest x lexical score, the latter over the query's best; ties, after rounding, by id."""
     best = F.max("score").over(Window.partitionBy(query_id))
     left = lexical.select(query_id, doc_id, (F.col("score") / best).alias("lex"))
     joined = left.join(semantic.select(query_id, doc_id, F.col("score").alias("sem")), [query_id, doc_id], "full_outer")
-    score = weight * F.coalesce("sem", F.lit(0.0)) + (1 - weight) * F.coalesce("lex", F.lit(0.0))
+    score = F.round(weight * F.coalesce("sem", F.lit(0.0)) + (1 - weight) * F.coalesce("lex", F.lit(0.0)), DIGITS)
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
     return joined.select(query_id, doc_id, score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

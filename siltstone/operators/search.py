@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -14,6 +16,8 @@ from siltstone.config import SearchConfig
 QUERY_BLOCK_BYTES = 32 << 20
 #: Queries that are multiplied with a batch at once.
 TILE = 1024
+#: Decimal places of a score that is ranked.
+DIGITS = 9
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -24,21 +28,59 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.divide(out, norm, out=out.copy(), where=norm > 0)
 
 
+class Best:
+    """The best k rows of each query that a task has met, ties by id."""
+
+    def __init__(self, queries: pa.Array, k: int):
+        self.queries, self.k = queries, k
+        self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def add(self, first: int, scores: np.ndarray, ids: np.ndarray, keep: np.ndarray) -> None:
+        """Scores of some rows (columns) for the queries from ``first`` on, where ``keep`` holds."""
+        if len(ids) > self.k:  # ties with the k-th stay until ids are compared
+            scores = np.where(keep, scores, -np.inf)
+            keep = keep & (scores >= np.partition(scores, -self.k, axis=1)[:, -self.k, None])
+        i, j = np.nonzero(keep)
+        parts = [(i, scores[i, j], ids[j])]
+        if first in self.held:
+            parts.append(self.held[first])
+        i, s, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((v, -s, i))
+        i = i[order]
+        front = np.arange(len(i)) - np.searchsorted(i, i) < self.k
+        order = order[front]
+        self.held[first] = i[front], s[order], v[order]
+
+    def rows(self, names: list[str]):
+        for first, (i, s, v) in self.held.items():
+            if len(i):
+                yield pa.RecordBatch.from_arrays([self.queries.take(pa.array(first + i)), pa.array(v), pa.array(s)], names)
+
+
+def ranked(spark: SparkSession, parts: list[DataFrame], schema: StructType, k: int) -> DataFrame:
+    """The best k of each query from what tasks have kept (query, id, score)."""
+    query, own, _ = schema.names
+    found = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
+    order = Window.partitionBy(query).orderBy(F.desc("score"), own)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def nearest(
     queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, query_id: str = "query_id", vector_id: str = "vec_id",
     embedding: str = "embedding", exclude_same: bool = False,
 ) -> DataFrame:
-    """(query_id, vector_id, score, rank): the best k of each query, ties by id.
+    """(query_id, vector_id, score, rank): the best k of each query, ties by id; vector ids are integers.
 
     Each task multiplies its batches with a block of queries and keeps its own best k, so
-    what is shuffled is k rows of a query and task. A score below the threshold is dropped
-    before ranking, which gives the same rows as after it.
+    what is shuffled is k rows of a query and task. Scores are rounded, so that ranks do not
+    hang on the order of sums; one below the threshold is dropped before ranking, which gives
+    the same rows as after it. Null vectors, and vectors with a null in them, match nothing.
     """
     schema = StructType([queries.schema[query_id], vectors.schema[vector_id], StructField("score", DoubleType())])
-    names = schema.names
     spark = queries.sparkSession
-    rows = vectors.select(vector_id, embedding)
-    found = None
+    whole = lambda df, name: df.select(name, embedding).where(F.col(embedding).isNotNull() & ~F.exists(embedding, lambda x: x.isNull()))
+    rows = whole(vectors, vector_id)
+    parts: list[DataFrame] = []
     block: list[tuple] = []
     size = 0
 
@@ -48,48 +90,29 @@ def nearest(
         def run(batches):
             ids, q = held.value
             own = ids.to_numpy(zero_copy_only=False)
-            best = [(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in range(0, len(ids), TILE)]
+            best = Best(ids, k)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 vec, m = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1)).T
-                for t in range(len(best)):
-                    at = slice(t * TILE, (t + 1) * TILE)
-                    scores = q[at] @ m
+                for first in range(0, len(ids), TILE):
+                    scores = np.round(q[first : first + TILE] @ m, DIGITS)
                     keep = np.ones(scores.shape, bool) if threshold is None else scores >= threshold
                     if exclude_same:
-                        keep &= vec != own[at, None]
-                    if len(vec) > k:  # ties with the batch's k-th stay until ids are compared
-                        scores[~keep] = -np.inf
-                        keep &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]
-                    i, j = np.nonzero(keep)
-                    i, s, v = (np.concatenate(c) for c in zip(best[t], (i, scores[i, j], vec[j]), strict=True))
-                    order = np.lexsort((v, -s, i))
-                    i = i[order]
-                    first = np.arange(len(i)) - np.searchsorted(i, i) < k
-                    order = order[first]
-                    best[t] = (i[first], s[order], v[order])
-            i = np.concatenate([b[0] + t * TILE for t, b in enumerate(best)])
-            if len(i):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), pa.array(np.concatenate([b[2] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names)
+                        keep &= vec != own[first : first + TILE, None]
+                    best.add(first, scores, vec, keep)
+            yield from best.rows(schema.names)
 
         return rows.mapInArrow(run, schema)
 
-    def add(found, block):
-        part = scored(block)
-        return part if found is None else found.union(part)
-
-    for r in queries.select(query_id, embedding).toLocalIterator():
+    for r in whole(queries, query_id).toLocalIterator():
         block.append((r[0], r[1]))
-        size += 8 * len(r[1] or ())
+        size += 8 * len(r[1])
         if size >= QUERY_BLOCK_BYTES:
-            found, block, size = add(found, block), [], 0
+            parts, block, size = [*parts, scored(block)], [], 0
     if block:
-        found = add(found, block)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), vector_id)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        parts.append(scored(block))
+    return ranked(spark, parts, schema, k)
 
 
 def search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, config: SearchConfig = SearchConfig(), **names) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from siltstone.operators.answer import ANSWER, CONTEXT, QUESTION, SOURCE
+from siltstone.operators.lexical import K1, B
+from siltstone.operators.search import DIGITS
 from siltstone.plans.queries import CHUNK, CONFIG, LOW, TOP_K, TRANSFORM
 
 _LATEST = {s.name: s for s in CONFIG.sources}
@@ -36,16 +38,25 @@ def _chunks(size: int, name: str = "chunks") -> str:
 )"""
 
 
-def _hits(where: str = "true", threshold: float | None = None, k: int = TOP_K, name: str = "hits") -> str:
+def _hits(threshold: float | None = None, k: int = TOP_K, name: str = "hits") -> str:
     unit = "list_transform(embedding, lambda x: x::double / sqrt(list_inner_product(embedding::double[], embedding::double[])))"
     keep = "" if threshold is None else f"and score >= {threshold}"
     return f"""{name}_v as (select vec_id, {unit} as u from embeddings), {name}_s as (
-  select q.vec_id as query_id, v.vec_id, list_inner_product(q.u, v.u) as score from {name}_v q join {name}_v v on q.vec_id <> v.vec_id where {where.replace("vec_id", "q.vec_id")}
+  select q.vec_id as query_id, v.vec_id, round(list_inner_product(q.u, v.u), {DIGITS}) as score from {name}_v q join {name}_v v on q.vec_id <> v.vec_id
 ), {name} as (
   select * from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from {name}_s where true {keep}) where rank <= {k}
 )"""
 
 
+def _bm25() -> str:
+    words = lambda c: rf"list_filter(regexp_split_to_array(lower({c}), '[^0-9\p{{L}}]+'), lambda x: x <> '')"
+    return f"""t as (select doc_id, {words("text")} as t from documents), total as (select count(*) as docs, avg(coalesce(len(t), 0)) as avg_n from t),
+  asked as (select distinct item_id as query_id, unnest({words("text")}) as term from benchmark),
+  postings as (select term, doc_id, n, count(*) as tf from (select doc_id, len(t) as n, unnest(t) as term from t) group by all), df as (select term, count(*) as df from postings group by term),
+  scored as (select query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * n / avg_n))), {DIGITS}) as score from asked join postings using (term) join df using (term) cross join total group by all),
+  best as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from scored) where rank <= {TOP_K})"""
+
+
 RUNS = "runs as (select event_id as id, ts as run_at, event_type as step, value as duration_sec, user_id % 5 as items_skipped from events), metrics as (select event_id as run_id, 'm' || (k % 4) as metric_name, k::double as metric_value from (select event_id, (props->>'$.k')::bigint as k from events)), two as (select * from (select *, row_number() over (partition by step order by id desc)::int as recency from runs) where recency <= 2)"
 WIDE = "wide as (select step, metric_name, max(metric_value) filter (where recency = 1) as current, max(metric_value) filter (where recency = 2) as previous from metrics join two on id = run_id group by all)"
 
@@ -76,11 +87,11 @@ SQL = {
     "q07_chunk_drift": f"with recursive {TEXTS}, {_chunks(CHUNK.size, 'a')}, {_chunks(300, 'b')}, both_ as (select (select avg(chunk_length) from a) as c, (select round(avg(chunk_length), 1) from b) as p) select round(c, 6) as current_avg, p as previous_avg, round(abs(c - p) / p * 100, 6) as drift_pct, abs(c - p) / p * 100 > {CHUNK.drift_threshold_pct} as anomaly from both_ where p > 0",
     "q08_doc_chunk_ids": f"with recursive {TEXTS}, {_chunks(CHUNK.size)} select row_number() over (order by doc_id, chunk_index) as chunk_id, dense_rank() over (order by doc_id) as doc_no, doc_id, chunk_index, chunk_length, char_offset from chunks",
     "q09_normalise": "with scaled as (select vec_id, list_transform(embedding, lambda x: x::double * (vec_id % 7)) as v from embeddings), normed as (select vec_id, case when list_inner_product(v, v) > 0 then list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) else v end as u from scaled) select vec_id, round(list_inner_product(u, u), 9) as norm2, round(u[1], 9) + 0.0::double as first, round(u[-1], 9) + 0.0::double as last from normed",
-    "q10_topk": f"with {_hits('vec_id < 50')} select query_id, vec_id, round(score, 6) as score, rank from hits",
-    "q11_topk_threshold": f"with {_hits(threshold=0.5, name='h')}, {_hits(threshold=LOW, name='l')} select query_id, vec_id, round(score, 6) as score, rank, '0.5' as threshold from h union all select query_id, vec_id, round(score, 6), rank, '0.3' from l",
-    "q12_search_hits": f"with {_hits('vec_id < 50', LOW)} select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, round(score, 4) as score, source, vec_id as chunk_id, left(text, 200) as preview from hits join documents on doc_id = vec_id",
+    "q10_topk": f"with {_hits()} select query_id, vec_id, round(score, 6) as score, rank from hits",
+    "q11_topk_threshold": f"with {_hits(0.5, name='h')}, {_hits(threshold=LOW, name='l')} select query_id, vec_id, round(score, 6) as score, rank, '0.5' as threshold from h union all select query_id, vec_id, round(score, 6), rank, '0.3' from l",
+    "q12_search_hits": f"with {_hits(LOW)} select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, round(score, 4) as score, source, vec_id as chunk_id, left(text, 200) as preview, text from hits join documents on doc_id = vec_id",
     "q13_retrieval_eval": f"{_judged()} select count(*) as queries, round(avg(p1::int), 9) as precision_at_1, round(avg(hit3::int), 9) as precision_at_3, round(avg(rr), 9) as mrr from judged",
-    "q14_fragment_hit": "with dealt as (select doc_id % 40 as query_id, text, (doc_id // 40 + 1)::int as rank from documents), judged as (select item_id, coalesce(bool_or(left(b.text, 40) <> '' and contains(d.text, left(b.text, 40))), false) as hit, coalesce(max(round(1.0::double / (rank + 1), 4)), 0) as top from benchmark b left join dealt d on query_id = item_id group by item_id) select count(*) as queries, round(avg(hit::int), 9) as fragment_rate, round(coalesce(avg(top) filter (where hit), 0), 6) as avg_hit_score, round(coalesce(avg(top) filter (where not hit), 0), 6) as avg_miss_score from judged",
+    "q14_fragment_hit": f"with {_bm25()}, judged as (select item_id, coalesce(bool_or(b.text <> '' and contains(d.text, b.text)), false) as hit, coalesce(max(round(score, 4)), 0) as top from benchmark b left join best on query_id = item_id left join documents d using (doc_id) group by item_id) select count(*) as queries, round(avg(hit::int), 9) as fragment_rate, round(coalesce(avg(top) filter (where hit), 0), 6) as avg_hit_score, round(coalesce(avg(top) filter (where not hit), 0), 6) as avg_miss_score from judged",
     "q17_last_two_runs": f"with {RUNS} select step, recency, id, strftime(run_at, '%Y-%m-%d %H:%M') as run_at, duration_sec from two",
     "q18_run_diff": f"with {RUNS}, {WIDE} select step, metric_name, current, previous, case when current is null or previous is null or current = previous then '' else ' (' || case when current > previous then '+' else '' end || format('{{:.1f}}', current - previous) || ')' end as change from wide",
     "q19_latest_metric": f"with {RUNS} select step, metric_name, max(run_id) as run_id, max_by(metric_value, run_id) as metric_value from metrics join runs on id = run_id group by all",
@@ -97,7 +108,7 @@ SQL |= {
     "q26_duplicate_texts": "select sha256(coalesce(text, '')) as content_hash, count(*) as copies, min(doc_id) as first from documents group by 1 having count(*) > 1",
     "q27_load_plan": "with a as (select doc_id, case when doc_id % 7 = 0 then 'old' else text end as old from documents where doc_id % 5 <> 0), b as (select doc_id, text as new from documents where doc_id % 11 <> 0) select case when a.doc_id is null then 'insert' when b.doc_id is null then 'gone' when old = new then 'skip' else 'replace' end as action, count(*) as documents from a full join b on a.doc_id = b.doc_id group by 1",
     "q28_url_identity": r"with bare as (select page_id, regexp_replace(url, '[?#].*$', '') as u from pages), parts as (select page_id, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*') as head, regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '') as path from bare) select regexp_replace(lower(head), ':(80|443)$', '') || regexp_replace(path, '/+$', '') as url, count(*) as pages, min(page_id) as first from parts group by 1",
-    "q29_bm25": rf"with t as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^0-9\p{{L}}]+'), lambda x: x <> '') as t from documents), total as (select count(*) as docs, avg(len(t)) as avg_n from t), asked as (select distinct item_id as query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^0-9\p{{L}}]+'), lambda x: x <> '')) as term from benchmark where item_id < 10), postings as (select term, doc_id, n, count(*) as tf from (select doc_id, len(t) as n, unnest(t) as term from t) group by all), df as (select term, count(*) as df from postings group by term), scored as (select query_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_n))) as score from asked join postings using (term) join df using (term) cross join total group by all), ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from scored) select query_id, doc_id, round(score, 6) as score, rank from ranked where rank <= {TOP_K}",
+    "q29_bm25": f"with {_bm25()} select query_id, doc_id, round(score, 6) as score, rank from best",
     "q31_latency": "select strftime(ts, '%Y-%m-%d') as day, count(*) as queries, round(avg((value < 5)::int), 9) as fallback_rate, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events group by 1",
 }
 
@@ -116,8 +127,8 @@ def _prompts() -> str:
     from siltstone.config import GenerateConfig
 
     quote = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    asked = "questions as (select conv_id as query_id, min_by(text, turn) as query from conversations where role = 'user' and conv_id < 50 group by conv_id)"
-    found = f"{_hits('vec_id < 50', 0.2)}, {asked}, found as (select h.query_id, rank, source, left(text, 60) as text, round(score, 4) as score from hits h join documents on doc_id = vec_id)"
+    asked = "questions as (select conv_id as query_id, min_by(text, turn) as query from conversations where role = 'user' group by conv_id)"
+    found = f"{_hits(0.2)}, {asked}, found as (select h.query_id, rank, source, text, round(score, 4) as score from hits h join documents on doc_id = vec_id)"
     lines = f"string_agg('[' || n || '] ({SOURCE}: ' || source || ') ' || text, chr(10) || chr(10) order by rank)"
     prompt = f"{quote(GenerateConfig().system_prompt)} || chr(10) || chr(10) || '{CONTEXT}' || chr(10) || context || chr(10) || chr(10) || '{QUESTION}' || chr(10) || query || chr(10) || chr(10) || '{ANSWER}' || chr(10)"
     SQL["q15_prompt"] = f"with {found}, numbered as (select *, row_number() over (partition by query_id order by rank) as n from found), contexts as (select query_id, {lines} as context from numbered group by query_id) select query_id, {prompt} as prompt from questions join contexts using (query_id)"
