@@ -1,4 +1,4 @@
-"""Typed settings; every default lives here once."""
+"""Typed settings; every default lives here once. Defaults and the keys of ``from_dict`` are fixed values."""
 
 from __future__ import annotations
 

@@ -35,7 +35,7 @@ def stub_generator(config: GenerateConfig = GenerateConfig()) -> Generator:
 
 
 def http_generator(base_url: str, config: GenerateConfig = GenerateConfig(), timeout: float = 120.0) -> Generator:
-    """A model server that takes a prompt at /api/generate and answers in one piece."""
+    """A model server that takes a prompt at /api/generate and answers in one piece; path and keys are its protocol (fixed values)."""
 
     def generate(prompt: str) -> dict:
         import json

@@ -33,6 +33,17 @@ def evaluate(judged: DataFrame) -> DataFrame:
     )
 
 
+def evaluation_lines(judged: DataFrame, k: int) -> list[str]:
+    """Figures and failures as text; what comes to the driver is one row, and a row for each failure."""
+    e = evaluate(judged).first()
+    if not e["queries"]:
+        return ["No queries"]
+    lines = [f"MISS {r['query'] if 'query' in judged.columns else r[0]}: expected {r['expected_source']}, got {', '.join(r['top3']) or 'nothing'}" for r in failures(judged).toLocalIterator()]
+    shares = (("Precision@1", "precision_at_1"), ("Precision@3", "precision_at_3"), (f"Fragment hit@{k}", "fragment_rate"))
+    lines += [f"{'Queries':20s} {e['queries']}"] + [f"{label:20s} {e[c]:.1%}" for label, c in shares]
+    return lines + [f"{label:20s} {e[c]:.3f}" for label, c in (("MRR", "mrr"), ("Mean score of hits", "avg_hit_score"), ("Mean score of misses", "avg_miss_score"))]
+
+
 def failures(judged: DataFrame) -> DataFrame:
     """Queries whose first source or whose fragment is wrong, with what came first."""
     return judged.where(~F.col("p1") | ~F.col("fragment"))

@@ -93,28 +93,31 @@ def duration_totals(runs: DataFrame) -> DataFrame:
     return last_two(runs).groupBy("recency").agg(F.sum("duration_sec").alias("total_duration"), F.count(F.lit(1)).alias("steps"))
 
 
+def report_table(runs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(step, place, label, current, previous, change) of the newest two runs of each step: their fields, then their metrics.
+
+    Fields are unpivoted in the plan, so a field and a metric become the same kind of row.
+    """
+    text = {"run_at": F.date_format("run_at", "yyyy-MM-dd HH:mm"), "status": F.col("status")}
+    numbers = ["duration_sec", "items_in", "items_out", "items_skipped"]
+    two = last_two(runs)
+    field = lambda place, label, value, shown: F.struct(F.lit(place).alias("place"), F.lit(label).alias("label"), value.cast("double").alias("value"), shown.alias("shown"))
+    none = F.lit(None)
+    fields = [field(i, n, none if n in text else F.col(n), text[n] if n in text else format_value(F.col(n).cast("double"))) for i, n in enumerate(["run_at", *numbers, "status"])]
+    rows = two.select("step", "recency", F.inline(F.array(*fields)))
+    side = lambda r, c: F.max(F.when(F.col("recency") == r, F.col(c)))
+    wide = rows.groupBy("step", "place", "label").agg(side(1, "value").alias("a"), side(2, "value").alias("b"), side(1, "shown").alias("current"), side(2, "shown").alias("previous"))
+    moved = F.when(F.col("a").isNotNull(), change(F.col("a"), F.col("b"))).when((F.col("label") == "status") & (F.col("current") != F.col("previous")), " (other)").otherwise("")
+    own = compare_metrics(runs, metrics).select("step", F.lit(100).alias("place"), F.col("metric_name").alias("label"), F.col("current_text").alias("current"), F.col("previous_text").alias("previous"), "change")
+    return wide.select("step", "place", "label", "current", "previous", moved.alias("change")).union(own)
+
+
 def report_lines(runs: DataFrame, metrics: DataFrame) -> list[str]:
-    """The report as text; only the newest two runs of each step come to the driver."""
-    two = {(r["step"], r["recency"]): r for r in last_two(runs.where(F.col("step").isin(STEPS))).collect()}
-    shown = compare_metrics(runs.where(F.col("step").isin(STEPS)), metrics).orderBy("step", "metric_name").collect()
-    lines = ["Pipeline report: last and previous run"]
-    show = lambda v: "-" if v is None else str(int(v)) if isinstance(v, (int, float)) and v == int(v) else f"{v:.1f}" if isinstance(v, float) else str(v)
+    """``report_table`` and the totals as text, steps in their order."""
+    known = runs.where(F.col("step").isin(STEPS))
+    rows = report_table(known, metrics).orderBy("place", "label").collect()
+    lines = ["step       figure                    last             before"]
     for step in STEPS:
-        now, old = two.get((step, 1)), two.get((step, 2))
-        if not now:
-            lines.append(f"[{step.upper()}] no runs yet")
-            continue
-        lines.append(f"[{step.upper()}]")
-        for label, name in (("Date", "run_at"), ("Duration (s)", "duration_sec"), ("Items in", "items_in"), ("Items out", "items_out"), ("Skipped", "items_skipped"), ("Status", "status")):
-            a, b = now[name], old[name] if old else None
-            a, b = (str(x)[:16] if name == "run_at" and x is not None else x for x in (a, b))
-            diff = ""
-            if old and a != b and name != "run_at":
-                diff = f" ({a - b:+.1f})" if isinstance(a, float) else f" ({a - b:+d})" if isinstance(a, int) else " (changed)"
-            lines.append(f"  {label:30s} {show(a):>16s} {show(b):>16s}{diff}")
-        lines += [f"  {m['metric_name']:30s} {m['current_text']:>16s} {m['previous_text']:>16s}{m['change']}" for m in shown if m["step"] == step]
-    for label, recency in (("Current", 1), ("Previous", 2)):
-        seconds = [r["duration_sec"] for (_, n), r in two.items() if n == recency]
-        if seconds:
-            lines.append(f"{label} total duration: {sum(seconds):.1f}s")
-    return lines
+        own = [f"{step:10s} {r['label']:25s} {r['current'] or '-':16s} {r['previous'] or '-':16s}{r['change'] or ''}".rstrip() for r in rows if r["step"] == step]
+        lines += own or [f"{step:10s} no runs yet"]
+    return lines + [f"all steps, run {r['recency']} from the end: {r['total_duration']:.1f} s" for r in duration_totals(known).orderBy("recency").collect()]

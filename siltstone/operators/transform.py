@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltstone.config import TransformConfig
@@ -32,9 +32,18 @@ def clean_pages(pages: DataFrame, config: TransformConfig = TransformConfig(), s
     return pages.where(~is_blank(F.col("html"))).withColumn("text", text)
 
 
-def to_documents(pages: DataFrame, purposes: DataFrame, config: TransformConfig = TransformConfig(), strict: bool = False) -> DataFrame:
-    """(text, metadata) of the pages whose text is long enough."""
-    rows = with_purpose(clean_pages(pages, config, strict).where(F.length("text") >= config.min_text_length), purposes)
+def to_documents(pages: DataFrame, purposes: DataFrame, config: TransformConfig = TransformConfig(), strict: bool = False, seen: Observation | None = None) -> DataFrame:
+    """(text, metadata) of the pages whose text is long enough; ``seen`` gets the counters of ``transform_counts`` on the way."""
+    if seen is not None:
+        blank = is_blank(F.col("html"))
+        text = clean_html_strict(config.strip_tags)("html") if strict else clean_html(F.col("html"), config.strip_tags)
+        rows = pages.withColumn("text", text).withColumn("blank", blank)
+        out = F.coalesce(~F.col("blank") & (F.length("text") >= config.min_text_length), F.lit(False))
+        rows = rows.withColumn("out", out).observe(seen, F.count(F.lit(1)).alias("items_in"), F.count_if("out").alias("items_out"), F.count_if(~F.col("out")).alias("items_skipped"), F.count_if("blank").alias("empty_files"))
+        rows = rows.where("out").drop("out", "blank")
+    else:
+        rows = clean_pages(pages, config, strict).where(F.length("text") >= config.min_text_length)
+    rows = with_purpose(rows, purposes)
     meta = F.struct("source", "purpose", "raw_filename", F.current_timestamp().alias("processed_at"), F.length("text").alias("text_length"))
     return rows.select("text", meta.alias("metadata"))
 

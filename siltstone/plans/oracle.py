@@ -113,6 +113,13 @@ SQL |= {
 }
 
 
+SQL |= {
+    "q32_document_table": f"with {CLEANED} select row_number() over (order by page_id::varchar) as id, page_id::varchar as source, 'unknown' as purpose, page_id || '.html' as raw_filename, length(text)::int as full_text_length from cleaned where length(text) >= {TRANSFORM.min_text_length}",
+    "q33_hybrid": f"with {_bm25()}, {_hits()}, sem as (select query_id, vec_id as doc_id, score from hits where query_id in (select item_id from benchmark)), lex as (select query_id, doc_id, score / max(score) over (partition by query_id) as score from best), mixed as (select coalesce(l.query_id, s.query_id) as query_id, coalesce(l.doc_id, s.doc_id) as doc_id, round(0.7::double * coalesce(s.score, 0) + 0.3::double * coalesce(l.score, 0), {DIGITS}) as score from lex l full join sem s on l.query_id = s.query_id and l.doc_id = s.doc_id), placed as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from mixed) select query_id, doc_id, round(score, 6) as score, rank from placed where rank <= {TOP_K}",
+    "q34_consistency": "select doc_id as chunk_id, 'no vector' as problem from documents where doc_id not in (select vec_id from embeddings) union all select vec_id, 'no chunk' from embeddings where vec_id not in (select doc_id from documents)",
+}
+
+
 def _sweep() -> str:
     settings = [(size, int(size * share)) for size in (300, 500) for share in (0.0, 0.2)]
     parts = [f"{_chunks(size, f'c{i}').replace(f'- {CHUNK.overlap}, 1)', f'- {overlap}, 1)')}" for i, (size, overlap) in enumerate(settings)]

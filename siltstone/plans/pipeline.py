@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
+from dataclasses import replace as replace_settings
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone import schemas
-from siltstone.config import Config
+from siltstone.config import Config, SearchConfig
 from siltstone.operators import chunk, load, transform, vectors
+from siltstone.operators.answer import ask
+from siltstone.operators.evaluate import judge
 from siltstone.operators.ledger import Tracker, previous_metric, read_ledger, report_lines
+from siltstone.operators.search import search
 from siltstone.sources.pages import fetch_pages, http_get, source_table
-from siltstone.sources.store import replace, upsert_sources
+from siltstone.sources.store import append, replace, staged, upsert_sources
+
+log = logging.getLogger("siltstone.pipeline")
 
 
 def run_extract(spark: SparkSession, config: Config, root: str, get: Callable[[str], str] = http_get) -> None:
@@ -30,11 +37,11 @@ def run_extract(spark: SparkSession, config: Config, root: str, get: Callable[[s
 def run_transform(spark: SparkSession, config: Config, root: str, strict: bool = False) -> None:
     with Tracker(spark, f"{root}/ledger", "transform") as t:
         pages = spark.read.parquet(f"{root}/raw")
-        docs = transform.to_documents(pages, transform.source_purposes(source_table(spark, config)), config.transform, strict)
+        seen = Observation()
+        docs = transform.to_documents(pages, transform.source_purposes(source_table(spark, config)), config.transform, strict, seen)
         upsert_sources(docs.withColumn("source", F.col("metadata.source")), f"{root}/documents")
-        c = transform.transform_counts(pages, config.transform).first()
-        t.record(c["items_in"], c["items_out"], c["items_skipped"])
-        t.add_metric("empty_files", c["empty_files"])
+        t.record(seen.get["items_in"], seen.get["items_out"], seen.get["items_skipped"])
+        t.add_metric("empty_files", seen.get["empty_files"])
 
 
 def run_chunk(spark: SparkSession, config: Config, root: str) -> None:
@@ -43,7 +50,7 @@ def run_chunk(spark: SparkSession, config: Config, root: str) -> None:
         docs = spark.read.parquet(f"{root}/documents").select("text", "metadata")
         upsert_sources(chunk.chunk_payload(docs, config.chunk), f"{root}/chunked")
         s = chunk.chunk_statistics(spark.read.parquet(f"{root}/chunked")).first()
-        n = docs.count()
+        n = spark.read.parquet(f"{root}/documents").count()  # from the files' footers
         t.record(n, s["total_chunks"], n - s["documents"])
         t.add_metric("empty_files", n - s["documents"])
         if s["total_chunks"]:
@@ -51,26 +58,28 @@ def run_chunk(spark: SparkSession, config: Config, root: str) -> None:
             t.add_metric("min_chunk_length", s["min_chunk_length"])
             t.add_metric("max_chunk_length", s["max_chunk_length"])
             if before:
-                t.add_metric("chunk_size_drift_pct", round(abs(s["avg_chunk_length"] - before) / before * 100, 1))
+                off = abs(s["avg_chunk_length"] - before) / before * 100
+                t.add_metric("chunk_size_drift_pct", round(off, 1))
+                if off > config.chunk.drift_threshold_pct:
+                    log.warning("the mean chunk length moved by %.1f %%: %.1f now, %.1f before", off, s["avg_chunk_length"], before)
 
 
 def run_load(spark: SparkSession, config: Config, root: str, make_encoder: Callable[[], vectors.Encoder] | None = None) -> None:
     with Tracker(spark, f"{root}/ledger", "load") as t:
-        # few sources or many: ids follow the sources' names through one integer key each
         found = spark.read.parquet(f"{root}/chunked")
-        keys = found.select("source").distinct().withColumn("key", F.monotonically_increasing_id())
-        chunks = load.chunk_table(found.join(keys, "source").select("key", "source", "purpose", "chunks"), "key").join(keys, "key")
-        replace(chunks, f"{root}/chunks")
+        documents = load.numbered(found, ["source", "raw_filename"])
+        replace(load.document_table(documents), f"{root}/document_table")
+        replace(load.chunks_of(documents, "source", "purpose"), f"{root}/chunks")
         chunks = spark.read.parquet(f"{root}/chunks")
         encoder = make_encoder or (lambda: vectors.hashing_encoder(config.embed.dimension))
-        embedded = vectors.embed(chunks.select("chunk_id", F.col("doc_no").alias("doc_id"), "chunk_index", "source", "text"), encoder, config.embed)
-        replace(embedded.drop("text"), f"{root}/vectors")
-        v = spark.read.parquet(f"{root}/vectors")
-        bad = v.where(~F.col("embedding_ok")).count()
-        empty = chunks.where(F.trim("text") == "").count()
-        n = v.count()
+        embedded = vectors.embed(chunks.select("chunk_id", F.col("doc_no").alias("doc_id"), "chunk_index", "source", "purpose", "text"), encoder, config.embed)
+        seen = Observation()
+        counts = (F.count(F.lit(1)).alias("n"), F.count_if(~F.col("embedding_ok")).alias("bad"), F.count_if(transform.is_blank(F.col("text"))).alias("empty"))
+        replace(embedded.observe(seen, *counts).drop("text"), f"{root}/vectors")
+        n, bad = seen.get["n"], seen.get["bad"]
+        loaded = spark.read.parquet(f"{root}/document_table").count()
         t.record(found.count(), n, bad)
-        for name, value in (("empty_chunks", empty), ("embedding_failures", bad), ("total_chunks_embedded", n - bad)):
+        for name, value in (("documents", loaded), ("empty_chunks", seen.get["empty"]), ("embedding_failures", bad), ("total_chunks_embedded", n - bad)):
             t.add_metric(name, value)
 
 
@@ -83,17 +92,35 @@ def run_pipeline(spark: SparkSession, config: Config, root: str, get: Callable[[
     return report_lines(*read_ledger(spark, f"{root}/ledger"))
 
 
-def answer_questions(spark: SparkSession, questions: DataFrame, root: str, config: Config, make_generator, make_encoder=None) -> DataFrame:
-    """Answers for (query_id, query) over a loaded corpus; metrics can be appended from the result."""
-    from siltstone.operators.answer import ask
-    from siltstone.operators.search import search
-
+def search_questions(spark: SparkSession, questions: DataFrame, root: str, config: Config, make_encoder=None) -> DataFrame:
+    """Hits of (query_id, query) over a loaded corpus."""
     encoder = make_encoder or (lambda: vectors.hashing_encoder(config.embed.dimension))
-    queries = vectors.embed(questions, encoder, config.embed, "query").select("query_id", "query", "embedding")
+    queries = vectors.embed(questions.select("query_id", "query"), encoder, config.embed, "query").select("query_id", "query", "embedding")
     stored = spark.read.parquet(f"{root}/vectors").select("chunk_id", "embedding")
     chunks = spark.read.parquet(f"{root}/chunks").select("chunk_id", "source", "chunk_index", "text")
-    hits = search(queries, stored, chunks, config.search, vector_id="chunk_id")
-    return ask(queries.drop("embedding"), hits, make_generator, config.generate)
+    return search(queries, stored, chunks, config.search, vector_id="chunk_id")
+
+
+def answer_questions(spark: SparkSession, questions: DataFrame, root: str, config: Config, make_generator, make_encoder=None) -> DataFrame:
+    """Answers for (query_id, query) over a loaded corpus."""
+    return ask(questions, search_questions(spark, questions, root, config, make_encoder), make_generator, config.generate)
+
+
+def ask_and_log(spark: SparkSession, questions: DataFrame, root: str, config: Config, make_generator, make_encoder=None) -> DataFrame:
+    """The answers, generated once, and their rows appended to the table of query metrics; if that fails, the answers stand."""
+    answers = staged(answer_questions(spark, questions, root, config, make_generator, make_encoder), "answers")
+    try:
+        append(query_metrics(answers), f"{root}/query_metrics")
+    except Exception:
+        log.exception("query metrics were not written")
+    return answers
+
+
+def evaluate_questions(spark: SparkSession, labels: DataFrame, root: str, config: Config, make_encoder=None) -> DataFrame:
+    """``labels`` (query, expected_source, expected_text_fragment) judged over a loaded corpus, without a score threshold."""
+    asked = staged(labels.withColumn("query_id", F.monotonically_increasing_id()).fillna("", ["expected_text_fragment"]), "evaluation")
+    hits = search_questions(spark, asked, root, replace_settings(config, search=SearchConfig(config.search.top_k, -1.0)), make_encoder)
+    return judge(asked, hits)
 
 
 def query_metrics(answers: DataFrame) -> DataFrame:

@@ -236,4 +236,24 @@ def q31_latency(spark, sf_dir):
     return rows.select("day", "queries", F.round("fallback_rate", 9).alias("fallback_rate"), *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
 
 
+def q32_document_table(spark, sf_dir):
+    """The loaded table of documents, from pages through cleaning and chunking."""
+    docs = transform.to_documents(_pages(spark, sf_dir), transform.source_purposes(source_table(spark, CONFIG)))
+    documents = load.numbered(chunk.chunk_payload(docs), ["source", "raw_filename"])
+    return load.document_table(documents).drop("processed_at")
+
+
+def q33_hybrid(spark, sf_dir):
+    """BM25 of each benchmark item mixed with the vector scores of the document's id."""
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    lex = lexical.bm25(items, _t(spark, sf_dir, "documents").select("doc_id", "text"), TOP_K)
+    sem = _hits(spark, sf_dir).withColumnRenamed("vec_id", "doc_id").join(items.select("query_id"), "query_id", "left_semi")
+    return lexical.hybrid(lex, sem, TOP_K).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def q34_consistency(spark, sf_dir):
+    """Ids of documents and vectors that the other table lacks."""
+    return load.consistency(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id")), _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id")))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}

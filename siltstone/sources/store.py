@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -20,6 +23,22 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def staged(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` written once, below spark.checkpoint.dir, and read back: evaluated once, and no lineage to redo.
+
+    Without that setting a folder of this machine serves, which only a local master may use.
+    """
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+    path = f"{base.rstrip('/')}/siltstone-{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A table that may not have been written yet."""
     try:

@@ -129,13 +129,39 @@ def test_ledger(spark, tmp_path):
     assert ledger.previous_metric(spark, path, "chunk", "m") == 12.5
     assert ledger.compare_metrics(runs, metrics).first()["change"] == " (+2.5)"
     lines = ledger.report_lines(runs, metrics)
-    assert any("m" in x and "12.5" in x and "10" in x for x in lines) and "[EXTRACT] no runs yet" in lines
+    assert any("m" in x and "12.5" in x and "10" in x for x in lines) and "extract    no runs yet" in lines
 
 
-def test_dense_ids(spark):
-    rows = spark.createDataFrame([(k * 977,) for k in range(50)], "k bigint")
-    got = load.dense_ids(rows, "k", "id").orderBy("k").collect()
-    assert [r.id for r in got] == list(range(1, 51))
+@pytest.mark.parametrize("keys", [[7, 3, 10**15, -4, 0], ["b", "a", "zz", "", "c"]])
+def test_ids_follow_sparse_and_textual_keys(spark, keys):
+    kind = "bigint" if isinstance(keys[0], int) else "string"
+    rows = [(k, [(i, f"t{k}{i}", i, 5) for i in range(n)]) for n, k in enumerate(keys)]
+    found = spark.createDataFrame(rows, f"k {kind}, chunks array<struct<chunk_index:int,text:string,char_offset:int,chunk_length:int>>").repartition(3)
+    got = load.chunk_table(found, "k").orderBy("chunk_id").collect()
+    expected = [(k, c[1]) for k, chunks in sorted(rows) for c in chunks]
+    assert [(r.k, r.text) for r in got] == expected and [r.chunk_id for r in got] == list(range(1, len(expected) + 1))
+    with_chunks = sorted(k for k, chunks in rows if chunks)
+    assert {(r.k, r.doc_no) for r in got} == {(k, i + 1) for i, k in enumerate(with_chunks)}
+    assert load.chunk_table(found.limit(0), "k").count() == 0
+
+
+def test_character_references(spark):
+    html = "caf&eacute; &#233; &#xE9; &hellip; a&nbsp;b &amp;lt; &amp &copy x &;' &apos; &unknown; 5 & 6"
+    got = spark.createDataFrame([(html,), (None,), ("",)], "html string").select(clean_html(F.col("html"), ()).alias("t")).collect()
+    assert [r.t for r in got] == ["café é é … a b &lt; & © x &;' ' &unknown; 5 & 6", None, ""]
+
+
+def test_null_vectors_match_nothing(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.5, None]), (4, [1.0, 0.1])]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = search.nearest(v.withColumnRenamed("vec_id", "query_id"), v, 3, exclude_same=True).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == {(1, 4), (4, 1)}
+
+
+def test_blank_chunks_are_empty(spark):
+    chunks = spark.createDataFrame([("\t\n",), (" ",), ("x",), (None,)], "text string")
+    vectors = spark.createDataFrame([([0.0],), ([1.0],)], "embedding array<double>")
+    assert tuple(load.load_quality(chunks, vectors).first()) == (3, 4, 2, 1)
 
 
 def test_incremental(spark):

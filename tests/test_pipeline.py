@@ -1,3 +1,7 @@
+import json
+
+from siltstone import __main__ as cli
+from siltstone import schemas
 from siltstone.config import ChunkConfig, Config, SearchConfig, Source
 from siltstone.operators.answer import stub_generator
 from siltstone.plans import pipeline
@@ -29,6 +33,28 @@ def test_pipeline_end_to_end(spark, tmp_path):
     got = {r.query_id: r for r in answers.collect()}
     assert got[1].sources == ["s1"] and not got[1].fallback and got[2].fallback
     assert pipeline.query_metrics(answers).count() == 2
+    logged = pipeline.ask_and_log(spark, questions, root, config, stub_generator)
+    assert logged.count() == 2 and spark.read.parquet(f"{root}/query_metrics").count() == 2
+    documents = spark.read.parquet(f"{root}/document_table")
+    assert documents.columns == schemas.DOCUMENTS.names and {r.purpose for r in vectors.collect()} == {"p"}
+    assert [(r.id, r.source) for r in documents.orderBy("id").collect()] == [(1, "s0"), (2, "s1"), (3, "s2")]
+
+
+def test_command_line_and_evaluation_set(spark, tmp_path, capsys, caplog):
+    root, config = f"file://{tmp_path}", _config()
+    pipeline.run_pipeline(spark, config, root, _getter())
+    labels = [{"query": "topic1 topic1", "expected_source": "s1", "expected_text_fragment": "topic1 word3"}, {"query": "topic2 topic2", "expected_source": "s0"}]
+    (tmp_path / "set.json").write_text(json.dumps(labels))
+    (tmp_path / "config.json").write_text(json.dumps({"query": {"confidence_threshold": 0.2}, "chunking": {"chunk_size": 200}, "monitoring": {"chunk_drift_threshold_pct": 5}}))
+    run = lambda *a: cli.main(["--root", root, "--config", str(tmp_path / "config.json"), "--log", str(tmp_path / "log.txt"), *a])
+    assert run("evaluate", f"file://{tmp_path}/set.json") == 0
+    said = capsys.readouterr().out
+    assert "Precision@1          50.0%" in said and "MISS topic2 topic2: expected s0, got s2" in said and "Queries              2" in said
+    assert run("ask", "topic1 topic1") == 0 and "[s1]" in capsys.readouterr().out
+    assert run("search", "topic2 topic2") == 0 and "1. " in capsys.readouterr().out
+    assert run("chunk") == 0 and "mean chunk length moved" in caplog.text
+    assert run("report") == 0 and "chunk_size_drift_pct" in capsys.readouterr().out
+    assert "report done" in (tmp_path / "log.txt").read_text()
 
 
 def test_stream_equals_batch(spark, tmp_path):
