@@ -33,6 +33,7 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, Str
 
 from siltstone.llm import kernel as K
 from siltstone.llm.scratch import discard, materialize
+from siltstone.llm.texts import packed, plain, unpack
 
 #: Bytes of a string that must not start twice; bytes of an anchor.
 LENGTH, GRAM = 200, 25
@@ -41,6 +42,10 @@ GROUP_REGIONS = 2048
 #: Bytes of regions that one vectorised comparison takes.
 CHUNK = 1 << 20
 
+#: Bits of ``at`` that hold a number of windows.
+BITS = 16
+MOST = (1 << BITS) - 1
+
 U64 = K.U64
 
 
@@ -101,7 +106,7 @@ SCAN = StructType([
 def scan(texts: DataFrame, length: int, q: int) -> DataFrame:
     """Rows of three kinds: documents (sha), anchors (gram) and runs that are known to be repeated.
 
-    ``at`` is the first window times 256 plus the number of windows (at most 255).
+    ``at`` holds the first window above BITS bits of the number of windows.
     """
 
     def table(n, **columns):
@@ -117,7 +122,7 @@ def scan(texts: DataFrame, length: int, q: int) -> DataFrame:
                 sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield table(n, docref=pa.array(np.arange(ref + row, ref + row + n)), id=batch.column("id").slice(row, n), th=batch.column("th").slice(row, n), n_bytes=pa.array(np.diff(offsets)), sha=pa.array(sha))
                 owner, gram, start, count, content = regions(data, offsets, length, q)
-                found.append((owner + ref + row, gram, content, start * 256 + count))
+                found.append((owner + ref + row, gram, content, (start << BITS) + count))
             ref += batch.num_rows
             if not found:
                 continue
@@ -140,15 +145,15 @@ RUN = StructType([StructField("docref", LongType()), StructField("at", LongType(
 
 
 def runs_of(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs (at most 255 long) of window positions that are sorted within each document."""
+    """Runs (at most MOST long) of window positions that are sorted within each document."""
     if not len(pos):
         return doc, pos
     new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)))
     index = np.arange(len(pos))
     begin = np.maximum.accumulate(np.where(new, index, 0))
-    new |= (index - begin) % 255 == 0
+    new |= (index - begin) % MOST == 0
     first = np.flatnonzero(new)
-    return doc[first], pos[first] * 256 + np.diff(np.append(first, len(pos)))
+    return doc[first], (pos[first] << BITS) + np.diff(np.append(first, len(pos)))
 
 
 def compare(rows: DataFrame, length: int, q: int) -> DataFrame:
@@ -170,7 +175,7 @@ def compare(rows: DataFrame, length: int, q: int) -> DataFrame:
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
         twice &= ~np.repeat(multi, counts)
-        pos = np.repeat(at >> 8, counts) + K.ragged(np.zeros(len(counts), np.int64), counts)
+        pos = np.repeat(at >> BITS, counts) + K.ragged(np.zeros(len(counts), np.int64), counts)
         return runs_of(np.repeat(doc, counts)[twice], pos[twice])
 
     def run(batches):
@@ -200,18 +205,18 @@ def cut_regions(rows: DataFrame, length: int, q: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text")
+            texts = unpack(batch.column("z"))
             for i, (doc, found) in enumerate(zip(batch.column("docref").to_pylist(), batch.column("open").to_pylist(), strict=True)):
                 raw = texts[i].as_buffer()
                 data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
                 out = [[], [], [], [], []]
                 for r in found:
-                    start, count = r["at"] >> 8, r["at"] & 255
+                    start, count = r["at"] >> BITS, r["at"] & MOST
                     piece = data[start : start + count - 1 + length]
                     if r["hot"]:
                         ids = refine(gram_ids(piece, q), q, length).view(np.int64)
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(count, r["gram"])), pa.array(np.full(count, doc)), pa.array((np.arange(start, start + count)) * 256 + 1),
+                            pa.array(np.full(count, r["gram"])), pa.array(np.full(count, doc)), pa.array((np.arange(start, start + count) << BITS) + 1),
                             pa.array(np.full(count, r["multi"])), pa.nulls(count, pa.binary()), pa.array(ids),
                         ], CUT.names)
                     else:
@@ -221,15 +226,15 @@ def cut_regions(rows: DataFrame, length: int, q: int) -> DataFrame:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), pa.nulls(len(out[0]), pa.int64())], CUT.names)
 
-    return rows.select("docref", "open", "text").mapInArrow(run, CUT)
+    return rows.select("docref", "open", "z").mapInArrow(run, CUT)
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(documents, runs): a row per document (docref, id, th, n_bytes, sha), and the runs of
-    repeated windows (docref, runs: first window times 256 plus windows) of those that have any."""
-    text = docs[f"`{text_col}`"]
-    texts = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    scanned = materialize(scan(texts, length, q), "scan")
+    repeated windows (docref, runs: as in ``scan``) of those that have any."""
+    if not 1 <= q <= length <= MOST:
+        raise ValueError(f"a string of {length} bytes with anchors of {q}: 1 <= anchor <= string <= {MOST} is what counts of windows can hold")
+    scanned = materialize(scan(plain(docs, id_col, text_col), length, q), "scan")
     documents = scanned.where("sha is not null").select("docref", "id", "th", "n_bytes", "sha")
     anchors = scanned.where("gram is not null").select("docref", "gram", "region", "at", "multi")
     grams = materialize(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
@@ -241,7 +246,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     discard(met)
     opened = contents.join(open_grams, "gram").select("f.docref", F.struct("gram", "f.at", (F.col("m") | (F.col("n") > 1)).alias("multi"), (F.col("k") > GROUP_REGIONS).alias("hot")).alias("r"))
     by_doc = materialize(opened.groupBy("docref").agg(F.collect_list("r").alias("open")), "opened")
-    cut = materialize(cut_regions(fetch(by_doc, documents, texts), length, q), "cut")
+    cut = materialize(cut_regions(fetch(by_doc, documents, packed(docs, id_col, text_col)), length, q), "cut")
     discard(contents, open_grams, by_doc)
     cold = compare(cut.where("bytes is not null"), length, q)
     windows = cut.where("window is not null").select("gram", "window", "docref", "at", "multi")
@@ -253,10 +258,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def fetch(rows: DataFrame, documents: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows with docref and the text of their document (texts are dealt out once, by id and hash)."""
+    """Rows with docref and the packed text of their document (texts are dealt out once, by id and hash)."""
     key = F.coalesce("id", F.lit(-(2**63)))
     named = rows.join(documents.select("docref", key.alias("idk"), "th"), "docref")
-    unique = texts.select(key.alias("idk"), "th", "text").groupBy("idk", "th").agg(F.first("text").alias("text"))
+    unique = texts.select(key.alias("idk"), "th", "z").groupBy("idk", "th").agg(F.first("z").alias("z"))
     return named.join(unique, ["idk", "th"])
 
 
@@ -270,22 +275,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else, in the same document or another; strings are judged on the input. Null and empty
     texts, and texts shorter than ``length``, lose nothing; repeated rows are copies of each
     other and lose all strings long enough; null ids are kept as they are; an empty table gives no
-    rows. Kept text that a cut through a character has broken is decoded with replacement.
+    rows; very long texts are read whole. Kept text that a cut through a character has broken is
+    decoded with replacement. Other columns are not looked at, whatever their names.
     """
     documents, runs = find_repeats(docs, id_col, text_col, length, q)
-    text = docs[f"`{text_col}`"]
-    texts = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, at, text in zip(batch.column("docref").to_pylist(), batch.column("runs").to_pylist(), batch.column("text"), strict=True):
+            for doc, at, text in zip(batch.column("docref").to_pylist(), batch.column("runs").to_pylist(), unpack(batch.column("z")), strict=True):
                 raw = text.as_buffer()
                 data = np.frombuffer(raw, dtype=np.uint8)
                 at = np.array(at, dtype=np.int64)
                 edge = np.zeros(len(data) + 1, dtype=np.int64)
-                np.add.at(edge, at >> 8, 1)
-                np.add.at(edge, (at >> 8) + (at & 255) - 1 + length, -1)
+                np.add.at(edge, at >> BITS, 1)
+                np.add.at(edge, (at >> BITS) + (at & MOST) - 1 + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 left = data[~gone].tobytes()
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0])
@@ -294,7 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], RESULT.names)
 
-    changed = materialize(fetch(runs, documents, texts).select("docref", "runs", "text").mapInArrow(run, RESULT).drop("id"), "changed")
+    changed = materialize(fetch(runs, documents, packed(docs, id_col, text_col)).select("docref", "runs", "z").mapInArrow(run, RESULT).drop("id"), "changed")
     discard(runs)
     out = documents.join(changed, "docref", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)

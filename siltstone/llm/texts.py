@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 
+#: Bytes in front of a packed text that hold its size.
+HEAD = 8
+
+
 def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, text): a row of ``docs`` is known by its id and the hash of its text."""
     text = docs[f"`{text_col}`"]
@@ -20,7 +23,11 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = StructType([StructField("id", LongType()), StructField("th", LongType()), StructField("z", BinaryType())])
 
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        codec = pa.Codec("zstd", compression_level=1)
+
+        def squeeze(raw):
+            return len(raw).to_bytes(HEAD, "little") + codec.compress(raw, asbytes=True)
+
         for batch in batches:
             text = batch.column("text").cast(pa.large_string()).cast(pa.large_binary())
             z = [squeeze(b"" if not t.is_valid else t.as_buffer()) for t in text]
@@ -38,5 +45,10 @@ def named(texts: DataFrame, names: DataFrame, name: str) -> DataFrame:
 
 def unpack(column: pa.Array) -> pa.Array:
     """The texts' bytes."""
-    open_ = zstandard.ZstdDecompressor().decompress
-    return pa.array([open_(z.as_buffer()) for z in column], pa.large_binary())
+    codec = pa.Codec("zstd")
+
+    def loosen(raw):
+        size = int.from_bytes(raw[:HEAD].to_pybytes(), "little")
+        return codec.decompress(raw[HEAD:], size, asbytes=True) if size else b""
+
+    return pa.array([loosen(z.as_buffer()) for z in column], pa.large_binary())
