@@ -6,14 +6,16 @@ table* over blocks of two words: the value says how far the search window may
 move on without passing a pattern. Where it is 0, the window's last block picks a
 bucket of patterns, and the words' bytes are compared before a match counts.
 
-Documents are scanned once and never shuffled. The benchmark reaches the tasks as
-broadcast blocks of at most ``block_bytes`` of text each (one larger item is a block
-of its own); a task holds one block at a time, so a benchmark of any size works.
+Documents are scanned once and never shuffled. The benchmark reaches the tasks in blocks of
+at most ``block_bytes`` of text each (one larger item is a block of its own). A block's
+tables are built once, on the driver, as flat arrays (about 12 bytes for each byte of text, and 8
+to 16 entries of a shift table for each pattern) and broadcast; workers read them back
+block by block and keep as many as HELD_BYTES allows, so a benchmark of any size works.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,52 +28,67 @@ from siltstone.llm.rows import ROW, append, with_row
 
 #: Words in a pattern.
 WINDOW = 10
-#: Benchmark text that one broadcast block holds at most.
-BLOCK_BYTES = 16 << 20
-#: log2 of the entries of a shift table.
-TABLE_BITS = 20
+#: Benchmark text that one broadcast block holds at most, and tables that a worker keeps from batch to batch.
+BLOCK_BYTES, HELD_BYTES = 4 << 20, 384 << 20
+#: log2 of the entries of a shift table for each pattern; least and most of them.
+SPARE_BITS, LEAST_BITS, MOST_BITS = 3, 12, 26
 #: Window starts that one search lane covers.
 LANE = 256
 
 
-def normalised_words(text: str | None) -> list[bytes]:
-    """The lower-cased words of a text, as bytes."""
-    data = K.LOWER[np.frombuffer((text or "").encode(), dtype=np.uint8)]
-    starts, ends, _ = K.word_spans(data, np.array([0, len(data)]), K.ALNUM)
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+class Words:
+    """The lower-cased words of texts: hashes, and their letters without what stands between them."""
 
+    def __init__(self, text: np.ndarray, offsets: np.ndarray):
+        self.starts, self.ends, self.first = K.word_spans(text, offsets, K.ALNUM)
+        self.hashes = K.span_hashes(text, self.starts, self.ends)
+        self.text = text
 
-def _block_index(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    def pack(self) -> Words:
+        """Letters in one run of bytes, for comparison; word i is letters[at[i]:at[i + 1]]."""
+        self.letters = self.text[K.ALNUM[self.text]].tobytes()
+        self.at = np.concatenate(([0], np.cumsum(self.ends - self.starts)))
+        return self
+
+    def equal(self, i: int, other: Words, j: int, n: int) -> bool:
+        """Whether n words from the i-th are byte by byte those of the other from its j-th on."""
+        a, b = self.at[i : i + n + 1], other.at[j : j + n + 1]
+        return self.letters[a[0] : a[-1]] == other.letters[b[0] : b[-1]] and np.array_equal(a - a[0], b - b[0])
+
+
+def _block_index(first: np.ndarray, last: np.ndarray, bits: int) -> np.ndarray:
     """Table index of a block of two words (of one word: the same hash twice)."""
-    return (K.mix(first * K.U64(0x9E3779B97F4A7C15) + last) >> K.U64(64 - TABLE_BITS)).astype(np.int64)
+    return (K.mix(first * K.U64(0x9E3779B97F4A7C15) + last) >> K.U64(64 - bits)).astype(np.int64)
 
 
-@dataclass
 class PatternGroup:
-    """Patterns of one length with their shift table and suffix buckets."""
-
-    length: int
-    words: np.ndarray  # uint64[patterns, length], sorted by bucket
-    texts: list[bytes]
-    items: list[list[str]]
-    shift: np.ndarray = field(init=False)
-    keys: np.ndarray = field(init=False)
-
-    def __post_init__(self):
-        size = min(2, self.length)
-        self.shift = np.full(1 << TABLE_BITS, self.length - size + 1, dtype=np.uint8 if self.length < 255 else np.int32)
-        for end in range(size - 1, self.length):
-            at = _block_index(self.words[:, end - size + 1], self.words[:, end])
-            np.minimum.at(self.shift, at, self.length - 1 - end)
-        order = np.argsort(keys := self.bucket_keys(self.words[:, -size], self.words[:, -1], K.shingle_hashes(self.words.ravel(), self.length)[:: self.length]))
-        self.keys, self.words = keys[order], self.words[order]
-        self.texts, self.items = [self.texts[i] for i in order], [self.items[i] for i in order]
-
-    @staticmethod
-    def bucket_keys(first: np.ndarray, last: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Patterns of one length, sorted by suffix bucket, with their shift table.
+
+    ``begin`` is where a pattern's words stand first in ``words``, ``items[own[p]:own[p + 1]]`` the
+    items of pattern p.
+    """
+
+    def __init__(self, length: int, words: Words, begin: np.ndarray, item: np.ndarray):
+        self.length, self.words = length, words
+        size = min(2, length)
+        self.bits = int(np.clip(np.ceil(np.log2(len(begin) + 1)) + SPARE_BITS, LEAST_BITS, MOST_BITS))
+        at = lambda k: words.hashes[begin + k]
+        self.shift = np.full(1 << self.bits, length - size + 1, dtype=np.uint8 if length < 255 else np.int32)
+        for end in range(size - 1, length):
+            np.minimum.at(self.shift, _block_index(at(end - size + 1), at(end), self.bits), length - 1 - end)
+        whole = K.shingle_hashes(words.hashes, length)[begin]
+        keys = self.bucket_keys(at(length - size), at(length - 1), whole)
+        order = np.lexsort((item, whole, keys))
+        begin, item, keys, whole = begin[order], item[order], keys[order], whole[order]
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (whole[1:] != whole[:-1])))
+        once = new | np.concatenate(([True], item[1:] != item[:-1]))
+        self.begin, self.keys = begin[new].astype(np.int32), keys[new]
+        self.items = item[once].astype(np.int32)
+        self.own = np.append(np.flatnonzero(new[once]), len(self.items)).astype(np.int32)
+
+    def bucket_keys(self, first: np.ndarray, last: np.ndarray, window: np.ndarray) -> np.ndarray:
         """The suffix bucket in the high bits, the window's hash orders a bucket's patterns."""
-        return (_block_index(first, last).astype(np.uint64) << K.U64(64 - TABLE_BITS)) | (window >> K.U64(TABLE_BITS))
+        return (_block_index(first, last, self.bits).astype(np.uint64) << K.U64(64 - self.bits)) | (window >> K.U64(self.bits))
 
     def search(self, words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window start, pattern) of windows whose word hashes agree with a pattern."""
@@ -82,7 +99,7 @@ class PatternGroup:
         stop = np.minimum(pos + LANE, np.repeat(firsts[:-1] + counts, lanes))
         found = []
         while len(pos):
-            step = self.shift[_block_index(words[pos + n - size], words[pos + n - 1])]
+            step = self.shift[_block_index(words[pos + n - size], words[pos + n - 1], self.bits)]
             if len(hits := pos[step == 0]):
                 found.append(hits)
             pos = pos + np.maximum(step, 1)
@@ -97,50 +114,65 @@ class PatternGroup:
         many = np.searchsorted(self.keys, keys, "right") - lo
         pattern = K.ragged(lo, many)
         at, window = np.repeat(at, many), np.repeat(window, many, axis=0)
-        same = (self.words[pattern] == window).all(axis=1)
+        same = (self.words.hashes[self.begin[pattern][:, None] + np.arange(n)] == window).all(axis=1)
         return at[same], pattern[same]
 
 
-def compile_patterns(items: list[tuple[str, str | None]], n: int = WINDOW) -> list[PatternGroup]:
-    """Pattern groups by length from (item id, text) pairs."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-    for item, text in items:
-        words = normalised_words(text)
-        size = min(n, len(words))
-        for i in range(len(words) - size + 1 if size else 0):
-            by_length.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(item)
+@dataclass
+class Block:
+    """The compiled patterns of some items."""
+
+    names: list[str]
+    groups: list[PatternGroup]
+
+    @property
+    def size(self) -> int:
+        """Bytes of its arrays, roughly."""
+        words = sum(x.nbytes for x in (self.groups[0].words.hashes, self.groups[0].words.at)) if self.groups else 0
+        return words + sum(x.nbytes for g in self.groups for x in (g.shift, g.begin, g.keys, g.items, g.own))
+
+
+def compile_patterns(items: list[tuple[str, str | None]], n: int = WINDOW) -> Block:
+    """Pattern groups by length from (item id, text) pairs; items of equal ids are one."""
+    raw = [(t or "").encode() for _, t in items]
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64)))
+    words = Words(K.LOWER[np.frombuffer(b"".join(raw), dtype=np.uint8)], offsets).pack()
+    names = sorted({i for i, _ in items})
+    place = {name: i for i, name in enumerate(names)}
+    item = np.array([place[i] for i, _ in items], dtype=np.int64)
+    count = np.diff(words.first)
+    length = np.minimum(count, n)
     groups = []
-    for size, patterns in sorted(by_length.items()):
-        flat = b" ".join(w for p in patterns for w in p)
-        data = np.frombuffer(flat, dtype=np.uint8)
-        starts, ends, _ = K.word_spans(data, np.array([0, len(data)]), K.ALNUM)
-        groups.append(PatternGroup(size, K.span_hashes(data, starts, ends).reshape(-1, size), [b" ".join(p) for p in patterns], [sorted(s) for s in patterns.values()]))
-    return groups
+    for size in np.unique(length[length > 0]).tolist():
+        own = np.flatnonzero(length == size)
+        many = count[own] - size + 1
+        groups.append(PatternGroup(size, words, K.ragged(words.first[own], many), np.repeat(item[own], many)))
+    del words.text, words.starts, words.ends, words.first
+    return Block(names, groups)
 
 
 def scan(column: pa.Array, blocks) -> "list[tuple]":
     """Per run of rows: (first row, words per row, hit words per row, runs of hit words, item ids)."""
     parts = []
     for row, data, offsets in K.slices(column):
-        text = K.LOWER[data]
-        starts, ends, first = K.word_spans(text, offsets, K.ALNUM)
-        parts.append((row, text, starts, ends, first, K.span_hashes(text, starts, ends), np.zeros(len(starts) + 1, np.int64), [set() for _ in range(len(first) - 1)]))
-    for groups in blocks():
-        for _, text, starts, ends, first, words, delta, items in parts:
-            raw = None
-            for g in groups:
-                at, pattern = g.search(words, first)
+        words = Words(K.LOWER[data], offsets)
+        parts.append((row, words, np.zeros(len(words.starts) + 1, np.int64), [set() for _ in range(len(offsets) - 1)]))
+    for block in blocks():
+        for _, words, delta, items in parts:
+            for g in block.groups:
+                at, pattern = g.search(words.hashes, words.first)
                 if not len(at):
                     continue
-                raw = text.tobytes() if raw is None else raw
-                owner = np.searchsorted(first, at, "right") - 1
+                if not hasattr(words, "letters"):
+                    words.pack()
+                owner = np.searchsorted(words.first, at, "right") - 1
                 for s, p, d in zip(at.tolist(), pattern.tolist(), owner.tolist(), strict=True):
-                    # the direct comparison
-                    if b" ".join(raw[a:b] for a, b in zip(starts[s : s + g.length].tolist(), ends[s : s + g.length].tolist(), strict=True)) == g.texts[p]:
+                    if words.equal(s, g.words, int(g.begin[p]), g.length):  # the direct comparison
                         delta[s] += 1
                         delta[s + g.length] -= 1
-                        items[d].update(g.items[p])
-    for row, _, _, _, first, _, delta, items in parts:
+                        items[d].update(block.names[i] for i in g.items[g.own[p] : g.own[p + 1]])
+    for row, words, delta, items in parts:
+        first = words.first
         hit = np.cumsum(delta[:-1]) > 0
         total = np.concatenate(([0], np.cumsum(hit)))
         spans = []
@@ -176,24 +208,27 @@ def find_contamination(
     held: list = []
     block: list[tuple[str, str]] = []
     size = 0
-    for r in items.toLocalIterator():  # one partition at a time; what is held is one block
+    room = HELD_BYTES
+
+    def send():
+        nonlocal room
+        compiled = compile_patterns(block, n)
+        room -= compiled.size
+        held.append((spark.sparkContext.broadcast(compiled), room >= 0))
+
+    for r in items.toLocalIterator():  # one partition at a time; what the driver's Python holds is one block
         if block and size + len(r["text"] or "") > block_bytes:
-            held.append(spark.sparkContext.broadcast(block))
+            send()
             block, size = [], 0
         block.append((r["item"], r["text"] or ""))
         size += len(r["text"] or "")
-    held.append(spark.sparkContext.broadcast(block))
-    ready: list = []  # in a worker: the only block's tables, built once
+    send()
 
     def blocks():
-        if len(held) == 1:
-            if not ready:
-                ready.append(compile_patterns(held[0].value, n))
-            yield ready[0]
-            return
-        for b in held:
-            yield compile_patterns(b.value, n)
-            b.__dict__.pop("_value", None)  # the worker reads it again from its local copy
+        for b, stays in held:
+            yield b.value
+            if not stays:
+                b.__dict__.pop("_value", None)  # the worker reads it again from its local copy
 
     def fn(batch):
         for row, n_words, n_hit, spans, found in scan(batch.column("text"), blocks):
