@@ -1,11 +1,13 @@
 """Toxicity by a classifier chain over sparse word features.
 
 The chain predicts categories one after another with logistic models. Each model sees
-the presence of selected features (words and word beginnings of 4, 5 and 6 bytes) and the
-probabilities of the categories before it; in training these are out-of-fold, so that a
-later model meets probabilities as honest as at prediction. Labels give one verdict,
-``toxic``, the chain's last link; the earlier categories are toxic documents with a
-word of the category's seed list.
+how often selected features (words and word beginnings of 4, 5 and 6 bytes) occur, and the
+probabilities of the categories before it; in training these are out-of-fold, from models whose
+features were selected without the fold as well, so that a later model meets probabilities as
+honest as at prediction. Labels give one verdict, ``toxic``, the chain's last link. The
+categories before it come from the labelled rows: features that tell toxic rows apart are put
+in CATEGORIES groups by the rows they stand in together, and a toxic row is of every category of
+which it has a feature. So each language, and each way of being toxic, finds a group of its own.
 
 Features are selected from, and models are fitted on, at most SAMPLE labelled documents
 (those whose id hashes lowest); every document is scored on its whole text, in one pass
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,22 +28,19 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 
 from siltstone.llm import kernel as K
 from siltstone.llm.rows import ROW, append, with_row
+from siltstone.llm.scratch import discard, materialize
 
 #: Labelled documents that models are fitted on at most.
 SAMPLE = 20_000
 #: Features of the models, and toxic documents that a feature must occur in.
-FEATURES, SUPPORT = 256, 5
+FEATURES, SUPPORT = 512, 4
 PREFIXES = (4, 5, 6)
 FOLDS, RIDGE = 5, 0.1
 #: Probability of ``toxic`` from which a document is rejected.
 THRESHOLD = 0.5
-#: Categories before ``toxic`` and their seed words.
-SEEDS = {
-    "insult": ["idiot", "moron", "stupid", "loser", "clown"],
-    "contempt": ["worthless", "pathetic", "disgusting"],
-    "dehumanising": ["scum", "trash", "vermin"],
-}
-CHAIN = [*SEEDS, "toxic"]
+#: Groups of features before ``toxic``.
+CATEGORIES = 4
+CHAIN = [*(f"group{i + 1}" for i in range(CATEGORIES)), "toxic"]
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,11 +56,6 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(rows), np.concatenate(found)
 
 
-def word_hash(word: str) -> int:
-    data = np.frombuffer(word.encode(), dtype=np.uint8)
-    return int(K.span_hashes(data, np.array([0]), np.array([len(data)]))[0])
-
-
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 12) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last coefficient is the intercept."""
     x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
@@ -90,25 +85,59 @@ class Chain:
         out = np.zeros((len(x), 0))
         for b in self.models:
             z = np.concatenate([x, out], axis=1) @ b[:-1] + b[-1]
-            out = np.concatenate([out, 1 / (1 + np.exp(-np.clip(z, -30, 30)))[:, None]], axis=1)
+            out = np.concatenate([out, sigmoid(z)[:, None]], axis=1)
         return out
 
     @classmethod
-    def fit(cls, selected: np.ndarray, x: np.ndarray, y: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> Chain:
-        """x: presence of features, y: a column for each category; a row stands for ``weight`` documents."""
+    def fit(cls, names: np.ndarray, x: np.ndarray, y: np.ndarray, fold: np.ndarray, weight: np.ndarray, columns: list[np.ndarray]) -> Chain:
+        """x: features (of sorted ``names``), y: a column for each category; a row stands for ``weight`` documents.
+
+        ``columns`` are the features that may be used without fold 0, 1, ..., and those of the final models.
+        """
         models, before = [], np.zeros((len(x), 0))
         for j in range(y.shape[1]):
-            own = np.concatenate([x, before], axis=1)
             held = np.zeros(len(x))
             for f in range(FOLDS):
                 out = fold == f
                 if out.any():
+                    own = np.concatenate([x[:, columns[f]], before], axis=1)
                     rest = ~out if (~out).any() else out
                     b = logistic(own[rest], y[rest, j], weight[rest])
-                    held[out] = 1 / (1 + np.exp(-np.clip(own[out] @ b[:-1] + b[-1], -30, 30)))
-            models.append(logistic(own, y[:, j], weight))
+                    held[out] = sigmoid(own[out] @ b[:-1] + b[-1])
+            models.append(logistic(np.concatenate([x[:, columns[-1]], before], axis=1), y[:, j], weight))
             before = np.concatenate([before, held[:, None]], axis=1)
-        return cls(selected, models)
+        return cls(names[columns[-1]], models)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def groups(present: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """The group of each feature (column) by the rows in which it is present: k-means by cosine.
+
+    The first centres are frequent features that stand together with none of the centres before them.
+    """
+    norm = np.linalg.norm(present, axis=0)
+    v = (present / np.maximum(norm, 1e-12)).T
+    if not len(v):
+        return np.zeros(0, dtype=np.int64)
+    centres, near = [], np.zeros(len(v))
+    for _ in range(min(k, len(v))):
+        centres.append(v[np.argmax((1 - near) * norm)])
+        near = np.maximum(near, v @ centres[-1])
+    c = np.array(centres)
+    own = np.zeros(len(v), dtype=np.int64)
+    for _ in range(rounds):
+        now = np.argmax(v @ c.T, axis=1)
+        if (now == own).all() and _:
+            break
+        own = now
+        for g in range(len(c)):
+            if (own == g).any():
+                mean = v[own == g].sum(axis=0)
+                c[g] = mean / max(np.linalg.norm(mean), 1e-12)
+    return own
 
 
 def sample_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
@@ -121,82 +150,93 @@ def sample_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Chain | None:
     """The chain, or None if there is no toxic or no other labelled document."""
     texts = sample_texts(docs, labels, id_col, text_col, label_col, sample)
-    counts = StructType([StructField("feature", LongType()), StructField("pos", LongType()), StructField("neg", LongType())])
+    counts = StructType([StructField("feature", LongType()), StructField("fold", IntegerType()), StructField("pos", LongType()), StructField("neg", LongType())])
+
+    def fold_of(ids):
+        return np.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids.to_pylist()], dtype=np.int32)
 
     def count(batches):
         for batch in batches:
-            toxic = batch.column("label").to_numpy() == 1
-            docs_of = np.array([toxic.sum(), (~toxic).sum()])
-            found = []
+            toxic, fold = batch.column("label").to_numpy() == 1, fold_of(batch.column("id"))
             for row, data, offsets in K.slices(batch.column("text")):
                 owner, feature = features(data, offsets)
+                n = len(offsets) - 1
+                # feature 0 counts the documents
+                owner, feature = np.concatenate([owner, np.arange(n)]), np.concatenate([feature, np.zeros(n, np.uint64)])
                 order = np.lexsort((feature, owner))
+                owner, feature = owner[order] + row, feature[order]
+                new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (feature[1:] != feature[:-1])))
+                owner, feature = owner[new], feature[new]
+                order = np.lexsort((fold[owner], feature))
                 owner, feature = owner[order], feature[order]
-                new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (feature[1:] != feature[:-1]))) if len(owner) else np.zeros(0, bool)
-                found.append((feature[new], toxic[row + owner[new]]))
-            if found:
-                feature, pos = (np.concatenate(c) for c in zip(*found, strict=True))
-                names, at = np.unique(feature, return_inverse=True)
-                n = np.bincount(at, minlength=len(names))
-                p = np.bincount(at, weights=pos, minlength=len(names)).astype(np.int64)
-                # feature 0 counts the documents
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([names.view(np.int64), [0]])), pa.array(np.concatenate([p, docs_of[:1]])), pa.array(np.concatenate([n - p, docs_of[1:]]))], counts.names)
-
-    summed = texts.mapInArrow(count, counts).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    total = F.broadcast(summed.where("feature = 0").select(F.col("pos").alias("p"), F.col("neg").alias("n")))
+                start = np.flatnonzero(np.concatenate(([True], (feature[1:] != feature[:-1]) | (fold[owner[1:]] != fold[owner[:-1]]))))
+                pos = np.add.reduceat(toxic[owner].astype(np.int64), start)
+                every = np.diff(np.append(start, len(owner)))
+                yield pa.RecordBatch.from_arrays([pa.array(feature[start].view(np.int64)), pa.array(fold[owner[start]]), pa.array(pos), pa.array(every - pos)], counts.names)
+
+    by_fold = [F.sum(F.when(F.col("fold") == f, F.col(c))) for f in range(FOLDS) for c in ("pos", "neg")]
+    sums = [F.coalesce(s, F.lit(0)).alias(f"{c}{f}") for s, (f, c) in zip(by_fold, [(f, c) for f in range(FOLDS) for c in ("pos", "neg")], strict=True)]
+    summed = materialize(texts.mapInArrow(count, counts).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), *sums).where(f"feature = 0 or pos >= {SUPPORT}"), "features")
+    total = summed.where("feature = 0").first()
+    if not total or not total["pos"] or not total["neg"]:
+        return None
     # how far the shares of toxic and other documents with the feature are apart, in standard errors
-    apart = F.expr("(pos / p - neg / n) / sqrt(greatest((pos + neg) / (p + n) * (1 - (pos + neg) / (p + n)), 1e-12) * (1 / p + 1 / n))")
-    best = summed.where(f"feature <> 0 and pos >= {SUPPORT}").join(total).where("p > 0 and n > 0").withColumn("z", apart).where("z > 3").orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature").collect()
-    selected = np.sort(np.array([r["feature"] for r in best], dtype=np.int64).view(np.uint64))
-    seeds = [np.array([word_hash(w) for w in words], dtype=np.uint64) for words in SEEDS.values()]
-    rows = StructType([StructField("fold", IntegerType()), StructField("label", IntegerType()), StructField("cats", ArrayType(IntegerType())), StructField("at", ArrayType(IntegerType()))])
+    tops = []
+    for f in range(FOLDS + 1):
+        less = lambda c: f"({c} - {c}{f})" if f < FOLDS else c  # noqa: B023, E731
+        p, n = (max(total[c] - (total[f"{c}{f}"] if f < FOLDS else 0), 1) for c in ("pos", "neg"))
+        share = f"({less('pos')} + {less('neg')}) / {p + n}"
+        z = F.expr(f"({less('pos')} / {p} - {less('neg')} / {n}) / sqrt(greatest({share} * (1 - {share}), 1e-12) * (1 / {p} + 1 / {n}))")
+        best = summed.where(f"feature <> 0 and {less('pos')} >= {SUPPORT}").withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "feature").limit(FEATURES)
+        tops.append(best.select(F.lit(f).alias("without"), "feature"))
+    chosen = reduce(DataFrame.union, tops).collect()  # a bounded number of features for each fold
+    discard(summed)
+    names = np.unique(np.array([r["feature"] for r in chosen], dtype=np.int64).view(np.uint64))
+    columns = [np.searchsorted(names, np.sort(np.array([r["feature"] for r in chosen if r["without"] == f], dtype=np.int64).view(np.uint64))) for f in range(FOLDS + 1)]
+    if not len(columns[-1]):
+        return None
+    rows = StructType([StructField("fold", IntegerType()), StructField("label", IntegerType()), StructField("at", ArrayType(IntegerType())), StructField("times", ArrayType(IntegerType()))])
 
-    def presence(batches):
+    def occurrences(batches):
         for batch in batches:
-            ids, label = batch.column("id").to_pylist(), batch.column("label").to_pylist()
+            fold, label = fold_of(batch.column("id")), batch.column("label")
             for row, data, offsets in K.slices(batch.column("text")):
-                owner, feature = features(data, offsets)
                 n = len(offsets) - 1
-                cats = np.zeros((n, len(seeds)), dtype=np.int32)
-                for j, s in enumerate(seeds):
-                    cats[owner[np.isin(feature, s)], j] = 1
-                at = matches(selected, owner, feature, n)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids[row : row + n]], pa.int32()), pa.array(label[row : row + n], pa.int32()),
-                    pa.array(list(cats), pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32())),
-                ], rows.names)
-
-    got = texts.mapInArrow(presence, rows).groupBy("fold", "label", "cats", "at").agg(F.count(F.lit(1)).alias("c")).collect()
-    toxic = sum(r["c"] for r in got if r["label"])
-    if not len(selected) or not toxic or toxic == sum(r["c"] for r in got):
-        return None
-    x = np.zeros((len(got), len(selected)))
+                at, times = matches(names, *features(data, offsets), n)
+                yield pa.RecordBatch.from_arrays([pa.array(fold[row : row + n]), label.slice(row, n), pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], rows.names)
+
+    got = texts.mapInArrow(occurrences, rows).groupBy(*rows.names).agg(F.count(F.lit(1)).alias("c")).collect()  # at most the sample
+    x = np.zeros((len(got), len(names)))
     for i, r in enumerate(got):
-        x[i, r["at"]] = 1
-    y = np.array([[c * r["label"] for c in r["cats"]] + [r["label"]] for r in got])
-    times = np.array([r["c"] for r in got])
-    return Chain.fit(selected, x, y, np.array([r["fold"] for r in got]), times)
+        x[i, r["at"]] = np.log1p(r["times"])
+    label, weight = np.array([r["label"] for r in got]), np.array([r["c"] for r in got])
+    final = x[:, columns[-1]] > 0
+    group = groups(final[label == 1] * np.sqrt(weight[label == 1])[:, None], CATEGORIES)
+    y = np.stack([*((final[:, group == g].any(axis=1) & (label == 1)).astype(int) for g in range(CATEGORIES)), label], axis=1)
+    return Chain.fit(names, x, y, np.array([r["fold"] for r in got]), weight, columns)
 
 
-def matches(selected: np.ndarray, owner: np.ndarray, feature: np.ndarray, n: int) -> list[np.ndarray]:
-    """Places among the selected features that each row has, sorted."""
+def matches(selected: np.ndarray, owner: np.ndarray, feature: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Places among the sorted selected features that each row has, ascending, and how often."""
     if not len(selected):
-        return [np.zeros(0, np.int32)] * n
+        return [np.zeros(0, np.int32)] * n, [np.zeros(0, np.int32)] * n
     at = np.minimum(np.searchsorted(selected, feature), len(selected) - 1)
     hit = selected[at] == feature
-    pairs = np.unique(owner[hit].astype(np.int64) * len(selected) + at[hit])
+    pairs, times = np.unique(owner[hit].astype(np.int64) * len(selected) + at[hit], return_counts=True)
     rows = pairs // len(selected)
     cuts = np.searchsorted(rows, np.arange(n + 1))
-    places = (pairs % len(selected)).astype(np.int32)
-    return [places[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    places, times = (pairs % len(selected)).astype(np.int32), times.astype(np.int32)
+    return [places[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [times[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def score_toxicity(docs: DataFrame, chain: Chain | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``row`` (struct of the kept columns) and a probability column for each category.
 
     Null and empty texts, and texts without a selected feature, get the chain's base
-    probabilities; repeated rows are scored one by one. Without a chain (no labels of
-    both kinds) every probability is 0.
+    probabilities; repeated rows are scored one by one, very long texts whole; an empty table
+    gives no rows, and the caller's columns may have any names. Without a chain (no labels of
+    both kinds, or no feature that tells them apart) every probability is 0. Features that tell
+    equally well are taken in order of their hashes.
     """
 
     def fn(batch):
@@ -205,14 +245,14 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, text_col: str = "text",
             if chain is None:
                 p = np.zeros((n, len(CHAIN)))
             else:
-                at = matches(chain.features, *features(data, offsets), n)
+                at, times = matches(chain.features, *features(data, offsets), n)
                 base = chain.predict(np.zeros((1, len(chain.features))))
                 p = np.repeat(base, n, axis=0)
                 some = [i for i, a in enumerate(at) if len(a)]
                 if some:
                     x = np.zeros((len(some), len(chain.features)))
                     for k, i in enumerate(some):
-                        x[k, at[i]] = 1
+                        x[k, at[i]] = np.log1p(times[i])
                     p[some] = chain.predict(x)
             yield row, n, {f"p_{c}": pa.array(p[:, j].copy()) for j, c in enumerate(CHAIN)}
 

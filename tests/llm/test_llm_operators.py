@@ -165,11 +165,10 @@ def test_distinct_documents_with_clashing_names(spark):
     assert got.columns == names and sorted(tuple(r) for r in got.collect()) == [r for r in rows if r[0] != 1]
 
 
-@pytest.mark.parametrize("group", [2048, 1])
-def test_suffix_repeats(docs, group, monkeypatch):
+@pytest.mark.parametrize(("group", "length"), [(2048, 60), (1, 60), (2048, 200), (2048, 280), (1, 400), (2048, 400)])
+def test_suffix_repeats(docs, group, length, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP_REGIONS", group)
     rows, df = docs
-    length = 60
     count = collections.Counter()
     for r in rows:
         b = (r[1] or "").encode()
@@ -187,6 +186,8 @@ def test_suffix_repeats(docs, group, monkeypatch):
     got = suffix_dedup.remove_repeats(df, length=length, q=20, with_text=True).collect()
     assert collections.Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.kept if r.n_removed else None) for r in got) == expected
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(df, length=1 << 16)
 
 
 def test_decontamination(spark, docs):
@@ -221,6 +222,19 @@ def test_decontamination(spark, docs):
     assert decontaminate.contamination_report(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_blocks_are_compiled_once_each_on_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"x{i % 3} " + " ".join(f"item{i % 3}word{j}" for j in range(15))) for i in range(300)], "doc_id bigint, text string").repartition(6)
+    bench = spark.createDataFrame([(f"i{i}", " ".join(f"item{i}word{j}" for j in range(12))) for i in range(3)], "item_id string, text string")
+    calls, compile_ = [], decontaminate.compile_patterns
+    monkeypatch.setattr(decontaminate, "compile_patterns", lambda *a: calls.append(1) or compile_(*a))
+    for held in (384 << 20, 0):  # kept in the workers, or read again for each batch
+        monkeypatch.setattr(decontaminate, "HELD_BYTES", held)
+        calls.clear()
+        found = decontaminate.find_contamination(docs, bench, keep=["doc_id"], block_bytes=100)
+        assert [(r["row"].doc_id, r["items"], r.n_hit) for r in found.orderBy("row.doc_id").collect()] == [(i, [f"i{i % 3}"], 12) for i in range(300)]
+        assert len(calls) == 3
+
+
 def test_tokens_round_trip(spark, docs, monkeypatch):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -390,6 +404,43 @@ def test_toxicity(spark):
     assert toxicity.toxicity_report(df.limit(0), table).count() == 0
 
 
+def test_chain_arithmetic():
+    """Models and probabilities of a chain against plain loops over folds, features and categories."""
+    rng = np.random.default_rng(4)
+    x = np.log1p(rng.poisson(0.7, (120, 6)))
+    y = np.stack([(x[:, 0] + rng.normal(0, 0.3, 120) > 0.8), (x[:, 1] + x[:, 0] > 1.2)], axis=1).astype(int)
+    fold, weight = rng.integers(0, toxicity.FOLDS, 120), rng.integers(1, 4, 120)
+    columns = [np.sort(rng.choice(6, 4, replace=False)) for _ in range(toxicity.FOLDS)] + [np.arange(1, 6)]
+    chain = toxicity.Chain.fit(np.arange(6).astype(np.uint64), x, y, fold, weight, columns)
+    assert chain.features.tolist() == [1, 2, 3, 4, 5]
+    earlier = [[] for _ in range(120)]
+    for j in range(2):
+        held = {}
+        for f in range(toxicity.FOLDS):
+            rest = [i for i in range(120) if fold[i] != f]
+            b = toxicity.logistic(np.array([[*x[i, columns[f]], *earlier[i]] for i in rest]), y[rest, j], weight[rest])
+            for i in range(120):
+                if fold[i] == f:
+                    held[i] = 1 / (1 + np.exp(-(sum(v * w for v, w in zip([*x[i, columns[f]], *earlier[i]], b[:-1], strict=True)) + b[-1])))
+        assert chain.models[j] == pytest.approx(toxicity.logistic(np.array([[*x[i, 1:], *earlier[i]] for i in range(120)]), y[:, j], weight), abs=1e-6)
+        earlier = [[*earlier[i], held[i]] for i in range(120)]
+    p = chain.predict(x[:, 1:])
+    for i in range(0, 120, 7):
+        got = []
+        for b in chain.models:
+            got.append(1 / (1 + np.exp(-(sum(v * w for v, w in zip([*x[i, 1:], *got], b[:-1], strict=True)) + b[-1]))))
+        assert p[i] == pytest.approx(got)
+
+
+def test_groups_follow_the_rows_features_share():
+    present = np.zeros((40, 9))
+    for row in range(40):
+        present[row, (row % 3) * 3 + np.array([row // 3 % 3, (row // 3 + 1) % 3])] = 1
+    own = toxicity.groups(present, 3)
+    assert len(set(own)) == 3 and all(len(set(own[g * 3 : g * 3 + 3])) == 1 for g in range(3))
+    assert toxicity.groups(np.zeros((3, 0)), 3).tolist() == []
+
+
 def test_positive_unlabelled_quality(spark):
     rows, labels = _learnable()
     df = spark.createDataFrame([*rows, (None, None, 0.0), (1000, "", 0.0)], "doc_id bigint, text string, score double")
