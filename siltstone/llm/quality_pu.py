@@ -10,9 +10,10 @@ prior is estimated from a first classifier of positives against unlabelled text:
 any score the share of unlabelled text over the share of positives is no smaller than the
 prior, and the smallest such ratio, with a margin for sampling, estimates it.
 
-The gradients take at most SAMPLE documents of either kind (those whose id hashes lowest) from
-the statistics that one pass over the whole texts leaves; centre, scale and the prior's tail
-shares are aggregates over all of them, and every document is scored.
+One pass over the whole texts leaves the statistics of every document: thirteen counts, and
+the shares of its words in HASHED groups by hash. Risks, gradients and curvatures of unlabelled
+text are sums over all of them, a pass for each Newton step, as are centre, scale and the
+prior's tail shares; of labelled positives at most SAMPLE are taken (those whose id hashes lowest).
 """
 
 from __future__ import annotations
@@ -30,15 +31,16 @@ from siltstone.llm import kernel as K
 from siltstone.llm.rows import ROW, append, with_row
 from siltstone.llm.scratch import materialize
 
-#: Documents of either kind that the gradients take at most.
+#: Labelled positives that are learnt from at most.
 SAMPLE = 20_000
 #: Score from which a document is predicted to be good.
 THRESHOLD = 0.7
 #: Remainder of crc32(doc_id) modulo 4 of the documents whose labels are never learnt.
 HELD_OUT = 2
-ROUNDS, RATE, RIDGE = 600, 0.05, 1e-3
+#: Newton steps at most, longest step of a weight, weight of the squared weights, and groups of words.
+ROUNDS, REACH, RIDGE, HASHED = 40, 2.0, 0.02, 16
 
-NAMES = ["symbols", "shouts", "capitals", "digits", "word_length", "words", "variety", "stutter", "repeats", "same_lines", "stops", "marks", "short_words"]
+NAMES = ["symbols", "shouts", "capitals", "digits", "word_length", "words", "variety", "stutter", "repeats", "same_lines", "stops", "marks", "short_words", *(f"words{i}" for i in range(HASHED))]
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 _MARK = np.array([chr(b).isascii() and chr(b).isprintable() and not chr(b).isalnum() and b != 32 for b in range(256)])
 _LINE = np.arange(256) != 10
@@ -78,11 +80,13 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             same[i] = 1 - len(np.unique(lines[lf[i] : lf[i + 1]])) / (lf[i + 1] - lf[i])
     short = np.concatenate(([0], np.cumsum(ends - starts <= 3)))
     stutter = np.concatenate(([0], np.cumsum(again[:-1])))
-    out = np.stack([
+    shares = np.zeros((n, HASHED))
+    np.add.at(shares, (owner, (hashes >> K.U64(40)).astype(np.int64) % HASHED), 1.0)
+    out = np.concatenate([np.stack([
         per_row(_SYMBOL[data]) / some, per_row(data == 0x21) / some, per_row(capital) / chars, per_row((data >= 0x30) & (data <= 0x39)) / chars,
         letters / some / 10, np.log1p(words) / 10, np.where(words > 1, variety, 1.0), (stutter[first[1:]] - stutter[first[:-1]]) / some, repeats, same,
         per_row(data == 0x2E) / some, per_row(_MARK[data]) / some, (short[first[1:]] - short[first[:-1]]) / some,
-    ], axis=1)
+    ], axis=1), shares / some[:, None]], axis=1)
     out[words == 0] = 0
     return out
 
@@ -98,14 +102,43 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def minimise(gradient, size: int) -> np.ndarray:
-    """Adam on the full batch."""
-    b, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    for t in range(1, ROUNDS + 1):
-        g = gradient(b)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        b = b - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return b
+#: Of weights, over unlabelled rows: how many there are, summed loss l(-f), its gradient and its curvature.
+Sums = Callable[[np.ndarray], tuple[int, float, np.ndarray, np.ndarray]]
+
+
+def sums_of(u: np.ndarray, b: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
+    s = sigmoid(u @ b)
+    return len(u), float(np.logaddexp(0, u @ b).sum()), u.T @ s, (u * (s * (1 - s))[:, None]).T @ u
+
+
+def risk(p: np.ndarray, sums: tuple, b: np.ndarray, share: float, taken: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Value, gradient and curvature of share * E_P[l(f)] + max(0, E_U[l(-f)] - taken * E_P[l(-f)]) with a ridge."""
+    n, loss, slope, bend = sums
+    s = sigmoid(p @ b)
+    own = (p * (s * (1 - s))[:, None]).T @ p / len(p)
+    value, gradient, curvature = share * np.mean(np.logaddexp(0, -(p @ b))), share * (p.T @ (s - 1)) / len(p), share * own
+    rest = loss / n - taken * np.mean(np.logaddexp(0, p @ b))
+    if rest > 0:
+        value, gradient, curvature = value + rest, gradient + slope / n - taken * (p.T @ s) / len(p), curvature + bend / n - taken * own
+    return value + RIDGE / 2 * (b @ b), gradient + RIDGE * b, curvature + RIDGE * np.eye(len(b))
+
+
+def minimise(p: np.ndarray, sums: Sums, share: float, taken: float) -> np.ndarray:
+    """Weights of the least risk by Newton steps, halved where they would raise it."""
+    b = best = np.zeros(p.shape[1])
+    least, step, part = np.inf, np.zeros(p.shape[1]), 1.0
+    for _ in range(ROUNDS):
+        value, gradient, curvature = risk(p, sums(b), b, share, taken)
+        if value <= least:
+            gained, least, best, part = least - value, value, b, 1.0
+            step = np.linalg.solve(curvature, gradient)
+            step *= min(1.0, REACH / max(1e-12, np.abs(step).max()))
+            if gained < 1e-7 or np.abs(step).max() < 1e-4:
+                break
+        elif (part := part / 4) < 1e-3:
+            break
+        b = best - part * step
+    return best
 
 
 def tail_cuts(p: np.ndarray) -> np.ndarray:
@@ -135,26 +168,17 @@ def prior_of(p: np.ndarray, reached: np.ndarray, n: int) -> float:
 class PositiveUnlabelled:
     """The fitted model: ``score`` of statistics, and the estimated prior.
 
-    ``quantiles`` (the 0.1, 0.5 and 0.9 quantile of each statistic) and ``tails`` (of weights and cuts:
-    how many documents reach each cut, and how many there are) are of the whole corpus.
+    ``quantiles`` (the 0.1, 0.5 and 0.9 quantile of each statistic), ``tails`` (of weights and cuts:
+    how many documents reach each cut, and how many there are) and ``sums`` are of the whole corpus.
     """
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, quantiles: np.ndarray, tails: Callable[[PositiveUnlabelled, np.ndarray, np.ndarray], tuple[np.ndarray, int]]):
+    def __init__(self, positive: np.ndarray, quantiles: np.ndarray, sums: Callable[[PositiveUnlabelled, np.ndarray], tuple], tails: Callable[[PositiveUnlabelled, np.ndarray, np.ndarray], tuple[np.ndarray, int]]):
         low, self.centre, high = quantiles
         self.scale = np.maximum((high - low) / 2, 0.01)
-        p, u = expand(positive, self.centre, self.scale), expand(unlabelled, self.centre, self.scale)
-        first = minimise(lambda b: p.T @ (sigmoid(p @ b) - 1) / len(p) + u.T @ sigmoid(u @ b) / len(u) + RIDGE * b, p.shape[1])
-        prior = self.prior = prior_of(p @ first, *tails(self, first, tail_cuts(p @ first)))
-
-        def gradient(b):
-            sp, su = sigmoid(p @ b), sigmoid(u @ b)  # slopes of l(-f)
-            risk = np.mean(np.logaddexp(0, u @ b)) - prior * np.mean(np.logaddexp(0, p @ b))
-            negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-            if risk < 0:  # the part that can't be negative is: step back from it alone
-                return -negative
-            return prior * (p.T @ (sp - 1)) / len(p) + negative + RIDGE * b
-
-        self.weights = minimise(gradient, p.shape[1])
+        p, over = expand(positive, self.centre, self.scale), partial(sums, self)
+        first = minimise(p, over, 1.0, 0.0)
+        self.prior = prior_of(p @ first, *tails(self, first, tail_cuts(p @ first)))
+        self.weights = minimise(p, over, self.prior, self.prior)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(expand(x, self.centre, self.scale) @ self.weights)
@@ -200,27 +224,43 @@ def corpus_tails(stats: DataFrame, model: PositiveUnlabelled, weights: np.ndarra
     return np.array([counts[i] for i in range(len(cuts))]), counts[len(cuts)]
 
 
+def corpus_sums(stats: DataFrame, model: PositiveUnlabelled, weights: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """``sums_of`` over all rows: partial sums in the tasks, then sums by cell."""
+    centre, scale, size = model.centre, model.scale, len(weights)
+
+    def run(batches):
+        total = np.zeros(2 + size + size * size)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                n, loss, slope, bend = sums_of(expand(_matrix(batch.column("x").slice(at, 4096)), centre, scale), weights)
+                total += np.concatenate([[n, loss], slope, bend.ravel()])
+        if total[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["cell", "v"])
+
+    got = stats.select("x").mapInArrow(run, "cell bigint, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow().sort_by("cell").column("v").to_numpy()
+    return int(got[0]), float(got[1]), got[2 : 2 + size], got[2 + size :].reshape(size, size)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
     Labels are learnt from documents outside the held-out remainder only, and only the
-    value 1 is used; unlabelled text is any document outside it. Null and empty texts have
-    statistics of 0 and get a score like all others; a null doc_id is not held out and not
-    learnt from; documents that repeat are scored one by one; a document labelled more than once
-    is positive if all its labels are 1; without positives every score is 0. The centre and scale
-    of the statistics and the tail shares of the prior, which need no labels, are of all documents;
-    only the gradients see samples.
+    value 1 is used, of at most ``sample`` documents; unlabelled text is every document outside it.
+    Null and empty texts have statistics of 0 and get a score like all others; very long texts are
+    read whole; a null doc_id is not held out and not learnt from; documents that repeat are scored
+    one by one; a document labelled more than once is positive if all its labels are 1; without
+    positives every score is 0; an empty table gives no rows. Centre and scale of the statistics and
+    the tail shares of the prior, which need no labels, are of all documents. Other columns are not
+    looked at, whatever their names.
     """
     stats = materialize(text_statistics(docs, keep=["doc_id"]).select(F.col(f"{ROW}.doc_id").alias("doc_id"), "x"), "statistics")
     learn = stats.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    lowest = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = lowest(good.where(fold(F.col("doc_id")) != HELD_OUT))
+    chosen = good.where(fold(F.col("doc_id")) != HELD_OUT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     positive = learn.join(F.broadcast(chosen), "doc_id").select("x").toArrow().column("x")
-    unlabelled = lowest(learn).select("x").toArrow().column("x")
     model = None
-    if len(positive) and len(unlabelled):
-        model = PositiveUnlabelled(_matrix(positive.combine_chunks()), _matrix(unlabelled.combine_chunks()), corpus_quantiles(stats), partial(corpus_tails, stats))
+    if len(positive):
+        model = PositiveUnlabelled(_matrix(positive.combine_chunks()), corpus_quantiles(stats), partial(corpus_sums, learn), partial(corpus_tails, stats))
 
     def run(batches):
         for batch in batches:

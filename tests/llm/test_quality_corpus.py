@@ -39,3 +39,39 @@ def test_centre_scale_and_prior_are_of_all_documents(spark, monkeypatch):
 def test_counts_above_cuts():
     u, cuts = np.array([0.0, 1, 1, 2, 5]), np.array([0.5, 1, 1, 2, 9])
     assert quality_pu.counts_from(u, cuts).tolist() == [(u >= c).sum() for c in cuts]
+
+
+def test_least_risk_against_a_plain_loop():
+    """Newton's weights beat many small steps of plain gradient descent, and the gradient is that of the value."""
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(0.7, 1, (300, 3)), np.concatenate([rng.normal(0.7, 1, (400, 3)), rng.normal(-0.7, 1, (600, 3))])
+    p, u = (np.concatenate([x, np.ones((len(x), 1))], axis=1) for x in (p, u))
+    for share, taken in ((1.0, 0.0), (0.4, 0.4)):
+        value = lambda b, t=taken, s=share: quality_pu.risk(p, quality_pu.sums_of(u, b), b, s, t)
+        best = quality_pu.minimise(p, lambda b: quality_pu.sums_of(u, b), share, taken)
+        b = np.zeros(4)
+        for _ in range(3000):
+            b = b - 0.3 * value(b)[1]
+        plain = sum(np.log1p(np.exp(-x @ b)) for x in p) / len(p) * share + max(0, sum(np.log1p(np.exp(x @ b)) for x in u) / len(u) - taken * sum(np.log1p(np.exp(x @ b)) for x in p) / len(p)) + quality_pu.RIDGE / 2 * (b @ b)
+        assert value(b)[0] == pytest.approx(plain) and value(best)[0] <= plain + 1e-5
+        for i in range(4):
+            d = np.eye(4)[i] * 1e-5
+            assert (value(b + d)[0] - value(b - d)[0]) / 2e-5 == pytest.approx(value(b)[1][i], abs=1e-5)
+
+
+def test_sums_and_edge_cases(spark):
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(0, 1, (50, len(quality_pu.NAMES)))).astype(np.float32)
+    stats = spark.createDataFrame([(r.tolist(),) for r in x], "x array<float>").repartition(4)
+
+    class Model:
+        centre, scale = np.zeros(x.shape[1]), np.ones(x.shape[1])
+
+    u = quality_pu.expand(x.astype(float), Model.centre, Model.scale)
+    b = rng.normal(0, 0.1, u.shape[1])
+    for got, expected in zip(quality_pu.corpus_sums(stats, Model, b), quality_pu.sums_of(u, b), strict=True):
+        assert np.allclose(got, expected)
+    docs = spark.createDataFrame([(1, "a text"), (None, None), (2, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (None, 1), (2, None)], "doc_id bigint, quality int")
+    assert quality_pu.score_quality(docs, labels).count() == 3
+    assert quality_pu.score_quality(docs.limit(0), labels).count() == 0
