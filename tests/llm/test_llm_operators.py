@@ -315,11 +315,14 @@ def test_main_text(spark):
 
 
 def test_wrapper_inference_is_union_free():
-    a, _ = html_wrapper.expression("<body><h1>t</h1><p>a</p><p>b</p><hr></body>")
-    b, _ = html_wrapper.expression("<body><p>a</p><table><tr><td>1<td>2<tr><td>3</table></body>")
-    assert html_wrapper.render(html_wrapper.merge(a, b)) == "(body(h1(#)? p(#)+ table(tr(td(#)+)+)?))"
-    c, _ = html_wrapper.expression("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>")
-    assert html_wrapper.render(c) == "(dl((dt(#) dd(#))+))"
+    tree = lambda page: html_wrapper.parse(page)[0]
+    a = tree("<body><h1>t</h1><p>a</p><p>b</p><hr></body>")
+    b = tree("<body><p>a</p><table><tr><td>1<td>2<tr><td>3</table></body>")
+    assert html_wrapper.render(html_wrapper.merge(a, b)) == "(body(h1(#)? p(#) p(#)? table(tr(td(#) td(#)) tr(td(#)))?))"
+    c = tree("<body><p>x</p><p>y</p></body>")
+    assert html_wrapper.render(html_wrapper.merge(html_wrapper.merge(a, c), tree("<body><p>1</p><p>2</p><p>3</p><p>4</p></body>"))) == "(body(h1(#)? p(#)*))"
+    d, e = (tree("<dl>" + "".join(f"<dt>{k}{i}<dd>{k}{i}" for i in range(n)) + "</dl>") for k, n in (("u", 2), ("v", 3)))
+    assert html_wrapper.render(html_wrapper.merge(d, e)) == "(dl((dt(#)? dd(#)?)+))"
 
 
 def test_quality_rules_are_exact(spark):
