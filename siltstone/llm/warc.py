@@ -22,9 +22,9 @@ from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from siltstone.llm.scratch import discard, materialize, new_path
 from siltstone.llm.tokens import open_fs
@@ -192,11 +192,11 @@ def convert(records: Iterable[ArcRecord], refers_to: Callable[[dict[str, str], s
             headers |= {"WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response" if http else r.fields["content_type"]}
             if re.fullmatch(r"[0-9a-fA-F:.]+", r.fields["ip"]) and r.fields["ip"] != "0.0.0.0":
                 headers["WARC-IP-Address"] = r.fields["ip"]
-            headers["WARC-Record-ID"] = record_id("response", own.get("x-page-id", url), digest)
+            headers["WARC-Record-ID"] = record_id("response", own.get("x-page-id") or url, digest)
             earlier = refers_to(own, digest) if refers_to and http else None
             if earlier:
                 headers |= {"WARC-Type": "revisit", "WARC-Profile": SAME_PAYLOAD, "WARC-Refers-To": earlier[0], "X-Refers-To-Page": earlier[1]}
-                headers["WARC-Record-ID"] = record_id("revisit", own.get("x-page-id", url), r.fields["date"], digest)
+                headers["WARC-Record-ID"] = record_id("revisit", own.get("x-page-id") or url, r.fields["date"], digest)
                 block = block[: len(block) - len(payload)]
         headers["WARC-Block-Digest"] = f"sha1:{sha1_base32(block)}"
         yield WarcRecord(headers, block)
@@ -241,6 +241,8 @@ def archive_pages(pages: DataFrame, out_uri: str | None = None, min_bytes: int =
     html is an empty payload, a url without http a placeholder of its page_id; a null page_id is larger than
     any other; rows that repeat the smallest page_id are all responses. Rows are dealt out
     by payload; a payload that many pages share is split over tasks by the adaptive join.
+    An empty table gives no files; very long pages are one record each; only the three columns are
+    read, so others may have any names.
     """
     spark = pages.sparkSession
     out_uri = out_uri or new_path(spark, "warc")
@@ -274,6 +276,55 @@ def archive_pages(pages: DataFrame, out_uri: str | None = None, min_bytes: int =
     return manifest
 
 
+ARC = StructType([StructField("path", StringType()), *(StructField(c, StringType()) for c in ("url", "ip", "date", "content_type")), StructField("version", IntegerType()), StructField("block", BinaryType())])
+
+
+def _files(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, content) of existing archives by Spark's own reader; a file is one row, of 2 GB at most."""
+    return spark.read.format("binaryFile").load(glob).select("path", "content")
+
+
+def read_arc_files(spark: SparkSession, glob: str) -> DataFrame:
+    """A row for each record of existing ARC files (plain, or of gzip members), without their version blocks.
+
+    A file that is cut off, begins with no version block, or is of an unknown version raises ArchiveError.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                for r in read_arc(io.BytesIO(content)):
+                    if not r.url.startswith("filedesc://"):
+                        values = [path, *(r.fields[c] for c in ("url", "ip", "date", "content_type")), r.version, r.block]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (*[pa.string()] * 5, pa.int32(), pa.binary()), strict=True)], ARC.names)
+
+    return _files(spark, glob).mapInArrow(run, ARC)
+
+
+def convert_arc_files(spark: SparkSession, glob: str, out_uri: str) -> DataFrame:
+    """Write a WARC file, of one name with its ARC file, for each existing ARC file; return the manifest.
+
+    A task that runs twice writes the same bytes under the same name.
+    """
+
+    def run(batches):
+        fs, base = open_fs(out_uri)
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                name = re.sub(r"\.arc(\.gz)?$", "", path.rpartition("/")[2]) + f"-{zlib.crc32(path.encode()):08x}.warc.gz"
+                temp, n, size = f"{base}/.{name}.{uuid.uuid4().hex}", 0, 0
+                with fs.open_output_stream(temp, compression=None) as sink:
+                    for record in convert(read_arc(io.BytesIO(content))):
+                        sink.write(write_warc(record))
+                        n += record.headers["WARC-Type"] != "warcinfo"
+                        size += len(record.block)
+                fs.move(temp, f"{base}/{name}")
+                yield pa.RecordBatch.from_arrays([pa.array([f"{out_uri}/{name}"]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], MANIFEST.names)
+
+    return materialize(_files(spark, glob).mapInArrow(run, MANIFEST), "manifest")
+
+
 class _Shards:
     """A task's WARC files; each gets its name when it is complete."""
 
