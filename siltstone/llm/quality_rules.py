@@ -132,13 +132,17 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_co
     A null text has no words and fails the base rule, like an empty one; a null stratum is a
     stratum of its own; a document that is labelled more than once is good if all labels
     are 1; null labels and labels without a document are not used; repeated documents are
-    judged (and counted in the holdout) row by row; without labels only the base rule rejects.
+    judged row by row, but equal texts of a stratum count once in the holdout, as trials have to be
+    independent; without labels only the base rule rejects; an empty table gives no rows; very
+    long texts are read whole, and columns that are not named are not looked at.
     """
-    feats = materialize(base_features(docs, keep=[id_col, stratum_col]), "features")
-    feats = feats.select(F.col(f"row.{id_col}").alias("doc_id"), F.coalesce(F.col(f"row.{stratum_col}"), F.lit("")).alias("stratum"), *feats.columns[1:])
+    known = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{stratum_col}`"].alias("stratum"), "text", F.xxhash64("text").alias("th"))
+    feats = materialize(base_features(known, keep=["doc_id", "stratum", "th"]), "features")
+    feats = feats.select("row.doc_id", F.coalesce(F.col("row.stratum"), F.lit("")).alias("stratum"), F.col("row.th").alias("th"), *feats.columns[1:])
     feats = feats.withColumns(rule_features()).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
-    cutoffs = materialize(select_cutoffs(feats.where(~F.col("base_failed")).join(good, "doc_id"), risk, error), "cutoffs")
+    held = feats.where(~F.col("base_failed")).join(good.where("good = 1"), "doc_id").dropDuplicates(["stratum", "th"])
+    cutoffs = materialize(select_cutoffs(held, risk, error), "cutoffs")
     hit = F.lit(False)
     for rule in GRID:
         hit = hit | F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False))
@@ -173,14 +177,14 @@ with split as (
 ), repeated as (
   select doc_id, count(distinct i + j) as n from twice, (select unnest(range(0, {REPEAT_WINDOW})) as j) group by doc_id
 ), feats as (
-  select doc_id, stratum, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+  select doc_id, stratum, text, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
     coalesce(n, 0)::bigint as n_repeat_words, len(lines) as n_lines, length(regexp_replace(text, '[^!]', '', 'g')) as n_shouts
   from split left join repeated using (doc_id)
 ), rated as (
   select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, {", ".join(f"{e} as {r}" for r, e in rules.items())} from feats
 ), held as (
-  select rated.* from rated join (select doc_id from labels where quality is not null group by doc_id having min(quality) = 1) using (doc_id) where not base_failed
+  select distinct on (stratum, text) rated.* from rated join (select doc_id from labels where quality is not null group by doc_id having min(quality) = 1) using (doc_id) where not base_failed
 ), tries as (
   {tries}
 ), tested as (
