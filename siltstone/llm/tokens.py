@@ -248,11 +248,16 @@ class ShardWriter:
         self.put_docs()
         for x in (self.writer, self.sink, self.docs_writer, self.docs_sink):
             x.close()
-        # same rows, same bytes: a task that runs twice replaces a shard by an equal one
+        # same rows, same bytes: of a task that runs twice the first whole file stays, so readers always find one
         for end in (".docs", ""):
-            if self.fs.get_file_info(self.path + end).type != pafs.FileType.NotFound:
-                self.fs.delete_file(self.path + end)
-            self.fs.move(self.temp + end, self.path + end)
+            if self.fs.get_file_info(self.path + end).type == pafs.FileType.NotFound:
+                try:
+                    self.fs.move(self.temp + end, self.path + end)
+                    continue
+                except OSError:  # a rival attempt was faster
+                    if self.fs.get_file_info(self.path + end).type == pafs.FileType.NotFound:
+                        raise
+            self.fs.delete_file(self.temp + end)
         return self.path, self.n_docs, self.total
 
 
@@ -273,6 +278,42 @@ def read_shard(fs: pafs.FileSystem, path: str) -> Iterator[tuple[int | None, int
                 yield doc_id, start, held[start - base : start - base + count]
 
 
+class Shard:
+    """Random access to the sequences of a shard: ``shard[i]`` is (ids, mask) of sequence i.
+
+    Ids are a view of NumPy's, the mask (one bit each) a view of Arrow's; on a local file system both lie in the
+    memory map of the file and nothing is copied. All batches but the last hold equally many
+    sequences, so where sequence i stands is known without reading others.
+    """
+
+    def __init__(self, fs: pafs.FileSystem, path: str):
+        local = isinstance(fs, pafs.LocalFileSystem)
+        self.source = pa.memory_map(path) if local else fs.open_input_file(path)
+        self.reader = pa.ipc.open_file(self.source)
+        n = self.reader.num_record_batches
+        self.batch = self.reader.get_batch(0).num_rows if n else 1
+        self.length = (n - 1) * self.batch + self.reader.get_batch(n - 1).num_rows if n else 0
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        if not 0 <= i < self.length:
+            raise IndexError(f"sequence {i} of {self.length}")
+        held, row = self.reader.get_batch(i // self.batch), i % self.batch
+        ids, mask = (held.column(c) for c in ("input_ids", "mask"))
+        size = ids.type.list_size
+        return ids.values.slice(row * size, size).to_numpy(zero_copy_only=True), mask.values.slice(row * size, size)
+
+    def close(self) -> None:
+        self.source.close()
+
+
+def open_shard(uri: str) -> Shard:
+    """A shard of ``write_token_shards`` by its path."""
+    return Shard(*open_fs(uri))
+
+
 SHARD = StructType([StructField("range_id", LongType()), StructField("part", LongType()), StructField("path", StringType()), StructField("n_docs", LongType()), StructField("n_tokens", LongType())])
 
 
@@ -281,7 +322,8 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, out_uri: str | None
 
     Columns: range_id, part, path, n_docs, n_tokens and first_token (ids before the shard).
     Null texts are empty documents; a null doc_id comes first; rows of equal doc_id stand in
-    the order of their ids' bytes; no rows give no shard. Only doc_id and text are read.
+    the order of their ids' bytes; no rows give no shard; very long texts are encoded whole. Only
+    doc_id and text are read, so other columns may have any names.
     """
     spark = docs.sparkSession
     out_uri = out_uri or new_path(spark, "shards")
