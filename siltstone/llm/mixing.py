@@ -82,7 +82,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: l
     (words), full (whole passes) and taken (tokens over all passes, ``full * n_tokens`` and
     the document's part of the last prefix). Null texts have no tokens and are never taken;
     a null lang or source is the name ``''``; rows of equal id, and equal order keys, follow
-    by id and length; an empty table gives no rows.
+    by id and length; an empty table gives no rows; very long texts count whole, and other
+    columns may have any names.
     """
     kept = docs.columns if keep is None else keep
     base = docs.select(
@@ -125,14 +126,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     got = mix(docs, **options).where("taken > 0").withColumn("part", F.col("taken") - F.col("full") * F.col("n_tokens"))
     passes = F.concat(F.array_repeat(F.col("n_tokens"), F.col("full").cast("int")), F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")))
-    rows = got.withColumn("words", F.explode(passes)).select("row.*", F.col("words").alias("_words"), F.col("n_tokens").alias("_all"))
-    words = F.filter(F.split(F.col("text"), SPLIT), lambda w: w != "")
-    cut = F.col("_words") < F.col("_all")
-    text = F.when(cut, F.array_join(F.slice(words, 1, F.col("_words").cast("int")), " ")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    rows = got.select("row", F.explode(passes).alias("words"), "n_tokens")
+    words = F.filter(F.split(F.col("row.text"), SPLIT), lambda w: w != "")
+    cut = F.col("words") < F.col("n_tokens")
+    text = F.when(cut, F.array_join(F.slice(words, 1, F.col("words").cast("int")), " ")).otherwise(F.col("row.text"))
+    rows = rows.select("row", text.alias("text"), cut.alias("cut"))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def report_sql() -> str:

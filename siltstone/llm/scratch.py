@@ -2,12 +2,13 @@
 
 Everything is written through Spark (or a file-system URI) below the folder named
 by ``spark.checkpoint.dir``; a folder of our own is chosen only where that
-setting is missing, as in tests.
+setting is missing and the master is local, as in tests.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared scratch folder of this session, without a trailing slash."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _fallback:
             _fallback.append("file://" + tempfile.mkdtemp(prefix="siltstone-"))
         base = _fallback[0]
