@@ -22,6 +22,21 @@ def plan_load(stored: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return old.join(new, key, "full_outer").select(key, action.alias("action"))
 
 
+def merge_versions(stored: DataFrame, found: DataFrame, key: str, seen_at: Column) -> DataFrame:
+    """(key, content_hash, first_indexed, last_seen, last_changed, status) after a load that saw ``found`` (key, content_hash).
+
+    What was not found again is ``gone`` and keeps its dates; what comes back is ``live`` again.
+    """
+    old = stored.select(key, *[F.col(c).alias(f"_{c}") for c in ("content_hash", "first_indexed", "last_seen", "last_changed")])
+    joined = old.join(found.select(key, F.col("content_hash").alias("_new")), key, "full_outer")
+    live, same = F.col("_new").isNotNull(), F.coalesce(F.col("_new") == F.col("_content_hash"), F.lit(False))
+    return joined.select(
+        key, F.coalesce("_new", "_content_hash").alias("content_hash"), F.coalesce(F.col("_first_indexed"), seen_at).alias("first_indexed"),
+        F.when(live, seen_at).otherwise(F.col("_last_seen")).alias("last_seen"), F.when(live & ~same, seen_at).otherwise(F.col("_last_changed")).alias("last_changed"),
+        F.when(live, "live").otherwise("gone").alias("status"),
+    )
+
+
 def normalise_url(url: Column) -> Column:
     """Scheme and host in lower case, no default port, query, fragment or final slash."""
     bare = F.regexp_replace(url, r"[?#].*$", "")

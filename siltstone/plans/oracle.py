@@ -5,6 +5,7 @@ from __future__ import annotations
 from siltstone.operators.answer import ANSWER, CONTEXT, QUESTION, SOURCE
 from siltstone.operators.lexical import K1, B
 from siltstone.operators.search import DIGITS
+from siltstone.operators.safety import INJECTION, PERSONAL
 from siltstone.plans.queries import CHUNK, CONFIG, LOW, TOP_K, TRANSFORM
 
 _LATEST = {s.name: s for s in CONFIG.sources}
@@ -120,6 +121,21 @@ SQL |= {
 }
 
 
+def _safety() -> None:
+    count = lambda p: f"len(regexp_extract_all(coalesce(text, ''), '{p}'))"
+    SQL["q35_personal_data"] = f"select source, {', '.join(f'sum({count(p)})::bigint as {k}' for k, p in PERSONAL.items())}, count(*) filter (where {count(INJECTION)} > 0) as injections from documents group by source"
+    text = "coalesce(text, '')"
+    for kind, pattern in PERSONAL.items():
+        put = rf"\1[{kind}]\2" if kind == "national_id" else f"[{kind}]"
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    SQL["q36_redacted"] = f"select doc_id, sha256({text}) as redacted_sha256 from documents"
+    SQL["q37_question_checks"] = rf"with c as (select conv_id, turn, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) as question from conversations) select conv_id, turn, question, case when question = '' then 'empty' when length(question) > 200 then 'too long' when regexp_matches(question, '{INJECTION}') then 'injection' end as problem from c"
+    SQL["q38_versions"] = "with d as (select doc_id, sha256(coalesce(text, '')) as h from documents), o as (select doc_id, case when doc_id % 7 = 0 then 'old' else h end as h from d where doc_id % 5 <> 0), n as (select * from d where doc_id % 11 <> 0) select coalesce(o.doc_id, n.doc_id) as doc_id, coalesce(n.h, o.h) as content_hash, case when o.doc_id is null then '2024-01-03' else '2024-01-01' end as first_indexed, case when n.doc_id is null then '2024-01-02' else '2024-01-03' end as last_seen, case when n.doc_id is not null and (o.doc_id is null or o.h <> n.h) then '2024-01-03' else '2024-01-01' end as last_changed, case when n.doc_id is null then 'gone' else 'live' end as status from o full join n on o.doc_id = n.doc_id"
+
+
+_safety()
+
+
 def _sweep() -> str:
     settings = [(size, int(size * share)) for size in (300, 500) for share in (0.0, 0.2)]
     parts = [f"{_chunks(size, f'c{i}').replace(f'- {CHUNK.overlap}, 1)', f'- {overlap}, 1)')}" for i, (size, overlap) in enumerate(settings)]

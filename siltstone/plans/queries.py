@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.config import ChunkConfig, Config, GenerateConfig, SearchConfig, Source, TransformConfig
 from siltstone.functions.display import format_value, run_status
 from siltstone.functions.html import clean_html
-from siltstone.operators import answer, chunk, evaluate, incremental, ledger, lexical, load, search, transform, vectors
+from siltstone.operators import answer, chunk, evaluate, incremental, ledger, lexical, load, safety, search, transform, vectors
 from siltstone.sources.pages import enabled_sources, source_table
 
 #: Sources of the fixture tables: every third is off, and some have no purpose.
@@ -256,4 +256,30 @@ def q34_consistency(spark, sf_dir):
     return load.consistency(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id")), _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id")))
 
 
+def q35_personal_data(spark, sf_dir):
+    """Personal data and injections in whole documents, by source."""
+    docs = _t(spark, sf_dir, "documents")
+    kinds = safety.personal_counts(F.col("text"))
+    rows = docs.select("source", *kinds.values(), safety.is_injection(F.col("text")).alias("injection"))
+    return rows.groupBy("source").agg(*[F.sum(k).alias(k) for k in kinds], F.count_if("injection").alias("injections"))
+
+
+def q36_redacted(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(safety.redact(F.coalesce("text", F.lit(""))), 256).alias("redacted_sha256"))
+
+
+def q37_question_checks(spark, sf_dir):
+    clean = safety.clean_question(F.col("text"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", clean.alias("question"), safety.question_problem(clean, 200).alias("problem"))
+
+
+def q38_versions(spark, sf_dir):
+    """After a second load that lacks some documents, has some anew and finds others changed."""
+    docs = incremental.with_hash(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    day = lambda d: F.lit(f"2024-01-0{d}")
+    stored = docs.where("doc_id % 5 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("content_hash")))
+    stored = stored.withColumns({"first_indexed": day(1), "last_seen": day(2), "last_changed": day(1)})
+    return incremental.merge_versions(stored, docs.where("doc_id % 11 <> 0"), "doc_id", day(3))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
