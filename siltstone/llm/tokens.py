@@ -40,7 +40,7 @@ BATCH = 256
 #: Sequences after which a task begins another shard.
 SHARD_SEQUENCES = 64 * BATCH
 #: Distinct pieces whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED_PIECES = 600_000
+REMEMBERED_PIECES = 1_000_000
 #: Ids in one range of documents, about.
 RANGE_BYTES = 32 << 20
 #: Ranges at most: their cuts go with each task (8 bytes each).
@@ -63,6 +63,19 @@ _PLAIN = re.compile(f"[ \\t-\\r!-~{_LETTERS}]*")
 _PIECES = re.compile(f"[a-z{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \\t-\\ra-z0-9{_LETTERS}]+").findall
 
 
+class Places(dict):
+    """Numbers of pieces in the order in which they are first asked for; new ones are kept in ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.fresh.append(piece)
+        self[piece] = place = len(self)
+        return place
+
+
 class WordEncoder:
     """Encodes texts piece by piece for tokenizers that split with ``WORD_PATTERN``.
 
@@ -82,13 +95,12 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.places: dict[str, int] = {}
         self.reset()
 
     def reset(self):
-        self.places.clear()
-        self.store = np.zeros(1 << 16, dtype=np.uint32)
-        self.begins = np.zeros(1 << 14, dtype=np.int64)  # where a piece's ids begin; the next one's are its end
+        self.places = Places()
+        self.store, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+        self.begins, self.counts = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)  # of a piece's ids in the store
 
     @staticmethod
     def knows(path: str) -> bool:
@@ -100,27 +112,28 @@ class WordEncoder:
             and spec["model"].get("end_of_word_suffix") == "</w>" and not any(t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
         )
 
-    def remember(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray):
-        known = len(self.places)
-        used = int(self.begins[known])
-        while used + len(ids) > len(self.store):
+    def remember(self, places: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+        while self.used + len(ids) > len(self.store):
             self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-        while known + len(pieces) >= len(self.begins):
-            self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
-        self.store[used : used + len(ids)] = ids
-        self.begins[known + 1 : known + 1 + len(pieces)] = used + np.cumsum(counts)
-        self.places.update(zip(pieces, range(known, known + len(pieces)), strict=True))
-
-    def learn(self, fresh: set[str]):
-        plain = [p for p in fresh if p[0] != "\0"]
-        for at in range(0, len(plain), 5000):
-            part = plain[at : at + 5000]
-            ids = np.array(self.pieces.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
-            self.remember(part, ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
-        odd = [p for p in fresh if p[0] == "\0"]
-        if odd:
-            coded = [c.ids for c in self.whole.encode_batch([p[1:] for p in odd], add_special_tokens=False)]
-            self.remember(odd, np.array([i for c in coded for i in c], dtype=np.uint32), np.array([len(c) for c in coded], dtype=np.int64))
+        while len(self.places) > len(self.begins):
+            self.begins, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins, self.counts))
+        self.store[self.used : self.used + len(ids)] = ids
+        self.begins[places], self.counts[places] = self.used + np.cumsum(counts) - counts, counts
+        self.used += len(ids)
+
+    def learn(self):
+        """The ids of the pieces that were asked for anew."""
+        fresh, self.places.fresh = self.places.fresh, []
+        first = len(self.places) - len(fresh)
+        odd = np.array([p[0] == "\0" for p in fresh], dtype=bool)
+        for at in range(0, len(fresh), 5000):
+            part = [p for p in fresh[at : at + 5000] if p[0] != "\0"]
+            if part:
+                ids = np.array(self.pieces.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+                self.remember(first + at + np.flatnonzero(~odd[at : at + 5000]), ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0))
+        if odd.any():
+            coded = [c.ids for c in self.whole.encode_batch([p[1:] for p in fresh if p[0] == "\0"], add_special_tokens=False)]
+            self.remember(first + np.flatnonzero(odd), np.array([i for c in coded for i in c], dtype=np.uint32), np.array([len(c) for c in coded], dtype=np.int64))
 
     def split(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text) and not any(t in text for t in self.special):
@@ -137,16 +150,11 @@ class WordEncoder:
         """The ids of each text, equal to the tokenizer's own."""
         if len(self.places) > REMEMBERED_PIECES:
             self.reset()
-        split = [self.split(t) for t in texts]
-        fresh = set().union(*split).difference(self.places)
-        if fresh:
-            self.learn(fresh)
-        out = []
-        for pieces in split:
-            at = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
-            starts = self.begins[at]
-            out.append(self.store[K.ragged(starts, self.begins[at + 1] - starts)])
-        return out
+        look = self.places.__getitem__
+        found = [np.fromiter(map(look, pieces), np.int64, len(pieces)) for pieces in map(self.split, texts)]
+        if self.places.fresh:
+            self.learn()
+        return [self.store[K.ragged(self.begins[at], self.counts[at])] for at in found]
 
 
 _SPACES = str.maketrans(dict.fromkeys("\t\n\v\f\r", " "))
