@@ -49,7 +49,9 @@ def share(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     """Add ``budget`` to siblings (columns: capacity, weight, total = the parent's budget).
 
     Siblings in the order of capacity / weight: those that reach their capacity come first,
-    the rest split what remains by weight (whole tokens, rounded down).
+    the rest split what remains by weight. Whole tokens that rounding down leaves over go one
+    each to the siblings that lost most by it, ties by name; a sibling that lost anything has
+    room for one more, so budgets sum to the parent's.
     """
     group = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
     order = group.orderBy(F.col("capacity") / F.col("weight"), name)
@@ -60,7 +62,11 @@ def share(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     used = F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(group), F.lit(0))
     open_weight = F.sum(F.when(~F.col("full"), F.col("weight"))).over(group)
     marked = marked.withColumns({"used": used, "open_weight": open_weight})
-    return marked.withColumn("budget", F.when(F.col("full"), F.col("capacity")).otherwise(F.expr("((total - used) * weight) div open_weight"))).drop("before", "rest", "full", "used", "open_weight", "total")
+    marked = marked.withColumns({"fair": F.expr("if(full, 0, (total - used) * weight div open_weight)"), "lost": F.expr("if(full, 0, (total - used) * weight % open_weight)")})
+    over = F.col("total") - F.col("used") - F.sum("fair").over(group)
+    turn = F.row_number().over(group.orderBy("full", F.desc("lost"), name))
+    budget = F.when(F.col("full"), F.col("capacity")).otherwise(F.col("fair") + F.when(turn <= over, 1).otherwise(0))
+    return marked.withColumn("budget", budget).drop("before", "rest", "full", "used", "open_weight", "fair", "lost", "total")
 
 
 def leaf_budgets(leaves: DataFrame, budget: Column, epochs: int) -> DataFrame:
@@ -151,8 +157,12 @@ def report_sql() -> str:
   select *, coalesce(sum(capacity) over (w rows between unbounded preceding and 1 preceding), 0) as before, sum(weight) over (w rows between current row and unbounded following) as rest
   from {out}_n {join} window w as ({by} order by capacity / weight, {name})
 ), {out}_f as (select *, capacity * rest <= (total - before) * weight as is_full from {out}_o
+), {out}_l as (
+  select *, total - coalesce(sum(capacity) filter (where is_full) over ({by}), 0) as remaining, sum(weight) filter (where not is_full) over ({by}) as open_weight from {out}_f
+), {out}_r as (
+  select *, case when is_full then 0 else remaining * weight // open_weight end as fair, case when is_full then 0 else remaining * weight % open_weight end as lost from {out}_l
 ), {out} as (
-  select {path}, case when is_full then capacity else ((total - coalesce(sum(capacity) filter (where is_full) over ({by}), 0)) * weight) // sum(weight) filter (where not is_full) over ({by}) end as total from {out}_f
+  select {path}, case when is_full then capacity else fair + case when row_number() over ({by} order by is_full, lost desc, {name}) <= remaining - sum(fair) over ({by}) then 1 else 0 end end as total from {out}_r
 )"""
 
     return rf"""

@@ -432,6 +432,42 @@ def test_mixed_documents_with_clashing_names(docs):
     assert sorted(r.text for r in got.collect()) == sorted(r.text for r in plain.collect())
 
 
+def _fill(children, total):
+    """Budgets of (name, capacity, weight): raise the level until all is given or all are full, then largest remainders."""
+    out, open_ = {}, list(children)
+    while open_:
+        left, weights = total - sum(out.values()), sum(w for _, _, w in open_)
+        full = [c for c in open_ if c[1] * weights <= left * c[2]]
+        if not full:
+            floors = {n: left * w // weights for n, _, w in open_}
+            late = sorted(open_, key=lambda c: (-(left * c[2] % weights), c[0]))
+            return out | floors | {n: floors[n] + 1 for n, _, _ in late[: left - sum(floors.values())]}
+        out |= {n: c for n, c, _ in full}
+        open_ = [c for c in open_ if c not in full]
+    return out
+
+
+def _budgets(leaves, total, epochs, depth=0):
+    weights = [mixing.DOMAIN_WEIGHTS, mixing.LANG_WEIGHTS, {}]
+    if depth == len(mixing.LEVELS):
+        return {leaves[0][:3]: total}
+    kinds = {name: [x for x in leaves if x[depth] == name] for name in {x[depth] for x in leaves}}
+    given = _fill([(n, epochs * sum(x[3] for x in own), weights[depth].get(n, mixing.OTHER)) for n, own in kinds.items()], total)
+    return {k: v for n, own in kinds.items() for k, v in _budgets(own, given[n], epochs, depth + 1).items()}
+
+
+@pytest.mark.parametrize("percent", [0, 7, 60, 133, 200])
+def test_budgets_are_given_whole(spark, percent):
+    """Equal to filling by hand, and no token of the budget is lost at any level."""
+    rng = random.Random(percent)
+    leaves = [(d, g, f"s{i}", rng.choice([0, 1, 7, 50, 1234])) for d in ("web", "books", "forum", "other") for g in ("en", "fr", "de", "es", "", "xx") for i in range(rng.randrange(1, 8))]
+    total = sum(x[3] for x in leaves) * percent // 100
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens bigint")
+    got = {tuple(r)[:3]: r.budget for r in mixing.leaf_budgets(df, F.lit(total), 2).collect()}
+    assert got == _budgets(leaves, total, 2)
+    assert sum(got.values()) == total and all(got[x[:3]] <= 2 * x[3] for x in leaves)
+
+
 def test_mixing(docs):
     rows, df = docs
     got = mixing.mix_report(df).collect()
@@ -440,8 +476,7 @@ def test_mixing(docs):
     capacity = sum(mixing.EPOCHS * r.n_tokens for r in got)
     budget = total * mixing.BUDGET_PERCENT // 100
     taken = sum(r.tokens_taken for r in got)
-    leaves = {(r.domain, r.lang, r.source) for r in got}
-    assert min(budget, capacity) - 3 * len(leaves) <= taken <= budget
+    assert taken == min(budget, capacity)
     assert all(r.full_passes * r.n_tokens <= r.tokens_taken <= min(mixing.EPOCHS, r.full_passes + 1) * r.n_tokens for r in got)
     partial = collections.Counter((r.domain, r.lang, r.source) for r in got if r.full_passes * r.n_tokens < r.tokens_taken < (r.full_passes + 1) * r.n_tokens)
     assert all(n <= 1 for n in partial.values())
