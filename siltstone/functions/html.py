@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,8 +25,8 @@ def squeeze(text: Column) -> Column:
 def clean_html(html: Column, strip_tags: tuple[str, ...]) -> Column:
     """Text outside the stripped elements, a space between text nodes; all inside whole-stage plans.
 
-    Same-name nesting inside a stripped element, and ``>`` inside attributes, are what the
-    strict form is for.
+    Same-name nesting inside a stripped element, one that is closed by the end of what is around
+    it, and ``>`` inside attributes, are what the strict form is for.
     """
     text = F.regexp_replace(html, r"(?s)<!--.*?(-->|\z)", " ")
     text = F.regexp_replace(text, r"<![A-Za-z][^>]*>", " ")
@@ -45,24 +46,35 @@ def decode(text: Column) -> Column:
 
 
 class _Reader(HTMLParser):
-    """Text nodes outside the stripped elements; an element that is not closed ends with the page."""
+    """Text nodes outside the stripped elements.
+
+    An end tag closes the innermost open element of its name with all inside it, and nothing if there
+    is none; an element that is never closed ends with what is around it.
+    """
 
     VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
     def __init__(self, strip: frozenset[str]):
         super().__init__(convert_charrefs=True)
-        self.strip, self.parts, self.inside = strip, [], []
+        self.strip, self.parts, self.open = strip, [], []
+        self.count, self.hidden = Counter(), 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.strip and tag not in self.VOID:
-            self.inside.append(tag)
+        if tag not in self.VOID:
+            self.open.append(tag)
+            self.count[tag] += 1
+            self.hidden += tag in self.strip
 
     def handle_endtag(self, tag):
-        if tag in self.inside:
-            del self.inside[self.inside.index(tag) :]
+        while self.count[tag]:
+            last = self.open.pop()
+            self.count[last] -= 1
+            self.hidden -= last in self.strip
+            if last == tag:
+                break
 
     def handle_data(self, data):
-        if not self.inside:
+        if not self.hidden:
             self.parts.append(data)
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from siltstone.config import Config, SearchConfig, Source, TransformConfig
 from siltstone.functions.display import change, format_value, run_status
-from siltstone.functions.html import clean_html, clean_html_strict
+from siltstone.functions.html import clean_html, clean_html_strict, read_html
 from siltstone.operators import answer, evaluate, ledger, load, safety, search, transform, vectors
 from siltstone.sources import pages as page_source
 
@@ -29,6 +29,22 @@ def test_html(spark, strict):
     assert got == {i: t for i, (_, t) in enumerate(HTML)} | {99: None}
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<nav>a<nav>b</nav>c</nav>d", "d"),
+        ("<nav>a<nav>b<nav>c</nav>d</nav>e</nav>f</nav>g", "f g"),
+        ("<header>h<nav>n</header>x</nav>y", "x y"),
+        ("<div>a<nav>b</div>c", "a c"),
+        ("<nav/>a<br>b</br></p>c", "a b c"),
+        ("<nav>" * 3000 + "x" + "</nav>" * 3000 + "y", "y"),
+        ('<nav title=">">a</nav>b', "b"),
+    ],
+)
+def test_nested_elements_by_the_strict_form(html, text):
+    assert read_html(html, TAGS) == text
+
+
 def test_transform_counts_and_documents(spark):
     body = "w " * 250
     rows = [("a", "a.html", f"<p>{body}</p>"), ("b", "b.html", "<p>short</p>"), ("c", "c.html", " \n"), ("d", "d.html", None), ("e", "e.html", "x" * 500), ("f", "f.html", "x" * 499)]
