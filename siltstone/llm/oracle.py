@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siltstone.llm.mixing import report_sql as mixing_sql
+from siltstone.llm.prefix_trie import REPORT_SQL as TRIE
 from siltstone.llm.quality_rules import report_sql as quality_sql
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -62,4 +63,5 @@ SQL = {
     "op6_risk_controlled_rules": quality_sql(),
     "op8_wu_manber_decontamination": DECONTAMINATION,
     "op10_source_mixing": mixing_sql(),
+    "op12_family_prefix_trie": TRIE,
 }

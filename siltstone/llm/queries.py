@@ -10,6 +10,7 @@ from siltstone.llm.jaccard import jaccard_report
 from siltstone.llm.language import language_report
 from siltstone.llm.mixing import mix_report
 from siltstone.llm.oracle import SQL as SQL
+from siltstone.llm.prefix_trie import trie_report
 from siltstone.llm.quality_pu import score_quality
 from siltstone.llm.quality_rules import quality_report
 from siltstone.llm.scratch import table
@@ -62,8 +63,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op12_family_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_report(table(spark, sf_dir, "conversations"))
+
+
 def op13_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_count_vector_join, op2_arc_to_warc, op3_wrapper_main_text, op4_suffix_bucket_dedup, op5_toxicity_chain, op6_risk_controlled_rules, op7_positive_unlabelled_quality, op8_wu_manber_decontamination, op9_arrow_token_shards, op10_source_mixing, op13_naive_bayes_language)}
+QUERIES = {f.__name__: f for f in (op1_count_vector_join, op2_arc_to_warc, op3_wrapper_main_text, op4_suffix_bucket_dedup, op5_toxicity_chain, op6_risk_controlled_rules, op7_positive_unlabelled_quality, op8_wu_manber_decontamination, op9_arrow_token_shards, op10_source_mixing, op12_family_prefix_trie, op13_naive_bayes_language)}
