@@ -18,6 +18,7 @@ from siltstone.llm.suffix_dedup import repeats_report
 from siltstone.llm.tokens import read_token_shards, write_token_shards
 from siltstone.llm.toxicity import toxicity_report
 from siltstone.llm.warc import archive_pages, read_archives
+from siltstone.llm.whitening import whitening_report
 
 
 def op1_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_report(table(spark, sf_dir, "embeddings"))
+
+
 def op12_family_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_report(table(spark, sf_dir, "conversations"))
 
@@ -71,4 +76,4 @@ def op13_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_count_vector_join, op2_arc_to_warc, op3_wrapper_main_text, op4_suffix_bucket_dedup, op5_toxicity_chain, op6_risk_controlled_rules, op7_positive_unlabelled_quality, op8_wu_manber_decontamination, op9_arrow_token_shards, op10_source_mixing, op12_family_prefix_trie, op13_naive_bayes_language)}
+QUERIES = {f.__name__: f for f in (op1_count_vector_join, op2_arc_to_warc, op3_wrapper_main_text, op4_suffix_bucket_dedup, op5_toxicity_chain, op6_risk_controlled_rules, op7_positive_unlabelled_quality, op8_wu_manber_decontamination, op9_arrow_token_shards, op10_source_mixing, op11_lobpcg_whitening, op12_family_prefix_trie, op13_naive_bayes_language)}
