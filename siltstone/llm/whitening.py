@@ -67,7 +67,8 @@ class Centre:
     def rows(self, exact: np.ndarray) -> np.ndarray:
         return (exact / self.n).astype(np.float64)
 
-    def deviation(self, exact: np.ndarray) -> pa.Array:
+    @staticmethod
+    def deviation(exact: np.ndarray) -> pa.Array:
         """Exact sums of squares; null beyond 64 bits."""
         rough = np.square(exact.astype(np.float64)).sum(axis=1)
         if exact.dtype != object and (not len(rough) or rough.max() < 2**62):
@@ -182,6 +183,8 @@ class Whitening:
     identity_error: float
 
     def apply(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.centre is None:
+            return y, np.zeros((len(y), 0))
         exact = self.centre.exact(y)
         return exact, (self.centre.rows(exact) @ self.vectors) / np.sqrt(self.values)
 
@@ -227,7 +230,7 @@ def whiten(vectors: DataFrame, fit: Whitening, embedding: str = "embedding", kee
                 exact, white = w.apply(whole_numbers(part.column("v"), w.dimensions))
                 size = white.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(white) + 1) * size, size, dtype=np.int32) if size else np.zeros(len(white) + 1, np.int32)), pa.array(white.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(ROW), w.centre.deviation(exact), lists], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(ROW), Centre.deviation(exact), lists], schema.names)
 
     return given.mapInArrow(run, schema)
 
