@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -77,7 +79,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id"
         names |= {t for t, _ in own}
     if block:
         parts.append(scored(block))
-    return ranked(spark, parts, schema, k)
+    return ranked(reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema), k)
 
 
 def hybrid(lexical: DataFrame, semantic: DataFrame, k: int, weight: float = 0.7, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:

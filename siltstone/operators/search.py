@@ -1,33 +1,26 @@
-"""Exact cosine search of a batch of queries."""
+"""Cosine search of a batch of queries: a join of blocks of queries with blocks of vectors."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from siltstone.config import SearchConfig
+from siltstone.operators.cells import MARGIN, CellIndex, index_vectors, unit_rows, usable
+from siltstone.sources.store import staged
 
-#: Bytes of query vectors that are sent to all tasks at once; more queries go in blocks.
-QUERY_BLOCK_BYTES = 32 << 20
-#: Queries that are multiplied with a batch at once.
-TILE = 1024
+#: Queries that are multiplied with a block of vectors at once.
+TILE = 256
+#: Members that are searched exactly to find out how many probes are needed.
+TUNING = 256
 #: Decimal places of a score that is ranked.
 DIGITS = 9
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return np.divide(out, norm, out=out.copy(), where=norm > 0)
-
-
 class Best:
     """The best k rows of each query that a task has met, ties by id."""
 
@@ -57,62 +50,155 @@ class Best:
                 yield pa.RecordBatch.from_arrays([self.queries.take(pa.array(first + i)), pa.array(v), pa.array(s)], names)
 
 
-def ranked(spark: SparkSession, parts: list[DataFrame], schema: StructType, k: int) -> DataFrame:
-    """The best k of each query from what tasks have kept (query, id, score)."""
-    query, own, _ = schema.names
-    found = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The best k of each query (query, id, score) from what tasks have kept."""
+    query, own, _ = found.columns
     order = Window.partitionBy(query).orderBy(F.desc("score"), own)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def joined_blocks(needs: DataFrame, index: CellIndex, k: int, threshold: float | None, exclude_same: bool) -> DataFrame:
+    """(query, id, score): of each task its best k for each query.
+
+    ``needs``: query id, embedding, cell, part. The queries that need one part of a cell are dealt out in
+    blocks; the part's vectors go to each of them, so a task holds two blocks, whatever the tables.
+    """
+    query_id, embedding = needs.columns[:2]
+    vector_id, own_embedding = index.rows.columns[:2]
+    schema = StructType([needs.schema[query_id], index.rows.schema[vector_id], StructField("score", DoubleType())])
+    shape = to_arrow_schema(schema)
+    runs = needs.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / index.block).cast("bigint").alias("runs"))
+    asked = needs.withColumn("uid", F.monotonically_increasing_id()).join(runs, ["cell", "part"]).withColumn("run", F.pmod("uid", "runs")).select("cell", "part", "run", query_id, embedding)
+    held = index.rows.join(runs, ["cell", "part"]).withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("runs") - 1)))
+    held = held.select("cell", "part", "run", F.col(vector_id).alias("_id"), F.col(own_embedding).alias("_v"))
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not queries.num_rows or not vectors.num_rows:
+            return shape.empty_table()
+        ids = queries.column(query_id).combine_chunks()
+        own, vec = ids.to_numpy(zero_copy_only=False), vectors.column("_id").to_numpy().astype(np.int64)
+        q, m = unit_rows(queries.column(embedding)), unit_rows(vectors.column("_v")).T
+        best = Best(ids, k)
+        for first in range(0, len(ids), TILE):
+            scores = np.round(q[first : first + TILE] @ m, DIGITS)
+            keep = np.ones(scores.shape, bool) if threshold is None else scores >= threshold
+            if exclude_same:
+                keep &= vec != own[first : first + TILE, None]
+            best.add(first, scores, vec, keep)
+        return pa.Table.from_batches(list(best.rows(schema.names)), shape) if best.held else shape.empty_table()
+
+    keys = ("cell", "part", "run")
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def search_index(
+    queries: DataFrame, index: CellIndex, k: int, threshold: float | None = None, query_id: str = "query_id", embedding: str = "embedding",
+    exclude_same: bool = False, probes: int | None = None,
+) -> DataFrame:
+    """(query id, vector id, score, rank): the best k of each query over an index, ties by id.
+
+    Each query first meets one part of the cell that may score highest. What it has found there, or the
+    threshold, is compared with the bounds of all other parts; those that cannot reach it are left out.
+    Without ``probes`` that is exact; with it, only that many cells, those with the nearest centres, are looked at.
+    """
+    asked = usable(queries, query_id, embedding)
+    vector_id, parts = index.rows.columns[0], index.bounds.parts
+    if parts.sum() <= 1:
+        whole = asked.withColumns({"cell": F.lit(int(np.argmax(parts))), "part": F.lit(0)})
+        return ranked(joined_blocks(whole, index, k, threshold, exclude_same), k)
+    floor = -1.0 - MARGIN if threshold is None else threshold
+    held = queries.sparkSession.sparkContext.broadcast(index.bounds)  # MAX_CELLS centres at most
+    first_schema = StructType([*asked.schema.fields, StructField("cell", IntegerType()), StructField("part", IntegerType()), StructField("cells", ArrayType(IntegerType()))])
+
+    def first(batches):
+        """One part of the likeliest cell, and all cells in question."""
+        count = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u = unit_rows(batch.column(embedding))
+            tops = held.value.of(u)
+            if probes is not None:
+                tops[held.value.ranks(u) >= max(probes, 1)] = -2.0
+            home = np.argmax(tops, axis=1)
+            part = (count + np.arange(len(home))) % parts[home]
+            count += len(home)
+            cells = [np.flatnonzero(t >= floor).astype(np.int32) for t in tops]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(cells, pa.list_(pa.int32()))], first_schema.names)
+
+    home = staged(asked.mapInArrow(first, first_schema), "asked")
+    found = staged(joined_blocks(home.select(query_id, embedding, "cell", "part"), index, k, threshold, exclude_same), "near")
+    # what the k-th of a query's first results scores is what others have to reach
+    reached = found.groupBy(query_id).agg(F.sort_array(F.collect_list("score"), False).alias("s")).select(query_id, F.get("s", F.lit(k - 1)).alias("reached"))
+    left_schema = StructType([*asked.schema.fields, StructField("cell", IntegerType()), StructField("part", IntegerType())])
+
+    def others(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tops = held.value.of(unit_rows(batch.column(embedding)))
+            reach = batch.column("reached").fill_null(floor).to_numpy(zero_copy_only=False) if batch.column("reached").null_count < batch.num_rows else np.full(batch.num_rows, floor)
+            at, cell, part = [], [], []
+            for i, (own, done, done_part) in enumerate(zip(batch.column("cells").to_pylist(), batch.column("cell").to_pylist(), batch.column("part").to_pylist(), strict=True)):
+                for c in own:
+                    if tops[i, c] >= reach[i]:
+                        more = [p for p in range(parts[c]) if (c, p) != (done, done_part)]
+                        at += [i] * len(more)
+                        cell += [c] * len(more)
+                        part += more
+            rows = [batch.column(x).take(pa.array(at, pa.int64())) for x in (query_id, embedding)]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(cell, pa.int32()), pa.array(part, pa.int32())], left_schema.names)
+
+    rest = home.join(reached, query_id, "left").select(query_id, embedding, "cell", "part", "cells", "reached").mapInArrow(others, left_schema)
+    more = joined_blocks(staged(rest, "others"), index, k, threshold, exclude_same)
+    return ranked(found.select(query_id, vector_id, "score").union(more), k)
+
+
 def nearest(
     queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, query_id: str = "query_id", vector_id: str = "vec_id",
     embedding: str = "embedding", exclude_same: bool = False,
 ) -> DataFrame:
-    """(query_id, vector_id, score, rank): the best k of each query, ties by id; vector ids are integers.
+    """(query_id, vector_id, score, rank): the exact best k of each query, ties by id; vector ids are integers.
+
+    Scores are rounded, so that ranks do not hang on the order of sums; one below the threshold is
+    dropped before ranking, which gives the same rows as after it. Null vectors, and vectors with a
+    null in them, match nothing; empty tables give no rows. Query ids are taken to be unique.
+    """
+    return search_index(queries, index_vectors(vectors, None, vector_id, embedding), k, threshold, query_id, embedding, exclude_same)
+
+
+def probes_for(index: CellIndex, k: int, target: float = 0.95, sample: int = TUNING) -> int:
+    """The smallest number of probes with which ``target`` of the exact results of some members are found.
 
-    Each task multiplies its batches with a block of queries and keeps its own best k, so
-    what is shuffled is k rows of a query and task. Scores are rounded, so that ranks do not
-    hang on the order of sums; one below the threshold is dropped before ranking, which gives
-    the same rows as after it. Null vectors, and vectors with a null in them, match nothing.
+    Members with the lowest hashes, ``sample`` of them, are searched exactly; a result is found with so many
+    probes as its cell's place in the order of the query's cells says. Every row is indexed all the same.
     """
-    schema = StructType([queries.schema[query_id], vectors.schema[vector_id], StructField("score", DoubleType())])
-    spark = queries.sparkSession
-    whole = lambda df, name: df.select(name, embedding).where(F.col(embedding).isNotNull() & ~F.exists(embedding, lambda x: x.isNull()))
-    rows = whole(vectors, vector_id)
-    parts: list[DataFrame] = []
-    block: list[tuple] = []
-    size = 0
-
-    def scored(block):
-        held = spark.sparkContext.broadcast((pa.array([b[0] for b in block]), _matrix(pa.array([b[1] for b in block], pa.list_(pa.float64())))))
-
-        def run(batches):
-            ids, q = held.value
-            own = ids.to_numpy(zero_copy_only=False)
-            best = Best(ids, k)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vec, m = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(batch.column(1)).T
-                for first in range(0, len(ids), TILE):
-                    scores = np.round(q[first : first + TILE] @ m, DIGITS)
-                    keep = np.ones(scores.shape, bool) if threshold is None else scores >= threshold
-                    if exclude_same:
-                        keep &= vec != own[first : first + TILE, None]
-                    best.add(first, scores, vec, keep)
-            yield from best.rows(schema.names)
-
-        return rows.mapInArrow(run, schema)
-
-    for r in whole(queries, query_id).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += 8 * len(r[1])
-        if size >= QUERY_BLOCK_BYTES:
-            parts, block, size = [*parts, scored(block)], [], 0
-    if block:
-        parts.append(scored(block))
-    return ranked(spark, parts, schema, k)
+    vector_id, embedding = index.rows.columns[:2]
+    query_id = "_query"
+    asked = staged(index.rows.orderBy(F.xxhash64(embedding), vector_id).limit(sample).select(F.col(vector_id).alias(query_id), embedding), "tuning")
+    hits = search_index(asked, index, k, None, query_id, embedding, exclude_same=True).select(query_id, vector_id)
+    cells = hits.join(index.rows.select(vector_id, "cell"), vector_id).join(asked, query_id).select(embedding, "cell")
+    held = index.rows.sparkSession.sparkContext.broadcast(index.bounds)
+
+    def places(batches):
+        for batch in batches:
+            if batch.num_rows:
+                rank = held.value.ranks(unit_rows(batch.column(embedding)))[np.arange(batch.num_rows), batch.column("cell").to_numpy()]
+                yield pa.RecordBatch.from_arrays([pa.array(rank)], ["place"])
+
+    counts = cells.mapInArrow(places, "place int").groupBy("place").count().orderBy("place").collect()  # a row a cell at most
+    need, seen = target * sum(r["count"] for r in counts), 0
+    for r in counts:
+        seen += r["count"]
+        if seen >= need:
+            return r.place + 1
+    return 1
+
+
+def recall(exact: DataFrame, found: DataFrame, query_id: str = "query_id", vector_id: str = "vec_id") -> DataFrame:
+    """One row: queries, and the share of the exact results that were found (1 if there are none)."""
+    both = exact.join(found.select(query_id, vector_id, F.lit(1).alias("hit")), [query_id, vector_id], "left")
+    return both.agg(F.count_distinct(query_id).alias("queries"), F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0)).alias("recall"))
 
 
 def search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, config: SearchConfig = SearchConfig(), **names) -> DataFrame:

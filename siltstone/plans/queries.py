@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.config import ChunkConfig, Config, GenerateConfig, SearchConfig, Source, TransformConfig
 from siltstone.functions.display import format_value, run_status
 from siltstone.functions.html import clean_html
-from siltstone.operators import answer, chunk, evaluate, incremental, ledger, lexical, load, safety, search, transform, vectors
+from siltstone.operators import answer, cells, chunk, evaluate, incremental, ledger, lexical, load, safety, search, transform, vectors
 from siltstone.sources.pages import enabled_sources, source_table
 
 #: Sources of the fixture tables: every third is off, and some have no purpose.
@@ -247,7 +249,7 @@ def q33_hybrid(spark, sf_dir):
     """BM25 of each benchmark item mixed with the vector scores of the document's id."""
     items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     lex = lexical.bm25(items, _t(spark, sf_dir, "documents").select("doc_id", "text"), TOP_K)
-    sem = _hits(spark, sf_dir).withColumnRenamed("vec_id", "doc_id").join(items.select("query_id"), "query_id", "left_semi")
+    sem = _hits(spark, sf_dir, asked=items).withColumnRenamed("vec_id", "doc_id")
     return lexical.hybrid(lex, sem, TOP_K).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -282,4 +284,14 @@ def q38_versions(spark, sf_dir):
     return incremental.merge_versions(stored, docs.where("doc_id % 11 <> 0"), "doc_id", day(3))
 
 
+def q39_ann_recall(spark, sf_dir):
+    """Of the vectors whose ids are divisible by 100 the best ten of all, by the index: is recall at least 0.9?"""
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = cells.index_vectors(v, max(1, math.isqrt(v.count())))
+    exact = search.search_index(asked, index, 10, exclude_same=True)
+    found = search.search_index(asked, index, 10, exclude_same=True, probes=search.probes_for(index, 10))
+    return search.recall(exact, found).select("queries", F.lit(10).alias("k"), (F.col("recall") >= 0.9).alias("reached"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}

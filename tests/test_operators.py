@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from siltstone.config import Config, SearchConfig, Source, TransformConfig
 from siltstone.functions.display import change, format_value, run_status
 from siltstone.functions.html import clean_html, clean_html_strict, read_html
-from siltstone.operators import answer, evaluate, ledger, load, safety, search, transform, vectors
+from siltstone.operators import answer, cells, evaluate, ledger, load, safety, search, transform, vectors
 from siltstone.sources import pages as page_source
 
 TAGS = TransformConfig().strip_tags
@@ -81,7 +81,7 @@ def test_query_blocks_give_the_same(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)], "vec_id bigint, embedding array<float>")
     q = v.withColumnRenamed("vec_id", "query_id")
     whole = {tuple(r) for r in search.nearest(q, v, 4).collect()}
-    monkeypatch.setattr(search, "QUERY_BLOCK_BYTES", 24 * 7)
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 7)
     assert {tuple(r) for r in search.nearest(q, v, 4).collect()} == whole
 
 
