@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Class and method, on Spark's own class path, that decode the 252 named references of HTML 4 and all numbers in one pass.
-DECODER = ("org.apache.commons.text.StringEscapeUtils", "unescapeHtml4")
+#: References that are decoded by replacement, the ampersand last.
+SIMPLE = {"nbsp": "\xa0", "copy": "©", "reg": "®", "deg": "°", "middot": "·", "quot": '"', "apos": "'", "#39": "'", "lt": "<", "gt": ">", "amp": "&"}
 #: White space as Python's str methods know it.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -23,29 +23,37 @@ def squeeze(text: Column) -> Column:
 
 
 def clean_html(html: Column, strip_tags: tuple[str, ...]) -> Column:
-    """Text outside the stripped elements, a space between text nodes; all inside whole-stage plans.
+    """Text outside the stripped elements, a space between text nodes.
 
-    Same-name nesting inside a stripped element, one that is closed by the end of what is around
-    it, and ``>`` inside attributes, are what the strict form is for.
+    Most pages are read by built-in functions alone. Where these would not give what a parser does
+    (``_is_hard``), the page goes through ``clean_html_strict``; of all others the function sees a null.
     """
-    text = F.regexp_replace(html, r"(?s)<!--.*?(-->|\z)", " ")
-    text = F.regexp_replace(text, r"<![A-Za-z][^>]*>", " ")
+    bare = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    bare = F.regexp_replace(bare, r"<![A-Za-z][^>]*>", " ")
     tags = "|".join(map(re.escape, strip_tags))
     if tags:
-        text = F.regexp_replace(text, rf"(?is)<({tags})(?=[\s>/])[^>]*>.*?(</\1\s*>|\z)", " ")
-    text = F.regexp_replace(text, r"<[A-Za-z/][^>]*>", " ")
-    return squeeze(decode(text))
+        bare = F.regexp_replace(bare, rf"(?is)<({tags})(?=[\s>/])[^>]*>.*?</\1\s*>", " ")
+    hard = _is_hard(html, bare, tags)
+    text = F.regexp_replace(bare, r"<[A-Za-z/][^>]*>", " ")
+    for name, char in SIMPLE.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return F.when(hard, clean_html_strict(strip_tags)(F.when(hard, html))).otherwise(squeeze(text))
 
 
-def decode(text: Column) -> Column:
-    """Character references as characters, decoded once: ``&amp;lt;`` is the text ``&lt;``. Other text stays as it is."""
-    text = F.regexp_replace(text, r"&(amp(?!;)|(?:lt|gt|quot|nbsp|copy|reg|deg|middot)(?![;0-9A-Za-z]))", "&$1;")
-    text = F.regexp_replace(text, "&apos;", "&#39;")
-    known = F.when(F.contains(text, F.lit("&")), F.reflect(F.lit(DECODER[0]), F.lit(DECODER[1]), text))
-    return F.coalesce(known, text)
+def _is_hard(html: Column, bare: Column, tags: str) -> Column:
+    """Does a page hold what replacement does not read as a parser does?
+
+    Other references, or any without its semicolon; a ``>`` or ``<`` inside a quoted attribute; a comment or tag without its
+    end, or markup that is neither; a stripped element inside one of its name, never closed or never opened; raw text outside a stripped one.
+    """
+    names = "|".join(SIMPLE)
+    odd = html.rlike(rf"&(?!(?:{names});)[#A-Za-z]") | html.rlike("=\\s*(?:\"[^\"<>]*[<>]|'[^'<>]*[<>])") | html.rlike(r"<!-->|<!--->|--!>|<!\[|<\?|</[^A-Za-z]")
+    raw = [t for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes") if t not in tags.split("|")]
+    odd = odd | bare.rlike(r"<!|<[^>]*\z") | bare.rlike(rf"(?is)<({'|'.join(raw)})(?=[\s>/])[^>]*>[^<]*<(?!/\1\s*>)") | bare.rlike("(?i)<(?:plaintext|svg|math)")
+    return (odd | bare.rlike(rf"(?i)</?(?:{tags})[\s>/]")) if tags else odd
 
 
-class _Reader(HTMLParser):
+class PageReader(HTMLParser):
     """Text nodes outside the stripped elements.
 
     An end tag closes the innermost open element of its name with all inside it, and nothing if there
@@ -81,7 +89,7 @@ class _Reader(HTMLParser):
 def read_html(html: str | None, strip_tags: tuple[str, ...]) -> str | None:
     if html is None:
         return None
-    reader = _Reader(frozenset(strip_tags))
+    reader = PageReader(frozenset(strip_tags))
     reader.feed(html)
     reader.close()
     return " ".join(" ".join(reader.parts).split())

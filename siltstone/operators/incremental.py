@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Scheme and host of a URL.
+HEAD = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*"
+
 
 def with_hash(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("content_hash", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
@@ -38,16 +41,46 @@ def merge_versions(stored: DataFrame, found: DataFrame, key: str, seen_at: Colum
 
 
 def normalise_url(url: Column) -> Column:
-    """Scheme and host in lower case, no default port, query, fragment or final slash."""
-    bare = F.regexp_replace(url, r"[?#].*$", "")
-    head = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", 0))
-    path = F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
-    return F.concat(F.regexp_replace(head, r":(80|443)$", ""), F.regexp_replace(path, "/+$", ""))
+    """Scheme and host in lower case, without its scheme's own port, fragment or final slash; parameters in order."""
+    bare = F.regexp_replace(F.trim(url), "#.*$", "")
+    head = F.lower(F.regexp_extract(bare, HEAD, 0))
+    head = F.when(head.startswith("http://"), F.regexp_replace(head, ":80$", "")).when(head.startswith("https://"), F.regexp_replace(head, ":443$", "")).otherwise(head)
+    rest = F.regexp_replace(bare, HEAD, "")
+    path, asked = F.regexp_replace(F.regexp_extract(rest, r"^[^?]*", 0), "/+$", ""), F.regexp_extract(rest, r"^[^?]*\?(.*)$", 1)
+    ordered = F.array_join(F.array_sort(F.filter(F.split(asked, "&"), lambda x: x != "")), "&")
+    return F.concat(head, path, F.when(ordered != "", F.concat(F.lit("?"), ordered)).otherwise(""))
+
+
+def resolve_url(base: Column, href: Column) -> Column:
+    """The absolute form of a link of the page ``base``; null for links that are no pages (mailto:, javascript:, only a fragment)."""
+    link = F.regexp_replace(F.trim(href), "#.*$", "")
+    root = F.regexp_extract(base, HEAD, 0)
+    path = F.regexp_extract(F.regexp_replace(base, HEAD, ""), r"^[^?#]*", 0)
+    folder = F.concat(root, F.coalesce(F.nullif(F.regexp_extract(path, r"^(.*/)", 1), F.lit("")), F.lit("/")))
+    whole = (
+        F.when(link.rlike(r"^(?i)https?://"), link).when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (link == ""), None)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(root, r"^[A-Za-z][A-Za-z0-9+.-]*:", 0), link)).when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(root, path, link)).otherwise(F.concat(folder, link))
+    )
+    tail = F.regexp_replace(whole, HEAD, "")
+    steps = F.split(F.regexp_extract(tail, r"^[^?]*", 0), "/")
+    up = lambda a: F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+    walked = F.aggregate(steps, F.lit([]).cast("array<string>"), lambda a, s: F.when(s == ".", a).when(s == "..", up(a)).otherwise(F.concat(a, F.array(s))))
+    walked = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    return F.when(whole.isNotNull(), F.concat(F.regexp_extract(whole, HEAD, 0), F.array_join(walked, "/"), F.regexp_extract(tail, r"(\?.*)$", 1)))
+
 
+def cached_answers(questions: DataFrame, cache: DataFrame, ttl: str = "1 hour", changed: DataFrame | None = None) -> DataFrame:
+    """Questions with the answer of an equal question (case and space apart) that has not expired; cache: (query, answer, stored_at).
 
-def cached_answers(questions: DataFrame, cache: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """Questions with the answer of an equal question (case and space apart) that has not expired; cache: (query, answer, stored_at)."""
+    ``changed`` (source, changed_at) invalidates what a new load of a source has made old: with it the cache
+    has a column ``sources``, and an answer with a source that changed after it was stored is not used.
+    """
     key = lambda c: F.sha2(F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))), 256)
     fresh = cache.where(F.col("stored_at") >= F.current_timestamp() - F.expr(f"interval {ttl}"))
+    if changed is not None:
+        latest = changed.groupBy("source").agg(F.max("changed_at").alias("changed_at"))
+        used = fresh.select("query", "stored_at", F.explode("sources").alias("source")).join(latest, "source").where("changed_at > stored_at")
+        fresh = fresh.join(used.select("query", "stored_at"), ["query", "stored_at"], "left_anti")
     newest = fresh.groupBy(key("query").alias("_k")).agg(F.max_by("answer", "stored_at").alias("cached_answer"))
     return questions.withColumn("_k", key("query")).join(newest, "_k", "left").drop("_k")

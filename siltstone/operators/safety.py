@@ -2,31 +2,76 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What counts as personal data, by kind: patterns that Java and RE2 read alike.
-PERSONAL = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"\+?[0-9]{0,3}[ -]?\(?[0-9]{2,4}\)?[ -][0-9]{3}[ -][0-9]{3,4}",
-    "national_id": r"(^|[^0-9])[0-9]{13}([^0-9]|\z)",
-}
+#: Personal data that a pattern tells. None of them takes a character of its neighbours.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+NATIONAL_ID = r"(?<![0-9])[0-9]{13}(?![0-9])"
+PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ -]?(?:\(0\) ?)?\(?[0-9]{1,4}\)?(?:[ /-]?[0-9]{2,4}){2,3}|(?:[0-9]{1,3}[ -])?\(?[0-9]{2,4}\)?[ -][0-9]{3}[ -][0-9]{3,4})(?![0-9])"
+#: Numbers that may be a card's: together, in fours, or in 4, 6 and 5 digits; found at each of their starts.
+CARD = r"(?<![0-9])(?=([0-9]{13,19}(?![0-9])|[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])))"
+#: In the order in which they are looked for: what one kind has taken is no other's.
+KINDS = ("email", "card", "national_id", "phone")
 #: Phrases by which a text tries to give orders to a model.
 INJECTION = r"(?i)(ignore|disregard|forget) (all |any )?(the )?(previous|prior|above|earlier) (instructions|prompts|rules)|reveal (your|the) (system )?prompt|you are now (a|an|in) |pretend (to be|that you)"
 #: Characters of a question at most.
 MOST_CHARS = 2000
 
 
-def personal_counts(text: Column) -> dict[str, Column]:
-    """How often each kind of personal data occurs; a null text has none."""
-    return {kind: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).alias(kind) for kind, pattern in PERSONAL.items()}
+def is_luhn(digits: Column) -> Column:
+    """Do the digits, each second from the right doubled, sum to a multiple of ten?"""
+    n = F.length(digits)
+    digit = lambda i: F.substring(digits, i, F.lit(1)).cast("int")
+    worth = lambda i: F.when((n - i) % 2 == 1, digit(i) * 2 - F.when(digit(i) > 4, 9).otherwise(0)).otherwise(digit(i))
+    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + worth(i)) % 10 == 0
+
+
+def is_national_id(number: Column) -> Column:
+    """Has a number of 13 digits the date and check digit of a Yugoslav citizen's number?"""
+    digit = lambda i: F.substring(number, F.lit(i), F.lit(1)).cast("int")
+    total = reduce(lambda a, b: a + b, [(7 - i) * (digit(i + 1) + digit(i + 7)) for i in range(6)])
+    rest = 11 - total % 11
+    year = F.substring(number, F.lit(5), F.lit(3))
+    date = F.concat(F.when(year >= "800", "1").otherwise("2"), year, F.substring(number, F.lit(3), F.lit(2)), F.substring(number, F.lit(1), F.lit(2)))
+    return F.try_to_timestamp(date, F.lit("yyyyMMdd")).isNotNull() & (digit(13) == F.when(rest > 9, 0).otherwise(rest))
+
+
+def cards(text: Column) -> Column:
+    """The distinct card numbers of a text, as they are written."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(CARD), F.lit(1)))
+    return F.filter(found, lambda c: is_luhn(F.regexp_replace(c, "[ -]", "")))
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _hidden(text: Column, kind: str) -> Column:
+    """The text without one kind; texts that cannot hold it, as a cheap test tells, are left alone."""
+    if kind == "email":
+        return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, "[email]")).otherwise(text)
+    if kind == "card":
+        found = F.aggregate(cards(text), text, lambda t, c: F.regexp_replace(t, F.concat(F.lit("(?<![0-9])"), c, F.lit("(?![0-9])")), F.lit("[card]")))
+        return F.when(text.rlike("[0-9]{4}"), found).otherwise(text)
+    pattern = {"national_id": NATIONAL_ID, "phone": PHONE}[kind]
+    return F.when(text.rlike("[0-9]{3}|[0-9][ /)-]"), F.regexp_replace(text, pattern, f"[{kind}]")).otherwise(text)
 
 
 def redact(text: Column) -> Column:
-    """The text with ``[kind]`` in place of personal data; what stands around a number stays."""
-    for kind, pattern in PERSONAL.items():
-        text = F.regexp_replace(text, pattern, f"$1[{kind}]$2" if kind == "national_id" else f"[{kind}]")
-    return text
+    """The text with ``[kind]`` in place of personal data; what stands around it stays. Null stays null."""
+    return reduce(lambda t, kind: _let(t, lambda x: _hidden(x, kind)), KINDS, text)
+
+
+def personal_counts(text: Column) -> Column:
+    """A struct: how many pieces of each kind ``redact`` hides, and as ``checked_id`` how many national ids have a date and check digit; a null text has none."""
+    marks = lambda t, kind: F.regexp_count(t, F.lit(rf"\[{kind}\]"))
+    checked = lambda t: F.size(F.filter(F.regexp_extract_all(t, F.lit(NATIONAL_ID), F.lit(0)), is_national_id))
+    counts = lambda t, hidden: F.struct(*[(marks(hidden, kind) - marks(t, kind)).alias(kind) for kind in KINDS], checked(t).alias("checked_id"))
+    return _let(F.coalesce(text, F.lit("")), lambda t: _let(redact(t), lambda hidden: counts(t, hidden)))
 
 
 def is_injection(text: Column) -> Column:

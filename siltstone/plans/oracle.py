@@ -5,7 +5,7 @@ from __future__ import annotations
 from siltstone.operators.answer import ANSWER, CONTEXT, QUESTION, SOURCE
 from siltstone.operators.lexical import K1, B
 from siltstone.operators.search import DIGITS
-from siltstone.operators.safety import INJECTION, PERSONAL
+from siltstone.operators.safety import INJECTION, KINDS
 from siltstone.plans.queries import CHUNK, CONFIG, LOW, TOP_K, TRANSFORM
 
 _LATEST = {s.name: s for s in CONFIG.sources}
@@ -109,7 +109,10 @@ SQL = {
 SQL |= {
     "q26_duplicate_texts": "select sha256(coalesce(text, '')) as content_hash, count(*) as copies, min(doc_id) as first from documents group by 1 having count(*) > 1",
     "q27_load_plan": "with a as (select doc_id, case when doc_id % 7 = 0 then 'old' else text end as old from documents where doc_id % 5 <> 0), b as (select doc_id, text as new from documents where doc_id % 11 <> 0) select case when a.doc_id is null then 'insert' when b.doc_id is null then 'gone' when old = new then 'skip' else 'replace' end as action, count(*) as documents from a full join b on a.doc_id = b.doc_id group by 1",
-    "q28_url_identity": r"with bare as (select page_id, regexp_replace(url, '[?#].*$', '') as u from pages), parts as (select page_id, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*') as head, regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '') as path from bare) select regexp_replace(lower(head), ':(80|443)$', '') || regexp_replace(path, '/+$', '') as url, count(*) as pages, min(page_id) as first from parts group by 1",
+    "q28_url_identity": r"""with bare as (select page_id, string_split(trim(url), '#')[1] as u from pages), cut as (select page_id, string_split(u, '?')[1] as front, substr(u, length(string_split(u, '?')[1]) + 2) as asked from bare),
+  parts as (select page_id, asked, lower(string_split(front, '/')[1]) || '//' || lower(string_split(front, '/')[3]) as head, rtrim(array_to_string(string_split(front, '/')[4:], '/'), '/') as path from cut)
+  select case when starts_with(head, 'http://') and ends_with(head, ':80') then left(head, length(head) - 3) when starts_with(head, 'https://') and ends_with(head, ':443') then left(head, length(head) - 4) else head end
+    || case when path = '' then '' else '/' || path end || case when asked = '' then '' else '?' || array_to_string(list_sort(list_filter(string_split(asked, '&'), lambda x: x <> '')), '&') end as url, count(*) as pages, min(page_id) as first from parts group by 1""",
     "q29_bm25": f"with {_bm25()} select query_id, doc_id, round(score, 6) as score, rank from best",
     "q31_latency": "select strftime(ts, '%Y-%m-%d') as day, count(*) as queries, round(avg((value < 5)::int), 9) as fallback_rate, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events group by 1",
 }
@@ -123,13 +126,22 @@ SQL |= {
 
 
 def _safety() -> None:
-    count = lambda p: f"len(regexp_extract_all(coalesce(text, ''), '{p}'))"
-    SQL["q35_personal_data"] = f"select source, {', '.join(f'sum({count(p)})::bigint as {k}' for k, p in PERSONAL.items())}, count(*) filter (where {count(INJECTION)} > 0) as injections from documents group by source"
-    text = "coalesce(text, '')"
-    for kind, pattern in PERSONAL.items():
-        put = rf"\1[{kind}]\2" if kind == "national_id" else f"[{kind}]"
-        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
-    SQL["q36_redacted"] = f"select doc_id, sha256({text}) as redacted_sha256 from documents"
+    """From the rules: runs of digits are told apart as a list, whatever stands beside them; phones twice, since a match takes its neighbours."""
+    digits = "list_transform(string_split({}, ''), lambda d: try_cast(d as int))"
+    luhn = f"list_sum(list_transform({digits.format('reverse(r)')}, lambda d, i: case when i % 2 = 0 then d * 2 - case when d > 4 then 9 else 0 end else d end)) % 10 = 0"
+    run = f"case when not regexp_full_match(r, '[0-9]{{13,19}}') then r when {luhn} then '[card]' when len(r) = 13 then '[national_id]' else r end"
+    phone = r"(^|[^0-9])(?:\+[0-9]{1,3}[ -]?(?:\(0\) ?)?\(?[0-9]{1,4}\)?(?:[ /-]?[0-9]{2,4}){2,3}|(?:[0-9]{1,3}[ -])?\(?[0-9]{2,4}\)?[ -][0-9]{3}[ -][0-9]{3,4})([^0-9]|\z)"
+    hide = lambda t: rf"regexp_replace({t}, '{phone}', '\1[phone]\2', 'g')"
+    parts = "regexp_extract_all(regexp_replace(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', '[email]', 'g'), '[0-9]+|[^0-9]+')"
+    numbers = f"coalesce(array_to_string(list_transform({parts}, lambda r: {run}), ''), '')"
+    redacted = f"redacted as (select *, {hide(hide(numbers))} as clean from documents)"
+    marks = lambda kind: f"sum((length(clean) - length(replace(clean, '[{kind}]', '')) - length(coalesce(text, '')) + length(replace(coalesce(text, ''), '[{kind}]', ''))) // {len(kind) + 2})::bigint as {kind}"
+    weights = " + ".join(f"{7 - i} * (try_cast(substr(r, {i + 1}, 1) as int) + try_cast(substr(r, {i + 7}, 1) as int))" for i in range(6))
+    date = "try_strptime(case when substr(r, 5, 3) >= '800' then '1' else '2' end || substr(r, 5, 3) || substr(r, 3, 2) || substr(r, 1, 2), '%Y%m%d') is not null"
+    checked = f"len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9]+'), lambda r: len(r) = 13 and {date} and try_cast(substr(r, 13, 1) as int) = case when 11 - ({weights}) % 11 > 9 then 0 else 11 - ({weights}) % 11 end))"
+    injected = f"count(*) filter (where len(regexp_extract_all(coalesce(text, ''), '{INJECTION}')) > 0) as injections"
+    SQL["q35_personal_data"] = f"with {redacted} select source, {', '.join(map(marks, KINDS))}, sum({checked})::bigint as checked_id, {injected} from redacted group by source"
+    SQL["q36_redacted"] = f"with {redacted} select doc_id, sha256(clean) as redacted_sha256 from redacted"
     SQL["q37_question_checks"] = rf"with c as (select conv_id, turn, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) as question from conversations) select conv_id, turn, question, case when question = '' then 'empty' when length(question) > 200 then 'too long' when regexp_matches(question, '{INJECTION}') then 'injection' end as problem from c"
     SQL["q38_versions"] = "with d as (select doc_id, sha256(coalesce(text, '')) as h from documents), o as (select doc_id, case when doc_id % 7 = 0 then 'old' else h end as h from d where doc_id % 5 <> 0), n as (select * from d where doc_id % 11 <> 0) select coalesce(o.doc_id, n.doc_id) as doc_id, coalesce(n.h, o.h) as content_hash, case when o.doc_id is null then '2024-01-03' else '2024-01-01' end as first_indexed, case when n.doc_id is null then '2024-01-02' else '2024-01-03' end as last_seen, case when n.doc_id is not null and (o.doc_id is null or o.h <> n.h) then '2024-01-03' else '2024-01-01' end as last_changed, case when n.doc_id is null then 'gone' else 'live' end as status from o full join n on o.doc_id = n.doc_id"
 
@@ -147,6 +159,31 @@ def _sweep() -> str:
 SQL["q30_chunk_sweep"] = _sweep()
 
 
+def _sections() -> str:
+    """Headings are cut out with marks: chr(1) and the level before one, chr(2) at the end of any block."""
+    text = r"regexp_replace(html, '<p><b>([^<]*)<br>', '<h2>\1</h2>', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '(?s)<!--.*?-->', '', 'g'), '(?is)<({'|'.join(TRANSFORM.strip_tags)}|title)[^>]*>.*?</({'|'.join(TRANSFORM.strip_tags)}|title)>', '', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '<h([12])>', chr(2) || chr(1) || '\\1', 'g'), '</?(h[12]|p|li|div|article|body)>|<div [^>]*>', chr(2), 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '<br>', ' ', 'g'), '<[A-Za-z/!][^>]*>', '', 'g')"
+    own = "regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"
+    for name, value in (("&nbsp;", "chr(160)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&quot;", "'\"'"), ("&apos;", "''''"), ("&#39;", "''''"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&amp;", "'&'"), ("&amp", "'&'")):
+        text, own = f"replace({text}, '{name}', {value})", f"replace({own}, '{name}', {value})"
+    squeeze = lambda t: rf"trim(regexp_replace({t}, '[\s\x0B\x1c-\x1f\x{{85}}\x{{A0}}]+', ' ', 'g'))"
+    return rf"""with recursive cut as (select page_id, url, {squeeze(own)} as own, string_split({text}, chr(1)) as parts from pages),
+  numbered as (select page_id, url, own, unnest(parts) as part, unnest(range(len(parts))) as i from cut),
+  blocks as (select page_id, url, own, i, case when i > 0 then left(part, 1)::int else 0 end as level, list_transform(string_split(case when i > 0 then substr(part, 2) else part end, chr(2)), lambda x: {squeeze("x")}) as b from numbered),
+  split as (select page_id, url, own, i, level, case when i > 0 then b[1] end as heading, array_to_string(list_filter(case when i > 0 then b[2:] else b end, lambda x: x <> ''), ' ') as t from blocks),
+  kept as (select *, i - min(i) over (partition by page_id) as section, max(case when level = 1 then i end) over w as last1, first_value(heading ignore nulls) over (partition by page_id order by i rows between unbounded preceding and unbounded following) as first_heading
+    from split where i > 0 or t <> '' window w as (partition by page_id order by i)),
+  pathed as (select k.*, case when k.level = 2 and o.heading is not null then o.heading || ' > ' || k.heading else coalesce(k.heading, '') end as heading_path from kept k left join kept o on o.page_id = k.page_id and o.i = k.last1),
+  texts as (select page_id * 100000 + section as doc_id, url as source, t from pathed where t <> ''), {_chunks(CHUNK.size)}
+  select page_id, url, section::int as section, coalesce(nullif(own, ''), first_heading) as page_title, heading as section_title, level, heading_path, (row_number() over (partition by page_id order by section, chunk_index) - 1)::int as chunk_index, text, char_offset, chunk_length
+  from chunks join pathed on doc_id = page_id * 100000 + section"""
+
+
+SQL["q40_section_chunks"] = _sections()
+
+
 def _prompts() -> str:
     from siltstone.config import GenerateConfig
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.config import ChunkConfig, Config, GenerateConfig, SearchConfig, Source, TransformConfig
 from siltstone.functions.display import format_value, run_status
 from siltstone.functions.html import clean_html
-from siltstone.operators import answer, cells, chunk, evaluate, incremental, ledger, lexical, load, safety, search, transform, vectors
+from siltstone.operators import answer, cells, chunk, evaluate, incremental, ledger, lexical, load, safety, search, sections, transform, vectors
 from siltstone.sources.pages import enabled_sources, source_table
 
 #: Sources of the fixture tables: every third is off, and some have no purpose.
@@ -261,9 +261,8 @@ def q34_consistency(spark, sf_dir):
 def q35_personal_data(spark, sf_dir):
     """Personal data and injections in whole documents, by source."""
     docs = _t(spark, sf_dir, "documents")
-    kinds = safety.personal_counts(F.col("text"))
-    rows = docs.select("source", *kinds.values(), safety.is_injection(F.col("text")).alias("injection"))
-    return rows.groupBy("source").agg(*[F.sum(k).alias(k) for k in kinds], F.count_if("injection").alias("injections"))
+    rows = docs.select("source", safety.personal_counts(F.col("text")).alias("found"), safety.is_injection(F.col("text")).alias("injection"))
+    return rows.groupBy("source").agg(*[F.sum(f"found.{k}").alias(k) for k in (*safety.KINDS, "checked_id")], F.count_if("injection").alias("injections"))
 
 
 def q36_redacted(spark, sf_dir):
@@ -294,4 +293,10 @@ def q39_ann_recall(spark, sf_dir):
     return search.recall(exact, found).select("queries", F.lit(10).alias("k"), (F.col("recall") >= 0.9).alias("reached"))
 
 
+def q40_section_chunks(spark, sf_dir):
+    """Chunks by headings; a paragraph that is bold up to its break is a heading of the second level here."""
+    html = F.regexp_replace("html", "<p><b>([^<]*)<br>", "<h2>$1</h2>")
+    return sections.section_chunks(_t(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
