@@ -184,6 +184,24 @@ def _sections() -> str:
 SQL["q40_section_chunks"] = _sections()
 
 
+_NORMAL = """case when starts_with({0}, 'http://') then regexp_replace({0}, '^(http://[^/?]*):80($|[/?])', '\\1\\2') else regexp_replace({0}, '^(https://[^/?]*):443($|[/?])', '\\1\\2') end"""
+#: The tables' links all begin with a slash, and their URLs have a host in lower case.
+LINKS = rf"""own as (select page_id, u.i, {_NORMAL.format("string_split(url, '#')[1]")} as full_url, url, html from pages, (select 0 as i) u),
+  norm as (select page_id, html, case when contains(full_url, '?') then rtrim(string_split(full_url, '?')[1], '/') || '?' || array_to_string(list_sort(string_split(string_split(full_url, '?')[2], '&')), '&') else rtrim(full_url, '/') end as url from own),
+  hrefs as (select distinct url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) as href from norm),
+  links as (select distinct url, regexp_extract(url, '^[a-z]+://[^/?]*') || rtrim(href, '/') as target from hrefs)"""
+SQL["q41_page_links"] = f"with {LINKS} select url, target from links"
+SQL["q42_crawl"] = f"""with recursive {LINKS}, graph as (
+    select distinct 'https://s' || page_id % 2 || '.example/p' || page_id as url, 'https://s' || m % 2 || '.example/p' || m as target
+    from (select page_id, ('0x' || left(md5(case when path = '' then '/' else path end), 7))::bigint % (select count(*) from pages) as m from (select page_id, substr(target, length(regexp_extract(url, '^[a-z]+://[^/?]*')) + 1) as path from links join norm using (url)))
+    where page_id % 2 = m % 2
+  ), reach as (
+    select 'site' || page_id % 2 as source, 'https://s' || page_id % 2 || '.example/p' || page_id as url, 0 as depth from (select min(page_id) as page_id from pages group by page_id % 2)
+    union select source, target, depth + 1 from reach join graph using (url) where depth < 5 and not (target like '%/p3%' and target not like '%/p30%')
+  ), first as (select source, url, min(depth) as depth from reach group by all), placed as (select *, row_number() over (partition by source order by depth, url) as n from first)
+  select source, url, depth from placed where n <= 60"""
+
+
 def _prompts() -> str:
     from siltstone.config import GenerateConfig
 

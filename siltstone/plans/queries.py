@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.config import ChunkConfig, Config, GenerateConfig, SearchConfig, Source, TransformConfig
 from siltstone.functions.display import format_value, run_status
 from siltstone.functions.html import clean_html
-from siltstone.operators import answer, cells, chunk, evaluate, incremental, ledger, lexical, load, safety, search, sections, transform, vectors
+from siltstone.operators import answer, cells, chunk, evaluate, frontier, incremental, ledger, lexical, load, safety, search, sections, transform, vectors
 from siltstone.sources.pages import enabled_sources, source_table
 
 #: Sources of the fixture tables: every third is off, and some have no purpose.
@@ -299,4 +299,22 @@ def q40_section_chunks(spark, sf_dir):
     return sections.section_chunks(_t(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")))
 
 
+def q41_page_links(spark, sf_dir):
+    return frontier.page_links(_t(spark, sf_dir, "pages"))
+
+
+def q42_crawl(spark, sf_dir):
+    """A crawl over a graph of two sites: a link of a page leads to the page that the MD5 of its path names, if that is of the same site."""
+    pages = _t(spark, sf_dir, "pages").select("page_id", "url", "html")
+    at = lambda i: F.concat(F.lit("https://s"), (i % 2).cast("string"), F.lit(".example/p"), i.cast("string"))
+    own = pages.select("page_id", at(F.col("page_id")).alias("own"), incremental.normalise_url(F.col("url")).alias("url"))
+    count = own.agg(F.count(F.lit(1)).alias("n"))
+    named = F.conv(F.substring(F.md5(frontier.path_of(F.col("target"))), 1, 7), 16, 10).cast("bigint") % F.col("n")
+    links = frontier.page_links(pages).join(own, "url").join(count).select(F.col("own").alias("url"), at(named).alias("target"))  # count: one row
+    links = links.where(frontier.host_of(F.col("url")) == frontier.host_of(F.col("target"))).distinct()
+    seeds = own.groupBy((F.col("page_id") % 2).alias("site")).agg(F.min("page_id").alias("page_id")).select(F.concat(F.lit("site"), F.col("site").cast("string")).alias("source"), at(F.col("page_id")).alias("url"), F.lit(5).alias("max_depth"), F.lit(60).alias("max_pages"))
+    robots = spark.createDataFrame([(f"s{i}.example", "User-agent: *\nDisallow: /p3\nAllow: /p30 # but these\n") for i in (0, 1)], "host string, robots string")
+    return frontier.crawl_plan(seeds, links, frontier.robots_rules(robots, "Siltstone/1"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
