@@ -190,6 +190,10 @@ LINKS = rf"""own as (select page_id, u.i, {_NORMAL.format("string_split(url, '#'
   norm as (select page_id, html, case when contains(full_url, '?') then rtrim(string_split(full_url, '?')[1], '/') || '?' || array_to_string(list_sort(string_split(string_split(full_url, '?')[2], '&')), '&') else rtrim(full_url, '/') end as url from own),
   hrefs as (select distinct url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) as href from norm),
   links as (select distinct url, regexp_extract(url, '^[a-z]+://[^/?]*') || rtrim(href, '/') as target from hrefs)"""
+SQL["q43_vector_versions"] = f"""with unit as (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_inner_product(embedding::double[], embedding::double[]))) as u from embeddings),
+  live as (select vec_id, case when vec_id % 7 = 0 then list_transform(u, lambda x: -x) else u end as u from unit where vec_id % 11 <> 0 union all select vec_id + 1000000000, u from unit where vec_id % 13 = 0),
+  scored as (select q.vec_id as query_id, l.vec_id, round(list_inner_product(q.u, l.u), {DIGITS}) as score from unit q, live l where q.vec_id % 100 = 0),
+  placed as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored) select query_id, vec_id, round(score, 6) as score, rank from placed where rank <= {TOP_K}"""
 SQL["q41_page_links"] = f"with {LINKS} select url, target from links"
 SQL["q42_crawl"] = f"""with recursive {LINKS}, graph as (
     select distinct 'https://s' || page_id % 2 || '.example/p' || page_id as url, 'https://s' || m % 2 || '.example/p' || m as target

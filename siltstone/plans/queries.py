@@ -12,6 +12,8 @@ from siltstone.functions.display import format_value, run_status
 from siltstone.functions.html import clean_html
 from siltstone.operators import answer, cells, chunk, evaluate, frontier, incremental, ledger, lexical, load, safety, search, sections, transform, vectors
 from siltstone.sources.pages import enabled_sources, source_table
+from siltstone.sources.store import fresh_folder
+from siltstone.sources.versions import VectorStore
 
 #: Sources of the fixture tables: every third is off, and some have no purpose.
 CONFIG = Config(sources=tuple(Source(f"src{i}", f"https://src{i}.example.org/", ("news", "admissions", "unknown", "programs")[i % 4], i % 3 != 0) for i in range(0, 20, 2)))
@@ -317,4 +319,16 @@ def q42_crawl(spark, sf_dir):
     return frontier.crawl_plan(seeds, links, frontier.robots_rules(robots, "Siltstone/1"))
 
 
+def q43_vector_versions(spark, sf_dir):
+    """Search after two changes of the loaded vectors: some negated, then some gone and others new."""
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    store = VectorStore(spark, fresh_folder(spark, "vectors"))
+    store.change(v)
+    store.compact()
+    store.change(v.where("vec_id % 7 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    store.change(v.where("vec_id % 13 = 0").withColumn("vec_id", F.col("vec_id") + 1_000_000_000), v.where("vec_id % 11 = 0"))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _scores(search.nearest(asked, store.read(), TOP_K))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}

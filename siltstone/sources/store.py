@@ -24,20 +24,24 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def staged(rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` written once, below spark.checkpoint.dir, and read back: evaluated once, and no lineage to redo.
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A folder below spark.checkpoint.dir that nothing else uses.
 
     Without that setting a folder of this machine serves, which only a local master may use.
     """
-    spark = rows.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    path = f"{base.rstrip('/')}/siltstone-{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/siltstone-{label}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` written once, to a fresh folder, and read back: evaluated once, and no lineage to redo."""
+    path = fresh_folder(rows.sparkSession, label)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
