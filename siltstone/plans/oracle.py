@@ -194,6 +194,22 @@ SQL["q43_vector_versions"] = f"""with unit as (select vec_id, list_transform(emb
   live as (select vec_id, case when vec_id % 7 = 0 then list_transform(u, lambda x: -x) else u end as u from unit where vec_id % 11 <> 0 union all select vec_id + 1000000000, u from unit where vec_id % 13 = 0),
   scored as (select q.vec_id as query_id, l.vec_id, round(list_inner_product(q.u, l.u), {DIGITS}) as score from unit q, live l where q.vec_id % 100 = 0),
   placed as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored) select query_id, vec_id, round(score, 6) as score, rank from placed where rank <= {TOP_K}"""
+
+
+def _expanded() -> str:
+    score = f"round(sum(weight * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * n / avg_n))), {DIGITS}) as score from {{0}} join postings using (term) join df using (term) cross join total group by all"
+    top = "select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from {0}) where rank <= {1}"
+    return f"""with {_bm25()}, one as (select *, 1.0 as weight from asked), s1 as (select query_id, doc_id, {score.format("one")}), r1 as ({top.format("s1", 20)}),
+  feedback as (select query_id, doc_id, score / sum(score) over (partition by query_id) as share from r1 where rank <= 3),
+  likely as (select query_id, term, round(sum(share * tf / n), {DIGITS}) as p from feedback join postings using (doc_id) where (query_id, term) not in (select (query_id, term) from asked) group by all),
+  chosen as (select * from (select *, row_number() over (partition by query_id order by p desc, term) as i from likely where p > 0) where i <= 10),
+  more as (select query_id, term, 0.6::double / count(*) over (partition by query_id) as weight from asked union all select query_id, term, 0.4::double * p / sum(p) over (partition by query_id) from chosen),
+  s2 as (select query_id, doc_id, {score.format("more")}), r2 as ({top.format("s2", 20)}),
+  votes as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), {DIGITS}) as score from (select query_id, doc_id, rank from r1 union all select query_id, doc_id, rank from r2) group by all),
+  placed as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from votes) select query_id, doc_id, score, rank from placed where rank <= {TOP_K}"""
+
+
+SQL["q44_expanded"] = _expanded()
 SQL["q41_page_links"] = f"with {LINKS} select url, target from links"
 SQL["q42_crawl"] = f"""with recursive {LINKS}, graph as (
     select distinct 'https://s' || page_id % 2 || '.example/p' || page_id as url, 'https://s' || m % 2 || '.example/p' || m as target

@@ -331,4 +331,10 @@ def q43_vector_versions(spark, sf_dir):
     return _scores(search.nearest(asked, store.read(), TOP_K))
 
 
+def q44_expanded(spark, sf_dir):
+    """Benchmark items as queries, with terms of their best documents."""
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return lexical.expanded_search(items, _t(spark, sf_dir, "documents").select("doc_id", "text"), TOP_K)
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
