@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from siltstone.operators.answer import ANSWER, CONTEXT, QUESTION, SOURCE
 from siltstone.operators.lexical import K1, B
+from siltstone.operators.monitor import ERROR
 from siltstone.operators.search import DIGITS
 from siltstone.operators.safety import INJECTION, KINDS
 from siltstone.plans.queries import CHUNK, CONFIG, LOW, TOP_K, TRANSFORM
 
+GAMMA = (1 + ERROR) / (1 - ERROR)
 _LATEST = {s.name: s for s in CONFIG.sources}
 SOURCES = "(values " + ", ".join(f"('{s.name}', '{s.purpose}', {str(s.enabled).lower()})" for s in _LATEST.values()) + ") as s(source, purpose, enabled)"
 
@@ -114,7 +118,9 @@ SQL |= {
   select case when starts_with(head, 'http://') and ends_with(head, ':80') then left(head, length(head) - 3) when starts_with(head, 'https://') and ends_with(head, ':443') then left(head, length(head) - 4) else head end
     || case when path = '' then '' else '/' || path end || case when asked = '' then '' else '?' || array_to_string(list_sort(list_filter(string_split(asked, '&'), lambda x: x <> '')), '&') end as url, count(*) as pages, min(page_id) as first from parts group by 1""",
     "q29_bm25": f"with {_bm25()} select query_id, doc_id, round(score, 6) as score, rank from best",
-    "q31_latency": "select strftime(ts, '%Y-%m-%d') as day, count(*) as queries, round(avg((value < 5)::int), 9) as fallback_rate, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events group by 1",
+    "q31_latency": rf"""with e as (select strftime(ts, '%Y-%m-%d') as day, value, case when value > 0 then ceil(ln(value) / {math.log(GAMMA)!r})::int end as k from events where value is not null),
+  ordered as (select *, row_number() over (partition by day order by k nulls first) - 1 as r, count(*) over (partition by day) as n from e)
+  select day, count(*) as queries, round(avg((value < 5)::int), 9) as fallback_rate, {", ".join(f"round(coalesce(2 * pow({GAMMA!r}::double, max(k) filter (where r = floor({q}::double * (n - 1)))) / {GAMMA + 1!r}::double, 0), 6) as {p}" for p, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))} from ordered group by day""",
 }
 
 
@@ -232,6 +238,32 @@ def _prompts() -> str:
     prompt = f"{quote(GenerateConfig().system_prompt)} || chr(10) || chr(10) || '{CONTEXT}' || chr(10) || context || chr(10) || chr(10) || '{QUESTION}' || chr(10) || query || chr(10) || chr(10) || '{ANSWER}' || chr(10)"
     SQL["q15_prompt"] = f"with {found}, numbered as (select *, row_number() over (partition by query_id order by rank) as n from found), contexts as (select query_id, {lines} as context from numbered group by query_id) select query_id, {prompt} as prompt from questions join contexts using (query_id)"
     SQL["q16_query_metrics"] = f"with {found} select query_id, count(rank)::int as num_chunks, coalesce(max(score), 0) as top_score, coalesce(round(avg(score) filter (where rank <= 3), 4), 0) as avg_top3_score, coalesce(string_agg(distinct source, ',' order by source), '') as sources, (count(rank) = 0)::int as fallback from questions left join found using (query_id) group by query_id"
+    split = lambda t: rf"list_filter(regexp_split_to_array({t}, '[^0-9\p{{L}}]+'), lambda w: w <> '')"
+    SQL["q45_grounding"] = rf"""with {found}, answers as (select conv_id as query_id, min_by(text, turn) || ' [' || conv_id % 7 || '] [2]' as answer from conversations where role = 'assistant' group by conv_id),
+  parsed as (select query_id, trim(regexp_replace(regexp_replace(answer, '\s*\[[0-9]+\]', '', 'g'), '[ \t]+', ' ', 'g')) as said, list_distinct(regexp_extract_all(answer, '\[([0-9]+)\]', 1)) as marks from answers),
+  claims as (select query_id, i, {split("s")} as w from (select query_id, unnest(string_split_regex(said, '[.!?]+\s+')) as s, generate_subscripts(string_split_regex(said, '[.!?]+\s+'), 1) as i from parsed) where len({split("s")}) > 0),
+  words as (select query_id, i, lower(word) as word, bool_or(regexp_matches(word, '[0-9]') or (k > 1 and lower(left(word, 1)) <> left(word, 1))) as fact from (select query_id, i, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from claims) group by 1, 2, 3),
+  known as (select distinct query_id, unnest({split("lower(text)")}) as word, true as known from found),
+  judged as (select query_id, i, count(*) filter (where fact and known is null) as missing, count(known) as met, count(*) as n from words left join known using (query_id, word) group by 1, 2),
+  summed as (select query_id, count(*) as claims, count(*) filter (where missing = 0 and met >= 0.6 * n) as grounded, sum(missing)::bigint as missing_facts from judged group by 1), hits_of as (select query_id, count(*) as hits from found group by 1)
+  select query_id, coalesce(claims, 0) as claims, coalesce(grounded, 0) as grounded, round(grounded / claims, 6) as grounded_share, coalesce(missing_facts, 0) as missing_facts, len(marks)::int as citations, len(list_filter(marks, lambda m: m::int < 1 or m::int > coalesce(hits, 0)))::int as dangling
+  from parsed left join summed using (query_id) left join hits_of using (query_id)"""
 
 
 _prompts()
+
+SQL["q46_alerts"] = """with points as (select event_type as key, time_bucket(interval 6 hours, ts, timestamp '2024-01-01') as "at", avg(value) as value, row_number() over (partition by event_type order by time_bucket(interval 6 hours, ts, timestamp '2024-01-01')) as i from events group by 1, 2),
+  base as (select key, avg(value) as mean, stddev_pop(value) as spread from points where i <= 24 group by key),
+  d as (select *, case when i > 24 and spread > 0 then (value - mean) / spread - 0.25 else 0 end as u, case when i > 24 and spread > 0 then (mean - value) / spread - 0.25 else 0 end as w from points join base using (key)),
+  c as (select *, sum(u) over k as cu, sum(w) over k as cw from d window k as (partition by key order by "at")),
+  s as (select *, cu - least(min(cu) over k, 0) as up, cw - least(min(cw) over k, 0) as down from c window k as (partition by key order by "at")),
+  a as (select *, case when up > 2 and coalesce(lag(up) over k, 0) <= 2 then 'up' when down > 2 and coalesce(lag(down) over k, 0) <= 2 then 'down' end as alert from s window k as (partition by key order by "at"))
+  select key, strftime("at", '%Y-%m-%d %H:%M') as "at", round(value, 6) as value, round(up, 6) as up, round(down, 6) as down, alert from a where alert is not null"""
+SQL["q47_stability"] = """with c as (select event_type, strftime(date_trunc('week', ts), '%Y-%m-%d') as week, least(floor(value / 20), 10) as bin, count(*) as n from events group by all),
+  dense as (select event_type, week, bin, greatest(coalesce(n, 0), 0.5)::double as n from (select distinct event_type, week from c) join (select distinct event_type, bin from c) using (event_type) left join c using (event_type, week, bin)),
+  p as (select *, n / sum(n) over (partition by event_type, week) as p from dense), q as (select *, lag(p) over (partition by event_type, bin order by week) as q from p)
+  select event_type, week, round(sum((p - q) * ln(p / q)), 9) as psi from q where q is not null group by all"""
+SQL["q48_feedback"] = """with rated as (select event_id, user_id % 50 as query_id, case event_type when 'error' then -1 when 'purchase' then 1 end as rating, case when value > 100 then props end as correction, ts from events),
+  latest as (select * from rated where rating is not null and query_id is not null qualify row_number() over (partition by query_id order by ts desc, event_id desc) = 1)
+  select label % 2 = 0 as fallback, count(*) as queries, count(rating) as rated, count(*) filter (where rating > 0) as liked, count(*) filter (where rating < 0) as disliked, count(correction) as corrected, round(avg(round(embedding[1]::double, 6)) filter (where rating < 0), 6) as disliked_score
+  from embeddings left join latest on query_id = vec_id group by 1"""

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from siltstone.config import ChunkConfig, Config, GenerateConfig, SearchConfig, Source, TransformConfig
 from siltstone.functions.display import format_value, run_status
 from siltstone.functions.html import clean_html
-from siltstone.operators import answer, cells, chunk, evaluate, frontier, incremental, ledger, lexical, load, safety, search, sections, transform, vectors
+from siltstone.operators import answer, cells, chunk, evaluate, frontier, grounding, incremental, ledger, lexical, load, monitor, safety, search, sections, transform, vectors
 from siltstone.sources.pages import enabled_sources, source_table
 from siltstone.sources.store import fresh_folder
 from siltstone.sources.versions import VectorStore
+from siltstone.streaming import alerts
 
 #: Sources of the fixture tables: every third is off, and some have no purpose.
 CONFIG = Config(sources=tuple(Source(f"src{i}", f"https://src{i}.example.org/", ("news", "admissions", "unknown", "programs")[i % 4], i % 3 != 0) for i in range(0, 20, 2)))
@@ -233,11 +234,13 @@ def q30_chunk_sweep(spark, sf_dir):
 
 
 def q31_latency(spark, sf_dir):
+    """Quantiles of days from sketches of hours, which are small and add up."""
     e = _t(spark, sf_dir, "events")
-    at = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    day = F.date_trunc("day", "ts")
-    rows = e.groupBy(F.date_format(day, "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("queries"), F.avg((F.col("value") < 5).cast("int")).alias("fallback_rate"), at.alias("p"))
-    return rows.select("day", "queries", F.round("fallback_rate", 9).alias("fallback_rate"), *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    hours = monitor.sketch(e, [F.date_trunc("hour", "ts").alias("hour")])
+    days = monitor.rolled_up(hours, [F.date_format("hour", "yyyy-MM-dd").alias("day")])
+    rate = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.avg((F.col("value") < 5).cast("int")).alias("fallback_rate"))
+    rows = monitor.quantiles(days, ["day"], {"p50": 0.5, "p95": 0.95, "p99": 0.99}).join(rate, "day")
+    return rows.select("day", F.col("rows").alias("queries"), *[F.round(c, 9 if c == "fallback_rate" else 6).alias(c) for c in ("fallback_rate", "p50", "p95", "p99")])
 
 
 def q32_document_table(spark, sf_dir):
@@ -337,4 +340,41 @@ def q44_expanded(spark, sf_dir):
     return lexical.expanded_search(items, _t(spark, sf_dir, "documents").select("doc_id", "text"), TOP_K)
 
 
+def q45_grounding(spark, sf_dir):
+    """Each conversation's first answer, with a mark made from its id, against the hits of its first question."""
+    c = _t(spark, sf_dir, "conversations").where("role = 'assistant'")
+    said = c.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("answer"))
+    answers = said.withColumn("answer", F.concat("answer", F.lit(" ["), (F.col("query_id") % 7).cast("string"), F.lit("] [2]")))
+    rows = grounding.answer_report(answers, _question_hits(spark, sf_dir).select("query_id", "text"))
+    return rows.withColumn("grounded_share", F.round("grounded_share", 6)).drop("structured", "confidence")
+
+
+def _hours(spark, sf_dir):
+    return alerts.hourly(_t(spark, sf_dir, "events"), "event_type", "ts", "value", "6 hours")
+
+
+def q46_alerts(spark, sf_dir):
+    """Where the mean value of an event type comes to differ from its first six days."""
+    rows = alerts.batch_alerts(_hours(spark, sf_dir), baseline=24, slack=0.25, threshold=2.0).where("alert is not null")
+    return rows.select("key", F.date_format("at", "yyyy-MM-dd HH:mm").alias("at"), F.round("value", 6).alias("value"), F.round("up", 6).alias("up"), F.round("down", 6).alias("down"), "alert")
+
+
+def q47_stability(spark, sf_dir):
+    """How the values of each event type are spread over twenties, week against week."""
+    e = _t(spark, sf_dir, "events")
+    counts = e.groupBy("event_type", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), F.least(F.floor(F.col("value") / 20), F.lit(10)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return monitor.stability(counts, ["event_type"], "week", "bin").withColumn("psi", F.round("psi", 9))
+
+
+def q48_feedback(spark, sf_dir):
+    """Ratings of queries, made from events: the user's last rating of a query holds."""
+    e = _t(spark, sf_dir, "events")
+    rated = e.select(
+        F.col("event_id").alias("feedback_id"), (F.col("user_id") % 50).alias("query_id"), F.when(F.col("event_type") == "error", -1).when(F.col("event_type") == "purchase", 1).alias("rating"),
+        F.when(F.col("value") > 100, F.col("props")).alias("correction"), F.col("ts").alias("rated_at"),
+    )
+    metrics = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), (F.col("label") % 2 == 0).alias("fallback"), F.round(F.col("embedding")[0].cast("double"), 6).alias("top_score"))
+    return alerts.feedback_report(metrics, alerts.latest_feedback(rated)).withColumn("disliked_score", F.round("disliked_score", 6))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
