@@ -42,8 +42,8 @@ def main(arguments: list[str] | None = None) -> int:
     p.add_argument("--root", required=True, help="folder of the tables, on a store that all executors reach")
     p.add_argument("--log", help="log file of the driver")
     p.add_argument("--model-server", help="address of a model server; without one, answers are stubs")
-    p.add_argument("command", choices=[*STEPS, "run", "search", "ask", "evaluate", "report"])
-    p.add_argument("texts", nargs="*", help="questions, or the JSON file of an evaluation set")
+    p.add_argument("command", choices=[*STEPS, *(f"import-{k}" for k in pipeline.IMPORTS), *(f"export-{k}" for k in pipeline.IMPORTS if k != "html"), "run", "search", "ask", "evaluate", "report"])
+    p.add_argument("texts", nargs="*", help="questions, the JSON file of an evaluation set, or the folder of an import or export")
     o = p.parse_args(arguments)
     log = log_to(o.log)
     spark = SparkSession.builder.getOrCreate()
@@ -51,6 +51,9 @@ def main(arguments: list[str] | None = None) -> int:
     generator = (lambda: http_generator(o.model_server, config.generate)) if o.model_server else stub_generator
     if o.command in STEPS:
         STEPS[o.command](spark, config, o.root)
+    elif o.command.startswith(("import-", "export-")):
+        what, kind = o.command.split("-")
+        (pipeline.run_import if what == "import" else pipeline.run_export)(spark, o.root, kind, o.texts[0])
     elif o.command == "run":
         print("\n".join(pipeline.run_pipeline(spark, config, o.root)))
     elif o.command == "report":

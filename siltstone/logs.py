@@ -1,25 +1,20 @@
-"""Log lines on the console and in a file."""
+"""Log lines of the package, set up from one description."""
 
 from __future__ import annotations
 
 import logging
-import sys
+import logging.config
 from pathlib import Path
 
-#: Layout of a line and its time (fixed values).
-LINE, TIME = "%(asctime)s | %(levelname)-7s | %(name)s | %(message)s", "%Y-%m-%d %H:%M:%S"
-
 
 def log_to(path: str | None = None, level: str = "INFO") -> logging.Logger:
-    """The package's logger: to the console, and to a file of the driver if one is named; once for each of them."""
-    log = logging.getLogger("siltstone")
-    log.setLevel(level)
-    there = {getattr(h, "baseFilename", None) for h in log.handlers}
-    handlers: list[logging.Handler] = [] if None in there else [logging.StreamHandler(sys.stdout)]
-    if path and str(Path(path).resolve()) not in there:
+    """The package's logger: on the console, and in a file of the driver if one is named. The last call holds."""
+    outputs = {"console": {"class": "logging.StreamHandler", "stream": "ext://sys.stdout", "formatter": "line"}}
+    if path:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
-        handlers.append(logging.FileHandler(path, encoding="utf-8"))
-    for h in handlers:
-        h.setFormatter(logging.Formatter(LINE, TIME))
-        log.addHandler(h)
-    return log
+        outputs["file"] = {"class": "logging.FileHandler", "filename": path, "encoding": "utf-8", "formatter": "line"}
+    logging.config.dictConfig({
+        "version": 1, "disable_existing_loggers": False, "formatters": {"line": {"format": "{asctime} {levelname} {name}: {message}", "style": "{"}},
+        "handlers": outputs, "loggers": {"siltstone": {"level": level, "handlers": list(outputs)}},
+    })
+    return logging.getLogger("siltstone")

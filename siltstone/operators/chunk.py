@@ -69,6 +69,10 @@ def chunk_statistics(found: DataFrame, *by: str) -> DataFrame:
     """Counts and lengths over rows with ``chunks``: documents, skipped, chunks, average, least, most."""
     lengths = F.transform("chunks", lambda c: c["chunk_length"])
     rows = found.select(*by, F.size("chunks").cast("long").alias("n"), F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("s"), F.array_min(lengths).alias("lo"), F.array_max(lengths).alias("hi"))
+    return _summed(rows, *by)
+
+
+def _summed(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n") == 0).alias("empty_files"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_chunks"),
         (F.sum("s") / F.when(F.sum("n") > 0, F.sum("n"))).alias("avg_chunk_length"), F.min("lo").alias("min_chunk_length"), F.max("hi").alias("max_chunk_length"),
@@ -82,12 +86,27 @@ def drift(current: DataFrame, previous: DataFrame, threshold_pct: float) -> Data
     return joined.where("previous_avg > 0").select("current_avg", "previous_avg", pct.alias("drift_pct"), (pct > threshold_pct).alias("anomaly"))
 
 
+def setting_statistics(docs: DataFrame, settings: list[ChunkConfig], text_col: str = "text") -> DataFrame:
+    """``chunk_statistics`` of the texts for each setting (its place in ``setting``), read once for all of them."""
+    schema = "setting int, n bigint, s bigint, lo int, hi int"
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for text in batch.column(text_col).to_pylist():
+                for i, config in enumerate(settings):
+                    found = [c["chunk_length"] for c in chunk_text(text, config)]
+                    rows.append((i, len(found), sum(found), min(found, default=None), max(found, default=None)))
+            if rows:
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["setting", "n", "s", "lo", "hi"])
+
+    return _summed(docs.select(text_col).mapInArrow(run, schema), "setting")
+
+
 def sweep(docs: DataFrame, sizes: tuple[int, ...] = (200, 300, 500, 800), overlaps: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3), text_col: str = "text") -> DataFrame:
-    """Chunk statistics for each size and share of overlap; every setting is one pass without a shuffle."""
-    found = None
-    for size in sizes:
-        for share in overlaps:
-            part = chunk_statistics(with_chunks(docs, text_col, ChunkConfig(size, int(size * share))))
-            part = part.select(F.lit(size).alias("size"), F.lit(int(size * share)).alias("overlap"), "*")
-            found = part if found is None else found.union(part)
-    return found
+    """Chunk statistics for each size and share of overlap, in one pass over the texts."""
+    settings = [ChunkConfig(size, int(size * share)) for size in sizes for share in overlaps]
+    found = setting_statistics(docs, settings, text_col)
+    about = lambda f: F.element_at(F.lit([f(c) for c in settings]), F.col("setting") + 1)
+    return found.select(about(lambda c: c.size).alias("size"), about(lambda c: c.overlap).alias("overlap"), *[c for c in found.columns if c != "setting"])

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,39 +21,54 @@ log = logging.getLogger("siltstone.ledger")
 STEPS = ["extract", "transform", "chunk", "load"]
 
 
-class Tracker:
-    """Times a step and appends its run and metrics; errors of the step pass through, its own don't."""
+@dataclass
+class Step:
+    """What a step says of itself while it runs: its counts (in, out, skipped) once it knows them, and named metrics."""
 
-    def __init__(self, spark: SparkSession, path: str, step: str):
-        self.spark, self.path, self.step = spark, path, step
-        self.counts, self.metrics, self.recorded = (0, 0, 0), {}, False
+    name: str
+    counts: tuple[int, int, int] | None = None
+    metrics: dict[str, float] = field(default_factory=dict)
 
-    def __enter__(self):
-        self.began = time.perf_counter()
-        return self
+    def counted(self, items_in: int, items_out: int, items_skipped: int, **metrics: float) -> None:
+        self.counts = (items_in, items_out, items_skipped)
+        self.metrics |= metrics
 
-    def record(self, items_in: int, items_out: int, items_skipped: int) -> None:
-        self.counts, self.recorded = (items_in, items_out, items_skipped), True
-
-    def add_metric(self, name: str, value: float) -> None:
-        self.metrics[name] = float(value)
-
-    def status(self, failed: bool) -> str:
-        if failed:
+    def outcome(self, error: BaseException | None) -> str:
+        if error is not None:
             return "failed"
-        return "partial" if self.counts[2] > 0 else "success" if self.recorded else "no_data"
-
-    def __exit__(self, kind, error, trace):
+        if self.counts is None:
+            return "no_data"
+        return "partial" if self.counts[2] > 0 else "success"
+
+
+def _written(spark: SparkSession, path: str, step: Step, seconds: float, error: BaseException | None) -> None:
+    """Append a step's run and its metrics. Run ids ascend with time, so that drivers share no counter."""
+    now = datetime.now(UTC)
+    run_id = int(now.timestamp() * 1e6)
+    run = (run_id, now, step.name, round(seconds, 2), *(step.counts or (0, 0, 0)), step.outcome(error))
+    append(spark.createDataFrame([run], schemas.RUNS).coalesce(1), f"{path}/runs")
+    if step.metrics:
+        append(spark.createDataFrame([(run_id, k, float(v)) for k, v in step.metrics.items()], schemas.METRICS).coalesce(1), f"{path}/metrics")
+
+
+@contextmanager
+def tracked(spark: SparkSession, path: str, name: str) -> Iterator[Step]:
+    """A step, timed and logged from start to end and written to the ledger; its errors pass through, the ledger's own do not."""
+    step, error = Step(name), None
+    began = time.perf_counter()
+    log.info("%s starts", name)
+    try:
+        yield step
+    except BaseException as e:
+        error = e
+        raise
+    finally:
+        seconds = time.perf_counter() - began
+        log.info("%s ends after %.1f s: %s, %d in, %d out, %d skipped", name, seconds, step.outcome(error), *(step.counts or (0, 0, 0)))
         try:
-            now = datetime.now(UTC)
-            run_id = int(now.timestamp() * 1e6)  # ascends with time; no counter is shared between drivers
-            row = (run_id, now, self.step, round(time.perf_counter() - self.began, 2), *self.counts, self.status(kind is not None))
-            append(self.spark.createDataFrame([row], schemas.RUNS).coalesce(1), f"{self.path}/runs")
-            if self.metrics:
-                append(self.spark.createDataFrame([(run_id, k, v) for k, v in self.metrics.items()], schemas.METRICS).coalesce(1), f"{self.path}/metrics")
+            _written(spark, path, step, seconds, error)
         except Exception:
-            log.exception("the run of step %s was not written", self.step)
-        return False
+            log.exception("the run of step %s was not written", name)
 
 
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -14,58 +14,89 @@ from siltstone.config import Config, SearchConfig
 from siltstone.operators import chunk, load, transform, vectors
 from siltstone.operators.answer import ask
 from siltstone.operators.evaluate import judge
-from siltstone.operators.ledger import Tracker, previous_metric, read_ledger, report_lines
+from siltstone.operators.ledger import previous_metric, read_ledger, report_lines, tracked
 from siltstone.operators.search import search
-from siltstone.sources.pages import fetch_pages, http_get, source_table
-from siltstone.sources.store import append, replace, staged, upsert_sources
+from siltstone.sources.pages import fetch_pages, http_get, read_html_folder, source_table
+from siltstone.sources.store import append, read_json, replace, staged, upsert_sources
 
 log = logging.getLogger("siltstone.pipeline")
 
 
 def run_extract(spark: SparkSession, config: Config, root: str, get: Callable[[str], str] = http_get) -> None:
-    with Tracker(spark, f"{root}/ledger", "extract") as t:
+    with tracked(spark, f"{root}/ledger", "extract") as t:
         seen = Observation()
         fetched = fetch_pages(source_table(spark, config), get).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("bad"))
         # a source that could not be fetched keeps its last page; the failed rows are only counted
         fetched = fetched.where(F.col("error").isNull()).drop("error")
         upsert_sources(fetched, f"{root}/raw")
         n, bad = seen.get["n"], seen.get["bad"]
-        t.record(n, n - bad, bad)
-        t.add_metric("fetch_failures", bad)
+        t.counted(n, n - bad, bad)
+        t.metrics["fetch_failures"] = bad
+
+
+#: Folders of files that a step's table can be filled from: kind, table, reader.
+IMPORTS = {
+    "html": ("raw", read_html_folder),
+    "processed": ("documents", lambda spark, path: with_source(read_json(spark, path, schemas.PROCESSED))),
+    "chunked": ("chunked", lambda spark, path: read_json(spark, path, schemas.CHUNKED).fillna("unknown", ["purpose"])),
+}
+
+
+def with_source(processed: DataFrame) -> DataFrame:
+    """Processed documents with their source as a column; those without a source or text are left out."""
+    return processed.withColumn("source", F.col("metadata.source")).where("source is not null and text is not null")
+
+
+def run_import(spark: SparkSession, root: str, kind: str, path: str) -> None:
+    """Files of a folder (*.html, or *.json of processed or chunked documents) in place of what their sources had."""
+    table, read = IMPORTS[kind]
+    with tracked(spark, f"{root}/ledger", f"import_{kind}") as t:
+        seen = Observation()
+        rows = read(spark, path).where("source is not null").observe(seen, F.count(F.lit(1)).alias("n"))
+        upsert_sources(rows, f"{root}/{table}")
+        t.counted(seen.get["n"], seen.get["n"], 0)
+
+
+def run_export(spark: SparkSession, root: str, kind: str, path: str) -> None:
+    """A table of documents as JSON, a line each: what ``run_import`` reads."""
+    table = IMPORTS[kind][0]
+    rows = spark.read.parquet(f"{root}/{table}")
+    rows = rows.select("text", "metadata") if kind == "processed" else rows
+    rows.select(F.to_json(F.struct(*rows.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value")).write.mode("overwrite").text(path)
 
 
 def run_transform(spark: SparkSession, config: Config, root: str, strict: bool = False) -> None:
-    with Tracker(spark, f"{root}/ledger", "transform") as t:
+    with tracked(spark, f"{root}/ledger", "transform") as t:
         pages = spark.read.parquet(f"{root}/raw")
         seen = Observation()
         docs = transform.to_documents(pages, transform.source_purposes(source_table(spark, config)), config.transform, strict, seen)
         upsert_sources(docs.withColumn("source", F.col("metadata.source")), f"{root}/documents")
-        t.record(seen.get["items_in"], seen.get["items_out"], seen.get["items_skipped"])
-        t.add_metric("empty_files", seen.get["empty_files"])
+        t.counted(seen.get["items_in"], seen.get["items_out"], seen.get["items_skipped"])
+        t.metrics["empty_files"] = seen.get["empty_files"]
 
 
 def run_chunk(spark: SparkSession, config: Config, root: str) -> None:
     before = previous_metric(spark, f"{root}/ledger", "chunk", "avg_chunk_length")
-    with Tracker(spark, f"{root}/ledger", "chunk") as t:
+    with tracked(spark, f"{root}/ledger", "chunk") as t:
         docs = spark.read.parquet(f"{root}/documents").select("text", "metadata")
         upsert_sources(chunk.chunk_payload(docs, config.chunk), f"{root}/chunked")
         s = chunk.chunk_statistics(spark.read.parquet(f"{root}/chunked")).first()
         n = spark.read.parquet(f"{root}/documents").count()  # from the files' footers
-        t.record(n, s["total_chunks"], n - s["documents"])
-        t.add_metric("empty_files", n - s["documents"])
+        t.counted(n, s["total_chunks"], n - s["documents"])
+        t.metrics["empty_files"] = n - s["documents"]
         if s["total_chunks"]:
-            t.add_metric("avg_chunk_length", round(s["avg_chunk_length"], 1))
-            t.add_metric("min_chunk_length", s["min_chunk_length"])
-            t.add_metric("max_chunk_length", s["max_chunk_length"])
+            t.metrics["avg_chunk_length"] = round(s["avg_chunk_length"], 1)
+            t.metrics["min_chunk_length"] = s["min_chunk_length"]
+            t.metrics["max_chunk_length"] = s["max_chunk_length"]
             if before:
                 off = abs(s["avg_chunk_length"] - before) / before * 100
-                t.add_metric("chunk_size_drift_pct", round(off, 1))
+                t.metrics["chunk_size_drift_pct"] = round(off, 1)
                 if off > config.chunk.drift_threshold_pct:
                     log.warning("the mean chunk length moved by %.1f %%: %.1f now, %.1f before", off, s["avg_chunk_length"], before)
 
 
 def run_load(spark: SparkSession, config: Config, root: str, make_encoder: Callable[[], vectors.Encoder] | None = None) -> None:
-    with Tracker(spark, f"{root}/ledger", "load") as t:
+    with tracked(spark, f"{root}/ledger", "load") as t:
         found = spark.read.parquet(f"{root}/chunked")
         documents = load.numbered(found, ["source", "raw_filename"])
         replace(load.document_table(documents), f"{root}/document_table")
@@ -78,9 +109,9 @@ def run_load(spark: SparkSession, config: Config, root: str, make_encoder: Calla
         replace(embedded.observe(seen, *counts).drop("text"), f"{root}/vectors")
         n, bad = seen.get["n"], seen.get["bad"]
         loaded = spark.read.parquet(f"{root}/document_table").count()
-        t.record(found.count(), n, bad)
+        t.counted(found.count(), n, bad)
         for name, value in (("documents", loaded), ("empty_chunks", seen.get["empty"]), ("embedding_failures", bad), ("total_chunks_embedded", n - bad)):
-            t.add_metric(name, value)
+            t.metrics[name] = value
 
 
 def run_pipeline(spark: SparkSession, config: Config, root: str, get: Callable[[str], str] = http_get, make_encoder=None) -> list[str]:

@@ -84,9 +84,8 @@ def q06_chunk_stats(spark, sf_dir):
 
 
 def q07_chunk_drift(spark, sf_dir):
-    texts = _texts(spark, sf_dir)
-    one = lambda c: chunk.chunk_statistics(chunk.with_chunks(texts, config=c))
-    found = chunk.drift(one(CHUNK), one(ChunkConfig(size=300)), CHUNK.drift_threshold_pct)
+    both = chunk.setting_statistics(_texts(spark, sf_dir), [CHUNK, ChunkConfig(size=300)])
+    found = chunk.drift(both.where("setting = 0"), both.where("setting = 1"), CHUNK.drift_threshold_pct)
     return found.select(F.round("current_avg", 6).alias("current_avg"), "previous_avg", F.round("drift_pct", 6).alias("drift_pct"), "anomaly")
 
 

@@ -24,7 +24,7 @@ def enabled_sources(sources: DataFrame) -> DataFrame:
 
 def read_html_folder(spark: SparkSession, path: str) -> DataFrame:
     """(source, raw_filename, html) of every ``*.html`` file below a folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.html").text(path)
+    files = spark.read.option("pathGlobFilter", "*.html").text(path, wholetext=True)
     name = F.col("_metadata.file_name")
     return files.select(F.regexp_extract(name, r"^(.*)\.html$", 1).alias("source"), name.alias("raw_filename"), F.col("value").alias("html"))
 

@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 
 def upsert_sources(rows: DataFrame, path: str) -> None:
@@ -53,5 +54,10 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFra
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Documents, chunked documents or evaluation sets kept as JSON files."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """Documents, chunked documents or evaluation sets kept as JSON: a file each, a list of them, or a line each."""
+    text = spark.read.text(path, wholetext=True)
+    is_list = F.col("value").rlike(r"^\s*\[")
+    one = F.from_json(F.when(~is_list, F.col("value")), schema)
+    lines = F.from_json(F.when(~is_list, F.concat(F.lit("["), F.array_join(F.filter(F.split(F.trim("value"), r"\r?\n(?=\{)"), lambda x: F.trim(x) != ""), ","), F.lit("]"))), ArrayType(schema))
+    rows = text.select(F.explode(F.coalesce(F.from_json(F.when(is_list, F.col("value")), ArrayType(schema)), lines, F.array(one))).alias("r"))
+    return rows.where("r is not null").select("r.*")

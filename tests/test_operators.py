@@ -135,10 +135,10 @@ def test_ledger(spark, tmp_path):
     path = f"file://{tmp_path}/ledger"
     assert ledger.previous_metric(spark, path, "chunk", "m") is None
     for value, skipped in ((10.0, 0), (12.5, 1)):
-        with ledger.Tracker(spark, path, "chunk") as t:
-            t.record(3, 3 - skipped, skipped)
-            t.add_metric("m", value)
-    with pytest.raises(RuntimeError), ledger.Tracker(spark, path, "load"):
+        with ledger.tracked(spark, path, "chunk") as t:
+            t.counted(3, 3 - skipped, skipped)
+            t.metrics["m"] = value
+    with pytest.raises(RuntimeError), ledger.tracked(spark, path, "load"):
         raise RuntimeError
     runs, metrics = ledger.read_ledger(spark, path)
     assert sorted(r.status for r in runs.collect()) == ["failed", "partial", "success"]

@@ -57,6 +57,39 @@ def test_command_line_and_evaluation_set(spark, tmp_path, capsys, caplog):
     assert "report done" in (tmp_path / "log.txt").read_text()
 
 
+def test_folders_fill_the_tables(spark, tmp_path, caplog):
+    """HTML files, processed and chunked JSON (a file each, a list, or lines) take the place of what their sources had."""
+    caplog.set_level("INFO", "siltstone")
+    root, config = f"file://{tmp_path}/root", _config()
+    run = lambda *a: cli.main(["--root", root, *a])
+    (tmp_path / "html").mkdir()
+    for i in (0, 2):
+        (tmp_path / "html" / f"s{i}.html").write_text(_getter()(f"u:{i}").replace("</nav>", "</nav>\n\n"))
+    (tmp_path / "html" / "other.txt").write_text("no page")
+    assert run("import-html", f"file://{tmp_path}/html") == 0
+    assert {(r.source, r.raw_filename) for r in spark.read.parquet(f"{root}/raw").collect()} == {("s0", "s0.html"), ("s2", "s2.html")}
+    pipeline.run_transform(spark, config, root)
+    for i in (0, 2):
+        pipeline.run_chunk(spark, config, root)
+    assert run("export-processed", f"file://{tmp_path}/processed") == 0 and run("export-chunked", f"file://{tmp_path}/chunked") == 0
+    one = json.loads(next(x for p in (tmp_path / "chunked").glob("part-*") for x in p.read_text().splitlines()))
+    one["chunks"] = one["chunks"][:1]
+    fresh = f"file://{tmp_path}/fresh"
+    pipeline.run_import(spark, fresh, "processed", f"file://{tmp_path}/processed")
+    pipeline.run_import(spark, fresh, "chunked", f"file://{tmp_path}/chunked")
+    same = lambda name, *c: sorted(map(repr, spark.read.parquet(f"{root}/{name}").select(*c).collect())) == sorted(map(repr, spark.read.parquet(f"{fresh}/{name}").select(*c).collect()))
+    assert same("documents", "text", "metadata") and same("chunked", "source", "purpose", "full_text_length", "chunk_config", "chunks")
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "a.json").write_text(json.dumps(one, indent=2))
+    (tmp_path / "more" / "b.json").write_text(json.dumps([one | {"source": "new", "purpose": None}, one | {"source": None}]))
+    pipeline.run_import(spark, fresh, "chunked", f"file://{tmp_path}/more")
+    got = {r.source: (r.purpose, len(r.chunks)) for r in spark.read.parquet(f"{fresh}/chunked").collect()}
+    assert got[one["source"]] == ("p", 1) and got["new"] == ("unknown", 1) and len(got) == 3
+    pipeline.run_load(spark, config, fresh)
+    assert spark.read.parquet(f"{fresh}/document_table").count() == 3
+    assert "import_chunked starts" in caplog.text and "2 in, 2 out" in caplog.text
+
+
 def test_stream_equals_batch(spark, tmp_path):
     pages = spark.createDataFrame([(f"s{i}", _getter()(f"u:{i}")) for i in range(3)], "source string, html string")
     pages.repartition(3).write.parquet(f"file://{tmp_path}/in")
