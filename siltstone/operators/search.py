@@ -57,18 +57,32 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def joined_blocks(needs: DataFrame, index: CellIndex, k: int, threshold: float | None, exclude_same: bool) -> DataFrame:
-    """(query, id, score): of each task its best k for each query.
-
-    ``needs``: query id, embedding, cell, part. The queries that need one part of a cell are dealt out in
-    blocks; the part's vectors go to each of them, so a task holds two blocks, whatever the tables.
+def _tiles(best: Best, q: np.ndarray, own: np.ndarray, floor: np.ndarray, asks: np.ndarray | None, vec: np.ndarray, m: np.ndarray, exclude_same: bool) -> None:
+    """Hold queries (rows of q) against vectors (columns of m); ``asks`` are the queries that want them, all if None."""
+    for first in range(0, len(q), TILE):
+        tile = slice(first, first + TILE)
+        if asks is not None and not asks[tile].any():
+            continue
+        scores = np.round(q[tile] @ m, DIGITS)
+        keep = scores >= floor[tile, None]
+        if asks is not None:
+            keep &= asks[tile, None]
+        if exclude_same:
+            keep &= vec != own[tile, None]
+        best.add(first, scores, vec, keep)
+
+
+def first_results(home: DataFrame, index: CellIndex, k: int, exclude_same: bool) -> DataFrame:
+    """(query, id, score): the best k of each query in one part of one cell (query id, embedding, cell, part).
+
+    A task holds a block of queries and a block of vectors.
     """
-    query_id, embedding = needs.columns[:2]
+    query_id, embedding = home.columns[:2]
     vector_id, own_embedding = index.rows.columns[:2]
-    schema = StructType([needs.schema[query_id], index.rows.schema[vector_id], StructField("score", DoubleType())])
+    schema = StructType([home.schema[query_id], index.rows.schema[vector_id], StructField("score", DoubleType())])
     shape = to_arrow_schema(schema)
-    runs = needs.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / index.block).cast("bigint").alias("runs"))
-    asked = needs.withColumn("uid", F.monotonically_increasing_id()).join(runs, ["cell", "part"]).withColumn("run", F.pmod("uid", "runs")).select("cell", "part", "run", query_id, embedding)
+    runs = home.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / index.block).cast("bigint").alias("runs"))
+    asked = home.withColumn("uid", F.monotonically_increasing_id()).join(runs, ["cell", "part"]).withColumn("run", F.pmod("uid", "runs")).select("cell", "part", "run", query_id, embedding)
     held = index.rows.join(runs, ["cell", "part"]).withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("runs") - 1)))
     held = held.select("cell", "part", "run", F.col(vector_id).alias("_id"), F.col(own_embedding).alias("_v"))
 
@@ -76,82 +90,127 @@ def joined_blocks(needs: DataFrame, index: CellIndex, k: int, threshold: float |
         if not queries.num_rows or not vectors.num_rows:
             return shape.empty_table()
         ids = queries.column(query_id).combine_chunks()
-        own, vec = ids.to_numpy(zero_copy_only=False), vectors.column("_id").to_numpy().astype(np.int64)
-        q, m = unit_rows(queries.column(embedding)), unit_rows(vectors.column("_v")).T
         best = Best(ids, k)
-        for first in range(0, len(ids), TILE):
-            scores = np.round(q[first : first + TILE] @ m, DIGITS)
-            keep = np.ones(scores.shape, bool) if threshold is None else scores >= threshold
-            if exclude_same:
-                keep &= vec != own[first : first + TILE, None]
-            best.add(first, scores, vec, keep)
+        _tiles(best, unit_rows(queries.column(embedding)), ids.to_numpy(zero_copy_only=False), np.full(len(ids), -np.inf), None, vectors.column("_id").to_numpy().astype(np.int64), unit_rows(vectors.column("_v")).T, exclude_same)
         return pa.Table.from_batches(list(best.rows(schema.names)), shape) if best.held else shape.empty_table()
 
     keys = ("cell", "part", "run")
     return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(run, schema)
 
 
+def streamed_blocks(asked: DataFrame, index: CellIndex, k: int, exclude_same: bool) -> DataFrame:
+    """(query, id, score): of each task its best k for each query at or above the query's floor.
+
+    ``asked``: query id, embedding, floor, cells (those wanted, all if null). A task holds a block of queries; the
+    vectors of its share, by cells, stream past it, so it keeps k rows a query however many vectors come. There
+    are as many shares as keep all cores busy; with more blocks of queries there are fewer, so results stay in proportion to the queries.
+    """
+    spark = asked.sparkSession
+    query_id, embedding = asked.columns[:2]
+    vector_id, own_embedding = index.rows.columns[:2]
+    schema = StructType([asked.schema[query_id], index.rows.schema[vector_id], StructField("score", DoubleType())])
+    runs = max(1, -(-asked.count() // index.block))
+    shares = max(1, min(-(-2 * spark.sparkContext.defaultParallelism // runs), int(index.bounds.parts.sum())))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+    left = asked.withColumn("_run", deal(runs)).withColumn("_share", each(shares)).select(
+        "_share", "_run", F.lit(-1).alias("_cell"), F.col(query_id).alias("_q"), F.lit(None).cast("bigint").alias("_id"), F.col(embedding).cast("array<double>").alias("_v"), F.col("floor").alias("_floor"), F.col("cells").alias("_cells")
+    )
+    right = index.rows.withColumn("_share", deal(shares)).withColumn("_run", each(runs)).select(
+        "_share", "_run", F.col("cell").alias("_cell"), F.lit(None).cast(asked.schema[query_id].dataType).alias("_q"), F.col(vector_id).cast("bigint").alias("_id"), F.col(own_embedding).cast("array<double>").alias("_v"), F.lit(None).cast("double").alias("_floor"), F.lit(None).cast("array<int>").alias("_cells")
+    )
+    rows = left.union(right).repartition("_share", "_run").sortWithinPartitions("_share", "_run", "_cell", F.get("_cells", F.lit(0)))
+    kind = to_arrow_schema(schema)
+
+    def run(batches):
+        key, parts, best, ready = None, [], None, None
+
+        def given():
+            block = pa.Table.from_batches(parts).combine_chunks()
+            ids = block.column("_q").combine_chunks()
+            cells = block.column("_cells").to_pylist()
+            every = all(c is None for c in cells)
+            return ids, unit_rows(block.column("_v")), ids.to_numpy(zero_copy_only=False), block.column("_floor").to_numpy(), None if every else [None if c is None else set(c) for c in cells]
+
+        def results():
+            for b in best.rows(schema.names) if best else ():
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(b.columns, kind, strict=True)], schema.names)
+
+        for batch in batches:
+            share, run_, cell = (batch.column(c).to_numpy() for c in ("_share", "_run", "_cell"))
+            edges = np.flatnonzero((share[1:] != share[:-1]) | (run_[1:] != run_[:-1]) | (cell[1:] != cell[:-1])) + 1
+            for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(share)], strict=True):
+                if s == e:
+                    continue
+                if (share[s], run_[s]) != key:
+                    yield from results()
+                    key, parts, best, ready = (share[s], run_[s]), [], None, None
+                part = batch.slice(s, e - s)
+                if cell[s] < 0:
+                    parts.append(part)
+                    continue
+                if not parts:
+                    continue
+                if ready is None:
+                    ready = given()
+                    best = Best(ready[0], k)
+                ids, q, own, floor, cells = ready
+                asks = None if cells is None else np.array([c is None or int(cell[s]) in c for c in cells])
+                if asks is None or asks.any():
+                    _tiles(best, q, own, floor, asks, part.column("_id").to_numpy(), unit_rows(part.column("_v")).T, exclude_same)
+        yield from results()
+
+    return rows.mapInArrow(run, schema)
+
+
 def search_index(
     queries: DataFrame, index: CellIndex, k: int, threshold: float | None = None, query_id: str = "query_id", embedding: str = "embedding",
     exclude_same: bool = False, probes: int | None = None,
 ) -> DataFrame:
     """(query id, vector id, score, rank): the best k of each query over an index, ties by id.
 
-    Each query first meets one part of the cell that may score highest. What it has found there, or the
-    threshold, is compared with the bounds of all other parts; those that cannot reach it are left out.
-    Without ``probes`` that is exact; with it, only that many cells, those with the nearest centres, are looked at.
+    Each query first meets one part of the cell that may score highest. What its k-th result there scores, or the
+    threshold, is held against the bounds of all cells; those that cannot reach it are left out, and only rows that
+    reach it come out of a task. Without ``probes`` that is exact; with it, only that many cells, those with the nearest centres, are looked at.
     """
     asked = usable(queries, query_id, embedding)
-    vector_id, parts = index.rows.columns[0], index.bounds.parts
-    if parts.sum() <= 1:
-        whole = asked.withColumns({"cell": F.lit(int(np.argmax(parts))), "part": F.lit(0)})
-        return ranked(joined_blocks(whole, index, k, threshold, exclude_same), k)
-    floor = -1.0 - MARGIN if threshold is None else threshold
+    parts = index.bounds.parts
+    least = -1.0 - MARGIN if threshold is None else float(threshold)
+    if len(parts) == 1:
+        return ranked(streamed_blocks(asked.withColumns({"floor": F.lit(least), "cells": F.lit(None).cast("array<int>")}), index, k, exclude_same), k)
     held = queries.sparkSession.sparkContext.broadcast(index.bounds)  # MAX_CELLS centres at most
-    first_schema = StructType([*asked.schema.fields, StructField("cell", IntegerType()), StructField("part", IntegerType()), StructField("cells", ArrayType(IntegerType()))])
+    first_schema = StructType([*asked.schema.fields, StructField("cell", IntegerType()), StructField("part", IntegerType())])
+
+    def tops_of(u: np.ndarray) -> np.ndarray:
+        tops = held.value.of(u)
+        if probes is not None:
+            tops[held.value.ranks(u) >= max(probes, 1)] = -2.0
+        return tops
 
     def first(batches):
-        """One part of the likeliest cell, and all cells in question."""
         count = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            u = unit_rows(batch.column(embedding))
-            tops = held.value.of(u)
-            if probes is not None:
-                tops[held.value.ranks(u) >= max(probes, 1)] = -2.0
-            home = np.argmax(tops, axis=1)
-            part = (count + np.arange(len(home))) % parts[home]
-            count += len(home)
-            cells = [np.flatnonzero(t >= floor).astype(np.int32) for t in tops]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(cells, pa.list_(pa.int32()))], first_schema.names)
+            if batch.num_rows:
+                home = np.argmax(tops_of(unit_rows(batch.column(embedding))), axis=1)
+                part = (count + np.arange(len(home))) % np.maximum(parts[home], 1)
+                count += len(home)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array(part.astype(np.int32))], first_schema.names)
 
     home = staged(asked.mapInArrow(first, first_schema), "asked")
-    found = staged(joined_blocks(home.select(query_id, embedding, "cell", "part"), index, k, threshold, exclude_same), "near")
-    # what the k-th of a query's first results scores is what others have to reach
-    reached = found.groupBy(query_id).agg(F.sort_array(F.collect_list("score"), False).alias("s")).select(query_id, F.get("s", F.lit(k - 1)).alias("reached"))
-    left_schema = StructType([*asked.schema.fields, StructField("cell", IntegerType()), StructField("part", IntegerType())])
+    found = first_results(home, index, k, exclude_same)
+    reached = found.groupBy(query_id).agg(F.sort_array(F.collect_list("score"), False).alias("s")).select(query_id, F.get("s", F.lit(k - 1)).alias("reached"))  # k scores a query
+    last_schema = StructType([*asked.schema.fields, StructField("floor", DoubleType()), StructField("cells", ArrayType(IntegerType()))])
 
-    def others(batches):
+    def wanted(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            tops = held.value.of(unit_rows(batch.column(embedding)))
-            reach = batch.column("reached").fill_null(floor).to_numpy(zero_copy_only=False) if batch.column("reached").null_count < batch.num_rows else np.full(batch.num_rows, floor)
-            at, cell, part = [], [], []
-            for i, (own, done, done_part) in enumerate(zip(batch.column("cells").to_pylist(), batch.column("cell").to_pylist(), batch.column("part").to_pylist(), strict=True)):
-                for c in own:
-                    if tops[i, c] >= reach[i]:
-                        more = [p for p in range(parts[c]) if (c, p) != (done, done_part)]
-                        at += [i] * len(more)
-                        cell += [c] * len(more)
-                        part += more
-            rows = [batch.column(x).take(pa.array(at, pa.int64())) for x in (query_id, embedding)]
-            yield pa.RecordBatch.from_arrays([*rows, pa.array(cell, pa.int32()), pa.array(part, pa.int32())], left_schema.names)
-
-    rest = home.join(reached, query_id, "left").select(query_id, embedding, "cell", "part", "cells", "reached").mapInArrow(others, left_schema)
-    more = joined_blocks(staged(rest, "others"), index, k, threshold, exclude_same)
-    return ranked(found.select(query_id, vector_id, "score").union(more), k)
+            if batch.num_rows:
+                tops = tops_of(unit_rows(batch.column(embedding)))
+                floor = batch.column("floor").to_numpy()
+                cells = [np.flatnonzero(t >= f).astype(np.int32) for t, f in zip(tops, floor, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(query_id), batch.column(embedding), batch.column("floor"), pa.array(cells, pa.list_(pa.int32()))], last_schema.names)
+
+    floors = home.join(reached, query_id, "left").select(query_id, embedding, F.greatest(F.lit(least), "reached").alias("floor"))
+    return ranked(streamed_blocks(staged(floors.mapInArrow(wanted, last_schema), "wanted"), index, k, exclude_same), k)
 
 
 def nearest(
