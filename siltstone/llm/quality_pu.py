@@ -6,9 +6,11 @@ bad text. A linear model f on text statistics minimises the non-negative unbiase
     prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)])
 
 with the logistic loss l, so its sigmoid estimates the chance of being good. The class
-prior is estimated from a first classifier of positives against unlabelled text: above
-any score the share of unlabelled text over the share of positives is no smaller than the
-prior, and the smallest such ratio, with a margin for sampling, estimates it.
+prior is estimated from classifiers of positives against unlabelled text: above any score
+the share of unlabelled text over the share of positives is no smaller than the prior, and
+the ratio that is smallest with a margin for sampling estimates it. Positives are scored by
+classifiers that were fitted without them (CROSS folds): scores of a classifier's own rows are
+too high, and the prior would come out too low.
 
 One pass over the whole texts leaves the statistics of every document: thirteen counts, and
 the shares of its words in HASHED groups by hash. Risks, gradients and curvatures of unlabelled
@@ -39,6 +41,8 @@ THRESHOLD = 0.7
 HELD_OUT = 2
 #: Newton steps at most, longest step of a weight, weight of the squared weights, and groups of words.
 ROUNDS, REACH, RIDGE, HASHED = 40, 2.0, 0.02, 16
+#: Folds of the positives for the prior.
+CROSS = 3
 
 NAMES = ["symbols", "shouts", "capitals", "digits", "word_length", "words", "variety", "stutter", "repeats", "same_lines", "stops", "marks", "short_words", *(f"words{i}" for i in range(HASHED))]
 _SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
@@ -123,9 +127,9 @@ def risk(p: np.ndarray, sums: tuple, b: np.ndarray, share: float, taken: float)
     return value + RIDGE / 2 * (b @ b), gradient + RIDGE * b, curvature + RIDGE * np.eye(len(b))
 
 
-def minimise(p: np.ndarray, sums: Sums, share: float, taken: float) -> np.ndarray:
-    """Weights of the least risk by Newton steps, halved where they would raise it."""
-    b = best = np.zeros(p.shape[1])
+def minimise(p: np.ndarray, sums: Sums, share: float, taken: float, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the least risk by Newton steps from ``start``, cut down where they would raise it."""
+    b = best = np.zeros(p.shape[1]) if start is None else start
     least, step, part = np.inf, np.zeros(p.shape[1]), 1.0
     for _ in range(ROUNDS):
         value, gradient, curvature = risk(p, sums(b), b, share, taken)
@@ -153,14 +157,15 @@ def counts_from(u: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives among unlabelled scores u, given scores p of positives."""
-    return prior_of(p, counts_from(u, tail_cuts(p)), len(u))
+    """Share of positives among unlabelled scores u, given scores p of positives that the scores were not fitted on."""
+    return prior_of([p], [counts_from(u, tail_cuts(p))], len(u))
 
 
-def prior_of(p: np.ndarray, reached: np.ndarray, n: int) -> float:
-    """The same, given how many of n unlabelled scores reach each cut."""
-    tail_p, tail_u = counts_from(p, tail_cuts(p)) / len(p), reached / n
-    margin = np.sqrt(np.log(4 / 0.1) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(n))
+def prior_of(folds: list[np.ndarray], reached: list[np.ndarray], n: int) -> float:
+    """The same over folds, given how many of n unlabelled scores reach each cut of each fold."""
+    tail_p = np.mean([counts_from(p, tail_cuts(p)) / len(p) for p in folds], axis=0)
+    tail_u = np.mean(reached, axis=0) / n
+    margin = np.sqrt(np.log(4 / 0.1) / 2) * (1 / np.sqrt(sum(map(len, folds))) + 1 / np.sqrt(n))
     best = np.argmin((tail_u + margin) / tail_p)
     return float(np.clip(tail_u[best] / tail_p[best], 0.05, 0.99))
 
@@ -177,7 +182,14 @@ class PositiveUnlabelled:
         self.scale = np.maximum((high - low) / 2, 0.01)
         p, over = expand(positive, self.centre, self.scale), partial(sums, self)
         first = minimise(p, over, 1.0, 0.0)
-        self.prior = prior_of(p @ first, *tails(self, first, tail_cuts(p @ first)))
+        part = np.arange(len(p)) % min(CROSS, len(p))
+        held, reached, n = [], [], 0
+        for f in range(part.max() + 1):
+            own = minimise(p[part != f], over, 1.0, 0.0, first) if part.max() else first  # one positive alone has no others
+            held.append(p[part == f] @ own)
+            counts, n = tails(self, own, tail_cuts(held[-1]))
+            reached.append(counts)
+        self.prior = prior_of(held, reached, n)
         self.weights = minimise(p, over, self.prior, self.prior)
 
     def score(self, x: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ def test_centre_scale_and_prior_are_of_all_documents(spark, monkeypatch):
     assert fitted[0].centre == pytest.approx(middle)
     assert fitted[0].scale == pytest.approx(np.maximum((high - low) / 2, 0.01))
     reached, n = priors[0]
-    assert n == 500 and reached[0] > 20 and all(np.diff(reached) <= 0)
+    assert n == 500 and len(reached) == quality_pu.CROSS and all(r[0] > 20 and all(np.diff(r) <= 0) for r in reached)
 
 
 def test_counts_above_cuts():
