@@ -87,4 +87,4 @@ def test_run_is_registered():
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries() and len(corpus_pipeline.STAGES) == 5
-    assert all(f"op{n}_" in " ".join(__spark_entry__.queries()) for n in range(1, 11))
+    assert all(f"op{n}_" in " ".join(__spark_entry__.queries()) for n in range(1, 14))
