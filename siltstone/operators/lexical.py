@@ -30,6 +30,11 @@ def query_terms(queries: DataFrame, query_id: str = "query_id") -> DataFrame:
     return queries.select(query_id, F.explode(F.array_distinct(terms("text"))).alias("term"), F.lit(1.0).alias("weight"))
 
 
+def tokenised(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, t): the terms of each document; documents that are so already stay."""
+    return docs if "t" in docs.columns else docs.select(doc_id, terms("text").alias("t"))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
     """(query_id, doc_id, score, rank) of the best k documents of each query (columns: id, text), ties by id."""
     return bm25_terms(query_terms(queries, query_id), docs, k, query_id, doc_id)
@@ -45,7 +50,7 @@ def bm25_terms(asked: DataFrame, docs: DataFrame, k: int, query_id: str = "query
     """
     schema = StructType([asked.schema[query_id], docs.schema[doc_id], StructField("score", DoubleType())])
     spark = docs.sparkSession
-    sized = docs.select(doc_id, terms("text").alias("t"))
+    sized = tokenised(docs, doc_id)
     total = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.greatest(F.size("t"), F.lit(0))).alias("mean")).first()
     seen = sized.select(F.explode(F.array_distinct("t")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     found = asked.join(seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").groupBy(query_id).agg(F.collect_list(F.struct("term", "df", "weight")).alias("terms"))
@@ -103,7 +108,7 @@ def expanded_terms(asked: DataFrame, docs: DataFrame, found: DataFrame, feedback
     """
     own = asked.select(query_id, "term", (F.lit(1 - mix) * F.col("weight") / F.sum("weight").over(Window.partitionBy(query_id))).alias("weight"))
     best = found.where(F.col("rank") <= feedback).select(query_id, doc_id, (F.col("score") / F.sum("score").over(Window.partitionBy(query_id))).alias("share"))
-    words = docs.select(doc_id, terms("text").alias("t")).join(best, doc_id).select(query_id, doc_id, "share", F.size("t").alias("n"), F.explode("t").alias("term"))
+    words = tokenised(docs, doc_id).join(best, doc_id).select(query_id, doc_id, "share", F.size("t").alias("n"), F.explode("t").alias("term"))
     counted = words.groupBy(query_id, doc_id, "share", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     likely = counted.groupBy(query_id, "term").agg(F.round(F.sum(F.col("share") * F.col("tf") / F.col("n")), DIGITS).alias("p")).join(asked.select(query_id, "term"), [query_id, "term"], "left_anti")
     order = Window.partitionBy(query_id).orderBy(F.desc("p"), "term")
@@ -121,7 +126,7 @@ def fused(lists: list[DataFrame], k: int, constant: int = 60, query_id: str = "q
 
 def expanded_search(queries: DataFrame, docs: DataFrame, k: int, pool: int = 20, query_id: str = "query_id", doc_id: str = "doc_id", **settings) -> DataFrame:
     """BM25 of the queries and of the queries with feedback terms, the two result lists merged."""
-    asked = query_terms(queries, query_id)
+    asked, docs = query_terms(queries, query_id), staged(tokenised(docs, doc_id), "terms")  # texts are taken apart once
     first = staged(bm25_terms(asked, docs, pool, query_id, doc_id), "first")
     more = staged(expanded_terms(asked, docs, first, query_id=query_id, doc_id=doc_id, **settings), "expanded")
     return fused([first, bm25_terms(more, docs, pool, query_id, doc_id)], k, query_id=query_id, doc_id=doc_id)
