@@ -1,5 +1,10 @@
 """Main text of pages that hosts mix, nest and mark in other ways than the test tables do."""
 
+import collections
+import random
+import re
+
+import pyarrow.parquet as pq
 import pytest
 
 from siltstone.llm import html_wrapper
@@ -96,3 +101,77 @@ def test_hosts_are_told_apart_and_other_columns_may_clash(spark):
     got = html_wrapper.extract_main_text(df)
     assert [r.text for r in sorted(got.collect(), key=lambda r: r["row"].page_id)] == expected * 2
     assert got.schema["row"].dataType.names == df.columns
+
+
+def _unmarked(page):
+    """The page with neutral elements in place of those that say what they hold, and without classes, ids and roles."""
+    page = re.sub(r"(</?)(article|nav|footer|header|aside|main|form|section)\b", r"\1div", page)
+    return re.sub(r"""\s(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def _compared(got, expected):
+    """Precision and recall of blocks, and pages that are equal."""
+    same = wrong = missing = equal = 0
+    for g, e in zip(got, expected, strict=True):
+        g, e = collections.Counter(g.split("\n")), collections.Counter(e.split("\n"))
+        same, wrong, missing, equal = same + (g & e).total(), wrong + (g - e).total(), missing + (e - g).total(), equal + (g == e)
+    return same / (same + wrong), same / (same + missing), equal
+
+
+def test_given_pages_without_their_marks(spark, text_of):
+    """The wrapper alone finds the articles of the given pages; pages read on their own do not show them."""
+    rows = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    marked = [(r["url"], r["html"]) for r in rows]
+    plain = [(url, _unmarked(html or "")) for url, html in marked]
+    expected = text_of(*marked)
+    precision, recall, equal = _compared(text_of(*plain), expected)
+    assert precision >= 0.95 and recall >= 0.99 and equal >= 0.85 * len(rows)
+    alone = [html_wrapper.main_text(p, html_wrapper.parse(p)[0], 1) for _, p in plain]
+    precision, _, equal = _compared(alone, expected)
+    assert precision < 0.9 and equal == 0
+
+
+def _sequence(seed, n, kinds=("p", "h2", "ul", "pre")):
+    r = random.Random(seed)
+    return html_wrapper.parse("<body>" + "".join(f"<{t}>{r.randrange(40)}</{t}>" for t in r.choices(kinds, k=n)) + "</body>")[0][3][0][3]
+
+
+def _best(xs, ys):
+    """The greatest weight of an alignment, by the whole table of scores."""
+    kind = lambda n: (html_wrapper.signature(n), html_wrapper.strings(n))
+    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i in reversed(range(len(xs))):
+        for j in reversed(range(len(ys))):
+            (a, s), (b, t) = kind(xs[i]), kind(ys[j])
+            pair = best[i + 1][j + 1] + html_wrapper.PAIR + html_wrapper.BELOW + html_wrapper.COMMON * len(s & t) if a == b else 0
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], pair)
+    return best[0][0]
+
+
+@pytest.mark.parametrize("n, m", [(1, 9), (7, 5), (40, 33), (90, 120)])
+def test_alignments_are_the_best_and_one_at_every_size(n, m, monkeypatch):
+    xs, ys = _sequence(n, n), _sequence(m + 1, m)
+    found = html_wrapper.pairs(xs, ys)
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(found, found[1:], strict=False))
+    weight = sum(html_wrapper.PAIR + html_wrapper.BELOW + html_wrapper.COMMON * len(html_wrapper.strings(xs[i]) & html_wrapper.strings(ys[j])) for i, j in found)
+    assert weight == _best(xs, ys)
+    for rows in (1, 3, 10_000):
+        monkeypatch.setattr(html_wrapper, "ROWS", rows)
+        assert html_wrapper.pairs(xs, ys) == found
+
+
+def test_long_and_deep_pages_of_one_host(text_of):
+    wide = ["<body><div>Home</div><div>" + "".join(f"<p>{k} {i}</p>" for i in range(3000)) + "</div></body>" for k in range(3)]
+    deep = ["<body>" + "".join(f"<div>{k} {i}" for i in range(3000)) for k in range(3)]
+    assert text_of(*wide) == ["\n".join(f"{k} {i}" for i in range(3000)) for k in range(3)]
+    assert text_of(*deep) == ["\n".join(f"{k} {i}" for i in range(3000)) for k in range(3)]
+
+
+def test_wrappers_are_stored_whole():
+    tree = html_wrapper.merge(*(html_wrapper.parse("<body>" + "<div>" * n + "<p>a</p><dl><dt>b<dd>c<dt>d<dd>e</dl>")[0] for n in (2, 2000)))
+    assert html_wrapper.pack(html_wrapper.unpack(html_wrapper.pack(tree))) == html_wrapper.pack(tree)
+
+
+def test_pages_without_a_host_and_repeated_rows(text_of):
+    page = lambda i: f"<body><div><a href=/>Home</a></div><div><h2>T{i}</h2><p>The own paragraph of page {i}</p></div><div>foot {i}</div></body>"
+    assert text_of(*((None, page(i)) for i in range(4)), (None, page(0)), ("nothing", page(9)), (None, None)) == [f"T{i}\nown {i}" for i in (0, 1, 2, 3, 0, 9)] + [""]
