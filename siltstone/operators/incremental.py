@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,34 +42,54 @@ def merge_versions(stored: DataFrame, found: DataFrame, key: str, seen_at: Colum
     )
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that stands in the plan, and is computed, once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def normalise_url(url: Column) -> Column:
     """Scheme and host in lower case, without its scheme's own port, fragment or final slash; parameters in order."""
-    bare = F.regexp_replace(F.trim(url), "#.*$", "")
-    head = F.lower(F.regexp_extract(bare, HEAD, 0))
-    head = F.when(head.startswith("http://"), F.regexp_replace(head, ":80$", "")).when(head.startswith("https://"), F.regexp_replace(head, ":443$", "")).otherwise(head)
-    rest = F.regexp_replace(bare, HEAD, "")
-    path, asked = F.regexp_replace(F.regexp_extract(rest, r"^[^?]*", 0), "/+$", ""), F.regexp_extract(rest, r"^[^?]*\?(.*)$", 1)
-    ordered = F.array_join(F.array_sort(F.filter(F.split(asked, "&"), lambda x: x != "")), "&")
-    return F.concat(head, path, F.when(ordered != "", F.concat(F.lit("?"), ordered)).otherwise(""))
+
+    def without_port(head):
+        return F.when(head.startswith("http://"), F.regexp_replace(head, ":80$", "")).when(head.startswith("https://"), F.regexp_replace(head, ":443$", "")).otherwise(head)
+
+    def whole(bare):
+        head = bound(F.lower(F.regexp_extract(bare, HEAD, 0)), without_port)
+        return bound(F.regexp_replace(bare, HEAD, ""), lambda rest: F.concat(head, F.regexp_replace(F.regexp_extract(rest, r"^[^?]*", 0), "/+$", ""), parameters(rest)))
+
+    def parameters(rest):
+        asked = F.regexp_extract(rest, r"^[^?]*\?(.*)$", 1)
+        ordered = F.array_join(F.array_sort(F.filter(F.split(asked, "&"), lambda x: x != "")), "&")
+        return bound(ordered, lambda o: F.when(o != "", F.concat(F.lit("?"), o)).otherwise(""))
+
+    return bound(F.regexp_replace(F.trim(url), "#.*$", ""), whole)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """The absolute form of a link of the page ``base``; null for links that are no pages (mailto:, javascript:, only a fragment)."""
-    link = F.regexp_replace(F.trim(href), "#.*$", "")
     root = F.regexp_extract(base, HEAD, 0)
     path = F.regexp_extract(F.regexp_replace(base, HEAD, ""), r"^[^?#]*", 0)
     folder = F.concat(root, F.coalesce(F.nullif(F.regexp_extract(path, r"^(.*/)", 1), F.lit("")), F.lit("/")))
-    whole = (
-        F.when(link.rlike(r"^(?i)https?://"), link).when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (link == ""), None)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(root, r"^[A-Za-z][A-Za-z0-9+.-]*:", 0), link)).when(link.startswith("/"), F.concat(root, link))
-        .when(link.startswith("?"), F.concat(root, path, link)).otherwise(F.concat(folder, link))
-    )
-    tail = F.regexp_replace(whole, HEAD, "")
-    steps = F.split(F.regexp_extract(tail, r"^[^?]*", 0), "/")
-    up = lambda a: F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
-    walked = F.aggregate(steps, F.lit([]).cast("array<string>"), lambda a, s: F.when(s == ".", a).when(s == "..", up(a)).otherwise(F.concat(a, F.array(s))))
-    walked = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
-    return F.when(whole.isNotNull(), F.concat(F.regexp_extract(whole, HEAD, 0), F.array_join(walked, "/"), F.regexp_extract(tail, r"(\?.*)$", 1)))
+
+    def absolute(link):
+        return (
+            F.when(link.rlike(r"^(?i)https?://"), link).when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (link == ""), None)
+            .when(link.startswith("//"), F.concat(F.regexp_extract(root, r"^[A-Za-z][A-Za-z0-9+.-]*:", 0), link)).when(link.startswith("/"), F.concat(root, link))
+            .when(link.startswith("?"), F.concat(root, path, link)).otherwise(F.concat(folder, link))
+        )
+
+    def up(a):
+        return F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+
+    def walked(steps):
+        passed = F.aggregate(steps, F.lit([]).cast("array<string>"), lambda a, s: F.when(s == ".", a).when(s == "..", up(a)).otherwise(F.concat(a, F.array(s))))
+        return F.concat(passed, F.when(F.element_at(steps, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.lit([]).cast("array<string>")))
+
+    def straight(whole):
+        asked = lambda tail: F.concat(F.array_join(bound(F.split(F.regexp_extract(tail, r"^[^?]*", 0), "/"), walked), "/"), F.regexp_extract(tail, r"(\?.*)$", 1))
+        return F.when(whole.isNotNull(), F.concat(F.regexp_extract(whole, HEAD, 0), bound(F.regexp_replace(whole, HEAD, ""), asked)))
+
+    return bound(bound(F.regexp_replace(F.trim(href), "#.*$", ""), absolute), straight)
 
 
 def cached_answers(questions: DataFrame, cache: DataFrame, ttl: str = "1 hour", changed: DataFrame | None = None) -> DataFrame:

@@ -84,3 +84,11 @@ def test_crawl_is_breadth_first_within_budgets(spark):
     seen = spark.createDataFrame([(node(0), "2024-01-02"), (node(5), "2023-01-01")], "url string, last_seen string")
     left = frontier.to_fetch(got, seen, F.lit("2024-01-01"))
     assert left.where(F.col("url") == node(0)).isEmpty() and not left.where(F.col("url") == node(5)).isEmpty()
+
+
+def test_plans_of_links_stay_small(spark):
+    """What a URL's rules name many times stands in the plan once."""
+    pages = spark.createDataFrame([("http://a.example/x/", '<a href="../y?b=2&amp;a=1#z">y</a>')], "url string, html string")
+    links = frontier.page_links(pages)
+    assert [tuple(r) for r in links.collect()] == [("http://a.example/x", "http://a.example/y?a=1&b=2")]
+    assert len(links._jdf.queryExecution().optimizedPlan().toString()) < 40_000
