@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,6 +232,8 @@ def read_warc(stream) -> Iterator[WarcRecord]:
 
 
 MANIFEST = StructType([StructField("path", StringType()), StructField("n_records", LongType()), StructField("n_bytes", LongType())])
+#: The same with the hidden name under which a task wrote the file.
+WRITTEN = StructType([*MANIFEST.fields, StructField("hidden", StringType())])
 
 
 def archive_pages(pages: DataFrame, out_uri: str | None = None, min_bytes: int = 0, arc_version: int = 2) -> DataFrame:
@@ -242,10 +245,12 @@ def archive_pages(pages: DataFrame, out_uri: str | None = None, min_bytes: int =
     any other; rows that repeat the smallest page_id are all responses. Rows are dealt out
     by payload; a payload that many pages share is split over tasks by the adaptive join.
     An empty table gives no files; very long pages are one record each; only the three columns are
-    read, so others may have any names.
+    read, so others may have any names. Tasks write files that readers of the folder pass over (their names begin with
+    a dot); those of the attempts that Spark has committed get their names afterwards, so what a failed or rival attempt
+    wrote is never read.
     """
     spark = pages.sparkSession
-    out_uri = out_uri or new_path(spark, "warc")
+    out_uri, own = out_uri or new_path(spark, "warc"), uuid.uuid4().hex[:12]  # own: of this run's files among others of the folder
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", "html", F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("size"))
     shared = rows.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -255,7 +260,7 @@ def archive_pages(pages: DataFrame, out_uri: str | None = None, min_bytes: int =
     def run(batches):
         fs, base = open_fs(out_uri)
         fs.create_dir(base, recursive=True)
-        out = _Shards(fs, base, out_uri)
+        out = _Shards(fs, base, out_uri, own)
         for batch in batches:
             group, held = [], 0
             for page_id, url, html, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True):
@@ -271,11 +276,30 @@ def archive_pages(pages: DataFrame, out_uri: str | None = None, min_bytes: int =
                 yield from out.put(group, arc_version)
         yield from out.close()
 
-    manifest = materialize(joined.mapInArrow(run, MANIFEST), "manifest")
-    discard(shared)
+    written = materialize(joined.mapInArrow(run, WRITTEN), "written")
+    manifest = materialize(publish(written, out_uri), "manifest")
+    discard(shared, written)
     return manifest
 
 
+def publish(written: DataFrame, out_uri: str) -> DataFrame:
+    """The manifest of written files, which get their names; a file that another attempt has named already is left as it is."""
+
+    def run(batches):
+        fs, base = open_fs(out_uri)
+        for batch in batches:
+            for path, hidden in zip(batch.column("path").to_pylist(), batch.column("hidden").to_pylist(), strict=True):
+                name = f"{base}/{path.rpartition('/')[2]}"
+                try:
+                    fs.move(f"{base}/{hidden}", name)
+                except OSError:
+                    if fs.get_file_info(name).type != pa.fs.FileType.File:
+                        raise
+            yield batch.select(MANIFEST.names)
+
+    return written.mapInArrow(run, MANIFEST)
+
+
 ARC = StructType([StructField("path", StringType()), *(StructField(c, StringType()) for c in ("url", "ip", "date", "content_type")), StructField("version", IntegerType()), StructField("block", BinaryType())])
 
 
@@ -326,10 +350,10 @@ def convert_arc_files(spark: SparkSession, glob: str, out_uri: str) -> DataFrame
 
 
 class _Shards:
-    """A task's WARC files; each gets its name when it is complete."""
+    """A task's WARC files, under hidden names; those that they are to have tell the run, the partition and its files."""
 
-    def __init__(self, fs, base: str, uri: str):
-        self.fs, self.base, self.uri, self.sink = fs, base, uri, None
+    def __init__(self, fs, base: str, uri: str, own: str):
+        self.fs, self.base, self.uri, self.own, self.sink, self.files = fs, base, uri, own, None, 0
 
     def put(self, group, version: int):
         arc = write_arc([g[:4] for g in group], version)
@@ -340,8 +364,10 @@ class _Shards:
             return None if first is None or first == page_id else (record_id("response", first, digest), str(first))
 
         if not self.sink:
-            self.name = f"pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
-            self.sink, self.n, self.size = self.fs.open_output_stream(f"{self.base}/.{self.name}", compression=None), 0, 0
+            self.name = f"pages-{self.own}-{TaskContext.get().partitionId():06d}-{self.files:04d}.warc.gz"
+            self.hidden = f".{self.name}.{uuid.uuid4().hex}"
+            self.sink, self.n, self.size = self.fs.open_output_stream(f"{self.base}/{self.hidden}", compression=None), 0, 0
+            self.files += 1
         for record in convert(read_arc(io.BytesIO(arc)), refers_to):
             if record.headers["WARC-Type"] == "warcinfo" and self.n:
                 continue  # one for each file
@@ -354,8 +380,7 @@ class _Shards:
     def close(self):
         if self.sink:
             self.sink.close()
-            self.fs.move(f"{self.base}/.{self.name}", f"{self.base}/{self.name}")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{self.uri}/{self.name}"]), pa.array([self.n], pa.int64()), pa.array([self.size], pa.int64())], MANIFEST.names)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{self.uri}/{self.name}"]), pa.array([self.n], pa.int64()), pa.array([self.size], pa.int64()), pa.array([self.hidden])], WRITTEN.names)
             self.sink = None
 
 

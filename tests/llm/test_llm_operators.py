@@ -379,6 +379,21 @@ def test_wrapper_inference_is_union_free():
     assert html_wrapper.render(html_wrapper.merge(d, e)) == "(dl((dt(#)? dd(#)?)+))"
 
 
+def test_only_committed_files_get_their_names(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x.example/{i}", f"<p>{i % 3}") for i in range(12)], "page_id bigint, url string, html string").repartition(3)
+    out = f"file://{tmp_path}/warc"
+    first = warc.archive_pages(pages, out).collect()
+    (tmp_path / "warc" / ".pages-other-000000-0000.warc.gz.1").write_bytes(b"of an attempt that was lost")
+    again = warc.archive_pages(pages, out).collect()
+    named = sorted(p.name for p in (tmp_path / "warc").iterdir() if not p.name.startswith("."))
+    assert named == sorted(r.path.rpartition("/")[2] for r in first + again) and len(set(named)) == len(first) + len(again)
+    assert sum(r.n_records for r in first) == 12
+    written = spark.createDataFrame([(*first[0], ".gone")], warc.WRITTEN)
+    assert warc.publish(written, out).collect() == [first[0]]  # named by an attempt before
+    with pytest.raises(Exception, match="nowhere"):
+        warc.publish(spark.createDataFrame([(f"{out}/nowhere", 0, 0, ".gone")], warc.WRITTEN), out).collect()
+
+
 def test_quality_rules_are_exact(spark):
     from math import comb
 
