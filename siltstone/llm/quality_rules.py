@@ -126,22 +126,30 @@ def _all():
     return Window.partitionBy(F.lit(0))  # over strata, not documents
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", risk: float = RISK, error: float = ERROR, trial_col: str | None = None) -> DataFrame:
     """Base counts, ``base_failed`` and ``kept`` for every document.
 
     A null text has no words and fails the base rule, like an empty one; a null stratum is a
     stratum of its own; a document that is labelled more than once is good if all labels
     are 1; null labels and labels without a document are not used; repeated documents are
     judged row by row, but equal texts of a stratum count once in the holdout, as trials have to be
-    independent; without labels only the base rule rejects; an empty table gives no rows; very
+    independent. Near copies do so too if ``trial_col`` names what they share, such as the component that a
+    similarity join has found: of each of its values in a stratum the document whose id hashes lowest, which no
+    feature can sway, is the trial, and the guarantee is about such groups; a document without a value is a trial of its own. Without labels only the base rule rejects; an empty table gives no rows; very
     long texts are read whole, and columns that are not named are not looked at.
     """
-    known = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{stratum_col}`"].alias("stratum"), "text", F.xxhash64("text").alias("th"))
-    feats = materialize(base_features(known, keep=["doc_id", "stratum", "th"]), "features")
-    feats = feats.select("row.doc_id", F.coalesce(F.col("row.stratum"), F.lit("")).alias("stratum"), F.col("row.th").alias("th"), *feats.columns[1:])
+    more = [] if trial_col is None else [docs[f"`{trial_col}`"].alias("trial")]
+    own = ["doc_id", "stratum", "th", *(["trial"] if more else [])]
+    known = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{stratum_col}`"].alias("stratum"), "text", F.xxhash64("text").alias("th"), *more)
+    feats = materialize(base_features(known, keep=own), "features")
+    feats = feats.select("row.doc_id", F.coalesce(F.col("row.stratum"), F.lit("")).alias("stratum"), *[F.col(f"row.{c}").alias(c) for c in own[2:]], *feats.columns[1:])
     feats = feats.withColumns(rule_features()).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
     held = feats.where(~F.col("base_failed")).join(good.where("good = 1"), "doc_id").dropDuplicates(["stratum", "th"])
+    if more:
+        apart = F.when(F.col("trial").isNotNull(), F.struct(F.lit(True).alias("in"), F.xxhash64("trial").alias("of"))).otherwise(F.struct(F.lit(False).alias("in"), F.col("th").alias("of")))
+        one = F.min_by(F.struct("good", *GRID), F.struct(F.xxhash64("doc_id"), F.col("th"))).alias("one")
+        held = held.groupBy("stratum", apart.alias("apart")).agg(one).select("stratum", "one.*")
     cutoffs = materialize(select_cutoffs(held, risk, error), "cutoffs")
     hit = F.lit(False)
     for rule in GRID:

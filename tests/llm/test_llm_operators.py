@@ -404,6 +404,19 @@ def test_quality_rules_are_exact(spark):
         assert abs(np.exp(r.p) - exact) < 1e-9
 
 
+def test_near_copies_are_one_trial(spark):
+    """Enough different texts give a cutoff for shouts; near copies of one text do not, if their group is named."""
+    text = lambda i: f"a plain sentence of some dozen words about number {i} and about nothing else that matters"
+    rows = [(i, text(i), "en", i) for i in range(900)] + [(1000 + i, text(1000 + i), "de", 5) for i in range(900)] + [(5000, text(7), "fr", None), (5001, "wow! " * 3 + text(8), "en", None), (5002, "wow! " * 3 + text(9), "de", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, trial bigint")
+    labels = spark.createDataFrame([(r[0], 1) for r in rows if r[0] < 5000], "doc_id bigint, quality int")
+    kept = lambda **k: {r.doc_id: r.kept for r in quality_rules.judge(df, labels, **k).collect()}
+    alone, grouped = kept(), kept(trial_col="trial")
+    assert not alone[5001] and not alone[5002] and not grouped[5001]
+    assert grouped[5002]  # 900 near copies are one trial, which proves nothing
+    assert all(v for i, v in grouped.items() if i < 5001) and len(grouped) == len(rows)
+
+
 def test_quality_counts(spark, docs):
     rows, df = docs
     extra = [(500 + i, t, "en", "s", 1, "") for i, t in enumerate(["a b c d e f a b c d e g", "l one\nl one\n \nl one\n", "### $$ x <y>", "a " * 40 + "é!"])]
