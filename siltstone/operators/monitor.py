@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,13 @@ def sketch(rows: DataFrame, by: list[Column], value: str = "value", error: float
     the values of a group. Bucket k > 0 or k <= 0 is of positive values in (g^(k-1), g^k], g = (1 + error) / (1 - error);
     values of 0 or less are in the bucket null. Null values count nowhere.
     """
-    at = F.when(F.col(value) > 0, F.ceil(F.log(F.col(value)) / math.log(_gamma(error))).cast("int"))
-    return rows.where(F.col(value).isNotNull()).groupBy(*by, at.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.where(F.col(value).isNotNull()).groupBy(*by, _bucket(value, error).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _bucket(value: str, error: float) -> Column:
+    """The logarithmic bucket of a value, null if it is not positive; what is infinite or no number comes last."""
+    at = F.ceil(F.log(F.col(value)) / math.log(_gamma(error)))
+    return F.when(F.col(value) < math.inf, F.when(F.col(value) > 0, at.cast("int"))).otherwise(2**31 - 1)
 
 
 def rolled_up(sketches: DataFrame, by: list[Column]) -> DataFrame:
@@ -42,6 +48,30 @@ def quantiles(sketches: DataFrame, by: list[str], wanted: dict[str, float], erro
     return upto.groupBy(*by).agg(F.first("rows").alias("rows"), *[at(q)(name) for name, q in wanted.items()])
 
 
+def exact_quantiles(rows: DataFrame, by: str, wanted: dict[str, float], value: str = "value", error: float = ERROR) -> DataFrame:
+    """``by`` and each wanted quantile of all its values that are not null: exact, between two neighbours by interpolation.
+
+    Equal values of a group are counted first. How many values the buckets of a sketch hold tells in which of them the
+    wanted ranks are; only their values are put in order, bucket by bucket, so no task holds the values of a group.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", _bucket("_v", error))
+    sums = counts.groupBy(by, "_bucket").agg(F.sum("_n").alias("_n"))
+    order = Window.partitionBy(by).orderBy(F.asc_nulls_first("_bucket"))
+    sums = sums.withColumns({"_upto": F.sum("_n").over(order), "_rows": F.sum("_n").over(Window.partitionBy(by))})
+    low = lambda q: F.floor(F.lit(q) * (F.col("_rows") - 1))
+    high = lambda q: F.ceil(F.lit(q) * (F.col("_rows") - 1))
+    inside = lambda r: (r >= F.col("_upto") - F.col("_n")) & (r < F.col("_upto"))
+    held = sums.where(reduce(lambda a, b: a | b, [inside(rank(q)) for q in wanted.values() for rank in (low, high)]))
+    held = held.select(F.col(by).alias("_by"), F.col("_bucket").alias("_at"), (F.col("_upto") - F.col("_n")).alias("_before"), "_rows")
+    met = counts.join(held, F.col(by).eqNullSafe(F.col("_by")) & F.col("_bucket").eqNullSafe(F.col("_at")))
+    met = met.withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    found = met.groupBy(by).agg(F.first("_rows").alias("_rows"), *[at(rank(q)).alias(f"_{side}_{name}") for name, q in wanted.items() for side, rank in (("low", low), ("high", high))])
+    part = lambda q: F.lit(q) * (F.col("_rows") - 1) - low(q)
+    between = lambda name, q: F.when(part(q) == 0, F.col(f"_low_{name}")).otherwise(F.col(f"_low_{name}") * (1 - part(q)) + F.col(f"_high_{name}") * part(q))
+    return found.select(by, *[between(name, q).alias(name) for name, q in wanted.items()])
+
+
 def cusum(points: DataFrame, key: str, at: str, value: str, baseline: int = BASELINE, slack: float = SLACK, threshold: float = THRESHOLD) -> DataFrame:
     """``points`` (a row for each key and bucket of time) with ``up``, ``down`` and ``alert`` (up, down or null).
 

@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import grounding, lexical, monitor
+from siltstone.plans.oracle import SQL
+from siltstone.plans.queries import QUERIES
 from siltstone.streaming import alerts
 
 
@@ -152,3 +154,18 @@ def test_expansion_brings_terms_of_the_best_documents(spark):
     got = {(r.query_id, r.doc_id) for r in lexical.expanded_search(asked, docs, 5, feedback=2, count=3).collect()}
     assert {(1, 1), (1, 2), (1, 3)} <= got and not any(d in (4, 5) for _, d in got)
     assert lexical.expanded_search(asked.limit(0), docs, 5).count() == 0
+
+
+def test_latency_is_exact_and_counts_all_rows(spark, tmp_path):
+    """Ties, one value, no value, values of 0 and less, unknown times; by q31 and by its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(3)
+    days = {"2024-01-01": [rng.expovariate(0.1) for _ in range(1001)], "2024-01-02": [7.5], "2024-01-03": [None, None], "2024-01-04": [-3.0, 0.0, 0.0, -1.5, 2.0, None], "2024-01-05": [3.0] * 50 + [4.0] * 50, None: [1.0, 2.0, 4.0]}
+    rows = [(d and f"{d} 05:00:00", v) for d, values in days.items() for v in values]
+    df = spark.createDataFrame(rows, "ts string, value double").withColumn("ts", F.to_timestamp("ts").cast("timestamp_ntz"))
+    df.write.parquet(f"file://{tmp_path}/events.parquet")
+    got = QUERIES["q31_latency"](spark, f"file://{tmp_path}")
+    want = duckdb.sql(SQL["q31_latency"].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    assert sorted(map(repr, map(tuple, got.select("day", "queries", "fallback_rate", "p50", "p95", "p99").collect()))) == sorted(map(repr, want))
+    whole = monitor.exact_quantiles(df, "ts", {"low": 0.0, "top": 1.0}).where("ts = timestamp'2024-01-01 05:00:00'").first()
+    assert (whole.low, whole.top) == (min(days["2024-01-01"]), max(days["2024-01-01"]))
