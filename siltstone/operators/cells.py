@@ -33,8 +33,13 @@ TILE = 2048
 def unit_rows(column: pa.Array) -> np.ndarray:
     """Vectors without nulls as rows of length 1, in double; vectors of zeros stay."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return unit(flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0))
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """The rows at length 1, in double; rows of zeros stay."""
+    out = rows.astype(np.float64)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.divide(out, norm, out=out.copy(), where=norm > 0)
 

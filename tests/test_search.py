@@ -1,9 +1,11 @@
 """Block-joined vector search, exact and by an index, against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.operators import cells, search
+from siltstone.plans.queries import QUERIES
 
 
 def _unit(x):
@@ -88,3 +90,34 @@ def test_vectors_of_zeros_alone(spark):
     v = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(6)], "vec_id bigint, embedding array<float>")
     got = search.search_index(v.withColumnRenamed("vec_id", "query_id"), cells.index_vectors(v, 3), 2, exclude_same=True)
     assert {(r.query_id, r.vec_id) for r in got.collect()} == {(i, j) for i in range(6) for j in [x for x in range(6) if x != i][:2]}
+
+
+def test_single_precision_loses_nothing():
+    """Ties, near ties, copies, zeros, numbers that are none, own ids and floors, against all products in double precision."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(5000, 7))
+    m[1000:2500] = m[0] + rng.normal(size=(1500, 7)) * 1e-6  # closer than single precision tells apart
+    m[2500:2600], m[2600], m[2700] = m[3], 0, np.nan
+    ids = rng.permutation(5000).astype(np.int64)
+    u = search.unit(m)
+    asked = np.concatenate([np.arange(0, 1200), [2600, 2700, 2550]])
+    floor = np.where(np.arange(len(asked)) % 3 == 0, 0.9, -np.inf)
+    best = search.Nearest(pa.array(ids[asked]), u[asked], ids[asked], floor, 5, True)
+    for a, b in ((0, 3), (3, 2500), (2500, 5000)):
+        best.add(ids[a:b], u[a:b])
+    got = {}
+    for batch in best.rows(["q", "v", "s"]):
+        for q, v, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            got.setdefault(q, []).append((-s, v))
+    scores = np.round(u[asked] @ u.T, search.DIGITS) + 0.0
+    for row, q, low in zip(scores, ids[asked].tolist(), floor, strict=True):
+        want = sorted((-s, v) for s, v in zip(row.tolist(), ids.tolist(), strict=True) if v != q and s >= low)[:5]
+        assert [v for _, v in got.get(q, [])] == [v for _, v in want]
+
+
+def test_two_thresholds_take_one_search(spark, monkeypatch):
+    searches = []
+    once = search.search_index
+    monkeypatch.setattr(search, "search_index", lambda *a, **k: searches.append(1) or once(*a, **k))
+    QUERIES["q11_topk_threshold"](spark, "/root/testdata/sf0.001")
+    assert len(searches) == 1
