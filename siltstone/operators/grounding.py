@@ -57,11 +57,14 @@ def claim_words(found: DataFrame, query_id: str = "query_id") -> DataFrame:
 def grounded_claims(answers: DataFrame, context: DataFrame, query_id: str = "query_id", answer: str = "answer") -> DataFrame:
     """(query_id, claim, text, words, found, missing, grounded): each claim against its query's context (query_id, text), a row a hit.
 
-    A claim is grounded if every fact of it, and LEAST_SHARE of its words, occur in the context. Words meet by
-    query and word; a context is never gathered in one place.
+    A claim is grounded if every fact of it, and LEAST_SHARE of its words, occur in the context. Each hit's text is
+    held against the words of its query's answer, so only words that both have become rows, however long the texts
+    are; a context is never gathered in one place.
     """
     said = claims(answers, query_id, answer)
-    known = context.select(query_id, F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), NO_WORD), lambda w: w != ""))).alias("word")).distinct()
+    own = F.transform(F.filter(F.split(F.coalesce(F.col(answer), F.lit("")), NO_WORD), lambda w: w != ""), F.lower)
+    asked = answers.select(query_id, F.array_distinct(own).alias("_said"))
+    known = context.select(query_id, "text").join(asked, query_id).select(query_id, F.explode(F.array_intersect("_said", F.split(F.lower("text"), NO_WORD))).alias("word")).distinct()
     met = claim_words(said, query_id).join(known.withColumn("known", F.lit(True)), [query_id, "word"], "left")
     lost = F.col("fact") & F.col("known").isNull()
     counts = met.groupBy(query_id, "claim").agg(F.count(F.lit(1)).alias("words"), F.count("known").alias("found"), F.sort_array(F.collect_set(F.when(lost, F.col("word")))).alias("missing"))

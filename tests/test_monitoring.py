@@ -169,3 +169,15 @@ def test_latency_is_exact_and_counts_all_rows(spark, tmp_path):
     assert sorted(map(repr, map(tuple, got.select("day", "queries", "fallback_rate", "p50", "p95", "p99").collect()))) == sorted(map(repr, want))
     whole = monitor.exact_quantiles(df, "ts", {"low": 0.0, "top": 1.0}).where("ts = timestamp'2024-01-01 05:00:00'").first()
     assert (whole.low, whole.top) == (min(days["2024-01-01"]), max(days["2024-01-01"]))
+
+
+def test_only_words_of_the_answer_become_rows(spark, monkeypatch):
+    """Long contexts: what meets the claims is no more than the words of the answers, a context."""
+    met = []
+    distinct = type(spark.range(0)).distinct
+    monkeypatch.setattr(type(spark.range(0)), "distinct", lambda df: met.append(df.count()) or distinct(df))
+    answers = spark.createDataFrame([(1, "Paris has 20 districts. Lyon none"), (2, None)], "query_id bigint, answer string")
+    context = spark.createDataFrame([(1, "in paris HAS the 20 " + " ".join(f"w{i}" for i in range(3000))), (1, "districts, lyon"), (1, None), (2, "x"), (3, "y")], "query_id bigint, text string")
+    got = {r.claim: (r.words, r.found, r.missing, r.grounded) for r in grounding.grounded_claims(answers, context).collect()}
+    assert got == {0: (4, 4, [], True), 1: (2, 1, [], False)}
+    assert met == [5]
