@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,12 +95,17 @@ def read_html(html: str | None, strip_tags: tuple[str, ...]) -> str | None:
     return " ".join(" ".join(reader.parts).split())
 
 
+#: Pages that are Python strings at once.
+FEW = 64
+
+
 def clean_html_strict(strip_tags: tuple[str, ...]):
-    """The same by the standard library's parser, over Arrow batches."""
+    """The same by the standard library's parser, over Arrow batches, of which only a few pages are Python strings at a time."""
 
-    @F.pandas_udf("string")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(lambda h: read_html(h, strip_tags))
+            parts = [pa.array([read_html(h, strip_tags) for h in batch.slice(at, FEW).to_pylist()], pa.string()) for at in range(0, len(batch), FEW)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return clean

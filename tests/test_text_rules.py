@@ -5,9 +5,10 @@ import random
 import pytest
 
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from siltstone.config import ChunkConfig, TransformConfig
-from siltstone.functions.html import clean_html, read_html
+from siltstone.functions.html import clean_html, clean_html_strict, read_html
 from siltstone.operators import incremental, safety, sections
 from siltstone.plans.oracle import SQL
 from siltstone.plans.queries import QUERIES
@@ -104,3 +105,11 @@ def test_redaction_is_that_of_its_sql(spark, tmp_path):
         got = QUERIES[name](spark, f"file://{tmp_path}")
         want = con.sql(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_few_pages_are_strings_at_once(spark):
+    """The parser's function takes Arrow arrays as they are, over more pages than it reads at a time; nulls stay."""
+    pages = [None if i % 5 == 0 else f"<nav>m</nav><p>caf&eacute; {i}" for i in range(300)]
+    got = _column(spark, pages, lambda c: clean_html_strict(TAGS)(c))
+    assert got == [None if p is None else f"caf\u00e9 {i}" for i, p in enumerate(pages)]
+    assert clean_html_strict(TAGS).evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
