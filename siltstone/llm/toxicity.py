@@ -11,18 +11,22 @@ which it has a feature. So each language, and each way of being toxic, finds a g
 
 Features are selected from, and models are fitted on, at most SAMPLE labelled documents
 (those whose id hashes lowest); every document is scored on its whole text, in one pass
-without a shuffle.
+without a shuffle. The models of a category are fitted in tasks, one for each fold and one for
+all rows; the driver holds only places and counts of the sample's features.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -36,6 +40,8 @@ SAMPLE = 20_000
 FEATURES, SUPPORT = 512, 4
 PREFIXES = (4, 5, 6)
 FOLDS, RIDGE = 5, 0.1
+#: Rows that a Newton step takes at a time.
+BLOCK = 2_048
 #: Probability of ``toxic`` from which a document is rejected.
 THRESHOLD = 0.5
 #: Groups of features before ``toxic``.
@@ -58,14 +64,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 12) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last coefficient is the intercept."""
-    x1 = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    penalty = np.full(x1.shape[1], RIDGE)
+    penalty = np.full(x.shape[1] + 1, RIDGE)
     penalty[-1] = 1e-6
-    b = np.zeros(x1.shape[1])
+    b = np.zeros(len(penalty))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ b, -30, 30)))
-        gradient = x1.T @ (weight * (p - y)) + penalty * b
-        hessian = (x1 * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x1 + np.diag(penalty)
+        gradient, hessian = penalty * b, np.diag(penalty)
+        for i in range(0, len(x), BLOCK):
+            x1, w = np.concatenate([x[i : i + BLOCK], np.ones((len(x[i : i + BLOCK]), 1))], axis=1), weight[i : i + BLOCK]
+            p = sigmoid(x1 @ b)
+            gradient += x1.T @ (w * (p - y[i : i + BLOCK]))
+            hessian += (x1 * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x1
         step = np.linalg.solve(hessian, gradient)
         b = b - step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
@@ -73,6 +81,57 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 12)
     return b
 
 
+@dataclass
+class Occurrences:
+    """Places of the features that each row has, and how often, all rows end to end."""
+
+    lengths: np.ndarray
+    at: np.ndarray
+    times: np.ndarray
+
+    def dense(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """log(1 + times) of the chosen rows (flags) and features (places)."""
+        place = np.full(max(self.at.max(initial=0), columns.max(initial=0)) + 1, -1)
+        place[columns] = np.arange(len(columns))
+        hit = np.flatnonzero(np.repeat(rows, self.lengths) & (place[self.at] >= 0))
+        out = np.zeros((np.count_nonzero(rows), len(columns)))
+        out[np.repeat(np.cumsum(rows) - 1, self.lengths)[hit], place[self.at[hit]]] = np.log1p(self.times[hit])
+        return out
+
+
+def link(x: np.ndarray | Occurrences, fold: np.ndarray, weight: np.ndarray, columns: list[np.ndarray], y: np.ndarray, before: np.ndarray, f: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The model of y without fold f and its probabilities of that fold's rows (None without such rows); for FOLDS, that of all rows."""
+    out = fold == f
+    if f < FOLDS and not out.any():
+        return None
+
+    def own(rows: np.ndarray) -> np.ndarray:
+        found = x.dense(rows, columns[f]) if isinstance(x, Occurrences) else x[np.ix_(rows, columns[f])]
+        return np.concatenate([found, before[rows]], axis=1)
+
+    rest = ~out if (~out).any() else out
+    b = logistic(own(rest), y[rest], weight[rest])
+    return b, sigmoid(own(out) @ b[:-1] + b[-1])
+
+
+#: Of a category's verdicts and the probabilities before it: what ``link`` gives for each fold and for FOLDS.
+Links = Callable[[np.ndarray, np.ndarray], list]
+
+
+@contextmanager
+def links_in_tasks(spark: SparkSession, x: Occurrences, fold: np.ndarray, weight: np.ndarray, columns: list[np.ndarray]) -> Iterator[Links]:
+    """Each of a category's models is fitted in a task of its own."""
+    sent = spark.sparkContext.broadcast((x, fold, weight, columns))
+
+    def links(y: np.ndarray, before: np.ndarray) -> list:
+        return spark.sparkContext.parallelize(range(FOLDS + 1), FOLDS + 1).map(lambda f: link(*sent.value, y, before, f)).collect()
+
+    try:
+        yield links
+    finally:
+        sent.destroy()
+
+
 @dataclass
 class Chain:
     """Features (sorted hashes) and the models of a fitted chain."""
@@ -89,22 +148,21 @@ class Chain:
         return out
 
     @classmethod
-    def fit(cls, names: np.ndarray, x: np.ndarray, y: np.ndarray, fold: np.ndarray, weight: np.ndarray, columns: list[np.ndarray]) -> Chain:
+    def fit(cls, names: np.ndarray, x: np.ndarray | Occurrences, y: np.ndarray, fold: np.ndarray, weight: np.ndarray, columns: list[np.ndarray], links: Links | None = None) -> Chain:
         """x: features (of sorted ``names``), y: a column for each category; a row stands for ``weight`` documents.
 
         ``columns`` are the features that may be used without fold 0, 1, ..., and those of the final models.
+        ``links`` fits a category's models; by default they are fitted here.
         """
-        models, before = [], np.zeros((len(x), 0))
+        links = links or (lambda y, before: [link(x, fold, weight, columns, y, before, f) for f in range(FOLDS + 1)])
+        models, before = [], np.zeros((len(fold), 0))
         for j in range(y.shape[1]):
-            held = np.zeros(len(x))
-            for f in range(FOLDS):
-                out = fold == f
-                if out.any():
-                    own = np.concatenate([x[:, columns[f]], before], axis=1)
-                    rest = ~out if (~out).any() else out
-                    b = logistic(own[rest], y[rest, j], weight[rest])
-                    held[out] = sigmoid(own[out] @ b[:-1] + b[-1])
-            models.append(logistic(np.concatenate([x[:, columns[-1]], before], axis=1), y[:, j], weight))
+            held = np.zeros(len(fold))
+            *parts, (model, _) = links(y[:, j], before)
+            for f, part in enumerate(parts):
+                if part:
+                    held[fold == f] = part[1]
+            models.append(model)
             before = np.concatenate([before, held[:, None]], axis=1)
         return cls(names[columns[-1]], models)
 
@@ -205,15 +263,18 @@ def fit_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 at, times = matches(names, *features(data, offsets), n)
                 yield pa.RecordBatch.from_arrays([pa.array(fold[row : row + n]), label.slice(row, n), pa.array(at, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], rows.names)
 
-    got = texts.mapInArrow(occurrences, rows).groupBy(*rows.names).agg(F.count(F.lit(1)).alias("c")).collect()  # at most the sample
-    x = np.zeros((len(got), len(names)))
-    for i, r in enumerate(got):
-        x[i, r["at"]] = np.log1p(r["times"])
-    label, weight = np.array([r["label"] for r in got]), np.array([r["c"] for r in got])
-    final = x[:, columns[-1]] > 0
-    group = groups(final[label == 1] * np.sqrt(weight[label == 1])[:, None], CATEGORIES)
-    y = np.stack([*((final[:, group == g].any(axis=1) & (label == 1)).astype(int) for g in range(CATEGORIES)), label], axis=1)
-    return Chain.fit(names, x, y, np.array([r["fold"] for r in got]), weight, columns)
+    # at most the sample; as Arrow, since rows of lists fill the driver's heap with an object for each number
+    got = texts.mapInArrow(occurrences, rows).groupBy(*rows.names).agg(F.count(F.lit(1)).alias("c")).toArrow().combine_chunks()
+    x = Occurrences(pc.list_value_length(got["at"]).to_numpy(), *(pc.list_flatten(got[c]).to_numpy() for c in ("at", "times")))
+    fold, label, weight = (got[c].to_numpy() for c in ("fold", "label", "c"))
+    toxic = label == 1
+    final = x.dense(toxic, columns[-1]) > 0
+    group = groups(final * np.sqrt(weight[toxic])[:, None], CATEGORIES)
+    y = np.zeros((len(label), CATEGORIES + 1), dtype=int)
+    y[:, -1] = label
+    y[toxic, :-1] = np.stack([final[:, group == g].any(axis=1) for g in range(CATEGORIES)], axis=1)
+    with links_in_tasks(docs.sparkSession, x, fold, weight, columns) as links:
+        return Chain.fit(names, x, y, fold, weight, columns, links)
 
 
 def matches(selected: np.ndarray, owner: np.ndarray, feature: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:

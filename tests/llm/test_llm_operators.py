@@ -570,6 +570,24 @@ def test_chain_arithmetic():
         assert p[i] == pytest.approx(got)
 
 
+def test_chain_is_fitted_in_tasks(spark, monkeypatch):
+    """The driver fits no model and makes no row of the sample an object; what the tasks fit is what a fit in one place gives."""
+    rows, labels = _learnable()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, p_toxic double")
+    table = spark.createDataFrame([(d, t) for d, _, t in labels], "doc_id bigint, toxic int")
+    seen, fit, collect = [], toxicity.Chain.fit, type(df).collect
+    monkeypatch.setattr(toxicity.Chain, "fit", lambda *a: seen.append(a) or fit(*a))
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "logistic", None)
+        m.setattr(type(df), "collect", lambda self: collect(self) if "times" not in self.columns else pytest.fail("rows of lists"))
+        chain = toxicity.fit_chain(df, table)
+    names, x, y, fold, weight, columns, _ = seen[0]
+    here = fit(names, x.dense(np.ones(len(fold), bool), np.arange(len(names))), y, fold, weight, columns)
+    assert chain.features.tolist() == here.features.tolist() and weight.sum() == len(labels)
+    assert all(a == pytest.approx(b, abs=1e-6) for a, b in zip(chain.models, here.models, strict=True))
+    assert x.dense(np.arange(len(fold)) == 3, np.array([2, 0])).tolist() == [x.dense(np.ones(len(fold), bool), np.arange(len(names)))[3, [2, 0]].tolist()]
+
+
 def test_groups_follow_the_rows_features_share():
     present = np.zeros((40, 9))
     for row in range(40):
