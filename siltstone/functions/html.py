@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 SIMPLE = {"nbsp": "\xa0", "copy": "©", "reg": "®", "deg": "°", "middot": "·", "quot": '"', "apos": "'", "#39": "'", "lt": "<", "gt": ">", "amp": "&"}
 #: White space as Python's str methods know it.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: What the queries' SQL decodes, in its order; its ``\s``, and what it squeezes and trims.
+PLAIN = (("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&amp", "&"))
+PLAIN_S = r"[\t\n\f\r ]"
+PLAIN_SPACE = r"[\t-\r\x1c-\x1f \x85\xa0]+"
+SEPARATORS = " \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def squeeze(text: Column) -> Column:
@@ -22,12 +27,21 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
-def clean_html(html: Column, strip_tags: tuple[str, ...]) -> Column:
+def any_case(word: str) -> str:
+    """A pattern of a word in any case, as DuckDB folds it: a long s is an s, but a dotless i is no i."""
+    fold = {"s": "\u017f", "k": "\u212a"}
+    return "".join(f"[{c}{c.upper()}{fold.get(c, '')}]" if c.isascii() and c.isalpha() else re.escape(c) for c in word.lower())
+
+
+def clean_html(html: Column, strip_tags: tuple[str, ...], plain: bool = False) -> Column:
     """Text outside the stripped elements, a space between text nodes.
 
     Most pages are read by built-in functions alone. Where these would not give what a parser does
     (``_is_hard``), the page goes through ``clean_html_strict``; of all others the function sees a null.
+    ``plain`` reads every page as the SQL of q02 does, by replacement alone: a reference that PLAIN lacks stays as it is written.
     """
+    if plain:
+        return _clean_plain(html, strip_tags)
     bare = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     bare = F.regexp_replace(bare, r"<![A-Za-z][^>]*>", " ")
     tags = "|".join(map(re.escape, strip_tags))
@@ -40,6 +54,17 @@ def clean_html(html: Column, strip_tags: tuple[str, ...]) -> Column:
     return F.when(hard, clean_html_strict(strip_tags)(F.when(hard, html))).otherwise(squeeze(text))
 
 
+def _clean_plain(html: Column, strip_tags: tuple[str, ...]) -> Column:
+    text = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", " ")
+    text = F.regexp_replace(text, r"<![A-Za-z][^>]*>", " ")
+    for tag in map(any_case, strip_tags):
+        text = F.regexp_replace(text, rf"(?s)<{tag}(?:(?:{PLAIN_S}|/)[^>]*)?>.*?(?:</{tag}{PLAIN_S}*>|\z)", " ")
+    text = F.regexp_replace(text, r"<[A-Za-z/][^>]*>", " ")
+    for name, char in PLAIN:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return F.btrim(F.regexp_replace(text, PLAIN_SPACE, " "), F.lit(SEPARATORS))
+
+
 def _is_hard(html: Column, bare: Column, tags: str) -> Column:
     """Does a page hold what replacement does not read as a parser does?
 

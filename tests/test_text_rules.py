@@ -1,6 +1,7 @@
 """HTML, URL and personal-data rules on hand-made strings, and chunks by headings."""
 
 import random
+import re
 
 import pytest
 
@@ -113,3 +114,33 @@ def test_few_pages_are_strings_at_once(spark):
     got = _column(spark, pages, lambda c: clean_html_strict(TAGS)(c))
     assert got == [None if p is None else f"caf\u00e9 {i}" for i, p in enumerate(pages)]
     assert clean_html_strict(TAGS).evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
+
+
+ODD = HARD + [
+    "token = &quot Oneastes", "a &lt b &gt c &copy d &nbsp e &#39 f &amp g &ampx", "&amp;amp; &amp;lt; &amp;quot", "x&#160;y&reg;z&deg;", "&ltb&gt;c", "<ſcript>a</script>b", "<scrıpt>a</scrıpt>b", "<SCRIPT\n>a</Script\t>b", "<nav/>a</nav\x0b>b",
+    "<header>a<nav>b</header>c</nav>d", "<!-- a <!-- b --> c --> d", "<!-->a-->b", "<script>a", "  a  b 　", " a ", "a\x85b\x0bc\x1cd", "<p title='\U0001f600>'>é</p>", "<![CDATA[x]]>y", "<?php a ?>b", "a<b", "<navx>a</navx>b", "<>a</>b",
+]
+
+
+def _odd_pages(spark, folder):
+    """ODD and mixtures of what is in them, as a table of pages and in DuckDB."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(7)
+    parts = [p for h in ODD if h for p in re.findall(r"<[^<>]*>?|&[#\w]+;?|\w+|\s+|[^\w\s<&]", h)] + ["<!--", "-->", "<h1>", "</h1>", "<h2>", "<h2 id=x>", "<h3>", "<p>", "<p><b>", "<br>", "</p>", "<div class=a>", "<li>", "<title>", "</title>", "word " * 70, "word " * 90]
+    rows = [(i, f"u{i}", h) for i, h in enumerate(ODD + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(3000)])]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"file://{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{folder}/pages.parquet/*.parquet'")
+    return con
+
+
+def _same_as_sql(spark, folder, con, name):
+    got = QUERIES[name](spark, f"file://{folder}")
+    want = con.sql(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", ["q02_html_clean"])
+def test_odd_pages_are_read_as_by_the_sql(spark, tmp_path, name):
+    """References without their semicolon, unclosed and nested elements, odd white space and mixtures of them, by query and by DuckDB."""
+    _same_as_sql(spark, tmp_path, _odd_pages(spark, tmp_path), name)
