@@ -26,23 +26,26 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", "")), F.lit(0)) == 0
 
 
-def clean_pages(pages: DataFrame, config: TransformConfig = TransformConfig(), strict: bool = False) -> DataFrame:
-    """Pages with ``text``; blank pages are left out."""
+def clean_pages(pages: DataFrame, config: TransformConfig = TransformConfig(), strict: bool = False, plain: bool = False) -> DataFrame:
+    """Pages with ``text``; blank pages are left out. ``plain`` as in ``clean_html``."""
+    rows = pages.where(~is_blank(F.col("html")))
+    if plain:  # as a generated column, or a filter on the text would clean every page a second time
+        return rows.select("*", F.explode(F.array(clean_html(F.col("html"), config.strip_tags, plain))).alias("text"))
     text = clean_html_strict(config.strip_tags)("html") if strict else clean_html(F.col("html"), config.strip_tags)
-    return pages.where(~is_blank(F.col("html"))).withColumn("text", text)
+    return rows.withColumn("text", text)
 
 
-def to_documents(pages: DataFrame, purposes: DataFrame, config: TransformConfig = TransformConfig(), strict: bool = False, seen: Observation | None = None) -> DataFrame:
-    """(text, metadata) of the pages whose text is long enough; ``seen`` gets the counters of ``transform_counts`` on the way."""
+def to_documents(pages: DataFrame, purposes: DataFrame, config: TransformConfig = TransformConfig(), strict: bool = False, seen: Observation | None = None, plain: bool = False) -> DataFrame:
+    """(text, metadata) of the pages whose text is long enough; ``plain`` as in ``clean_html``; ``seen`` gets the counters of ``transform_counts`` on the way."""
     if seen is not None:
         blank = is_blank(F.col("html"))
-        text = clean_html_strict(config.strip_tags)("html") if strict else clean_html(F.col("html"), config.strip_tags)
+        text = clean_html_strict(config.strip_tags)("html") if strict else clean_html(F.col("html"), config.strip_tags, plain)
         rows = pages.withColumn("text", text).withColumn("blank", blank)
         out = F.coalesce(~F.col("blank") & (F.length("text") >= config.min_text_length), F.lit(False))
         rows = rows.withColumn("out", out).observe(seen, F.count(F.lit(1)).alias("items_in"), F.count_if("out").alias("items_out"), F.count_if(~F.col("out")).alias("items_skipped"), F.count_if("blank").alias("empty_files"))
         rows = rows.where("out").drop("out", "blank")
     else:
-        rows = clean_pages(pages, config, strict).where(F.length("text") >= config.min_text_length)
+        rows = clean_pages(pages, config, strict, plain).where(F.length("text") >= config.min_text_length)
     rows = with_purpose(rows, purposes)
     meta = F.struct("source", "purpose", "raw_filename", F.current_timestamp().alias("processed_at"), F.length("text").alias("text_length"))
     return rows.select("text", meta.alias("metadata"))
