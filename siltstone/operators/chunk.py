@@ -15,25 +15,25 @@ from siltstone.schemas import CHUNK
 _ARROW = pa.list_(pa.struct([("chunk_index", pa.int32()), ("text", pa.string()), ("char_offset", pa.int32()), ("chunk_length", pa.int32())]))
 
 
-def windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
-    """(start, stripped text) of the windows of a text that is longer than one."""
+def windows(text: str, size: int, overlap: int, blank: str | None = None) -> Iterator[tuple[int, str]]:
+    """(start, text) of the windows of a text that is longer than one, stripped of white space or of the characters of ``blank``."""
     start, total = 0, len(text)
     while start + size < total:
         stop = text.rfind(" ", start + 1, start + size + 1)  # the place right after the window counts
         if stop < 0:
             stop = start + size
-        yield start, text[start:stop].strip()
+        yield start, text[start:stop].strip(blank)
         start += max(1, stop - start - overlap)
     if start < total:
-        yield start, text[start:].strip()
+        yield start, text[start:].strip(blank)
 
 
-def chunk_text(text: str | None, config: ChunkConfig = ChunkConfig()) -> list[dict]:
+def chunk_text(text: str | None, config: ChunkConfig = ChunkConfig(), blank: str | None = None) -> list[dict]:
     """The chunks of one text: those of at least ``minimum`` characters, numbered from 0."""
     if not text:
         return []
     whole = len(text) <= config.size  # a short text stays as it is, unstripped
-    pieces = [(0, text)] if whole else windows(text, config.size, config.overlap)
+    pieces = [(0, text)] if whole else windows(text, config.size, config.overlap, blank)
     kept = [(start, piece) for start, piece in pieces if len(piece) >= config.minimum]
     return [{"chunk_index": i, "text": piece, "char_offset": start, "chunk_length": len(piece)} for i, (start, piece) in enumerate(kept)]
 

@@ -140,7 +140,7 @@ def _same_as_sql(spark, folder, con, name):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name", ["q02_html_clean", "q03_min_length", "q32_document_table"])
+@pytest.mark.parametrize("name", ["q02_html_clean", "q03_min_length", "q32_document_table", "q40_section_chunks"])
 def test_odd_pages_are_read_as_by_the_sql(spark, tmp_path, name):
     """References without their semicolon, unclosed and nested elements, odd white space and mixtures of them, by query and by DuckDB."""
     _same_as_sql(spark, tmp_path, _odd_pages(spark, tmp_path), name)
